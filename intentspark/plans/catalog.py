@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentspark import domain
-from intentspark.operators import report, resolve as res
+from intentspark.functions import text as text_fn
+from intentspark.operators import prompts, report, resolve as res
+from intentspark.operators import split as split_op
 from intentspark.plans import inputs
+from intentspark.session import scratch_path
+from intentspark.sources import csv as csv_io
+from intentspark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -80,3 +85,84 @@ def category_counts(spark, sf_dir):
 def submission_preview(spark, sf_dir):
     """RPT-1..3: cast, sort, first five rows."""
     return report.preview(report.submission(_resolved_gens(spark, sf_dir)), 5)
+
+
+# -- prompts and labels (PRJ-2..6) ------------------------------------------
+
+@register
+def prompt_inference(spark, sf_dir):
+    """PRJ-4 + PRJ-5: inference prompt per user turn."""
+    return prompts.with_prompt(inputs.user_turns(spark, sf_dir)).select("Id", "prompt")
+
+
+@register
+def prompt_training(spark, sf_dir):
+    """PRJ-6: prompt + label, no end marker."""
+    return prompts.with_training_text(inputs.labelled_turns(spark, sf_dir)).select("Id", "text")
+
+
+@register
+def label_ids(spark, sf_dir):
+    """PRJ-2 + PRJ-3: label -> ordinal -> label."""
+    df = prompts.with_label_id(inputs.labelled_turns(spark, sf_dir))
+    df = prompts.with_label(df, out="label")
+    return df.select("Id", "Category", "label_id", "label")
+
+
+# -- chat rendering and special tokens (PRJ-8, ENC-9) -----------------------
+
+def _conversations(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations")
+
+
+@register
+def render_chat_generation(spark, sf_dir):
+    """PRJ-8 with the generation tail."""
+    return prompts.render_chat(_conversations(spark, sf_dir), add_generation_prompt=True)
+
+
+@register
+def render_chat_training(spark, sf_dir):
+    """PRJ-8 ending with the end token."""
+    return prompts.render_chat(_conversations(spark, sf_dir), add_generation_prompt=False)
+
+
+@register
+def strip_special(spark, sf_dir):
+    """ENC-9: special tokens removed from rendered chats; ``</s>`` kept."""
+    chats = prompts.render_chat(_conversations(spark, sf_dir), add_generation_prompt=True)
+    return chats.select("conv_id", text_fn.strip_special("text").alias("text"))
+
+
+# -- split (SPL-1, SPL-2) -----------------------------------------------------
+
+@register
+def split_documents(spark, sf_dir):
+    """SPL-1: exact 10 % validation cut in seeded hash order."""
+    docs = inputs.documents(spark, sf_dir).select("doc_id")
+    return split_op.with_split(docs, "doc_id")
+
+
+@register
+def split_sizes(spark, sf_dir):
+    """SPL-2: sizes of the two parts."""
+    return split_op.split_sizes(split_documents(spark, sf_dir))
+
+
+# -- CSV sources and sinks (SRC-1/2, SNK-1/2) --------------------------------
+
+@register
+def submission_csv(spark, sf_dir):
+    """SNK-2 then SRC-2: write the sorted submission, read it back."""
+    path = scratch_path(spark, "submission")
+    csv_io.write_submission(_resolved_gens(spark, sf_dir), path)
+    return csv_io.read_sentences(spark, path, columns=("Id", "Category"))
+
+
+@register
+def sentences_csv_round_trip(spark, sf_dir):
+    """SNK-1 then SRC-1: labelled sentences (with newlines, commas, quotes)
+    through CSV and back."""
+    path = scratch_path(spark, "sentences")
+    csv_io.write_csv(inputs.labelled_turns(spark, sf_dir).select("Id", "Sentence", "Category"), path)
+    return csv_io.read_sentences(spark, path, labelled=True)

@@ -8,6 +8,7 @@ fixed values are shared.
 from __future__ import annotations
 
 from intentspark import domain
+from intentspark.functions.text import SKIPPED_SPECIAL_PATTERN
 from intentspark.plans import sqltext as S
 
 ORACLE: dict[str, str] = {}
@@ -37,3 +38,41 @@ ORACLE["submission_preview"] = (
     f"SELECT CAST(Id AS BIGINT) AS Id, Category FROM {_RESOLVED_GENS} ORDER BY Id LIMIT 5")
 
 _ = domain  # fixed values are rendered through sqltext
+
+_PROMPT = f"({S.lit(domain.PROMPT_PREFIX)} || coalesce(Sentence, {S.lit(domain.NULL_SENTENCE)}) || {S.lit(domain.PROMPT_SUFFIX)})"
+
+ORACLE["prompt_inference"] = f"SELECT Id, {_PROMPT} AS prompt FROM {S.USER_TURNS}"
+
+ORACLE["prompt_training"] = f"SELECT Id, {_PROMPT} || Category AS text FROM {S.LABELLED_TURNS}"
+
+ORACLE["label_ids"] = (
+    f"SELECT Id, Category, CAST(list_position({S.list_lit(domain.CATEGORIES)}, Category) - 1 AS INTEGER) AS label_id, "
+    f"list_extract({S.list_lit(domain.CATEGORIES)}, list_position({S.list_lit(domain.CATEGORIES)}, Category)) AS label "
+    f"FROM {S.LABELLED_TURNS}")
+
+
+def _chat(tail: str) -> str:
+    piece = "CASE " + " ".join(
+        f"WHEN role = '{r}' THEN {S.lit(f'<|{r}|>' + chr(10))} || coalesce(text, '') || {S.lit(domain.CHAT_TURN_END)}"
+        for r in domain.CHAT_ROLES) + " ELSE '' END"
+    return (f"SELECT conv_id, string_agg({piece}, '' ORDER BY turn) || {S.lit(tail)} AS text "
+            f"FROM conversations GROUP BY conv_id")
+
+
+ORACLE["render_chat_generation"] = _chat(domain.CHAT_GENERATION_TAIL)
+ORACLE["render_chat_training"] = _chat(domain.EOS_TOKEN)
+
+ORACLE["strip_special"] = (
+    f"SELECT conv_id, regexp_replace(text, {S.lit(SKIPPED_SPECIAL_PATTERN)}, '', 'g') AS text "
+    f"FROM ({_chat(domain.CHAT_GENERATION_TAIL)})")
+
+ORACLE["split_documents"] = (
+    "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) "
+    "<= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER ()) THEN 'eval' ELSE 'train' END AS split FROM documents")
+
+ORACLE["split_sizes"] = (
+    f"SELECT split, count(*) AS n FROM ({ORACLE['split_documents']}) GROUP BY split")
+
+ORACLE["submission_csv"] = f"SELECT CAST(Id AS BIGINT) AS Id, Category FROM {_RESOLVED_GENS}"
+
+ORACLE["sentences_csv_round_trip"] = f"SELECT Id, Sentence, Category FROM {S.LABELLED_TURNS}"
