@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from intentspark import domain
 from intentspark.functions import text as text_fn
-from intentspark.operators import prompts, report, resolve as res
+from intentspark.operators import prompts, report, resolve as res, scoring
 from intentspark.operators import split as split_op
 from intentspark.plans import inputs
 from intentspark.session import scratch_path
@@ -166,3 +166,21 @@ def sentences_csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "sentences")
     csv_io.write_csv(inputs.labelled_turns(spark, sf_dir).select("Id", "Sentence", "Category"), path)
     return csv_io.read_sentences(spark, path, labelled=True)
+
+
+# -- batch scoring (MOD-1, MOD-7, path A) -------------------------------------
+
+@register
+def batch_predict(spark, sf_dir):
+    """PRJ-5 -> MOD-1 (generator in mapInPandas) -> ENC-9 -> RES-1..5."""
+    pred = scoring.predict(inputs.user_turns(spark, sf_dir), inputs.FixtureGeneratorFactory("Id"))
+    return pred.select("Id", "generated", "Category", "resolved_by")
+
+
+@register
+def batch_predict_errors(spark, sf_dir):
+    """MOD-7: a generator failing on some rows gives null there, not a crash."""
+    pred = scoring.predict(inputs.user_turns(spark, sf_dir),
+                           inputs.FixtureGeneratorFactory("Id", fail_on=inputs.N_FIXTURE - 1),
+                           on_error="null")
+    return pred.select("Id", "generated", "Category", F.col("error").isNotNull().alias("failed"))

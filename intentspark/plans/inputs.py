@@ -85,3 +85,28 @@ def labelled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
+
+
+class FixtureGenerator:
+    """Stands in for a model: row ``key`` generates fixture string
+    ``key mod 26``. With ``fail_on`` set, a batch holding a row whose
+    ``key mod 26`` equals it raises (to exercise MOD-7)."""
+
+    def __init__(self, key: str = "Id", fail_on: int | None = None):
+        self.key, self.fail_on = key, fail_on
+
+    def __call__(self, batch):
+        keys = [int(k) for k in batch[self.key]]
+        if self.fail_on is not None and any(k % N_FIXTURE == self.fail_on for k in keys):
+            raise RuntimeError("generation failed")
+        return [GENERATION_FIXTURE[k % N_FIXTURE] for k in keys]
+
+
+class FixtureGeneratorFactory:
+    """Picklable factory for :class:`FixtureGenerator`."""
+
+    def __init__(self, key: str = "Id", fail_on: int | None = None):
+        self.key, self.fail_on = key, fail_on
+
+    def __call__(self):
+        return FixtureGenerator(self.key, self.fail_on)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from intentspark import domain
 from intentspark.functions.text import SKIPPED_SPECIAL_PATTERN
 from intentspark.plans import sqltext as S
+from intentspark.plans.inputs import N_FIXTURE
 
 ORACLE: dict[str, str] = {}
 
@@ -76,3 +77,16 @@ ORACLE["split_sizes"] = (
 ORACLE["submission_csv"] = f"SELECT CAST(Id AS BIGINT) AS Id, Category FROM {_RESOLVED_GENS}"
 
 ORACLE["sentences_csv_round_trip"] = f"SELECT Id, Sentence, Category FROM {S.LABELLED_TURNS}"
+
+_TURN_GENS = (f"(SELECT Id, regexp_replace({S.fixture_pick('Id')}, {S.lit(SKIPPED_SPECIAL_PATTERN)}, '', 'g') "
+              f"AS generated FROM {S.USER_TURNS})")
+
+ORACLE["batch_predict"] = (
+    f"SELECT r.Id, g.generated, r.Category, r.resolved_by "
+    f"FROM ({S.resolved(_TURN_GENS, 'Id')}) r JOIN {_TURN_GENS} g USING (Id)")
+
+ORACLE["batch_predict_errors"] = (
+    f"SELECT r.Id, CASE WHEN r.Id % {N_FIXTURE} = {N_FIXTURE - 1} THEN NULL ELSE g.generated END AS generated, "
+    f"CASE WHEN r.Id % {N_FIXTURE} = {N_FIXTURE - 1} THEN NULL ELSE r.Category END AS Category, "
+    f"r.Id % {N_FIXTURE} = {N_FIXTURE - 1} AS failed "
+    f"FROM ({S.resolved(_TURN_GENS, 'Id')}) r JOIN {_TURN_GENS} g USING (Id)")

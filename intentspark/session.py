@@ -81,3 +81,35 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+_SHIPPED: set[str] = set()
+SHIP_CONF = "spark.intentspark.shipPackage"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (once per context).
+
+    Workers import it to run generators and to keep per-process caches
+    (a model loaded once per worker). Set ``spark.intentspark.shipPackage``
+    to ``false`` when the package is installed on the executors already.
+    """
+    sc = spark.sparkContext
+    if spark.conf.get(SHIP_CONF, "true").lower() == "false":
+        return
+    ident = sc.applicationId
+    if ident in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="intentspark-pyfiles-", dir="/tmp")
+    zpath = os.path.join(out_dir, "intentspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(ident)
