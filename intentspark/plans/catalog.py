@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from intentspark import domain
 from intentspark.functions import text as text_fn
 from intentspark.operators import prompts, report, resolve as res, scoring
+from intentspark.operators import model as model_op
 from intentspark.operators import split as split_op
 from intentspark.plans import inputs
 from intentspark.session import scratch_path
@@ -184,3 +185,61 @@ def batch_predict_errors(spark, sf_dir):
                            inputs.FixtureGeneratorFactory("Id", fail_on=inputs.N_FIXTURE - 1),
                            on_error="null")
     return pred.select("Id", "generated", "Category", F.col("error").isNotNull().alias("failed"))
+
+
+# -- count model (MOD-2..5, SNK-3) --------------------------------------------
+
+def _doc_split(spark, sf_dir):
+    docs = inputs.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return split_op.with_split(docs, "doc_id")
+
+
+def _fitted(spark, sf_dir):
+    flagged = _doc_split(spark, sf_dir)
+    train = flagged.filter(F.col("split") == "train")
+    return flagged, model_op.fit_intent_model(train, label="lang", text="text")
+
+
+@register
+def intent_model_counts(spark, sf_dir):
+    """MOD-2: token counts per label on the train part (label = lang)."""
+    _, m = _fitted(spark, sf_dir)
+    return m.counts.select(F.col("label").alias("lang"), "token", "n_tok")
+
+
+@register
+def intent_model_predict(spark, sf_dir):
+    """MOD-3: predicted label of every held-out document."""
+    flagged, m = _fitted(spark, sf_dir)
+    ev = flagged.filter(F.col("split") == "eval")
+    return model_op.score_intent_model(ev, m, key="doc_id", text="text")
+
+
+def _evaluated(spark, sf_dir):
+    flagged, m = _fitted(spark, sf_dir)
+    ev = flagged.filter(F.col("split") == "eval")
+    pred = model_op.score_intent_model(ev, m, key="doc_id", text="text")
+    return model_op.evaluate(pred, ev, key="doc_id", label="lang")
+
+
+@register
+def intent_model_confusion(spark, sf_dir):
+    """MOD-4: confusion counts on the held-out part."""
+    return _evaluated(spark, sf_dir)[0]
+
+
+@register
+def intent_model_metrics(spark, sf_dir):
+    """MOD-4 + MOD-5: accuracy and per-label recall, printed with 4 decimals."""
+    lines = model_op.format_metrics(_evaluated(spark, sf_dir)[1])
+    return lines.select("metric", F.round("value", 6).alias("value"), "line")
+
+
+@register
+def model_save_load(spark, sf_dir):
+    """SNK-3: the fitted tables written as parquet and read back."""
+    _, m = _fitted(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    model_op.save_model(m, path)
+    back = model_op.load_model(spark, path)
+    return back.counts.select(F.col("label").alias("lang"), "token", "n_tok")

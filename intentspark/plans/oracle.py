@@ -90,3 +90,17 @@ ORACLE["batch_predict_errors"] = (
     f"CASE WHEN r.Id % {N_FIXTURE} = {N_FIXTURE - 1} THEN NULL ELSE r.Category END AS Category, "
     f"r.Id % {N_FIXTURE} = {N_FIXTURE - 1} AS failed "
     f"FROM ({S.resolved(_TURN_GENS, 'Id')}) r JOIN {_TURN_GENS} g USING (Id)")
+
+_NB = "WITH " + S.naive_bayes_ctes()
+
+ORACLE["intent_model_counts"] = f"{_NB} SELECT label AS lang, token, n_tok FROM counts"
+ORACLE["model_save_load"] = ORACLE["intent_model_counts"]
+ORACLE["intent_model_predict"] = f"{_NB} SELECT doc_id, predicted FROM pred"
+ORACLE["intent_model_confusion"] = (
+    f"{_NB} SELECT ev.lang AS truth, pred.predicted, count(*) AS n "
+    f"FROM ev JOIN pred USING (doc_id) GROUP BY ev.lang, pred.predicted")
+ORACLE["intent_model_metrics"] = (
+    f"{_NB}, pairs AS (SELECT ev.lang AS truth, pred.predicted FROM ev JOIN pred USING (doc_id)), "
+    f"m AS (SELECT 'accuracy' AS metric, avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) AS value FROM pairs "
+    f"UNION ALL SELECT 'recall:' || truth, avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) FROM pairs GROUP BY truth) "
+    f"SELECT metric, round(CAST(value AS DOUBLE), 6) AS value, printf('%s: %.4f', metric, CAST(value AS DOUBLE)) AS line FROM m")

@@ -88,3 +88,39 @@ def resolved(source: str, key: str, generated: str = "generated") -> str:
             f"(SELECT *, lower(cleaned) AS lowered FROM "
             f"(SELECT *, {clean(f"coalesce({generated}, '')")} AS cleaned "
             f"FROM {source}))")
+
+
+def tokens(x: str) -> str:
+    """Tokenizer: reserved tokens split out, cut on whitespace runs, no empties."""
+    from intentspark.functions.text import SPECIAL_PATTERN, WHITESPACE_CLASS
+    spaced = f"regexp_replace(coalesce({x}, ''), {lit('(' + SPECIAL_PATTERN + ')')}, ' \\1 ', 'g')"
+    return (f"list_filter(regexp_split_to_array({strip(spaced)}, {lit(WHITESPACE_CLASS + '+')}), "
+            f"lambda t: t <> '')")
+
+
+SPLIT_FLAGGED = (
+    "(SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) "
+    "<= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER ()) THEN 'eval' ELSE 'train' END AS split FROM documents)")
+
+
+def naive_bayes_ctes() -> str:
+    """CTEs tk, counts, classes, v, ev, pred over the documents split."""
+    return f"""
+tk AS (SELECT doc_id, lang, split, {tokens('text')} AS toks FROM {SPLIT_FLAGGED}),
+counts AS (SELECT lang AS label, token, count(*) AS n_tok
+           FROM (SELECT lang, unnest(toks) AS token FROM tk WHERE split = 'train') GROUP BY lang, token),
+classes AS (SELECT lang AS label, count(*) AS docs, sum(len(toks)) AS n_class
+            FROM tk WHERE split = 'train' GROUP BY lang),
+v AS (SELECT count(DISTINCT token) AS vocab FROM counts),
+ev AS (SELECT doc_id, lang, toks FROM tk WHERE split = 'eval'),
+tf AS (SELECT doc_id, token, count(*) AS f FROM (SELECT doc_id, unnest(toks) AS token FROM ev)
+       GROUP BY doc_id, token),
+sums AS (SELECT tf.doc_id, c.label, sum(tf.f * ln(c.n_tok + 1.0)) AS s
+         FROM tf JOIN counts c USING (token) GROUP BY tf.doc_id, c.label),
+scores AS (SELECT ev.doc_id, cl.label,
+                  ln(cl.docs) + coalesce(s.s, 0) - len(ev.toks) * ln(cl.n_class + 1.0 * v.vocab) AS score
+           FROM ev CROSS JOIN classes cl CROSS JOIN v
+           LEFT JOIN sums s ON s.doc_id = ev.doc_id AND s.label = cl.label),
+pred AS (SELECT doc_id, label AS predicted FROM
+         (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label ASC) AS rn FROM scores)
+         WHERE rn = 1)"""
