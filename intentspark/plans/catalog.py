@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from intentspark import domain
 from intentspark.functions import text as text_fn
 from intentspark.operators import prompts, report, resolve as res, scoring
+from intentspark.operators import encode as encode_op
 from intentspark.operators import model as model_op
 from intentspark.operators import split as split_op
 from intentspark.plans import inputs
@@ -243,3 +244,54 @@ def model_save_load(spark, sf_dir):
     model_op.save_model(m, path)
     back = model_op.load_model(spark, path)
     return back.counts.select(F.col("label").alias("lang"), "token", "n_tok")
+
+
+# -- encoding (ENC-1..8) ------------------------------------------------------
+
+@register
+def vocab(spark, sf_dir):
+    """ENC-1: word vocabulary of the user-turn sentences (reserved tokens
+    keep their fixed ids; words ranked by count desc, token)."""
+    v = encode_op.build_vocab(inputs.user_turns(spark, sf_dir), "Sentence")
+    return v.filter(F.col("n").isNotNull())
+
+
+def _training_texts(spark, sf_dir):
+    df = prompts.with_training_text(inputs.labelled_turns(spark, sf_dir))
+    return prompts.with_prompt(df)
+
+
+def _training_vocab(spark, sf_dir):
+    return encode_op.build_vocab(_training_texts(spark, sf_dir), "text")
+
+
+@register
+def encode_prompts(spark, sf_dir):
+    """ENC-7 (= ENC-2 + ENC-3 on the inference prompt)."""
+    texts = _training_texts(spark, sf_dir)
+    enc = encode_op.encode(texts, _training_vocab(spark, sf_dir), key="Id", text="prompt")
+    return encode_op.ids_as_text(enc, ["input_ids", "attention_mask"])
+
+
+@register
+def encode_training(spark, sf_dir):
+    """ENC-2..5: prompt + label ids, mask, and the intended loss labels."""
+    texts = _training_texts(spark, sf_dir)
+    enc = encode_op.encode_training(texts, _training_vocab(spark, sf_dir), key="Id",
+                                    text="text", prompt="prompt")
+    return encode_op.ids_as_text(enc, ["input_ids", "attention_mask", "labels"])
+
+
+@register
+def collate_causal(spark, sf_dir):
+    """ENC-6: labels the collator rebuilds from ids (pad id -> -100)."""
+    texts = _training_texts(spark, sf_dir)
+    enc = encode_op.encode(texts, _training_vocab(spark, sf_dir), key="Id", text="text")
+    out = encode_op.collate_causal(enc)
+    return encode_op.ids_as_text(out.select("Id", "labels"), ["labels"])
+
+
+@register
+def truncation_report(spark, sf_dir):
+    """ENC-8: documents longer than 256 tokens, per language."""
+    return encode_op.truncation_report(inputs.documents(spark, sf_dir), by="lang", text="text")

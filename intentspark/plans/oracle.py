@@ -104,3 +104,29 @@ ORACLE["intent_model_metrics"] = (
     f"m AS (SELECT 'accuracy' AS metric, avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) AS value FROM pairs "
     f"UNION ALL SELECT 'recall:' || truth, avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) FROM pairs GROUP BY truth) "
     f"SELECT metric, round(CAST(value AS DOUBLE), 6) AS value, printf('%s: %.4f', metric, CAST(value AS DOUBLE)) AS line FROM m")
+
+ORACLE["vocab"] = f"SELECT token, id, n FROM ({S.vocab_sql(S.USER_TURNS, 'Sentence')}) WHERE n IS NOT NULL"
+
+_TEXTS = (f"(SELECT Id, {_PROMPT} || Category AS text, {_PROMPT} AS prompt FROM {S.LABELLED_TURNS})")
+_TVOCAB = S.vocab_sql(_TEXTS, "text")
+_PIDS = S.encoded_ids(_TEXTS, "Id", "prompt", _TVOCAB)
+_TIDS = S.encoded_ids(_TEXTS, "Id", "text", _TVOCAB)
+
+ORACLE["encode_prompts"] = (
+    f"SELECT Id, {S.ids_text(S.pad_left('ids'))} AS input_ids, {S.ids_text(S.mask('ids'))} AS attention_mask "
+    f"FROM ({_PIDS})")
+
+ORACLE["encode_training"] = (
+    f"SELECT Id, {S.ids_text('padded')} AS input_ids, {S.ids_text(S.mask('ids'))} AS attention_mask, "
+    f"{S.ids_text('list_transform(padded, lambda x, i: CASE WHEN i - 1 < hidden THEN -100 ELSE x END)')} AS labels "
+    f"FROM (SELECT i.Id, i.ids, {S.pad_left('i.ids')} AS padded, "
+    f"{domain.MAX_LENGTH} - len(i.ids) + least(len(list_slice({S.tokens('t.prompt')}, 1, {domain.MAX_LENGTH})), len(i.ids)) AS hidden "
+    f"FROM ({_TIDS}) i JOIN {_TEXTS} t USING (Id))")
+
+ORACLE["collate_causal"] = (
+    f"SELECT Id, {S.ids_text('list_transform(' + S.pad_left('ids') + f', lambda x: CASE WHEN x = {domain.PAD_ID} THEN -100 ELSE x END)')} AS labels "
+    f"FROM ({_TIDS})")
+
+ORACLE["truncation_report"] = (
+    f"SELECT lang, count(*) AS rows, CAST(sum(CASE WHEN len({S.tokens('text')}) > {domain.MAX_LENGTH} THEN 1 ELSE 0 END) AS BIGINT) AS truncated, "
+    f"CAST(max(len({S.tokens('text')})) AS BIGINT) AS max_tokens FROM documents GROUP BY lang")

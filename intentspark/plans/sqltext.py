@@ -124,3 +124,39 @@ scores AS (SELECT ev.doc_id, cl.label,
 pred AS (SELECT doc_id, label AS predicted FROM
          (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label ASC) AS rn FROM scores)
          WHERE rn = 1)"""
+
+
+SPECIALS_VALUES = "(VALUES " + ", ".join(
+    f"({lit(t)}, {i})" for t, i, _, _ in domain.SPECIAL_TOKENS) + ") AS sp(token, id)"
+
+
+def vocab_sql(texts: str, text: str) -> str:
+    """(token, id, n) of words, ranked, plus reserved tokens with null n."""
+    specials = ", ".join(lit(t) for t, _, _, _ in domain.SPECIAL_TOKENS)
+    return (f"SELECT token, CAST({domain.FIRST_WORD_ID - 1} + row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS id, n "
+            f"FROM (SELECT token, count(*) AS n FROM (SELECT unnest({tokens(text)}) AS token FROM {texts}) "
+            f"WHERE token NOT IN ({specials}) GROUP BY token) "
+            f"UNION ALL SELECT token, CAST(id AS INTEGER), CAST(NULL AS BIGINT) FROM {SPECIALS_VALUES}")
+
+
+def encoded_ids(texts: str, key: str, text: str, vocab: str, max_length: int = domain.MAX_LENGTH) -> str:
+    """(key, ids) with ids of the first max_length tokens (unknown -> unk)."""
+    return (f"SELECT t.{key}, coalesce(list(coalesce(v.id, {domain.UNK_ID}) ORDER BY e.pos) "
+            f"FILTER (WHERE e.pos IS NOT NULL), []) AS ids "
+            f"FROM (SELECT {key}, list_slice({tokens(text)}, 1, {max_length}) AS tt FROM {texts}) t "
+            f"LEFT JOIN (SELECT {key}, unnest(tt) AS token, generate_subscripts(tt, 1) AS pos "
+            f"FROM (SELECT {key}, list_slice({tokens(text)}, 1, {max_length}) AS tt FROM {texts})) e "
+            f"ON e.{key} = t.{key} LEFT JOIN ({vocab}) v ON v.token = e.token GROUP BY t.{key}")
+
+
+def pad_left(ids: str, max_length: int = domain.MAX_LENGTH, value: int = domain.PAD_ID) -> str:
+    return f"list_concat(list_transform(range({max_length} - len({ids})), lambda x: {value}), {ids})"
+
+
+def mask(ids: str, max_length: int = domain.MAX_LENGTH) -> str:
+    return (f"list_concat(list_transform(range({max_length} - len({ids})), lambda x: 0), "
+            f"list_transform(range(len({ids})), lambda x: 1))")
+
+
+def ids_text(x: str) -> str:
+    return f"array_to_string({x}, ' ')"
