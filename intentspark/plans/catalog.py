@@ -7,6 +7,7 @@ the oracle SQL in :mod:`intentspark.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ from intentspark.operators import split as split_op
 from intentspark.plans import inputs
 from intentspark.session import scratch_path
 from intentspark.sources import csv as csv_io
+from intentspark.sources import intents_table as intents
 from intentspark.sources.tables import read_table
+from intentspark.streaming import hygiene
+from intentspark.streaming import requests as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -295,3 +299,86 @@ def collate_causal(spark, sf_dir):
 def truncation_report(spark, sf_dir):
     """ENC-8: documents longer than 256 tokens, per language."""
     return encode_op.truncation_report(inputs.documents(spark, sf_dir), by="lang", text="text")
+
+
+# -- request path (SRC-6, SNK-4, MOD-6) and client hygiene (HYG-1, HYG-2) ----
+
+def _request_bodies(spark, sf_dir):
+    """One JSON body per user turn, carrying its Id for the join back."""
+    turns = inputs.user_turns(spark, sf_dir)
+    return turns.select("Id", F.to_json(F.struct(F.col("Id"), F.col("Sentence").alias("sentence")))
+                        .alias("value"))
+
+
+@register
+def stream_predict(spark, sf_dir):
+    """MOD-6: request files -> Structured Streaming (availableNow) -> validate
+    -> prompt -> generator -> RES-6 -> JSON response -> parquet sink."""
+    base = scratch_path(spark, "stream")
+    src, out, ckpt = f"{base}/requests", f"{base}/responses", f"{base}/checkpoint"
+    _request_bodies(spark, sf_dir).select("value").write.mode("overwrite").text(src)
+    reqs = (spark.readStream.format("text").load(src)
+            .withColumn("Id", F.get_json_object("value", "$.Id").cast("long")))
+    resp = streams.stream_predict(reqs, inputs.FixtureGeneratorFactory("Id"), keep=("Id",))
+    q = (resp.writeStream.format("parquet").option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return streams.read_response(spark.read.parquet(out)).select("Id", F.col("category").alias("Category"))
+
+
+@register
+def request_validation(spark, sf_dir):
+    """SRC-6: bodies with a string ``sentence`` pass; a number (assistant
+    turns here) or a missing field (system turns) is rejected."""
+    conv = _conversations(spark, sf_dir)
+    body = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("sentence"))))
+            .when(F.col("role") == "assistant", F.to_json(F.struct(F.col("turn").alias("sentence"))))
+            .otherwise(F.to_json(F.struct(F.col("text").alias("note")))))
+    return streams.read_requests(conv.select("conv_id", "turn", body.alias("value"))) \
+        .select("conv_id", "turn", "valid", "sentence")
+
+
+@register
+def json_round_trip(spark, sf_dir):
+    """SNK-4: response JSON built and its field read back."""
+    resolved = res.resolve_api(inputs.generations(spark, sf_dir))
+    return streams.read_response(streams.to_response(resolved)) \
+        .select("event_id", "response", "category")
+
+
+def _hygiene_input(spark, sf_dir):
+    """User turns with whitespace around them; every turn where
+    (conv_id + turn) % 5 = 0 is blank, every one where it is 3 says ' Exit '."""
+    t = inputs.user_turns(spark, sf_dir)
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    text = (F.when(k == 0, F.lit(" \t　 "))
+            .when(k == 3, F.lit(" Exit\n"))
+            .otherwise(F.concat(F.lit(" "), F.col("Sentence"), F.lit("\n"))))
+    return t.select("Id", "conv_id", "turn", text.alias("text"))
+
+
+@register
+def clean_requests(spark, sf_dir):
+    """HYG-1: strip, drop blanks."""
+    return hygiene.clean_requests(_hygiene_input(spark, sf_dir)).select("Id", "request")
+
+
+@register
+def until_exit(spark, sf_dir):
+    """HYG-2 then HYG-1: per conversation, inputs before the first 'exit'."""
+    kept = hygiene.until_exit(_hygiene_input(spark, sf_dir), session="conv_id", order="turn")
+    return hygiene.clean_requests(kept).select("Id", "request")
+
+
+# -- intents table (SRC-4, SRC-5) ---------------------------------------------
+
+@register
+def table_round_trip(spark, sf_dir):
+    """SRC-5 then SRC-4: replace a catalog table with declared column types,
+    read it back through the SQL projection."""
+    name = "intents_" + uuid.uuid4().hex[:10]
+    loc = scratch_path(spark, "intents")
+    df = inputs.labelled_turns(spark, sf_dir).select("Id", "Sentence", "Category")
+    intents.replace_table(df, name, loc)
+    return intents.read_table_query(spark, name).select(
+        F.col("Id").cast("long").alias("Id"), "Sentence", "Category")

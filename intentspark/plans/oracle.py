@@ -130,3 +130,29 @@ ORACLE["collate_causal"] = (
 ORACLE["truncation_report"] = (
     f"SELECT lang, count(*) AS rows, CAST(sum(CASE WHEN len({S.tokens('text')}) > {domain.MAX_LENGTH} THEN 1 ELSE 0 END) AS BIGINT) AS truncated, "
     f"CAST(max(len({S.tokens('text')})) AS BIGINT) AS max_tokens FROM documents GROUP BY lang")
+
+_API_TURNS = f"(SELECT Id, {S.api_case(S.strip('lower(coalesce(generated, ' + chr(39) * 2 + '))'))} AS Category FROM {_TURN_GENS})"
+
+ORACLE["stream_predict"] = f"SELECT Id, Category FROM {_API_TURNS}"
+
+ORACLE["request_validation"] = (
+    "SELECT conv_id, turn, role = 'user' AS valid, CASE WHEN role = 'user' THEN text END AS sentence "
+    "FROM conversations")
+
+ORACLE["json_round_trip"] = (
+    f"SELECT event_id, '{{\"category\":\"' || Category || '\"}}' AS response, Category AS category FROM "
+    f"(SELECT event_id, {S.api_case(S.strip('lower(coalesce(generated, ' + chr(39) * 2 + '))'))} AS Category FROM {S.GENS})")
+
+_HYG = (f"(SELECT Id, conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0 THEN {S.lit(' ' + chr(9) + chr(0x3000) + ' ')} "
+        f"WHEN (conv_id + turn) % 5 = 3 THEN {S.lit(' Exit' + chr(10))} "
+        f"ELSE ' ' || Sentence || chr(10) END AS text FROM {S.USER_TURNS})")
+
+ORACLE["clean_requests"] = (
+    f"SELECT Id, {S.strip('text')} AS request FROM {_HYG} WHERE {S.strip('text')} <> ''")
+
+ORACLE["until_exit"] = (
+    f"SELECT Id, {S.strip('text')} AS request FROM "
+    f"(SELECT *, min(CASE WHEN lower({S.strip('text')}) = 'exit' THEN turn END) OVER (PARTITION BY conv_id) AS exit_at FROM {_HYG}) "
+    f"WHERE (exit_at IS NULL OR turn < exit_at) AND {S.strip('text')} <> ''")
+
+ORACLE["table_round_trip"] = f"SELECT Id, Sentence, Category FROM {S.LABELLED_TURNS}"
