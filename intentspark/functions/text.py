@@ -33,7 +33,9 @@ def strip_ws(c: str | Column) -> Column:
 def clean_generation(c: str | Column) -> Column:
     """RES-1: strip, keep text before the first newline, then before the
     first full stop, strip again (strip comes *before* the newline cut)."""
-    x = strip_ws(c)
+    # A right strip before the cuts cannot change the result (the final strip
+    # removes what it would), so only the left end is stripped first.
+    x = F.ltrim(col_of(c), F.lit(WHITESPACE))
     x = F.substring_index(x, "\n", 1)
     x = F.substring_index(x, ".", 1)
     return strip_ws(x)
@@ -50,8 +52,13 @@ def tokenize(c: str | Column) -> Column:
     Reserved tokens are split out wherever they occur, then the text is cut
     on runs of Unicode whitespace; empty pieces are dropped. Null text gives
     an empty array.
+
+    Cost notes: every reserved token starts with ``<``, so the regex only
+    runs on texts holding one; whitespace is mapped to a space with
+    ``translate`` so the split is a single-character split (no regex).
     """
-    x = F.regexp_replace(F.coalesce(col_of(c), F.lit("")), F.lit(f"({SPECIAL_PATTERN})"),
-                         F.lit(" $1 "))
-    parts = F.split(strip_ws(x), WHITESPACE_CLASS + "+")
+    x = F.coalesce(col_of(c), F.lit(""))
+    x = F.when(x.contains("<"), F.regexp_replace(x, F.lit(f"({SPECIAL_PATTERN})"), F.lit(" $1 "))) \
+        .otherwise(x)
+    parts = F.split(F.translate(x, WHITESPACE, " " * len(WHITESPACE)), " ")
     return F.filter(parts, lambda t: t != F.lit(""))
