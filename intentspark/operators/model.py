@@ -9,15 +9,16 @@ Multinomial naive Bayes with additive smoothing ``alpha``:
 vocabulary size, ``len(doc)`` all tokens of the document (unseen ones too).
 The predicted label is the arg-max (ties: smallest label).
 
-Fitting is three aggregates over the exploded training tokens. Scoring
-hash-partitions the scored rows by key once; every later aggregate and the
-final join reuse that partitioning, and the token-count table is broadcast
-when its row count (recorded at fit time) is small, else shuffle-joined on
-the token (AQE splits a hot token's partition).
+Fitting is two aggregates over the exploded training tokens. Scoring
+hash-partitions the scored rows by key once; every later aggregate reuses
+that partitioning, and the token-count table is broadcast when its row
+count (recorded at fit time) is small, else shuffle-joined on the token
+(AQE splits a hot token's partition).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -30,6 +31,9 @@ from intentspark.functions.text import tokenize
 BROADCAST_COUNT_ROWS = 2_000_000
 # Class tables up to this size are folded into the scoring expression.
 MAX_INLINE_CLASSES = 65_536
+# Up to this many classes the arg-max is written out per class (codegen);
+# beyond it a higher-order function over a literal array is used.
+CODEGEN_CLASSES = 256
 
 
 @dataclass
@@ -46,18 +50,25 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
                      alpha: float = 1.0) -> IntentModel:
     """MOD-2: token counts per label, class totals and vocabulary size.
 
-    Two jobs run here (vocabulary size and table sizes); the count table is
-    persisted (recomputable from lineage if an executor is lost)."""
+    Two jobs run here: the class table (one row per label, size-checked and
+    kept as a local table) and the vocabulary/count-table sizes. The count
+    table is persisted (recomputable from lineage if an executor is lost)."""
+    spark = train.sparkSession
     toks = train.select(F.col(label).alias("label"), tokenize(text).alias("_toks"))
     counts = (toks.select("label", F.explode("_toks").alias("token"))
               .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n_tok"))
               .persist(StorageLevel.MEMORY_AND_DISK))
-    classes = (toks.groupBy("label")
-               .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("_toks")).alias("n_class")))
+    class_rows = (toks.groupBy("label")
+                  .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("_toks")).alias("n_class"))
+                  .limit(MAX_INLINE_CLASSES + 1).collect())
+    if len(class_rows) > MAX_INLINE_CLASSES:
+        raise ValueError(f"more than {MAX_INLINE_CLASSES} labels")
+    classes = spark.createDataFrame([(r["label"], int(r["docs"]), int(r["n_class"] or 0))
+                                     for r in class_rows],
+                                    "label string, docs long, n_class long")
     sizes = counts.agg(F.count_distinct("token").alias("vocab_size"),
                        F.count(F.lit(1)).alias("n_counts")).first()
-    n_docs = train.count()
-    spark = train.sparkSession
+    n_docs = sum(int(r["docs"]) for r in class_rows)
     meta = spark.createDataFrame(
         [(float(alpha), int(sizes["vocab_size"]), int(n_docs), int(sizes["n_counts"]))],
         "alpha double, vocab_size long, n_docs long, n_counts long")
@@ -70,34 +81,51 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     included: its score is the class prior)."""
     meta = model.meta_row()
     alpha, vocab, n_counts = meta["alpha"], meta["vocab_size"], meta["n_counts"]
-    n_classes = model.classes.count()
-    if n_classes > MAX_INLINE_CLASSES:
-        raise ValueError(f"{n_classes} classes exceed the inline class limit "
-                         f"{MAX_INLINE_CLASSES}")
-    cls = sorted(model.classes.collect(), key=lambda r: r["label"])
-    import math
-    class_arr = F.array(*[
-        F.struct(F.lit(-i).alias("rank"), F.lit(r["label"]).alias("label"),
-                 F.lit(math.log(r["docs"])).alias("prior"),
-                 F.lit(math.log(r["n_class"] + alpha * vocab)).alias("logden"))
-        for i, r in enumerate(cls)])
-
-    docs = df.select(F.col(key).alias("_key"), tokenize(text).alias("_toks")).repartition("_key")
-    lens = docs.select("_key", F.size("_toks").alias("_len"))
-    tf = (docs.select("_key", F.explode("_toks").alias("token"))
-          .groupBy("_key", "token").agg(F.count(F.lit(1)).alias("_f")))
+    cls = model.classes.limit(MAX_INLINE_CLASSES + 1).collect()
+    if len(cls) > MAX_INLINE_CLASSES:
+        raise ValueError(f"more than {MAX_INLINE_CLASSES} labels")
+    cls = sorted(cls, key=lambda r: r["label"])
+
+    # One shuffle: rows are hash-partitioned by key; the per-(key, token)
+    # counts, the per-(key, label) sums and the per-key map all reuse that
+    # partitioning. Rows with no matching token (or no token) are kept by the
+    # outer explode and the left join, so every row gets a prediction.
+    docs = (df.select(F.col(key).alias("_key"), tokenize(text).alias("_toks"))
+            .select("_key", F.size("_toks").alias("_len"), "_toks")
+            .repartition("_key"))
+    tf = (docs.select("_key", "_len", F.explode_outer("_toks").alias("token"))
+          .groupBy("_key", "_len", "token").agg(F.count("token").alias("_f")))
     weights = model.counts.select("token", "label", F.log(F.col("n_tok") + F.lit(alpha)).alias("_w"))
     if n_counts <= BROADCAST_COUNT_ROWS:
-        matched = tf.join(F.broadcast(weights), "token")
+        matched = tf.join(F.broadcast(weights), "token", "left")
+    else:
+        matched = tf.join(weights, "token", "left").repartition("_key")
+    scored = (matched.groupBy("_key", "_len", "label")
+              .agg(F.sum(F.col("_f") * F.col("_w")).alias("_s"))
+              .groupBy("_key", "_len")
+              .agg(F.map_from_entries(F.collect_list(
+                  F.when(F.col("label").isNotNull(), F.struct("label", "_s")))).alias("_m")))
+
+    def class_score(rank, label_name, prior, logden):
+        s = (F.lit(prior) + F.coalesce(F.try_element_at(F.col("_m"), F.lit(label_name)), F.lit(0.0))
+             - F.col("_len") * F.lit(logden))
+        return F.struct(s.alias("score"), F.lit(rank).alias("rank"), F.lit(label_name).alias("label"))
+
+    if len(cls) <= CODEGEN_CLASSES:
+        # explicit per-class expressions: compiled by whole-stage codegen
+        parts = [class_score(-i, r["label"], math.log(r["docs"]),
+                             math.log(r["n_class"] + alpha * vocab)) for i, r in enumerate(cls)]
+        best = F.greatest(*(parts * 2 if len(parts) == 1 else parts))
     else:
-        matched = tf.join(weights, "token").repartition("_key")
-    sums = (matched.groupBy("_key", "label").agg(F.sum(F.col("_f") * F.col("_w")).alias("_s"))
-            .groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("label", "_s"))).alias("_m")))
-    scored = lens.join(sums, "_key", "left")
-    best = F.array_max(F.transform(class_arr, lambda c: F.struct(
-        (c["prior"] + F.coalesce(F.try_element_at(F.col("_m"), c["label"]), F.lit(0.0))
-         - F.col("_len") * c["logden"]).alias("score"),
-        c["rank"].alias("rank"), c["label"].alias("label"))))
+        class_arr = F.array(*[
+            F.struct(F.lit(-i).alias("rank"), F.lit(r["label"]).alias("label"),
+                     F.lit(math.log(r["docs"])).alias("prior"),
+                     F.lit(math.log(r["n_class"] + alpha * vocab)).alias("logden"))
+            for i, r in enumerate(cls)])
+        best = F.array_max(F.transform(class_arr, lambda c: F.struct(
+            (c["prior"] + F.coalesce(F.try_element_at(F.col("_m"), c["label"]), F.lit(0.0))
+             - F.col("_len") * c["logden"]).alias("score"),
+            c["rank"].alias("rank"), c["label"].alias("label"))))
     return scored.select(F.col("_key").alias(key), best["label"].alias(out))
 
 

@@ -91,8 +91,9 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
     ``(ord, category, keyword)``: the lowest ``ord`` among rules whose keyword
     is contained in the cleaned text wins.
 
-    The rule table's size is checked; a small one is folded into a literal
-    array evaluated with ``filter``/``array_min``. A large one is matched
+    The rule table's size is checked; a small one is folded into one CASE
+    expression (first ``ord`` group with a contained keyword), compiled by
+    whole-stage codegen like the fixed cascade: no join, no shuffle. A large one is matched
     exactly by joining every substring of the text whose length equals some
     keyword length against the keywords (shuffle equi-join on the keyword,
     then one aggregate per row key). ``key`` must identify rows uniquely.
@@ -105,13 +106,19 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
     n_rules = rules.count()
     if n_rules <= inline_limit:
         rows = rules.select("ord", "category", "keyword").orderBy("ord", "keyword").collect()
-        lit_rules = F.array(*[
-            F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["category"]).alias("category"),
-                     F.lit(r["keyword"]).alias("keyword")) for r in rows
-        ]) if rows else F.array().cast("array<struct<ord:int,category:string,keyword:string>>")
-        hit = F.array_min(F.transform(
-            F.filter(lit_rules, lambda r: F.col("_lowered").contains(r["keyword"])),
-            lambda r: F.struct(r["ord"].alias("ord"), r["category"].alias("category"))))
+        groups: dict[tuple, list[str]] = {}
+        for r in rows:
+            groups.setdefault((r["ord"], r["category"]), []).append(r["keyword"])
+        hit = None
+        for (o, cat), kws in sorted(groups.items()):
+            cond = None
+            for kw in kws:
+                c = F.col("_lowered").contains(kw)
+                cond = c if cond is None else (cond | c)
+            val = F.struct(F.lit(o).alias("ord"), F.lit(cat).alias("category"))
+            hit = F.when(cond, val) if hit is None else hit.when(cond, val)
+        if hit is None:
+            hit = F.lit(None).cast("struct<ord:int,category:string>")
         with_hit = base.withColumn("_hit", hit)
     else:
         lens = [r[0] for r in rules.select(F.length("keyword")).distinct().collect()

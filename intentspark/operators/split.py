@@ -33,15 +33,18 @@ def eval_size(n: int, fraction: float = domain.SPLIT_TEST_FRACTION) -> int:
     return int(math.ceil(fraction * n)) if n else 0
 
 
-def _cut(df: DataFrame, key: str, k: int, seed: int):
-    """(hash, key) of the k-th smallest row (1-based)."""
-    cand = df.select(split_hash(key, seed).alias("_h"), F.col(key).alias("_k"))
+def _histogram(cand: DataFrame, prefix: str, width: int) -> list[tuple[str, int]]:
+    part = cand if not prefix else cand.filter(F.col("_h").startswith(prefix))
+    return sorted((r[0], r[1]) for r in
+                  part.groupBy(F.substring("_h", 1, width).alias("_b")).count().collect())
+
+
+def _cut(cand: DataFrame, hist: list[tuple[str, int]], k: int):
+    """(hash, key) of the k-th smallest row (1-based), starting from the
+    first-round histogram."""
     prefix, need = "", k
     while True:
-        width = min(len(prefix) + PREFIX_STEP, 32)
-        part = cand if not prefix else cand.filter(F.col("_h").startswith(prefix))
-        hist = sorted((r[0], r[1]) for r in
-                      part.groupBy(F.substring("_h", 1, width).alias("_b")).count().collect())
+        width = len(hist[0][0])
         before = 0
         for bucket, cnt in hist:
             if before + cnt >= need:
@@ -54,17 +57,25 @@ def _cut(df: DataFrame, key: str, k: int, seed: int):
                     .orderBy("_h", "_k").limit(need)
                     .orderBy(F.desc("_h"), F.desc("_k")).limit(1).collect())[0]
             return last["_h"], last["_k"]
+        hist = _histogram(cand, prefix, min(width + PREFIX_STEP, 32))
 
 
 def with_split(df: DataFrame, key: str, fraction: float = domain.SPLIT_TEST_FRACTION,
                seed: int = domain.SPLIT_SEED, out: str = "split") -> DataFrame:
     """SPL-1: add ``split`` = ``eval`` for the first ``ceil(fraction*n)`` rows
-    in hash order, else ``train``. ``key`` must be unique."""
-    n = df.count()
+    in hash order, else ``train``. ``key`` must be unique.
+
+    Jobs: one histogram (which also gives ``n``), then one small sort of the
+    boundary bucket (plus a further histogram per 4,096-fold refinement when
+    a bucket is still large)."""
+    cand = (df.select(split_hash(key, seed).alias("_h"), F.col(key).alias("_k"))
+            .filter(F.col("_k").isNotNull()))  # a null key is never held out
+    hist = _histogram(cand, "", PREFIX_STEP)
+    n = sum(c for _, c in hist)
     k = eval_size(n, fraction)
     if k == 0:
         return df.withColumn(out, F.lit("train"))
-    cut_h, cut_k = _cut(df, key, k, seed)
+    cut_h, cut_k = _cut(cand, hist, k)
     h = split_hash(key, seed)
     is_eval = (h < F.lit(cut_h)) | ((h == F.lit(cut_h)) & (F.col(key) <= F.lit(cut_k)))
     return df.withColumn(out, F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
