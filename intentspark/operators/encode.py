@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from intentspark import domain
 from intentspark.functions.text import tokenize
 from intentspark.operators.indexing import with_row_index
-
-# Broadcast the vocabulary up to this many entries, else shuffle-join it.
-BROADCAST_VOCAB_ROWS = 2_000_000
+from intentspark.operators.sizing import fits_broadcast
 
 SPECIAL_TOKEN_STRINGS = [t for t, _, _, _ in domain.SPECIAL_TOKENS]
 
@@ -53,8 +51,9 @@ def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
               carry: dict | None = None) -> DataFrame:
     """ENC-2: ``(key, [carried columns,] ids)``, ids of the first
     ``max_length`` tokens (unknown tokens -> unk id). Rows are
-    hash-partitioned on ``key`` once; with a broadcast vocabulary the
-    regrouping needs no further shuffle. ``carry`` maps names to per-row
+    hash-partitioned on ``key`` once; the vocabulary is broadcast when its
+    measured size fits the budget (then the regrouping needs no further
+    shuffle), else shuffle-joined on the token. ``carry`` maps names to per-row
     expressions kept alongside (grouped with the key)."""
     carry = carry or {}
     extra = [v.alias(k) for k, v in carry.items()]
@@ -62,7 +61,7 @@ def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
                 .repartition(key)
                 .select(key, *carry.keys(), F.posexplode_outer("_t").alias("_pos", "token")))
     lookup = vocab.select("token", F.col("id").alias("_id"))
-    if vocab.count() <= BROADCAST_VOCAB_ROWS:
+    if fits_broadcast(lookup):
         joined = exploded.join(F.broadcast(lookup), "token", "left")
     else:
         joined = exploded.join(lookup, "token", "left")

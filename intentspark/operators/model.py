@@ -11,9 +11,9 @@ The predicted label is the arg-max (ties: smallest label).
 
 Fitting is two aggregates over the exploded training tokens. Scoring
 hash-partitions the scored rows by key once; every later aggregate reuses
-that partitioning, and the token-count table is broadcast when its row
-count (recorded at fit time) is small, else shuffle-joined on the token
-(AQE splits a hot token's partition).
+that partitioning, and the token-count table is broadcast when its size
+(measured at fit time) fits the broadcast budget, else shuffle-joined on
+the token (AQE splits a hot token's partition).
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentspark.functions.text import tokenize
+from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget
 
-# Broadcast the token-count table up to this many rows.
-BROADCAST_COUNT_ROWS = 2_000_000
 # Class tables up to this size are folded into the scoring expression.
 MAX_INLINE_CLASSES = 65_536
 # Up to this many classes the arg-max is written out per class (codegen);
@@ -40,7 +39,7 @@ CODEGEN_CLASSES = 256
 class IntentModel:
     counts: DataFrame    # label, token, n_tok
     classes: DataFrame   # label, docs, n_class
-    meta: DataFrame      # one row: alpha, vocab_size, n_docs, n_counts
+    meta: DataFrame      # one row: alpha, vocab_size, n_docs, n_counts, counts_bytes
 
     def meta_row(self):
         return self.meta.first()
@@ -67,11 +66,13 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
                                      for r in class_rows],
                                     "label string, docs long, n_class long")
     sizes = counts.agg(F.count_distinct("token").alias("vocab_size"),
-                       F.count(F.lit(1)).alias("n_counts")).first()
+                       F.count(F.lit(1)).alias("n_counts"),
+                       F.sum(F.length("token") + F.length("label")).alias("chars")).first()
     n_docs = sum(int(r["docs"]) for r in class_rows)
+    counts_bytes = int(sizes["n_counts"]) * (ROW_OVERHEAD + 24) + int(sizes["chars"] or 0)
     meta = spark.createDataFrame(
-        [(float(alpha), int(sizes["vocab_size"]), int(n_docs), int(sizes["n_counts"]))],
-        "alpha double, vocab_size long, n_docs long, n_counts long")
+        [(float(alpha), int(sizes["vocab_size"]), int(n_docs), int(sizes["n_counts"]), counts_bytes)],
+        "alpha double, vocab_size long, n_docs long, n_counts long, counts_bytes long")
     return IntentModel(counts, classes, meta)
 
 
@@ -80,7 +81,7 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     """MOD-3: ``(key, predicted)`` for every row of ``df`` (empty text
     included: its score is the class prior)."""
     meta = model.meta_row()
-    alpha, vocab, n_counts = meta["alpha"], meta["vocab_size"], meta["n_counts"]
+    alpha, vocab = meta["alpha"], meta["vocab_size"]
     cls = model.classes.limit(MAX_INLINE_CLASSES + 1).collect()
     if len(cls) > MAX_INLINE_CLASSES:
         raise ValueError(f"more than {MAX_INLINE_CLASSES} labels")
@@ -96,7 +97,7 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     tf = (docs.select("_key", "_len", F.explode_outer("_toks").alias("token"))
           .groupBy("_key", "_len", "token").agg(F.count("token").alias("_f")))
     weights = model.counts.select("token", "label", F.log(F.col("n_tok") + F.lit(alpha)).alias("_w"))
-    if n_counts <= BROADCAST_COUNT_ROWS:
+    if meta["counts_bytes"] <= broadcast_budget(df):
         matched = tf.join(F.broadcast(weights), "token", "left")
     else:
         matched = tf.join(weights, "token", "left").repartition("_key")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from intentspark import domain
 from intentspark.functions.text import clean_generation, strip_ws
+from intentspark.operators.sizing import fits_broadcast
 
 STAGES = ("prefix", "contains", "keyword", "default")
 _N = 8  # code = stage * _N + category ordinal
@@ -123,16 +124,22 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
     else:
         lens = [r[0] for r in rules.select(F.length("keyword")).distinct().collect()
                 if r[0] and r[0] > 0]
-        subs = (base.filter(F.floor(F.col("_code") / _N) == 3)  # only rows the names missed
+        # rows are hash-partitioned by key once; with a broadcast rule table
+        # the per-key aggregate and the join back reuse that partitioning
+        keyed = base.repartition(key)
+        subs = (keyed.filter(F.floor(F.col("_code") / _N) == 3)  # only rows the names missed
                 .select(key, "_lowered")
                 .select(key, "_lowered", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
                 .filter(F.length("_lowered") >= F.col("_len"))
                 .select(key, "_lowered", "_len",
                         F.explode(F.sequence(F.lit(1), F.length("_lowered") - F.col("_len") + 1)).alias("_pos"))
                 .select(key, F.expr("substring(_lowered, _pos, _len)").alias("keyword")))
-        hits = (subs.join(rules.select("keyword", "ord", "category"), "keyword")
+        rule_side = rules.select("keyword", "ord", "category")
+        if fits_broadcast(rule_side):
+            rule_side = F.broadcast(rule_side)
+        hits = (subs.join(rule_side, "keyword")
                 .groupBy(key).agg(F.min(F.struct("ord", "category")).alias("_hit")))
-        with_hit = base.join(hits, key, "left")
+        with_hit = keyed.join(hits, key, "left")
     dflt = F.lit(default)
     final = (with_hit
              .withColumn("_code", F.when((F.floor(F.col("_code") / _N) == 3) & F.col("_hit").isNotNull(),

@@ -91,11 +91,13 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers (once per context).
 
     Workers import it to run generators and to keep per-process caches
-    (a model loaded once per worker). Set ``spark.intentspark.shipPackage``
-    to ``false`` when the package is installed on the executors already.
+    (a model loaded once per worker). Local sessions ship it by default; on a
+    cluster install it on the executors (or pass it with ``--py-files``), or
+    set ``spark.intentspark.shipPackage=true`` to ship it from the driver.
     """
     sc = spark.sparkContext
-    if spark.conf.get(SHIP_CONF, "true").lower() == "false":
+    default = "true" if _is_local(spark) else "false"
+    if spark.conf.get(SHIP_CONF, default).lower() == "false":
         return
     ident = sc.applicationId
     if ident in _SHIPPED:

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentspark.functions.text import strip_ws
-
-# Join the per-session exit table by broadcast up to this many sessions.
-BROADCAST_SESSIONS = 1_000_000
+from intentspark.operators.sizing import fits_broadcast
 
 
 def clean_requests(df: DataFrame, text: str = "text", out: str = "request") -> DataFrame:
@@ -25,14 +23,14 @@ def until_exit(df: DataFrame, session: str, order: str, text: str = "text",
     equal to ``exit`` after stripping, in any case.
 
     The first exit per session is a map-side-combined aggregate (one row per
-    session), joined back by broadcast when the session count is small, else
+    session), joined back by broadcast when its measured size is small, else
     by a shuffle join that AQE splits when one session is hot. No window: a
     session holding a large share of all rows is never gathered in one task.
     """
     is_exit = F.lower(strip_ws(text)) == F.lit(word)
     exits = (df.filter(is_exit).groupBy(session)
              .agg(F.min(order).alias("_exit_at")))
-    if exits.count() <= BROADCAST_SESSIONS:
+    if fits_broadcast(exits):
         exits = F.broadcast(exits)
     joined = df.join(exits, session, "left")
     return (joined.filter(F.col("_exit_at").isNull() | (F.col(order) < F.col("_exit_at")))

@@ -94,3 +94,15 @@ def test_truncation_report(spark):
     df = spark.createDataFrame([("a", " ".join(["x"] * 300)), ("a", "y"), ("b", "")], "g string, t string")
     out = {r["g"]: (r["rows"], r["truncated"], r["max_tokens"]) for r in enc.truncation_report(df, "g", "t").collect()}
     assert out == {"a": (2, 1, 300), "b": (1, 0, 0)}
+
+
+def test_shuffle_vocab_join_path_is_identical(spark):
+    df = _texts(spark, [(i, f"w{i % 7} shared w{i % 3} x{i}") for i in range(40)])
+    vocab = enc.build_vocab(df, "text")
+    small = {r["Id"]: r["input_ids"] for r in enc.encode(df, vocab, "Id", "text").collect()}
+    spark.conf.set("spark.intentspark.broadcastBytes", "0")
+    try:
+        big = {r["Id"]: r["input_ids"] for r in enc.encode(df, vocab, "Id", "text").collect()}
+    finally:
+        spark.conf.unset("spark.intentspark.broadcastBytes")
+    assert small == big

@@ -92,3 +92,20 @@ def test_scoring_shuffles_rows_once(spark):
     top = plan.split("InMemoryRelation")[0]
     assert top.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan
+
+
+def test_shuffle_join_path_gives_same_predictions(spark):
+    train = spark.createDataFrame(TRAIN, "Id long, text string, label string")
+    test = spark.createDataFrame(TEST, "Id long, text string")
+    spark.conf.set("spark.intentspark.broadcastBytes", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = m.fit_intent_model(train, "label", "text")
+        scored = m.score_intent_model(test, model, "Id", "text")
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        pred = {r["Id"]: r["predicted"] for r in scored.collect()}
+    finally:
+        spark.conf.unset("spark.intentspark.broadcastBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastExchange" not in plan
+    assert pred == brute(TRAIN, TEST)

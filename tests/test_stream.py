@@ -54,3 +54,15 @@ def test_hygiene_fixture(spark):
     df2 = spark.createDataFrame([(2, 0, "x"), (2, 1, " "), (2, 2, "exits")], "s long, turn long, text string")
     assert sorted(r["request"] for r in hygiene.clean_requests(hygiene.until_exit(df2, "s", "turn")).collect()) \
         == ["exits", "x"]
+
+
+def test_until_exit_shuffle_path(spark):
+    df = spark.createDataFrame([(s, t, "exit" if t == s % 4 else f"m{t}") for s in range(30) for t in range(5)],
+                               "s long, turn long, text string")
+    a = sorted(tuple(r) for r in hygiene.until_exit(df, "s", "turn").collect())
+    spark.conf.set("spark.intentspark.broadcastBytes", "0")
+    try:
+        b = sorted(tuple(r) for r in hygiene.until_exit(df, "s", "turn").collect())
+    finally:
+        spark.conf.unset("spark.intentspark.broadcastBytes")
+    assert a == b and all(r[1] < r[0] % 4 for r in a)
