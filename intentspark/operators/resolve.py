@@ -19,28 +19,31 @@ STAGES = ("prefix", "contains", "keyword", "default")
 _N = 8  # code = stage * _N + category ordinal
 
 
-def _code_expr(lowered: Column, categories, keywords: dict, default: str) -> Column:
-    """First hit of prefix, then containment, then keyword rules, else default."""
-    names = [c.lower() for c in categories]
-    chain = None
+def sql_string(s: str) -> str:
+    """A Spark SQL string literal for ``s``."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-    def add(cond, code):
-        nonlocal chain
-        chain = F.when(cond, F.lit(code)) if chain is None else chain.when(cond, F.lit(code))
+def _code_expr(lowered: str, categories, keywords: dict, default: str) -> Column:
+    """First hit of prefix, then containment, then keyword rules, else default.
 
-    for i, n in enumerate(names):
-        add(lowered.startswith(n), 0 * _N + i)
-    for i, n in enumerate(names):
-        add(lowered.contains(n), 1 * _N + i)
+    Written as one SQL expression and parsed once in the JVM: the cascade has
+    over a hundred predicates, and building it call by call from Python costs
+    more than running it on a small table.
+    """
+    col = f"`{lowered}`"
+    whens = []
+    for i, c in enumerate(categories):
+        whens.append(f"WHEN startswith({col}, {sql_string(c.lower())}) THEN {0 * _N + i}")
+    for i, c in enumerate(categories):
+        whens.append(f"WHEN contains({col}, {sql_string(c.lower())}) THEN {1 * _N + i}")
     for i, cat in enumerate(categories):
         kws = keywords.get(cat, ())
         if kws:
-            cond = None
-            for kw in kws:
-                c = lowered.contains(kw)
-                cond = c if cond is None else (cond | c)
-            add(cond, 2 * _N + i)
-    return chain.otherwise(F.lit(3 * _N + list(categories).index(default)))
+            cond = " OR ".join(f"contains({col}, {sql_string(k)})" for k in kws)
+            whens.append(f"WHEN {cond} THEN {2 * _N + i}")
+    dflt = 3 * _N + list(categories).index(default)
+    return F.expr("CASE " + " ".join(whens) + f" ELSE {dflt} END")
 
 
 def resolve(df: DataFrame, generated: str = "generated", out: str = "Category",
@@ -55,7 +58,7 @@ def resolve(df: DataFrame, generated: str = "generated", out: str = "Category",
     out_df = (df
               .withColumn("cleaned", clean_generation(F.coalesce(F.col(generated), F.lit(""))))
               .withColumn("_lowered", F.lower(F.col("cleaned")))
-              .withColumn("_code", _code_expr(F.col("_lowered"), categories, keywords, default))
+              .withColumn("_code", _code_expr("_lowered", categories, keywords, default))
               .withColumn(out, F.element_at(cats, (F.col("_code") % _N + 1).cast("int")))
               .withColumn("resolved_by", F.element_at(stages, (F.floor(F.col("_code") / _N) + 1).cast("int")))
               .drop("_lowered", "_code"))
@@ -103,23 +106,18 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
     base = (df
             .withColumn("cleaned", clean_generation(F.coalesce(F.col(generated), F.lit(""))))
             .withColumn("_lowered", F.lower(F.col("cleaned")))
-            .withColumn("_code", _code_expr(F.col("_lowered"), categories, {}, default)))
-    n_rules = rules.count()
-    if n_rules <= inline_limit:
-        rows = rules.select("ord", "category", "keyword").orderBy("ord", "keyword").collect()
+            .withColumn("_code", _code_expr("_lowered", categories, {}, default)))
+    rows = rules.select("ord", "category", "keyword").limit(inline_limit + 1).collect()
+    if len(rows) <= inline_limit:
         groups: dict[tuple, list[str]] = {}
         for r in rows:
             groups.setdefault((r["ord"], r["category"]), []).append(r["keyword"])
-        hit = None
+        whens = []
         for (o, cat), kws in sorted(groups.items()):
-            cond = None
-            for kw in kws:
-                c = F.col("_lowered").contains(kw)
-                cond = c if cond is None else (cond | c)
-            val = F.struct(F.lit(o).alias("ord"), F.lit(cat).alias("category"))
-            hit = F.when(cond, val) if hit is None else hit.when(cond, val)
-        if hit is None:
-            hit = F.lit(None).cast("struct<ord:int,category:string>")
+            cond = " OR ".join(f"contains(`_lowered`, {sql_string(k)})" for k in kws)
+            whens.append(f"WHEN {cond} THEN named_struct('ord', {int(o)}, 'category', {sql_string(cat)})")
+        hit = (F.expr("CASE " + " ".join(whens) + " END") if whens
+               else F.lit(None).cast("struct<ord:int,category:string>"))
         with_hit = base.withColumn("_hit", hit)
     else:
         lens = [r[0] for r in rules.select(F.length("keyword")).distinct().collect()
