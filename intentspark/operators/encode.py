@@ -68,7 +68,7 @@ def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(domain.UNK_ID)).alias("_id")))
     return joined.groupBy(key, *carry.keys()).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_id"]).alias(out))
+        F.array_sort(F.collect_list(item)).getField("_id").alias(out))
 
 
 def pad_left(ids: Column, max_length: int = domain.MAX_LENGTH, value: int = domain.PAD_ID) -> Column:
@@ -103,10 +103,13 @@ def encode_training(df: DataFrame, vocab: DataFrame, key: str, text: str, prompt
     n = F.size(F.col("ids"))
     hidden = (F.lit(max_length) - n) + F.least(F.col("_np"), n)
     padded = pad_left(F.col("ids"), max_length)
+    # -100 for the first `hidden` positions, then the ids (array functions,
+    # no per-element lambda)
+    labels = F.concat(F.array_repeat(F.lit(domain.IGNORE_INDEX), hidden),
+                      F.slice(F.col("ids"), F.least(F.col("_np"), n) + 1, F.lit(max_length)))
     return both.select(
         key, padded.alias("input_ids"), attention_mask(F.col("ids"), max_length).alias("attention_mask"),
-        F.transform(padded, lambda x, i: F.when(i < hidden, F.lit(domain.IGNORE_INDEX)).otherwise(x))
-        .alias("labels"))
+        labels.alias("labels"))
 
 
 def collate_causal(df: DataFrame, ids: str = "input_ids", out: str = "labels",
