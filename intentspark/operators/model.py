@@ -91,9 +91,12 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     # counts, the per-(key, label) sums and the per-key map all reuse that
     # partitioning. Rows with no matching token (or no token) are kept by the
     # outer explode and the left join, so every row gets a prediction.
-    docs = (df.select(F.col(key).alias("_key"), tokenize(text).alias("_toks"))
-            .select("_key", F.size("_toks").alias("_len"), "_toks")
-            .repartition("_key"))
+    # the raw text is shuffled (more compact than token arrays) and tokenized
+    # after the exchange, in parallel over the key partitions
+    docs = (df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+            .repartition("_key")
+            .select("_key", tokenize("_text").alias("_toks"))
+            .select("_key", F.size("_toks").alias("_len"), "_toks"))
     tf = (docs.select("_key", "_len", F.explode_outer("_toks").alias("token"))
           .groupBy("_key", "_len", "token").agg(F.count("token").alias("_f")))
     weights = model.counts.select("token", "label", F.log(F.col("n_tok") + F.lit(alpha)).alias("_w"))
