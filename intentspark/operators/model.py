@@ -49,29 +49,35 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
                      alpha: float = 1.0) -> IntentModel:
     """MOD-2: token counts per label, class totals and vocabulary size.
 
-    Two jobs run here: the class table (one row per label, size-checked and
-    kept as a local table) and the vocabulary/count-table sizes. The count
-    table is persisted (recomputable from lineage if an executor is lost)."""
+    The text is tokenized once, into the count table (persisted; recomputable
+    from lineage if an executor is lost). Per-label token totals and the
+    table's size come from one aggregate over it, the vocabulary size from a
+    distinct count over it, and documents per label from a scan of the label
+    column alone. The class table is one row per label (size-checked)."""
     spark = train.sparkSession
-    toks = train.select(F.col(label).alias("label"), tokenize(text).alias("_toks"))
-    counts = (toks.select("label", F.explode("_toks").alias("token"))
+    counts = (train.select(F.col(label).alias("label"), F.explode(tokenize(text)).alias("token"))
               .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n_tok"))
               .persist(StorageLevel.MEMORY_AND_DISK))
-    class_rows = (toks.groupBy("label")
-                  .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("_toks")).alias("n_class"))
-                  .limit(MAX_INLINE_CLASSES + 1).collect())
-    if len(class_rows) > MAX_INLINE_CLASSES:
+    per_label = {r["label"]: r for r in counts.groupBy("label").agg(
+        F.sum("n_tok").alias("n_class"), F.count(F.lit(1)).alias("rows"),
+        F.sum(F.length("token") + F.length("label")).alias("chars"))
+        .limit(MAX_INLINE_CLASSES + 1).collect()}
+    doc_rows = (train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
+                .limit(MAX_INLINE_CLASSES + 1).collect())
+    if len(doc_rows) > MAX_INLINE_CLASSES:
         raise ValueError(f"more than {MAX_INLINE_CLASSES} labels")
-    classes = spark.createDataFrame([(r["label"], int(r["docs"]), int(r["n_class"] or 0))
-                                     for r in class_rows],
-                                    "label string, docs long, n_class long")
-    sizes = counts.agg(F.count_distinct("token").alias("vocab_size"),
-                       F.count(F.lit(1)).alias("n_counts"),
-                       F.sum(F.length("token") + F.length("label")).alias("chars")).first()
-    n_docs = sum(int(r["docs"]) for r in class_rows)
-    counts_bytes = int(sizes["n_counts"]) * (ROW_OVERHEAD + 24) + int(sizes["chars"] or 0)
+    vocab_size = counts.select("token").distinct().count()
+    classes = spark.createDataFrame(
+        [(r["label"], int(r["docs"]),
+          int(per_label[r["label"]]["n_class"]) if r["label"] in per_label else 0)
+         for r in doc_rows],
+        "label string, docs long, n_class long")
+    n_counts = sum(int(r["rows"]) for r in per_label.values())
+    chars = sum(int(r["chars"] or 0) for r in per_label.values())
+    n_docs = sum(int(r["docs"]) for r in doc_rows)
+    counts_bytes = n_counts * (ROW_OVERHEAD + 24) + chars
     meta = spark.createDataFrame(
-        [(float(alpha), int(sizes["vocab_size"]), int(n_docs), int(sizes["n_counts"]), counts_bytes)],
+        [(float(alpha), int(vocab_size), int(n_docs), int(n_counts), counts_bytes)],
         "alpha double, vocab_size long, n_docs long, n_counts long, counts_bytes long")
     return IntentModel(counts, classes, meta)
 
