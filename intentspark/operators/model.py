@@ -85,7 +85,8 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
 def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
                        out: str = "predicted") -> DataFrame:
     """MOD-3: ``(key, predicted)`` for every row of ``df`` (empty text
-    included: its score is the class prior)."""
+    included: its score is the class prior). ``key`` must identify rows
+    uniquely (term counts are regrouped by it)."""
     meta = model.meta_row()
     alpha, vocab = meta["alpha"], meta["vocab_size"]
     cls = model.classes.limit(MAX_INLINE_CLASSES + 1).collect()
