@@ -106,7 +106,11 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
             .select("_key", F.size("_toks").alias("_len"), "_toks"))
     tf = (docs.select("_key", "_len", F.explode_outer("_toks").alias("token"))
           .groupBy("_key", "_len", "token").agg(F.count("token").alias("_f")))
-    weights = model.counts.select("token", "label", F.log(F.col("n_tok") + F.lit(alpha)).alias("_w"))
+    # a token unseen in a class contributes ln(alpha) to that class; writing
+    # every weight relative to it leaves len * ln(alpha), the same for all
+    # classes, so only matched (class, token) pairs need a row
+    weights = model.counts.select(
+        "token", "label", (F.log(F.col("n_tok") + F.lit(alpha)) - F.lit(math.log(alpha))).alias("_w"))
     if meta["counts_bytes"] <= broadcast_budget(df):
         matched = tf.join(F.broadcast(weights), "token", "left")
     else:

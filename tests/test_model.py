@@ -109,3 +109,14 @@ def test_shuffle_join_path_gives_same_predictions(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastExchange" not in plan
     assert pred == brute(TRAIN, TEST)
+
+
+def test_smoothing_other_than_one(spark):
+    train = spark.createDataFrame(TRAIN, "Id long, text string, label string")
+    # documents whose label depends on counting unseen tokens as ln(alpha)
+    extra = [(14, "red blue"), (15, "red red car"), (16, "green"), (17, "apple green car")]
+    test = spark.createDataFrame(TEST + extra, "Id long, text string")
+    for alpha in (0.5, 3.0):
+        model = m.fit_intent_model(train, "label", "text", alpha=alpha)
+        pred = {r["Id"]: r["predicted"] for r in m.score_intent_model(test, model, "Id", "text").collect()}
+        assert pred == brute(TRAIN, TEST + extra, alpha=alpha)
