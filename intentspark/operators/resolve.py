@@ -16,7 +16,7 @@ from intentspark.functions.text import clean_generation, strip_ws
 from intentspark.operators.sizing import fits_broadcast
 
 STAGES = ("prefix", "contains", "keyword", "default")
-_N = 8  # code = stage * _N + category ordinal
+_N = 1024  # code = stage * _N + category ordinal (so at most 1,024 categories)
 
 
 def sql_string(s: str) -> str:
@@ -31,6 +31,8 @@ def _code_expr(lowered: str, categories, keywords: dict, default: str) -> Column
     over a hundred predicates, and building it call by call from Python costs
     more than running it on a small table.
     """
+    if len(categories) > _N:
+        raise ValueError(f"at most {_N} categories")
     col = f"`{lowered}`"
     whens = []
     for i, c in enumerate(categories):
@@ -138,6 +140,13 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
         hits = (subs.join(rule_side, "keyword")
                 .groupBy(key).agg(F.min(F.struct("ord", "category")).alias("_hit")))
         with_hit = keyed.join(hits, key, "left")
+        # an empty keyword is contained in every text
+        empty = (rules.filter(F.col("keyword") == "")
+                 .agg(F.min(F.struct("ord", "category")).alias("e")).first()["e"])
+        if empty is not None:
+            lit_e = F.struct(F.lit(empty["ord"]).alias("ord"), F.lit(empty["category"]).alias("category"))
+            with_hit = with_hit.withColumn(
+                "_hit", F.when(F.col("_hit").isNull() | (lit_e < F.col("_hit")), lit_e).otherwise(F.col("_hit")))
     dflt = F.lit(default)
     final = (with_hit
              .withColumn("_code", F.when((F.floor(F.col("_code") / _N) == 3) & F.col("_hit").isNotNull(),

@@ -128,3 +128,24 @@ def test_resolution_is_a_narrow_codegen_map(spark):
     assert "Python" not in plan and "ArrowEval" not in plan
     # the lower-cased text is computed once, not per predicate
     assert len(re.findall(r"lower\(", plan)) <= 2
+
+
+@pytest.mark.parametrize("inline_limit", [0, 10_000])
+def test_rule_table_user_rules(spark, inline_limit):
+    rules = spark.createDataFrame([(0, "PlayMusic", "zz"), (3, "GetWeather", ""), (1, "RateBook", "qq")],
+                                  "ord int, category string, keyword string")
+    df = spark.createDataFrame([(1, "a zz b"), (2, "qq"), (3, "nothing"), (4, "playmusic")],
+                               "event_id long, generated string")
+    out = {r["event_id"]: (r["Category"], r["resolved_by"])
+           for r in res.resolve_with_rule_table(df, rules, key="event_id", inline_limit=inline_limit).collect()}
+    assert out == {1: ("PlayMusic", "keyword"), 2: ("RateBook", "keyword"),
+                   3: ("GetWeather", "keyword"), 4: ("PlayMusic", "prefix")}
+
+
+def test_many_categories(spark):
+    cats = tuple(f"Cat{i}" for i in range(12))
+    df = _fixture_df(spark, ["cat11 now", "xx cat9", "none"])
+    out = {r["i"]: (r["Category"], r["resolved_by"])
+           for r in res.resolve(df, categories=cats, keywords={}, default="Cat0").collect()}
+    # first match in list order: "cat11 now" starts with "cat1"
+    assert out == {0: ("Cat1", "prefix"), 1: ("Cat9", "contains"), 2: ("Cat0", "default")}
