@@ -61,8 +61,8 @@ def categories_string(label_df: DataFrame, ord_col: str = "ord",
     """PRJ-4: one row holding the labels joined by ``", "`` in ``ord`` order
     (a global aggregate; the label table is a small dimension)."""
     return label_df.agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(ord_col, category))),
-                    lambda x: x[category]), ", ").alias("categories"))
+        F.array_sort(F.collect_list(F.struct(ord_col, category))).getField(category), ", ")
+        .alias("categories"))
 
 
 # -- chat rendering (PRJ-8) ---------------------------------------------------
@@ -84,8 +84,7 @@ def _piece(role: Column, text: Column) -> Column:
 
 
 def _ordered_join(order: str, value: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))),
-                                    lambda x: x[value]), "")
+    return F.array_join(F.array_sort(F.collect_list(F.struct(order, value))).getField(value), "")
 
 
 def render_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn",
