@@ -52,18 +52,25 @@ def _cut(cand: DataFrame, hist: list[tuple[str, int]], k: int):
             before += cnt
         need -= before
         prefix = bucket
-        if cnt <= SMALL_BUCKET or width >= 32:
+        if cnt <= SMALL_BUCKET or (width >= 32 and cnt == 1):
             last = (cand.filter(F.col("_h").startswith(prefix))
                     .orderBy("_h", "_k").limit(need)
                     .orderBy(F.desc("_h"), F.desc("_k")).limit(1).collect())[0]
             return last["_h"], last["_k"]
+        if width >= 32:
+            # the full hash cannot separate these rows: one key repeated
+            # many times. Sorting them would gather them in one task.
+            raise ValueError(f"split key is not unique: {cnt} rows share one key hash")
         hist = _histogram(cand, prefix, min(width + PREFIX_STEP, 32))
 
 
 def with_split(df: DataFrame, key: str, fraction: float = domain.SPLIT_TEST_FRACTION,
                seed: int = domain.SPLIT_SEED, out: str = "split") -> DataFrame:
     """SPL-1: add ``split`` = ``eval`` for the first ``ceil(fraction*n)`` rows
-    in hash order, else ``train``. ``key`` must be unique.
+    in hash order, else ``train``. ``key`` must be unique: rows sharing a
+    key fall on the same side (a few duplicates can push the held-out part
+    over its size; a key repeated more than ``SMALL_BUCKET`` times is an
+    error rather than a sort of all its rows in one task).
 
     Jobs: one histogram (which also gives ``n``), then one small sort of the
     boundary bucket (plus a further histogram per 4,096-fold refinement when

@@ -52,3 +52,10 @@ def test_string_keys_and_empty(spark):
     assert ev == brute_eval(keys)
     empty = spark.createDataFrame([], "key string")
     assert split_op.with_split(empty, "key").count() == 0
+
+
+def test_hot_duplicate_key_is_rejected_not_funnelled(spark, monkeypatch):
+    monkeypatch.setattr(split_op, "SMALL_BUCKET", 100)
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("Id"))
+    with pytest.raises(ValueError, match="not unique"):
+        split_op.with_split(df, "Id", fraction=0.5)
