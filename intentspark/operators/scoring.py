@@ -92,13 +92,24 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
 
 def predict(df: DataFrame, factory: GeneratorFactory, key: str = "Id",
             sentence: str = "Sentence", on_error: str = "raise",
-            api: bool = False) -> DataFrame:
+            api: bool = False, dedupe: bool = False) -> DataFrame:
     """Batch path A: prompt -> generate -> drop special tokens -> clean ->
     resolve. Returns ``key, generated, [cleaned, resolved_by,] Category
     [, error]``; with ``on_error='null'`` a failed row has a null Category.
-    ``api=True`` resolves with the request-path rule (RES-6) instead."""
+    ``api=True`` resolves with the request-path rule (RES-6) instead.
+
+    ``dedupe=True`` runs the generator once per distinct prompt and joins the
+    text back (valid because generation is deterministic and, in this mode,
+    sees only the prompt). The distinct is combined map-side, so a sentence
+    repeated on a large share of the rows costs one model call; the join
+    back is a shuffle join on the prompt whose hot partition AQE splits."""
     prompted = df.select(F.col(key), prompt_expr(sentence).alias("prompt"))
-    gen = generate(prompted, factory, on_error=on_error).drop("prompt")
+    if dedupe:
+        distinct = prompted.select("prompt").distinct()
+        texts = generate(distinct, factory, on_error=on_error)
+        gen = prompted.join(texts, "prompt", "left").drop("prompt")
+    else:
+        gen = generate(prompted, factory, on_error=on_error).drop("prompt")
     gen = gen.withColumn("generated", strip_special("generated"))
     resolved = resolve_api(gen) if api else resolve(gen)
     if on_error == "null":

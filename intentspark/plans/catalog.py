@@ -183,6 +183,15 @@ def batch_predict(spark, sf_dir):
     return pred.select("Id", "generated", "Category", "resolved_by")
 
 
+@register
+def batch_predict_distinct(spark, sf_dir):
+    """MOD-1 over distinct prompts: each distinct prompt is generated once
+    and joined back to every row carrying it."""
+    pred = scoring.predict(inputs.user_turns(spark, sf_dir), inputs.PromptFixtureGeneratorFactory(),
+                           dedupe=True)
+    return pred.select("Id", "generated", "Category", "resolved_by")
+
+
 @register
 def batch_predict_errors(spark, sf_dir):
     """MOD-7: a generator failing on some rows gives null there, not a crash."""

@@ -110,3 +110,19 @@ class FixtureGeneratorFactory:
 
     def __call__(self):
         return FixtureGenerator(self.key, self.fail_on)
+
+
+class PromptFixtureGenerator:
+    """Stands in for a model that sees only the prompt: fixture string
+    ``len(prompt) mod 26`` (deterministic, so distinct prompts can be
+    generated once)."""
+
+    def __call__(self, batch):
+        return [GENERATION_FIXTURE[len(p) % N_FIXTURE] for p in batch["prompt"]]
+
+
+class PromptFixtureGeneratorFactory:
+    """Picklable factory for :class:`PromptFixtureGenerator`."""
+
+    def __call__(self):
+        return PromptFixtureGenerator()

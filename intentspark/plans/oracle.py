@@ -10,7 +10,7 @@ from __future__ import annotations
 from intentspark import domain
 from intentspark.functions.text import SKIPPED_SPECIAL_PATTERN
 from intentspark.plans import sqltext as S
-from intentspark.plans.inputs import N_FIXTURE
+from intentspark.plans.inputs import GENERATION_FIXTURE, N_FIXTURE
 
 ORACLE: dict[str, str] = {}
 
@@ -156,3 +156,11 @@ ORACLE["until_exit"] = (
     f"WHERE (exit_at IS NULL OR turn < exit_at) AND {S.strip('text')} <> ''")
 
 ORACLE["table_round_trip"] = f"SELECT Id, Sentence, Category FROM {S.LABELLED_TURNS}"
+
+_PROMPT_GENS = (f"(SELECT Id, regexp_replace(list_extract({S.list_lit(GENERATION_FIXTURE)}, "
+                f"CAST(length({_PROMPT}) % {N_FIXTURE} AS INTEGER) + 1), {S.lit(SKIPPED_SPECIAL_PATTERN)}, '', 'g') "
+                f"AS generated FROM {S.USER_TURNS})")
+
+ORACLE["batch_predict_distinct"] = (
+    f"SELECT r.Id, g.generated, r.Category, r.resolved_by "
+    f"FROM ({S.resolved(_PROMPT_GENS, 'Id')}) r JOIN {_PROMPT_GENS} g USING (Id)")

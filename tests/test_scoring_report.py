@@ -51,3 +51,14 @@ def test_reports(spark):
     out, obs = report.with_progress(df)
     out.write.format("noop").mode("overwrite").save()
     assert obs.get == {"rows": 20, "labelled": 20}
+
+
+def test_distinct_prompts_hot_sentence(spark):
+    from intentspark.plans.inputs import PromptFixtureGeneratorFactory
+    rows = [(i, "the same request") for i in range(3000)] + [(3000 + i, f"other {i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "Id long, Sentence string").repartition(6)
+    a = {r["Id"]: (r["generated"], r["Category"]) for r in
+         scoring.predict(df, PromptFixtureGeneratorFactory()).collect()}
+    b = {r["Id"]: (r["generated"], r["Category"]) for r in
+         scoring.predict(df, PromptFixtureGeneratorFactory(), dedupe=True).collect()}
+    assert a == b and len(b) == 9000
