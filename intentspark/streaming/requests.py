@@ -55,3 +55,11 @@ def stream_predict(requests: DataFrame, factory, keep=(), value: str = "value")
     gen = generate(prompted, factory).drop("prompt")
     gen = gen.withColumn("generated", strip_special("generated"))
     return to_response(resolve_api(gen)).select(*keep, "response")
+
+
+def stream_progress(query) -> dict:
+    """RPT-5 for a stream: micro-batches run and input rows processed so far
+    (from the query's recent progress reports)."""
+    reports = query.recentProgress or []
+    return {"batches": len(reports),
+            "rows": int(sum(p.get("numInputRows", 0) for p in reports))}

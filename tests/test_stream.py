@@ -66,3 +66,27 @@ def test_until_exit_shuffle_path(spark):
     finally:
         spark.conf.unset("spark.intentspark.broadcastBytes")
     assert a == b and all(r[1] < r[0] % 4 for r in a)
+
+
+def test_restart_from_checkpoint_processes_only_new_files(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+
+    def add(ids):
+        rows = [(f'{{"Id": {i}, "sentence": "s{i}"}}',) for i in ids]
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(src)
+
+    def run():
+        reqs = (spark.readStream.format("text").load(src)
+                .withColumn("Id", F.get_json_object("value", "$.Id").cast("long")))
+        resp = streams.stream_predict(reqs, FixtureGeneratorFactory("Id"), keep=("Id",))
+        q = resp.writeStream.format("parquet").option("checkpointLocation", ck) \
+            .trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        return streams.stream_progress(q)
+
+    add(range(0, 40))
+    assert run()["rows"] == 40
+    add(range(40, 55))
+    assert run()["rows"] == 15          # only the new file
+    ids = [r["Id"] for r in spark.read.parquet(out).collect()]
+    assert sorted(ids) == list(range(55))   # exactly once
