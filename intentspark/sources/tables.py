@@ -28,8 +28,11 @@ def rebalanced(df: DataFrame, path: str) -> DataFrame:
     over the default parallelism so per-row work is not bound to one task.
     Projections and filters are still pushed below the spread into the scan."""
     spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par or path_bytes(spark, path) < REBALANCE_MIN_BYTES:
+    try:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= par or path_bytes(spark, path) < REBALANCE_MIN_BYTES:
+            return df
+    except Exception:  # no JVM context (e.g. a remote session): leave the scan as it is
         return df
     return df.repartition(par)
 
