@@ -38,7 +38,6 @@ ORACLE["category_counts"] = (
 ORACLE["submission_preview"] = (
     f"SELECT CAST(Id AS BIGINT) AS Id, Category FROM {_RESOLVED_GENS} ORDER BY Id LIMIT 5")
 
-_ = domain  # fixed values are rendered through sqltext
 
 _PROMPT = f"({S.lit(domain.PROMPT_PREFIX)} || coalesce(Sentence, {S.lit(domain.NULL_SENTENCE)}) || {S.lit(domain.PROMPT_SUFFIX)})"
 
