@@ -108,3 +108,23 @@ def test_table_replace_keeps_declared_types(spark, tmp_dir):
     too_long = spark.createDataFrame([(9, "x" * 1025, "A")], "Id long, Sentence string, Category string")
     with pytest.raises(Exception):
         intents.replace_table(too_long, name, f"{tmp_dir}/t2")
+
+
+def test_strict_rejects_malformed_rows(spark, tmp_dir):
+    bad = _write(tmp_dir, b'Id,Sentence,Category\n1,"ok",PlayMusic\n2,"a","b",c,d\n', "bad.csv")
+    with pytest.raises(Exception):
+        csv_io.read_sentences(spark, bad, strict=True).collect()
+    # lenient reading keeps going
+    assert csv_io.read_sentences(spark, bad).count() == 2
+
+
+def test_single_line_mode_splits_large_files(spark, tmp_dir):
+    rows = "".join(f"{i},sentence number {i},PlayMusic\n" for i in range(20000))
+    path = _write(tmp_dir, ("Id,Sentence,Category\n" + rows).encode(), "big.csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = csv_io.read_sentences(spark, path, multi_line=False)
+        assert df.rdd.getNumPartitions() > 1
+        assert df.count() == 20000 and df.filter("Id = 19999").first()["Sentence"] == "sentence number 19999"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
