@@ -40,13 +40,16 @@ def _generator(fingerprint: str, factory: GeneratorFactory) -> Callable:
 
 def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
              out: str = "generated", on_error: str = "raise",
-             max_new_tokens: int = domain.MAX_NEW_TOKENS) -> DataFrame:
+             max_new_tokens: int = domain.MAX_NEW_TOKENS,
+             batch_size: int | None = None) -> DataFrame:
     """MOD-1: add ``generated`` text for each row's prompt.
 
     ``on_error='null'`` (MOD-7): a batch that raises is retried row by row;
     a row that still fails gets a null ``generated`` and its message in
     ``error``; other rows are unaffected. ``max_new_tokens`` is passed to
-    factories that accept it as ``factory.max_new_tokens``.
+    factories that accept it as ``factory.max_new_tokens``. ``batch_size``
+    caps the rows handed to one generator call (e.g. to fit accelerator
+    memory); Arrow batches are cut to it inside the task.
     """
     if on_error not in ("raise", "null"):
         raise ValueError("on_error must be 'raise' or 'null'")
@@ -63,9 +66,17 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
     ship_package(df.sparkSession)
     catch = on_error == "null"
 
+    def chunks(batches):
+        for pdf in batches:
+            if not batch_size or len(pdf) <= batch_size:
+                yield pdf
+            else:
+                for start in range(0, len(pdf), batch_size):
+                    yield pdf.iloc[start:start + batch_size].reset_index(drop=True)
+
     def run(batches):
         gen = _generator(fingerprint, factory)
-        for pdf in batches:
+        for pdf in chunks(batches):
             pdf = pdf.rename(columns={prompt: "prompt"}) if prompt != "prompt" else pdf
             errors = [None] * len(pdf)
             try:

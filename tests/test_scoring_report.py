@@ -62,3 +62,16 @@ def test_distinct_prompts_hot_sentence(spark):
     b = {r["Id"]: (r["generated"], r["Category"]) for r in
          scoring.predict(df, PromptFixtureGeneratorFactory(), dedupe=True).collect()}
     assert a == b and len(b) == 9000
+
+
+def test_generator_batch_size_cap(spark):
+    class SizeRecorder:
+        """Generator factory reporting the size of each batch it is called with
+        (defined locally so it is pickled by value for the workers)."""
+
+        def __call__(self):
+            return lambda batch: [str(len(batch))] * len(batch)
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(250)], "Id long, prompt string").coalesce(1)
+    out = scoring.generate(df, SizeRecorder(), batch_size=40).collect()
+    assert len(out) == 250 and max(int(r["generated"]) for r in out) <= 40
