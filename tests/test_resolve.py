@@ -149,3 +149,27 @@ def test_many_categories(spark):
            for r in res.resolve(df, categories=cats, keywords={}, default="Cat0").collect()}
     # first match in list order: "cat11 now" starts with "cat1"
     assert out == {0: ("Cat1", "prefix"), 1: ("Cat9", "contains"), 2: ("Cat0", "default")}
+
+
+def test_rule_table_at_inline_limit_matches_join_path(spark):
+    n = res.INLINE_RULE_LIMIT
+    rules = spark.createDataFrame([(i % 7, domain.CATEGORIES[i % 7], f"kw{i:05d}x") for i in range(n)],
+                                  "ord int, category string, keyword string")
+    texts = [f"say kw{i:05d}x now" for i in range(0, n, 97)] + ["no rule here", "kw99999x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "event_id long, generated string")
+    inline = {r["event_id"]: (r["Category"], r["resolved_by"])
+              for r in res.resolve_with_rule_table(df, rules, key="event_id").collect()}
+    joined = {r["event_id"]: (r["Category"], r["resolved_by"])
+              for r in res.resolve_with_rule_table(df, rules, key="event_id", inline_limit=0).collect()}
+    assert inline == joined
+    assert inline[0] == (domain.CATEGORIES[0], "keyword")
+    assert inline[len(texts) - 2] == (domain.DEFAULT_CATEGORY, "default")
+
+
+def test_prompt_from_label_table_equals_fixed_prompt(spark):
+    from intentspark.operators import prompts
+    cs = prompts.categories_string(domain.label_table(spark)).first()[0]
+    df = spark.createDataFrame([("hello",)], "Sentence string")
+    a = df.select(prompts.prompt_expr("Sentence", categories_string=cs)).first()[0]
+    b = df.select(prompts.prompt_expr("Sentence")).first()[0]
+    assert a == b
