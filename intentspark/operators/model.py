@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentspark.functions.text import tokenize
-from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget
+from intentspark.operators.indexing import with_row_index
+from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
+from intentspark.session import checkpoint_dir
 
 # Class tables up to this size are folded into the scoring expression.
 MAX_INLINE_CLASSES = 65_536
@@ -53,28 +55,36 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
     from lineage if an executor is lost). Per-label token totals and the
     table's size come from one aggregate over it, the vocabulary size from a
     distinct count over it, and documents per label from a scan of the label
-    column alone. The class table is one row per label (size-checked)."""
+    column alone. The class table (one row per label) is a local table when
+    it is small and a checkpointed distributed table otherwise."""
     spark = train.sparkSession
     counts = (train.select(F.col(label).alias("label"), F.explode(tokenize(text)).alias("token"))
               .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n_tok"))
               .persist(StorageLevel.MEMORY_AND_DISK))
-    per_label = {r["label"]: r for r in counts.groupBy("label").agg(
+    per_label = counts.groupBy("label").agg(
         F.sum("n_tok").alias("n_class"), F.count(F.lit(1)).alias("rows"),
         F.sum(F.length("token") + F.length("label")).alias("chars"))
-        .limit(MAX_INLINE_CLASSES + 1).collect()}
-    doc_rows = (train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
-                .limit(MAX_INLINE_CLASSES + 1).collect())
-    if len(doc_rows) > MAX_INLINE_CLASSES:
-        raise ValueError(f"more than {MAX_INLINE_CLASSES} labels")
+    docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
+    doc_rows = docs.limit(MAX_INLINE_CLASSES + 1).collect()
+    if len(doc_rows) <= MAX_INLINE_CLASSES:
+        sums = {r["label"]: r for r in per_label.collect()}
+        classes = spark.createDataFrame(
+            [(r["label"], int(r["docs"]), int(sums[r["label"]]["n_class"]) if r["label"] in sums else 0)
+             for r in doc_rows], "label string, docs long, n_class long")
+        n_counts = sum(int(r["rows"]) for r in sums.values())
+        chars = sum(int(r["chars"] or 0) for r in sums.values())
+        n_docs = sum(int(r["docs"]) for r in doc_rows)
+    else:
+        # many labels: the class table stays distributed, written to the
+        # shared checkpoint folder so scoring does not recompute it
+        checkpoint_dir(spark)
+        classes = (docs.join(per_label.select("label", "n_class"), "label", "left")
+                   .select("label", "docs", F.coalesce("n_class", F.lit(0)).cast("long").alias("n_class"))
+                   .checkpoint(eager=True))
+        t = per_label.agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars")).first()
+        n_counts, chars = int(t["rows"] or 0), int(t["chars"] or 0)
+        n_docs = int(docs.agg(F.sum("docs")).first()[0] or 0)
     vocab_size = counts.select("token").distinct().count()
-    classes = spark.createDataFrame(
-        [(r["label"], int(r["docs"]),
-          int(per_label[r["label"]]["n_class"]) if r["label"] in per_label else 0)
-         for r in doc_rows],
-        "label string, docs long, n_class long")
-    n_counts = sum(int(r["rows"]) for r in per_label.values())
-    chars = sum(int(r["chars"] or 0) for r in per_label.values())
-    n_docs = sum(int(r["docs"]) for r in doc_rows)
     counts_bytes = n_counts * (ROW_OVERHEAD + 24) + chars
     meta = spark.createDataFrame(
         [(float(alpha), int(vocab_size), int(n_docs), int(n_counts), counts_bytes)],
@@ -90,8 +100,7 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     meta = model.meta_row()
     alpha, vocab = meta["alpha"], meta["vocab_size"]
     cls = model.classes.limit(MAX_INLINE_CLASSES + 1).collect()
-    if len(cls) > MAX_INLINE_CLASSES:
-        raise ValueError(f"more than {MAX_INLINE_CLASSES} labels")
+    many = len(cls) > MAX_INLINE_CLASSES
     cls = sorted(cls, key=lambda r: r["label"])
 
     # One shuffle: rows are hash-partitioned by key; the per-(key, token)
@@ -115,8 +124,12 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
         matched = tf.join(F.broadcast(weights), "token", "left")
     else:
         matched = tf.join(weights, "token", "left").repartition("_key")
-    scored = (matched.groupBy("_key", "_len", "label")
-              .agg(F.sum(F.col("_f") * F.col("_w")).alias("_s"))
+    label_sums = (matched.groupBy("_key", "_len", "label")
+                  .agg(F.sum(F.col("_f") * F.col("_w")).alias("_s")))
+    if many:
+        best = _best_many_labels(label_sums, model.classes, alpha, vocab)
+        return best.select(F.col("_key").alias(key), F.col("_best.label").alias(out))
+    scored = (label_sums
               .groupBy("_key", "_len")
               .agg(F.map_from_entries(F.collect_list(
                   F.when(F.col("label").isNotNull(), F.struct("label", "_s")))).alias("_m")))
@@ -144,6 +157,101 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     return scored.select(F.col("_key").alias(key), best["label"].alias(out))
 
 
+# Lines handled by one task when the class table is too large to inline.
+ENVELOPE_GROUP_LINES = 50_000
+# Distinct document lengths evaluated against the class lines (size check).
+MAX_DISTINCT_LENGTHS = 2_000_000
+
+
+def _envelope_best(lengths):
+    """applyInPandas body: for one group of class lines ``y = b - m * L``,
+    the best line (highest y, then highest rank) at every length in
+    ``lengths``, via the upper envelope (sort by slope, hull, binary
+    search; the neighbours of the found segment are checked so ties at a
+    breakpoint go to the better rank)."""
+    import numpy as np
+    import pandas as pd
+
+    xs = np.asarray(sorted(lengths), dtype=np.float64)
+
+    def fn(pdf):
+        k = -pdf["_m"].to_numpy(dtype=np.float64)
+        b = pdf["_b"].to_numpy(dtype=np.float64)
+        rank = pdf["_rank"].to_numpy(dtype=np.int64)
+        labels = pdf["label"].to_numpy()
+        # slope ascending; within one slope the best (b, rank) last
+        order = np.lexsort((rank, b, k))
+        keep = np.ones(len(order), dtype=bool)
+        keep[:-1] = k[order][:-1] != k[order][1:]
+        order = order[keep]
+        hull: list[int] = []
+        for i in order:
+            while len(hull) >= 2:
+                i1, i2 = hull[-2], hull[-1]
+                if (b[i] - b[i1]) * (k[i2] - k[i1]) > (b[i2] - b[i1]) * (k[i] - k[i1]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(i)
+        h = np.asarray(hull)
+        cuts = (b[h[:-1]] - b[h[1:]]) / (k[h[1:]] - k[h[:-1]]) if len(h) > 1 else np.empty(0)
+        pos = np.searchsorted(cuts, xs, side="right")
+        best_y = np.full(len(xs), -np.inf)
+        best_i = np.zeros(len(xs), dtype=np.int64)
+        for d in (-1, 0, 1):
+            j = np.clip(pos + d, 0, len(h) - 1)
+            cand = h[j]
+            y = b[cand] + k[cand] * xs
+            better = (y > best_y) | ((y == best_y) & (rank[cand] > rank[best_i]))
+            best_y = np.where(better, y, best_y)
+            best_i = np.where(better, cand, best_i)
+        return pd.DataFrame({"_len": xs.astype(np.int64), "score": best_y,
+                             "rank": rank[best_i], "label": labels[best_i]})
+    return fn
+
+
+def _best_many_labels(label_sums: DataFrame, classes: DataFrame, alpha: float,
+                      vocab: int) -> DataFrame:
+    """Arg-max over a class table too large to inline, exactly, without a
+    document-by-class product.
+
+    Matched sums are never negative, so a document's best class is either a
+    class it matched (score = line + sum) or the best class by its line
+    ``ln(docs) - len * ln(n_class + alpha * V)`` alone, which depends only
+    on the length. The latter is found per distinct length: class lines are
+    hash-split into groups of at most ``ENVELOPE_GROUP_LINES``, each group's
+    upper envelope is evaluated at the distinct lengths (applyInPandas), and
+    the groups' answers are reduced per length. Ties go to the smallest
+    label (rank from a distributed sort of the labels)."""
+    ranked = with_row_index(classes.select("label", "docs", "n_class"), [F.asc("label")], out="_idx")
+    lines = ranked.select("label", F.log("docs").alias("_b"),
+                          F.log(F.col("n_class") + F.lit(alpha * vocab)).alias("_m"),
+                          (-F.col("_idx")).alias("_rank"))
+    n_lines = lines.count()
+    lengths = [r[0] for r in label_sums.select("_len").distinct()
+               .limit(MAX_DISTINCT_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_DISTINCT_LENGTHS:
+        raise ValueError(f"more than {MAX_DISTINCT_LENGTHS} distinct document lengths")
+    groups = max(1, -(-n_lines // ENVELOPE_GROUP_LINES))
+    per_group = (lines.groupBy(F.pmod(F.xxhash64("label"), F.lit(groups)).alias("_g"))
+                 .applyInPandas(_envelope_best(lengths),
+                                "_len long, score double, rank long, label string"))
+    best_base = (per_group.groupBy("_len")
+                 .agg(F.max(F.struct("score", "rank", "label")).alias("_bb")))
+    if fits_broadcast(best_base):
+        best_base = F.broadcast(best_base)
+    line_side = lines.select("label", "_b", "_m", "_rank")
+    if fits_broadcast(line_side):
+        line_side = F.broadcast(line_side)
+    cand = (label_sums.join(line_side, "label", "left")
+            .select("_key", "_len", F.when(F.col("label").isNotNull(), F.struct(
+                (F.col("_b") - F.col("_len") * F.col("_m") + F.col("_s")).alias("score"),
+                F.col("_rank").alias("rank"), F.col("label").alias("label"))).alias("_c")))
+    best_matched = cand.groupBy("_key", "_len").agg(F.max("_c").alias("_bm"))
+    return (best_matched.join(best_base, "_len", "left")
+            .select("_key", F.greatest("_bm", "_bb").alias("_best")))
+
+
 def evaluate(pred: DataFrame, truth: DataFrame, key: str, label: str,
              predicted: str = "predicted") -> tuple[DataFrame, DataFrame]:
     """MOD-4: ``(confusion, metrics)``.

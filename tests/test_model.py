@@ -120,3 +120,30 @@ def test_smoothing_other_than_one(spark):
         model = m.fit_intent_model(train, "label", "text", alpha=alpha)
         pred = {r["Id"]: r["predicted"] for r in m.score_intent_model(test, model, "Id", "text").collect()}
         assert pred == brute(TRAIN, TEST + extra, alpha=alpha)
+
+
+def test_many_label_path_matches_brute_force(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(m, "MAX_INLINE_CLASSES", 1)
+    monkeypatch.setattr(m, "ENVELOPE_GROUP_LINES", 7)
+    extra = [(14, "red blue"), (15, "red red car"), (16, "green"), (17, "apple green car")]
+    train = spark.createDataFrame(TRAIN, "Id long, text string, label string")
+    test = spark.createDataFrame(TEST + extra, "Id long, text string")
+    for alpha in (1.0, 0.5, 3.0):
+        model = m.fit_intent_model(train, "label", "text", alpha=alpha)
+        pred = {r["Id"]: r["predicted"] for r in m.score_intent_model(test, model, "Id", "text").collect()}
+        assert pred == brute(TRAIN, TEST + extra, alpha=alpha), alpha
+    # many labels with uneven sizes, long and empty documents
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    train_rows = []
+    for i in range(900):
+        lab = f"L{rnd.randrange(300):03d}"
+        train_rows.append((i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 12))), lab))
+    test_rows = [(10_000 + i, " ".join(rnd.choice(words + ["zz"]) for _ in range(rnd.randrange(0, 40))))
+                 for i in range(200)]
+    tr = spark.createDataFrame(train_rows, "Id long, text string, label string")
+    te = spark.createDataFrame(test_rows, "Id long, text string")
+    model = m.fit_intent_model(tr, "label", "text")
+    pred = {r["Id"]: r["predicted"] for r in m.score_intent_model(te, model, "Id", "text").collect()}
+    assert pred == brute(train_rows, test_rows)
