@@ -38,6 +38,21 @@ def _generator(fingerprint: str, factory: GeneratorFactory) -> Callable:
     return gen
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Generation is the costly per-row step: a batch input with fewer
+    partitions than the cluster has cores is spread round-robin first (large
+    inputs already have enough partitions and pass through unchanged)."""
+    if df.isStreaming:
+        return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            return df.repartition(par)
+    except Exception:  # no JVM context (remote session): leave it
+        pass
+    return df
+
+
 def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
              out: str = "generated", on_error: str = "raise",
              max_new_tokens: int = domain.MAX_NEW_TOKENS,
@@ -64,6 +79,7 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
             pass
     fingerprint = hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
     ship_package(df.sparkSession)
+    df = _spread(df)
     catch = on_error == "null"
 
     def chunks(batches):
