@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from intentspark.session import local_table
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must match the behaviour being reproduced)
 # ---------------------------------------------------------------------------
@@ -163,14 +165,14 @@ SPECIAL_SCHEMA = T.StructType([
 
 def label_table(spark: SparkSession) -> DataFrame:
     """The ordered label domain ``(ord, category)``."""
-    return spark.createDataFrame(list(enumerate(CATEGORIES)), LABEL_SCHEMA)
+    return local_table(spark, enumerate(CATEGORIES), LABEL_SCHEMA)
 
 
 def keyword_table(spark: SparkSession) -> DataFrame:
     """Keyword rules ``(ord, category, keyword)``; ``ord`` is the category order."""
-    return spark.createDataFrame(list(KEYWORD_RULES), RULE_SCHEMA)
+    return local_table(spark, KEYWORD_RULES, RULE_SCHEMA)
 
 
 def special_token_table(spark: SparkSession) -> DataFrame:
     """Reserved tokens ``(token, id, special, rstrip)``."""
-    return spark.createDataFrame(list(SPECIAL_TOKENS), SPECIAL_SCHEMA)
+    return local_table(spark, SPECIAL_TOKENS, SPECIAL_SCHEMA)

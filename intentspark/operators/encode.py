@@ -12,11 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intentspark import domain
 from intentspark.functions.text import tokenize
 from intentspark.operators.indexing import with_row_index
 from intentspark.operators.sizing import fits_broadcast
+from intentspark.session import local_table
+
+RESERVED_SCHEMA = T.StructType([T.StructField("token", T.StringType()), T.StructField("id", T.IntegerType())])
 
 SPECIAL_TOKEN_STRINGS = [t for t, _, _, _ in domain.SPECIAL_TOKENS]
 
@@ -37,8 +41,8 @@ def build_vocab(df: DataFrame, text: str, min_count: int = 1,
     ranked = ranked.select("token", (F.col("_rank") + domain.FIRST_WORD_ID).cast("int").alias("id"),
                            F.col("n").cast("long").alias("n"))
     spark = df.sparkSession
-    reserved = spark.createDataFrame([(t, i) for t, i, _, _ in domain.SPECIAL_TOKENS],
-                                     "token string, id int").withColumn("n", F.lit(None).cast("long"))
+    reserved = (local_table(spark, [(t, i) for t, i, _, _ in domain.SPECIAL_TOKENS], RESERVED_SCHEMA)
+                .withColumn("n", F.lit(None).cast("long")))
     return reserved.unionByName(ranked)
 
 

@@ -24,11 +24,12 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intentspark.functions.text import tokenize
 from intentspark.operators.indexing import with_row_index
 from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
-from intentspark.session import checkpoint_dir
+from intentspark.session import checkpoint_dir, local_table
 
 # Class tables up to this size are folded into the scoring expression.
 MAX_INLINE_CLASSES = 65_536
@@ -37,6 +38,16 @@ MAX_INLINE_CLASSES = 65_536
 CODEGEN_CLASSES = 256
 
 
+CLASS_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
+                             T.StructField("docs", T.LongType()),
+                             T.StructField("n_class", T.LongType())])
+META_SCHEMA = T.StructType([T.StructField("alpha", T.DoubleType()),
+                            T.StructField("vocab_size", T.LongType()),
+                            T.StructField("n_docs", T.LongType()),
+                            T.StructField("n_counts", T.LongType()),
+                            T.StructField("counts_bytes", T.LongType())])
+
+
 @dataclass
 class IntentModel:
     counts: DataFrame    # label, token, n_tok
@@ -68,9 +79,9 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
     doc_rows = docs.limit(MAX_INLINE_CLASSES + 1).collect()
     if len(doc_rows) <= MAX_INLINE_CLASSES:
         sums = {r["label"]: r for r in per_label.collect()}
-        classes = spark.createDataFrame(
-            [(r["label"], int(r["docs"]), int(sums[r["label"]]["n_class"]) if r["label"] in sums else 0)
-             for r in doc_rows], "label string, docs long, n_class long")
+        classes = local_table(
+            spark, [(r["label"], int(r["docs"]), int(sums[r["label"]]["n_class"]) if r["label"] in sums else 0)
+                    for r in doc_rows], CLASS_SCHEMA)
         n_counts = sum(int(r["rows"]) for r in sums.values())
         chars = sum(int(r["chars"] or 0) for r in sums.values())
         n_docs = sum(int(r["docs"]) for r in doc_rows)
@@ -86,9 +97,8 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
         n_docs = int(docs.agg(F.sum("docs")).first()[0] or 0)
     vocab_size = counts.select("token").distinct().count()
     counts_bytes = n_counts * (ROW_OVERHEAD + 24) + chars
-    meta = spark.createDataFrame(
-        [(float(alpha), int(vocab_size), int(n_docs), int(n_counts), counts_bytes)],
-        "alpha double, vocab_size long, n_docs long, n_counts long, counts_bytes long")
+    meta = local_table(spark, [(float(alpha), int(vocab_size), int(n_docs), int(n_counts), counts_bytes)],
+                       META_SCHEMA)
     return IntentModel(counts, classes, meta)
 
 

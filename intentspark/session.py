@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -139,3 +139,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(ident)
+
+
+def local_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small DataFrame from driver-side rows (dimension tables, model
+    metadata). Goes through pandas and Arrow, so no Python worker has to
+    start to deserialize it."""
+    import pandas as pd
+    from pyspark.sql import types as T
+    if not isinstance(schema, T.StructType):
+        raise TypeError("schema must be a StructType")
+    pdf = pd.DataFrame(list(rows), columns=schema.fieldNames())
+    return spark.createDataFrame(pdf, schema)
