@@ -34,10 +34,15 @@ def _lines(path: str):
 def summarize(path: str, top: int = 15) -> list[dict]:
     tasks: dict[tuple, list[float]] = defaultdict(list)
     names: dict[tuple, str] = {}
+    stage_job: dict[int, str] = {}
     for line in _lines(path):
         if line.strip():
             ev = json.loads(line)
             kind = ev.get("Event")
+            if kind == "SparkListenerJobStart":
+                desc = (ev.get("Properties") or {}).get("spark.job.description", "")
+                for sid in ev.get("Stage IDs", []):
+                    stage_job[sid] = desc
             if kind == "SparkListenerTaskEnd":
                 info = ev["Task Info"]
                 key = (ev["Stage ID"], ev["Stage Attempt ID"])
@@ -47,7 +52,8 @@ def summarize(path: str, top: int = 15) -> list[dict]:
                 names[(st["Stage ID"], st["Stage Attempt ID"])] = st["Stage Name"]
     rows = []
     for key, ds in tasks.items():
-        rows.append({"stage": key[0], "name": names.get(key, "")[:60], "tasks": len(ds),
+        rows.append({"stage": key[0], "query": stage_job.get(key[0], ""),
+                     "name": names.get(key, "")[:60], "tasks": len(ds),
                      "total_s": round(sum(ds), 3), "median_s": round(statistics.median(ds), 3),
                      "max_s": round(max(ds), 3)})
     return sorted(rows, key=lambda r: -r["total_s"])[:top]
