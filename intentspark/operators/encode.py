@@ -61,13 +61,17 @@ def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
     expressions kept alongside (grouped with the key)."""
     carry = carry or {}
     extra = [v.alias(k) for k, v in carry.items()]
-    exploded = (df.select(F.col(key), *extra, F.slice(tokenize(text), 1, max_length).alias("_t"))
-                .repartition(key)
-                .select(key, *carry.keys(), F.posexplode_outer("_t").alias("_pos", "token")))
+    rows = df.select(F.col(key), *extra, F.slice(tokenize(text), 1, max_length).alias("_t"))
     lookup = vocab.select("token", F.col("id").alias("_id"))
     if fits_broadcast(lookup):
+        # partition by key first: the broadcast join keeps that partitioning,
+        # so the regrouping below needs no shuffle
+        exploded = rows.repartition(key).select(
+            key, *carry.keys(), F.posexplode_outer("_t").alias("_pos", "token"))
         joined = exploded.join(F.broadcast(lookup), "token", "left")
     else:
+        # the join shuffles by token anyway; regrouping then shuffles by key
+        exploded = rows.select(key, *carry.keys(), F.posexplode_outer("_t").alias("_pos", "token"))
         joined = exploded.join(lookup, "token", "left")
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(domain.UNK_ID)).alias("_id")))
