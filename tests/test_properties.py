@@ -17,7 +17,7 @@ texts = st.lists(st.one_of(st.sampled_from(PIECES), st.text(alphabet="abcdefPMRS
                  max_size=8).map("".join)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(st.lists(texts, min_size=1, max_size=60))
 def test_resolution_matches_python(spark, batch):
     df = spark.createDataFrame(list(enumerate(batch)), "i long, generated string")
@@ -29,7 +29,7 @@ def test_resolution_matches_python(spark, batch):
         assert api[i] == py_resolve_api(t), repr(t)
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(st.sets(st.integers(min_value=-10**12, max_value=10**12), min_size=1, max_size=300),
        st.integers(min_value=1, max_value=5))
 def test_split_is_exact_and_partition_free(spark, keys, parts):
