@@ -38,3 +38,34 @@ def test_split_is_exact_and_partition_free(spark, keys, parts):
     n_eval = sum(1 for v in flagged.values() if v == "eval")
     assert n_eval == split_op.eval_size(len(keys))
     assert len(flagged) == len(keys)
+
+
+@settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(
+    [t for t, _, _, _ in domain.SPECIAL_TOKENS] + [" ", "　", "\u0085", "\x1c", "<", "|", "\n"])),
+    max_size=6).map("".join), min_size=1, max_size=80))
+def test_tokenizer_matches_python_split(spark, batch):
+    import re
+
+    from intentspark.functions.text import SPECIAL_PATTERN, tokenize
+    df = spark.createDataFrame(list(enumerate(batch)), "i long, t string")
+    got = {r["i"]: list(r["x"]) for r in df.select("i", tokenize("t").alias("x")).collect()}
+    for i, t in enumerate(batch):
+        assert got[i] == re.sub(f"({SPECIAL_PATTERN})", r" \1 ", t).split(), repr(t)
+
+
+@settings(max_examples=4, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.one_of(st.text(max_size=6), st.sampled_from(
+    ['"', ',', '\n', '\r', '\r\n', ' ', '""', 'NA', '\\', "'", '\t'])), max_size=5).map("".join),
+    min_size=1, max_size=50))
+def test_csv_round_trip_is_identity_up_to_na(spark, batch):
+    import tempfile
+
+    from intentspark.sources import csv as csv_io
+    df = spark.createDataFrame([(i, s, "PlayMusic") for i, s in enumerate(batch)],
+                               "Id long, Sentence string, Category string")
+    path = tempfile.mkdtemp(prefix="intentspark-test-csv-", dir="/tmp")
+    csv_io.write_csv(df, path)
+    back = {r["Id"]: r["Sentence"] for r in csv_io.read_sentences(spark, path).collect()}
+    for i, s in enumerate(batch):
+        assert back[i] == (None if s in domain.PANDAS_NA_STRINGS else s), repr(s)
