@@ -8,6 +8,7 @@ No join and no shuffle: resolution is a narrow, per-row map.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def resolve_api(df: DataFrame, generated: str = "generated", out: str = "Categor
 INLINE_RULE_LIMIT = 4096
 
 
-def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
+def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str | None = None,
                             generated: str = "generated", out: str = "Category",
                             categories=domain.CATEGORIES,
                             default: str = domain.DEFAULT_CATEGORY,
@@ -99,10 +100,11 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
 
     The rule table's size is checked; a small one is folded into one CASE
     expression (first ``ord`` group with a contained keyword), compiled by
-    whole-stage codegen like the fixed cascade: no join, no shuffle. A large one is matched
-    exactly by joining every substring of the text whose length equals some
-    keyword length against the keywords (shuffle equi-join on the keyword,
-    then one aggregate per row key). ``key`` must identify rows uniquely.
+    whole-stage codegen like the fixed cascade: no join, no shuffle. A large
+    one is matched exactly, once per distinct cleaned text, by joining every
+    substring whose length equals some keyword length against the keywords,
+    then joined back to the rows on the text. ``key`` is accepted for
+    compatibility and not needed.
     """
     stages = F.array(*[F.lit(s) for s in STAGES])
     base = (df
@@ -124,22 +126,28 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str,
     else:
         lens = [r[0] for r in rules.select(F.length("keyword")).distinct().collect()
                 if r[0] and r[0] > 0]
-        # rows are hash-partitioned by key once; with a broadcast rule table
-        # the per-key aggregate and the join back reuse that partitioning
-        keyed = base.repartition(key)
-        subs = (keyed.filter(F.floor(F.col("_code") / _N) == 3)  # only rows the names missed
-                .select(key, "_lowered")
-                .select(key, "_lowered", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
+        # keywords are matched once per distinct cleaned text (generations
+        # repeat; the distinct is combined map-side, so a text repeated on a
+        # third of the rows is matched once), by an equi-join of its
+        # substrings of every keyword length against the keywords
+        texts = base.filter(F.floor(F.col("_code") / _N) == 3).select("_lowered").distinct()
+        subs = (texts
+                .select("_lowered", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
                 .filter(F.length("_lowered") >= F.col("_len"))
-                .select(key, "_lowered", "_len",
+                .select("_lowered", "_len",
                         F.explode(F.sequence(F.lit(1), F.length("_lowered") - F.col("_len") + 1)).alias("_pos"))
-                .select(key, F.expr("substring(_lowered, _pos, _len)").alias("keyword")))
+                .select("_lowered", F.expr("substring(_lowered, _pos, _len)").alias("keyword")))
         rule_side = rules.select("keyword", "ord", "category")
         if fits_broadcast(rule_side):
             rule_side = F.broadcast(rule_side)
         hits = (subs.join(rule_side, "keyword")
-                .groupBy(key).agg(F.min(F.struct("ord", "category")).alias("_hit")))
-        with_hit = keyed.join(hits, key, "left")
+                .groupBy("_lowered").agg(F.min(F.struct("ord", "category")).alias("_hit"))
+                .persist(StorageLevel.MEMORY_AND_DISK))  # sized, then joined
+        # back to the rows on the text: broadcast when the hit table is
+        # small, else a shuffle join on the text (AQE splits a hot text)
+        if fits_broadcast(hits):
+            hits = F.broadcast(hits)
+        with_hit = base.join(hits, "_lowered", "left")
         # an empty keyword is contained in every text
         empty = (rules.filter(F.col("keyword") == "")
                  .agg(F.min(F.struct("ord", "category")).alias("e")).first()["e"])
