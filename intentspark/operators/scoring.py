@@ -62,7 +62,7 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
     ``on_error='null'`` (MOD-7): a batch that raises is retried row by row;
     a row that still fails gets a null ``generated`` and its message in
     ``error``; other rows are unaffected. ``max_new_tokens`` is passed to
-    factories that accept it as ``factory.max_new_tokens``. ``batch_size``
+    generators whose call accepts a ``max_new_tokens`` keyword. ``batch_size``
     caps the rows handed to one generator call (e.g. to fit accelerator
     memory); Arrow batches are cut to it inside the task.
     """
@@ -72,11 +72,6 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
     if on_error == "null":
         fields.append(T.StructField("error", T.StringType(), True))
     schema = T.StructType(fields)
-    if hasattr(factory, "max_new_tokens"):
-        try:
-            factory.max_new_tokens = max_new_tokens
-        except AttributeError:
-            pass
     fingerprint = hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
     ship_package(df.sparkSession)
     df = _spread(df)
@@ -91,7 +86,16 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
                     yield pdf.iloc[start:start + batch_size].reset_index(drop=True)
 
     def run(batches):
-        gen = _generator(fingerprint, factory)
+        import inspect
+        model = _generator(fingerprint, factory)
+        try:
+            takes_limit = "max_new_tokens" in inspect.signature(model).parameters
+        except (TypeError, ValueError):
+            takes_limit = False
+
+        def gen(batch):
+            return model(batch, max_new_tokens=max_new_tokens) if takes_limit else model(batch)
+
         for pdf in chunks(batches):
             pdf = pdf.rename(columns={prompt: "prompt"}) if prompt != "prompt" else pdf
             errors = [None] * len(pdf)

@@ -75,3 +75,14 @@ def test_generator_batch_size_cap(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(250)], "Id long, prompt string").coalesce(1)
     out = scoring.generate(df, SizeRecorder(), batch_size=40).collect()
     assert len(out) == 250 and max(int(r["generated"]) for r in out) <= 40
+
+
+def test_max_new_tokens_reaches_generators_that_take_it(spark):
+    class Factory:
+        def __call__(self):
+            def gen(batch, max_new_tokens=None):
+                return [f"n={max_new_tokens}"] * len(batch)
+            return gen
+
+    df = spark.createDataFrame([(1, "p")], "Id long, prompt string")
+    assert scoring.generate(df, Factory(), max_new_tokens=7).first()["generated"] == "n=7"
