@@ -9,11 +9,15 @@ Multinomial naive Bayes with additive smoothing ``alpha``:
 vocabulary size, ``len(doc)`` all tokens of the document (unseen ones too).
 The predicted label is the arg-max (ties: smallest label).
 
-Fitting is two aggregates over the exploded training tokens. Scoring
+Fitting tokenizes the training text once into the count table; class
+totals, sizes and the vocabulary size are aggregates over it. Scoring
 hash-partitions the scored rows by key once; every later aggregate reuses
 that partitioning, and the token-count table is broadcast when its size
 (measured at fit time) fits the broadcast budget, else shuffle-joined on
-the token (AQE splits a hot token's partition).
+the token (AQE splits a hot token's partition). Per-token weights are taken
+relative to ln(alpha), so only matched (class, token) pairs need rows; the
+class table is folded into the expression, or, for very many labels, the
+arg-max is found from matched classes plus a per-length envelope.
 """
 
 from __future__ import annotations
@@ -57,6 +61,10 @@ class IntentModel:
     def meta_row(self):
         return self.meta.first()
 
+    def release(self) -> None:
+        """Drop the cached count table (it is recomputed if used again)."""
+        self.counts.unpersist()
+
 
 def fit_intent_model(train: DataFrame, label: str, text: str,
                      alpha: float = 1.0) -> IntentModel:
