@@ -101,6 +101,8 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
             errors = [None] * len(pdf)
             try:
                 texts = list(gen(pdf))
+                if len(texts) != len(pdf):
+                    raise ValueError(f"generator returned {len(texts)} texts for {len(pdf)} rows")
             except Exception:
                 if not catch:
                     raise

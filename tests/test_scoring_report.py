@@ -86,3 +86,15 @@ def test_max_new_tokens_reaches_generators_that_take_it(spark):
 
     df = spark.createDataFrame([(1, "p")], "Id long, prompt string")
     assert scoring.generate(df, Factory(), max_new_tokens=7).first()["generated"] == "n=7"
+
+
+def test_wrong_output_length_is_a_batch_failure(spark):
+    class Short:
+        def __call__(self):
+            return lambda batch: ["x"] * max(len(batch) - 1, 1) if len(batch) > 1 else ["x"]
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "Id long, prompt string").coalesce(1)
+    with pytest.raises(Exception, match="generator returned"):
+        scoring.generate(df, Short()).collect()
+    out = scoring.generate(df, Short(), on_error="null").collect()
+    assert [r["generated"] for r in out] == ["x"] * 5   # retried row by row
