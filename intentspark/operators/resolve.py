@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from intentspark import domain
 from intentspark.functions.text import clean_generation, strip_ws
-from intentspark.operators.sizing import fits_broadcast
+from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
 
 STAGES = ("prefix", "contains", "keyword", "default")
 _N = 1024  # code = stage * _N + category ordinal (so at most 1,024 categories)
@@ -124,8 +124,14 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str | None = N
                else F.lit(None).cast("struct<ord:int,category:string>"))
         with_hit = base.withColumn("_hit", hit)
     else:
-        lens = [r[0] for r in rules.select(F.length("keyword")).distinct().collect()
-                if r[0] and r[0] > 0]
+        # one pass over the rule table: keyword lengths, size, empty keyword
+        info = rules.agg(
+            F.collect_set(F.length("keyword")).alias("lens"),
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.length("keyword") + F.length("category")).alias("chars"),
+            F.min(F.when(F.col("keyword") == "", F.struct("ord", "category"))).alias("empty")).first()
+        lens = sorted(n for n in (info["lens"] or []) if n and n > 0)
+        rule_bytes = int(info["rows"]) * (ROW_OVERHEAD + 24) + int(info["chars"] or 0)
         # keywords are matched once per distinct cleaned text (generations
         # repeat; the distinct is combined map-side, so a text repeated on a
         # third of the rows is matched once), by an equi-join of its
@@ -138,7 +144,7 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str | None = N
                         F.explode(F.sequence(F.lit(1), F.length("_lowered") - F.col("_len") + 1)).alias("_pos"))
                 .select("_lowered", F.expr("substring(_lowered, _pos, _len)").alias("keyword")))
         rule_side = rules.select("keyword", "ord", "category")
-        if fits_broadcast(rule_side):
+        if rule_bytes <= broadcast_budget(rules):
             rule_side = F.broadcast(rule_side)
         hits = (subs.join(rule_side, "keyword")
                 .groupBy("_lowered").agg(F.min(F.struct("ord", "category")).alias("_hit"))
@@ -149,8 +155,7 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str | None = N
             hits = F.broadcast(hits)
         with_hit = base.join(hits, "_lowered", "left")
         # an empty keyword is contained in every text
-        empty = (rules.filter(F.col("keyword") == "")
-                 .agg(F.min(F.struct("ord", "category")).alias("e")).first()["e"])
+        empty = info["empty"]
         if empty is not None:
             lit_e = F.struct(F.lit(empty["ord"]).alias("ord"), F.lit(empty["category"]).alias("category"))
             with_hit = with_hit.withColumn(
