@@ -26,12 +26,12 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives the
     loss of executors, and is computed once however often it is read."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

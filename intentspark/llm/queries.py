@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from intentspark.llm.huffman import op7_huffman
 from intentspark.llm.mixing import op9_mixing
 from intentspark.llm.rules import op8_rules
 from intentspark.llm.shards import op10_shards
+from intentspark.llm.subwords import op2_subwords
 
 QUERIES = {
+    "op2_subwords": op2_subwords,
+    "op7_huffman": op7_huffman,
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
     "op10_shards": op10_shards,
