@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from intentspark.llm.fingerprints import op4_fingerprints
 from intentspark.llm.huffman import op7_huffman
 from intentspark.llm.mixing import op9_mixing
+from intentspark.llm.quality import op6_quality
 from intentspark.llm.rules import op8_rules
 from intentspark.llm.shards import op10_shards
 from intentspark.llm.subwords import op2_subwords
+from intentspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op2_subwords": op2_subwords,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_huffman": op7_huffman,
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
