@@ -18,6 +18,7 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -167,8 +168,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     last = len(bounds)
 
     @F.pandas_udf("array<struct<bucket:int,ahead:boolean>>")
-    def places(doc_id: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
+    def places(doc_id: pd.Series) -> pd.Series:
         out = []
         limits = cuts.value
         missing = doc_id.isna().to_numpy()
