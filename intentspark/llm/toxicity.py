@@ -10,7 +10,7 @@ noisy-or, so the weight settles on the sentences that make a document toxic.
 Scoring then runs over every sentence of every whole text in Arrow batches,
 and the sentences with p of at least ``SENTENCE_THRESHOLD`` are located.
 
-Features of a word: itself in lower case, and its first four, five and six
+Features of a word: itself in lower case, and its first four to eight
 characters, as 64-bit hashes. Weights are kept at 0 or above: a word can be
 evidence of toxicity or none, so that a long clean remainder never hides an
 offending word. The model holds the features with a weight only, which are
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from intentspark.llm.common import documents, prepare
 from intentspark.sources.tables import read_table
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 SAMPLE_DOCS = 5000  # labelled documents that the model is fitted on, at most
 SAMPLE_CHARS = 100_000  # a longer text is not used for fitting (it is scored whole)
-EPOCHS = 10
+UPDATES = 1000  # batches that the fit takes, whatever the sample's size
 BATCH = 64
 RATE = 1.0
 SEED = 20240917
@@ -58,10 +58,10 @@ def features(word: str) -> list[int]:
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, sentence of each) of a text; a feature counts once a sentence."""
+    """(features, sentence of each) of a text; a word counts once a sentence."""
     feats, owner, n = [], [], 0
     for a, b in sentences(text):
-        found = {f for w in set(_TOKEN.findall(text[a:b].lower())) for f in features(w)}
+        found = [f for w in set(_TOKEN.findall(text[a:b].lower())) for f in features(w)]
         if found:
             feats.extend(found)
             owner.extend([n] * len(found))
@@ -73,7 +73,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple:
+def train(texts: list[str], labels: list[int], updates: int = UPDATES, rate: float = RATE, seed: int = SEED) -> tuple:
     """({feature: weight}, bias) by Adagrad steps on batches of documents.
 
     Features that only one document of the sample has get no weight.
@@ -93,7 +93,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     w, g2 = np.zeros(len(kept)), np.full(len(kept), 1e-3)
     b, b2 = -3.0, 1.0
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(-(-updates * BATCH // max(len(bags), 1)) if len(kept) else 0):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             part = [i for i in order[at:at + BATCH] if bags[i][2]]
@@ -155,8 +155,9 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limit: int = SAMPLE_DOCS,
-                    chars: int = SAMPLE_CHARS, seed: int = SEED) -> list:
-    """(text, label) of at most ``limit`` labelled documents, in a fixed order.
+                    chars: int = SAMPLE_CHARS, seed: int = SEED, halves: bool = False) -> list:
+    """(text, label) of at most ``limit`` labelled documents, in a fixed order;
+    ``halves``: at most half of them with either label.
 
     The ids come first, from the labels alone, by a seeded hash; only the
     texts of that bounded set are then read. A doc_id labelled twice counts
@@ -164,8 +165,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limit:
     """
     ids = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & fold)
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-           .withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
-           .orderBy("_h", "doc_id").limit(limit))
+           .withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))))
+    if halves:
+        ids = (ids.filter("_y = 1").orderBy("_h", "doc_id").limit(limit // 2)
+               .unionAll(ids.filter("_y = 0").orderBy("_h", "doc_id").limit(limit - limit // 2)))
+    else:
+        ids = ids.orderBy("_h", "doc_id").limit(limit)
     got = (docs.select("doc_id", "text").filter(F.length("text") <= chars)
            .join(F.broadcast(ids), "doc_id")  # at most ``limit`` rows of three numbers
            .dropDuplicates(["doc_id"]).orderBy("_h", "doc_id").limit(limit).select("text", "_y").toPandas())
@@ -211,7 +216,7 @@ def score_documents(docs: DataFrame, model: tuple, text: str = "text",
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold=None) -> tuple:
     """A model from the documents' labels. Without a labelled document it scores all alike, near 0."""
-    rows = training_sample(docs, labels, "toxic", F.lit(True) if fold is None else fold)
+    rows = training_sample(docs, labels, "toxic", F.lit(True) if fold is None else fold, halves=True)
     return train([t for t, _ in rows], [y for _, y in rows])
 
 
