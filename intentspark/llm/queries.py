@@ -5,6 +5,8 @@ from __future__ import annotations
 from intentspark.llm.fingerprints import op4_fingerprints
 from intentspark.llm.huffman import op7_huffman
 from intentspark.llm.mixing import op9_mixing
+from intentspark.llm.near_join import op1_near_join
+from intentspark.llm.privacy import op3_privacy
 from intentspark.llm.quality import op6_quality
 from intentspark.llm.rules import op8_rules
 from intentspark.llm.shards import op10_shards
@@ -12,7 +14,9 @@ from intentspark.llm.subwords import op2_subwords
 from intentspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_near_join": op1_near_join,
     "op2_subwords": op2_subwords,
+    "op3_privacy": op3_privacy,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
