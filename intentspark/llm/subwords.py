@@ -37,7 +37,7 @@ SEED = 20240917
 DROPOUT = 0.1
 VARIANTS = 8
 MARK = "▁"
-BLOCK_CHARS = 1_000_000  # texts are encoded in blocks of about so many characters
+BLOCK_CHARS = 500_000  # texts are encoded in blocks of about so many characters
 MATRIX_LENGTH = 32  # longer chunks use the heap
 _NONE = np.int64(1 << 40)
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
