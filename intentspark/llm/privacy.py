@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentspark.llm.common import documents, written
-from intentspark.operators.sizing import fits_broadcast
 
 DISCLOSURE = 0.9
 SUPPORT = 5
@@ -133,8 +132,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, threshold: float = DISCL
     """(entity, term, disclosure) above the threshold.
 
     ``found``: (rid, text, spans); ``docs``: all documents, for N and n(t).
-    Counts are of documents. n(t) is counted for the terms with enough support
-    only, by a join of every document's words with them.
+    Counts are of documents.
     """
     mentions = (found.select("rid", "text", F.explode("spans").alias("span"))
                 .select("rid", F.concat_ws(":", F.col("span.no").cast("string"), "span.value").alias("entity"),
@@ -144,10 +142,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, threshold: float = DISCL
     pairs = (mentions.select("rid", "entity", F.explode("terms").alias("term")).distinct()
              .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support))
     pairs = written(pairs.join(by_entity, "entity"), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    if fits_broadcast(wanted):
-        wanted = F.broadcast(wanted)
-    n_t = (docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term")
+    # counted for all terms, combined in each task, before the terms that matter are picked
+    n_t = (docs.select(F.explode(_terms(F.col("text"))).alias("term"))
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     scored = pairs.join(n_t, "term").withColumn("n_docs", F.lit(docs.count()))
     pmi = F.log(F.col("n_docs") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
