@@ -159,24 +159,43 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16-bit numbers")
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian 16-bit ids of each text (null: none), without special tokens."""
         split = [b"" if t is None else t.encode().split() for t in texts]
-        known = self.ids
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(part, got))
+        known, parts = self.ids, self.parts
+        new = {w: _halves(w) for ws in split for w in ws if w not in known}
+        miss = list({p for pair in new.values() for p in pair if p not in parts})
+        for at in range(0, len(miss), 4096):
+            got = self.tokenizer.encode_batch_fast([p.decode() for p in miss[at:at + 4096]], add_special_tokens=False)
+            parts.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(miss[at:], got))
+        known.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
         out = [b"".join([known[w] for w in ws]) for ws in split]
         if len(known) > CACHED_WORDS:
             known.clear()
+            parts.clear()
+            parts[b""] = b""
         return out
 
 
+_TAIL = b".,;:!?|&$*%#"
+
+
+def _halves(word: bytes) -> tuple[bytes, bytes]:
+    """A word cut where the tokenizer cuts it anyway: before marks that end it
+    after an ASCII letter or digit. ASCII capitals are lowered, as it does,
+    unless the word may hold a special token."""
+    stem = word.rstrip(_TAIL)
+    if b"<|" in word:
+        return word, b""
+    if len(stem) == len(word) or not stem or not stem[-1:].isalnum():
+        return word.lower(), b""
+    return stem.lower(), word[len(stem):]
+
+
 def _tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids as bytes): one pass over the texts."""
     end = np.array([END], "<u2").tobytes()
