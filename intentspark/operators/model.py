@@ -85,6 +85,10 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
         F.sum(F.length("token") + F.length("label")).alias("chars"))
     docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
     doc_rows = docs.limit(MAX_INLINE_CLASSES + 1).collect()
+    unlabelled = sum(int(r["docs"]) for r in doc_rows if r["label"] is None)
+    if unlabelled:
+        counts.unpersist()
+        raise ValueError(f"{unlabelled} training rows have no label")
     if len(doc_rows) <= MAX_INLINE_CLASSES:
         sums = {r["label"]: r for r in per_label.collect()}
         classes = local_table(

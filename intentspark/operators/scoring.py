@@ -56,13 +56,15 @@ def _spread(df: DataFrame) -> DataFrame:
 def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
              out: str = "generated", on_error: str = "raise",
              max_new_tokens: int = domain.MAX_NEW_TOKENS,
+             max_length: int = domain.MAX_LENGTH,
              batch_size: int | None = None) -> DataFrame:
     """MOD-1: add ``generated`` text for each row's prompt.
 
     ``on_error='null'`` (MOD-7): a batch that raises is retried row by row;
     a row that still fails gets a null ``generated`` and its message in
-    ``error``; other rows are unaffected. ``max_new_tokens`` is passed to
-    generators whose call accepts a ``max_new_tokens`` keyword. ``batch_size``
+    ``error``; other rows are unaffected. ``max_new_tokens`` and
+    ``max_length`` (the prompt's limit in tokens) are passed to generators
+    whose call accepts keywords of these names. ``batch_size``
     caps the rows handed to one generator call (e.g. to fit accelerator
     memory); Arrow batches are cut to it inside the task.
     """
@@ -89,12 +91,13 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
         import inspect
         model = _generator(fingerprint, factory)
         try:
-            takes_limit = "max_new_tokens" in inspect.signature(model).parameters
+            takes = inspect.signature(model).parameters
         except (TypeError, ValueError):
-            takes_limit = False
+            takes = {}
+        limits = {k: v for k, v in (("max_new_tokens", max_new_tokens), ("max_length", max_length)) if k in takes}
 
         def gen(batch):
-            return model(batch, max_new_tokens=max_new_tokens) if takes_limit else model(batch)
+            return model(batch, **limits)
 
         for pdf in chunks(batches):
             pdf = pdf.rename(columns={prompt: "prompt"}) if prompt != "prompt" else pdf

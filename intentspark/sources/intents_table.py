@@ -53,7 +53,10 @@ def read_intents_jdbc(spark: SparkSession, url: str, table: str = "intents",
                       query: str | None = None, options: dict | None = None,
                       partitions: int | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
     """SRC-4 (JDBC): read through a projection. With ``partitions`` and
-    ``bounds`` the table is read in parallel ranges of ``Id``."""
+    ``bounds`` the table is read in parallel ranges of ``Id``; one without
+    the other is an error, not a read by one task."""
+    if bool(partitions) != bool(bounds):
+        raise ValueError("give partitions and bounds together")
     r = spark.read.format("jdbc").option("url", url).options(**(options or {}))
     if partitions and bounds:
         r = (r.option("dbtable", f"({query or DEFAULT_QUERY.format(table=table)}) q")
