@@ -6,8 +6,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from intentspark.session import scratch_path, ship_package
+from intentspark.session import local_table, scratch_path, ship_package
 from intentspark.sources.tables import read_table
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
@@ -39,6 +40,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running_offsets(sizes: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """(key, out): the sum of ``value`` over the smaller keys, as a small local
+    table. ``sizes`` holds one row a partition of a written table, with a
+    unique integer key, so the driver adds up one number a partition."""
+    pdf = sizes.select(F.col(key).cast("long"), F.col(value).cast("long")).toPandas().sort_values(key)
+    n = pdf[value].to_numpy("int64")
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(out, T.LongType())])
+    return local_table(sizes.sparkSession, zip(pdf[key].tolist(), (np.cumsum(n) - n).tolist()), schema)
+
+
 def with_index(df: DataFrame, order: list, out: str = "index") -> DataFrame:
     """Add the 0-based position of each row in ``order`` without a task that
     holds all rows: rows are dealt by range and sorted, the sorted table is
@@ -55,11 +66,7 @@ def with_index(df: DataFrame, order: list, out: str = "index") -> DataFrame:
                     .withColumn("_mono", at), "ranked")
     fixed = (fixed.withColumn("_pid", F.shiftright("_mono", 33))
              .withColumn("_pos", F.col("_mono").bitwiseAND((1 << 33) - 1)))
-    from pyspark.sql import Window
-    # one row per partition
-    sizes = fixed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = running_offsets(fixed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")), "_pid", "_n", "_off")
     return (fixed.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + F.col("_pos"))
             .drop("_pid", "_pos", "_mono", "_off"))

@@ -27,10 +27,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import documents, prepare, shuffle_partitions, written
+from intentspark.llm.common import documents, prepare, running_offsets, shuffle_partitions, written
 
 END = 2
 MAX_BITS = 16
@@ -296,10 +296,8 @@ def write_ids(tokens: DataFrame, name: str = "huffman") -> tuple[DataFrame, Data
 def read_ids(blocks: DataFrame, code: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files alone: each block is decoded by itself."""
     lengths = _lengths_from(code, "bits")
-    # one row a bucket
-    totals = blocks.groupBy("bucket").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    sizes = blocks.groupBy("bucket").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))  # one row a bucket
+    totals = running_offsets(sizes, "bucket", "n", "offset")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches):

@@ -21,7 +21,7 @@ target within the bin (2^-24 of the hash range) where it is crossed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentspark.llm.common import WORD, documents, with_index, written
@@ -128,17 +128,22 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = N
 def _crossing(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
     """(source, bin, left): the first bin at which a source's running words
     reach ``left``, and what is still to take inside it. ``rows``: source,
-    bin, size; at most ``BINS`` bins a source meet in the window."""
-    sums = rows.groupBy("source", bin_col).agg(F.sum("size").alias("w"))
-    run = Window.partitionBy("source").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("w").over(run))
-    j = sums.alias("b").join(need.select("source", "left").alias("n"),
-                             F.col("b.source").eqNullSafe(F.col("n.source")))
-    return (j.filter(F.col("upto") >= F.col("left"))
-            .groupBy("b.source").agg(F.min(F.struct(F.col(f"b.{bin_col}").alias("bin"), F.col("upto"), F.col("w"),
-                                                    F.col("left"))).alias("m"))
+    bin, size; at most ``BINS`` sums a source meet in one array."""
+    sums = rows.groupBy("source", F.col(bin_col).alias("bin")).agg(F.sum("size").alias("w"))
+    runs = sums.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("bin", "w"))).alias("bins"))
+    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("w"))
+
+    def step(acc, x):
+        # stands still once the sum has reached ``left``
+        return F.when(acc["upto"] >= F.col("left"), acc).otherwise(F.struct(
+            x["bin"].alias("bin"), (acc["upto"] + x["w"]).alias("upto"), x["w"].alias("w")))
+
+    j = (runs.alias("b").join(need.select("source", "left").alias("n"),
+                              F.col("b.source").eqNullSafe(F.col("n.source")))
+         .select("b.source", "left", F.aggregate("bins", start, step).alias("m")))
+    return (j.filter(F.col("m.upto") >= F.col("left"))
             .select("source", F.col("m.bin").alias("bin"),
-                    (F.col("m.left") - (F.col("m.upto") - F.col("m.w"))).alias("left"), F.col("m.w").alias("w")))
+                    (F.col("left") - (F.col("m.upto") - F.col("m.w"))).alias("left"), F.col("m.w").alias("w")))
 
 
 def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
