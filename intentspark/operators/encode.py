@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from intentspark import domain
 from intentspark.functions.text import tokenize
-from intentspark.operators.indexing import with_row_index
+from intentspark.operators.indexing import distinct_rows, repeated, with_row_index
 from intentspark.operators.sizing import fits_broadcast
 from intentspark.session import local_table
 
@@ -53,30 +53,26 @@ def _ids_text(c: Column) -> Column:
 def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
               max_length: int = domain.MAX_LENGTH, out: str = "ids",
               carry: dict | None = None) -> DataFrame:
-    """ENC-2: ``(key, [carried columns,] ids)``, ids of the first
-    ``max_length`` tokens (unknown tokens -> unk id). Rows are
-    hash-partitioned on ``key`` once; the vocabulary is broadcast when its
-    measured size fits the budget (then the regrouping needs no further
-    shuffle), else shuffle-joined on the token. ``carry`` maps names to per-row
-    expressions kept alongside (grouped with the key)."""
+    """ENC-2: ``(key, [carried columns,] ids)``, one row per row of ``df``:
+    ids of the first ``max_length`` tokens (unknown tokens -> unk id). The
+    key need not be unique. Rows are told apart by what they hold
+    (:func:`distinct_rows`, the one shuffle when the vocabulary's measured
+    size fits the broadcast budget); a larger vocabulary is shuffle-joined on
+    the token. ``carry`` maps names to per-row expressions kept alongside."""
     carry = carry or {}
-    extra = [v.alias(k) for k, v in carry.items()]
-    rows = df.select(F.col(key), *extra, F.slice(tokenize(text), 1, max_length).alias("_t"))
+    by = [key, *carry]
+    cut = df.select(F.col(key), *[v.alias(k) for k, v in carry.items()],
+                    F.array_join(F.slice(tokenize(text), 1, max_length), " ").alias("_t"))
+    rows = distinct_rows(cut, by, "_t")  # tokens hold no white space
+    same = [*by, "_h", "_times"]
+    exploded = rows.select(*same, F.posexplode_outer(
+        F.array_remove(F.split("_t", " "), F.lit(""))).alias("_pos", "token"))
     lookup = vocab.select("token", F.col("id").alias("_id"))
-    if fits_broadcast(lookup):
-        # partition by key first: the broadcast join keeps that partitioning,
-        # so the regrouping below needs no shuffle
-        exploded = rows.repartition(key).select(
-            key, *carry.keys(), F.posexplode_outer("_t").alias("_pos", "token"))
-        joined = exploded.join(F.broadcast(lookup), "token", "left")
-    else:
-        # the join shuffles by token anyway; regrouping then shuffles by key
-        exploded = rows.select(key, *carry.keys(), F.posexplode_outer("_t").alias("_pos", "token"))
-        joined = exploded.join(lookup, "token", "left")
+    joined = exploded.join(F.broadcast(lookup) if fits_broadcast(lookup) else lookup, "token", "left")
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(domain.UNK_ID)).alias("_id")))
-    return joined.groupBy(key, *carry.keys()).agg(
-        F.array_sort(F.collect_list(item)).getField("_id").alias(out))
+    ids = joined.groupBy(*same).agg(F.array_sort(F.collect_list(item)).getField("_id").alias(out))
+    return repeated(ids).select(*by, out)
 
 
 def pad_left(ids: Column, max_length: int = domain.MAX_LENGTH, value: int = domain.PAD_ID) -> Column:

@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from intentspark.session import checkpoint_dir
+from intentspark.session import checkpoint_dir, local_table
+
+OFFSET_SCHEMA = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_offset", T.LongType())])
 
 
 def with_row_index(df: DataFrame, order, out: str = "index", start: int = 0) -> DataFrame:
@@ -23,14 +26,30 @@ def with_row_index(df: DataFrame, order, out: str = "index", start: int = 0) ->
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mono", F.monotonically_increasing_id())
              .checkpoint(eager=True))
-    sizes = sorted((r[0], r[1]) for r in fixed.groupBy("_pid").count().collect())
-    offsets, total = [], start
-    for pid, cnt in sizes:
-        offsets += [F.lit(pid), F.lit(total)]
+    total, offsets = start, []
+    for pid, cnt in sorted((r[0], r[1]) for r in fixed.groupBy("_pid").count().collect()):
+        offsets.append((pid, total))
         total += cnt
-    if not offsets:
-        return fixed.drop("_pid", "_mono").withColumn(out, F.lit(None).cast("long"))
-    offset_map = F.create_map(*offsets)
+    small = local_table(df.sparkSession, offsets, OFFSET_SCHEMA)  # one row per partition
     pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (fixed.withColumn(out, F.element_at(offset_map, F.col("_pid")) + pos)
-            .drop("_pid", "_mono"))
+    return (fixed.join(F.broadcast(small), "_pid").withColumn(out, F.col("_offset") + pos)
+            .drop("_pid", "_mono", "_offset"))
+
+
+def distinct_rows(df: DataFrame, by: list, value: str) -> DataFrame:
+    """``(*by, _h, value, _times)``: rows that agree on ``by`` and on the string
+    ``value`` as one row with their number ``_times``.
+
+    For work that regroups exploded rows: ``(*by, _h)`` identifies a row by
+    what it holds (``_h`` is the hash of ``value``), so a repeated key merges
+    nothing and a retried task names its rows alike. Equal rows are combined
+    before the one shuffle, and later groupings that include ``(*by, _h)``
+    reuse its partitioning. :func:`repeated` gives the copies back.
+    """
+    return (df.withColumn("_h", F.md5(value)).groupBy(*by, "_h")
+            .agg(F.max(value).alias(value), F.count(F.lit(1)).alias("_times")))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Each row ``_times`` times, without ``_times``."""
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_times", "_copy")

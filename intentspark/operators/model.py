@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentspark.functions.text import tokenize
-from intentspark.operators.indexing import with_row_index
+from intentspark.operators.indexing import distinct_rows, repeated, with_row_index
 from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
 from intentspark.session import checkpoint_dir, local_table
 
@@ -115,28 +115,32 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
 
 
 def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
-                       out: str = "predicted") -> DataFrame:
-    """MOD-3: ``(key, predicted)`` for every row of ``df`` (empty text
-    included: its score is the class prior). ``key`` must identify rows
-    uniquely (term counts are regrouped by it)."""
+                       out: str = "predicted", carry=()) -> DataFrame:
+    """MOD-3: ``(key, *carry, predicted)``, one row for every row of ``df``
+    (empty text included: its score is the class prior). The key need not be
+    unique; ``carry`` names further columns to keep, e.g. the true label."""
     meta = model.meta_row()
     alpha, vocab = meta["alpha"], meta["vocab_size"]
     cls = model.classes.limit(MAX_INLINE_CLASSES + 1).collect()
     many = len(cls) > MAX_INLINE_CLASSES
     cls = sorted(cls, key=lambda r: r["label"])
 
-    # One shuffle: rows are hash-partitioned by key; the per-(key, token)
-    # counts, the per-(key, label) sums and the per-key map all reuse that
-    # partitioning. Rows with no matching token (or no token) are kept by the
-    # outer explode and the left join, so every row gets a prediction.
+    # One shuffle: equal rows are combined and partitioned by what they hold;
+    # the per-token counts, the per-label sums and the per-row map all reuse
+    # that partitioning. Rows with no matching token (or no token) are kept by
+    # the outer explode and the left join, so every row gets a prediction.
     # the raw text is shuffled (more compact than token arrays) and tokenized
-    # after the exchange, in parallel over the key partitions
-    docs = (df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-            .repartition("_key")
-            .select("_key", tokenize("_text").alias("_toks"))
-            .select("_key", F.size("_toks").alias("_len"), "_toks"))
-    tf = (docs.select("_key", "_len", F.explode_outer("_toks").alias("token"))
-          .groupBy("_key", "_len", "token").agg(F.count("token").alias("_f")))
+    # after the exchange, in parallel over the partitions
+    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    by = ["_key", *[f"_c{i}" for i in range(len(carry))]]
+    ids = [*by, "_h", "_times"]
+    result = [F.col("_key").alias(key), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]]
+    docs = (distinct_rows(df.select(F.col(key).alias("_key"), *kept, F.coalesce(text, F.lit("")).alias("_text")),
+                          by, "_text")
+            .select(*ids, tokenize("_text").alias("_toks"))
+            .select(*ids, F.size("_toks").alias("_len"), "_toks"))
+    tf = (docs.select(*ids, "_len", F.explode_outer("_toks").alias("token"))
+          .groupBy(*ids, "_len", "token").agg(F.count("token").alias("_f")))
     # a token unseen in a class contributes ln(alpha) to that class; writing
     # every weight relative to it leaves len * ln(alpha), the same for all
     # classes, so only matched (class, token) pairs need a row
@@ -145,14 +149,14 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
     if meta["counts_bytes"] <= broadcast_budget(df):
         matched = tf.join(F.broadcast(weights), "token", "left")
     else:
-        matched = tf.join(weights, "token", "left").repartition("_key")
-    label_sums = (matched.groupBy("_key", "_len", "label")
+        matched = tf.join(weights, "token", "left").repartition(*by, "_h")
+    label_sums = (matched.groupBy(*ids, "_len", "label")
                   .agg(F.sum(F.col("_f") * F.col("_w")).alias("_s")))
     if many:
-        best = _best_many_labels(label_sums, model.classes, alpha, vocab)
-        return best.select(F.col("_key").alias(key), F.col("_best.label").alias(out))
+        best = repeated(_best_many_labels(label_sums, ids, model.classes, alpha, vocab))
+        return best.select(*result, F.col("_best.label").alias(out))
     scored = (label_sums
-              .groupBy("_key", "_len")
+              .groupBy(*ids, "_len")
               .agg(F.map_from_entries(F.collect_list(
                   F.when(F.col("label").isNotNull(), F.struct("label", "_s")))).alias("_m")))
 
@@ -176,7 +180,7 @@ def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
             (c["prior"] + F.coalesce(F.try_element_at(F.col("_m"), c["label"]), F.lit(0.0))
              - F.col("_len") * c["logden"]).alias("score"),
             c["rank"].alias("rank"), c["label"].alias("label"))))
-    return scored.select(F.col("_key").alias(key), best["label"].alias(out))
+    return repeated(scored.select(*ids, best["label"].alias("_best"))).select(*result, F.col("_best").alias(out))
 
 
 # Lines handled by one task when the class table is too large to inline.
@@ -232,7 +236,7 @@ def _envelope_best(lengths):
     return fn
 
 
-def _best_many_labels(label_sums: DataFrame, classes: DataFrame, alpha: float,
+def _best_many_labels(label_sums: DataFrame, ids: list, classes: DataFrame, alpha: float,
                       vocab: int) -> DataFrame:
     """Arg-max over a class table too large to inline, exactly, without a
     document-by-class product.
@@ -266,12 +270,12 @@ def _best_many_labels(label_sums: DataFrame, classes: DataFrame, alpha: float,
     if fits_broadcast(line_side):
         line_side = F.broadcast(line_side)
     cand = (label_sums.join(line_side, "label", "left")
-            .select("_key", "_len", F.when(F.col("label").isNotNull(), F.struct(
+            .select(*ids, "_len", F.when(F.col("label").isNotNull(), F.struct(
                 (F.col("_b") - F.col("_len") * F.col("_m") + F.col("_s")).alias("score"),
                 F.col("_rank").alias("rank"), F.col("label").alias("label"))).alias("_c")))
-    best_matched = cand.groupBy("_key", "_len").agg(F.max("_c").alias("_bm"))
+    best_matched = cand.groupBy(*ids, "_len").agg(F.max("_c").alias("_bm"))
     return (best_matched.join(best_base, "_len", "left")
-            .select("_key", F.greatest("_bm", "_bb").alias("_best")))
+            .select(*ids, F.greatest("_bm", "_bb").alias("_best")))
 
 
 def evaluate(pred: DataFrame, truth: DataFrame, key: str, label: str,
@@ -280,9 +284,16 @@ def evaluate(pred: DataFrame, truth: DataFrame, key: str, label: str,
 
     confusion: ``(truth, predicted, n)``; metrics (long form):
     ``accuracy`` and ``recall:<label>`` with their ``value``. Both come from
-    one join on the key and one small aggregate over (truth, predicted)."""
+    one join on the key, which must be unique, and one small aggregate over
+    (truth, predicted); :func:`evaluate_scored` needs neither join nor key."""
     pairs = (truth.select(F.col(key), F.col(label).alias("truth"))
              .join(pred.select(key, F.col(predicted).alias("predicted")), key))
+    return evaluate_scored(pairs, "truth", "predicted")
+
+
+def evaluate_scored(scored: DataFrame, truth: str, predicted: str = "predicted") -> tuple[DataFrame, DataFrame]:
+    """MOD-4 over rows that carry their true label (``score_intent_model(carry=...)``)."""
+    pairs = scored.select(F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
     confusion = pairs.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
     per_truth = confusion.groupBy("truth").agg(
         F.sum("n").alias("total"),

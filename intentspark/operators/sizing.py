@@ -22,17 +22,17 @@ def broadcast_budget(df: DataFrame) -> int:
 
 
 def estimate_bytes(df: DataFrame) -> tuple[int, int]:
-    """(rows, estimated bytes) of ``df``: strings by their length, other
+    """(rows, estimated bytes) of ``df``: strings by their bytes, other
     fixed-width columns by their type size."""
     str_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     fixed = sum(f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else 8
                 for f in df.schema.fields if not isinstance(f.dataType, T.StringType))
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.sum(F.length(F.col(c))).alias(f"_len{i}") for i, c in enumerate(str_cols)]
+    aggs += [F.sum(F.octet_length(F.col(c))).alias(f"_len{i}") for i, c in enumerate(str_cols)]
     r = df.agg(*aggs).first()
     rows = int(r["_rows"])
-    chars = sum(int(r[f"_len{i}"] or 0) for i in range(len(str_cols)))
-    return rows, rows * (ROW_OVERHEAD + fixed + 8 * len(str_cols)) + chars
+    octets = sum(int(r[f"_len{i}"] or 0) for i in range(len(str_cols)))
+    return rows, rows * (ROW_OVERHEAD + fixed + 8 * len(str_cols)) + octets
 
 
 def fits_broadcast(df: DataFrame, budget: int | None = None) -> bool:

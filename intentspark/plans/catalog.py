@@ -232,8 +232,8 @@ def intent_model_predict(spark, sf_dir):
 def _evaluated(spark, sf_dir):
     flagged, m = _fitted(spark, sf_dir)
     ev = flagged.filter(F.col("split") == "eval")
-    pred = model_op.score_intent_model(ev, m, key="doc_id", text="text")
-    return model_op.evaluate(pred, ev, key="doc_id", label="lang")
+    pred = model_op.score_intent_model(ev, m, key="doc_id", text="text", carry=["lang"])
+    return model_op.evaluate_scored(pred, "lang")
 
 
 @register

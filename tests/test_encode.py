@@ -106,3 +106,23 @@ def test_shuffle_vocab_join_path_is_identical(spark):
     finally:
         spark.conf.unset("spark.intentspark.broadcastBytes")
     assert small == big
+
+
+@pytest.mark.parametrize("budget", [None, "0"])
+def test_repeated_keys_keep_their_rows(spark, budget):
+    long = " ".join(["a"] * 200)
+    rows = [(1, "a b"), (1, "b"), (1, "b"), (2, "a"), (None, "b"), (3, long), (3, long + " b"), (4, None), (4, "")]
+    df = _texts(spark, rows).repartition(3)
+    vocab = enc.build_vocab(df, "text")
+    word = {r["token"]: r["id"] for r in vocab.collect()}
+    if budget is not None:
+        spark.conf.set("spark.intentspark.broadcastBytes", budget)
+    try:
+        got = enc.encode(df, vocab, "Id", "text").collect()
+    finally:
+        spark.conf.unset("spark.intentspark.broadcastBytes")
+    want = Counter()
+    for key, text in rows:
+        ids = [word[t] for t in (text or "").split()][:L]
+        want[(key, (domain.PAD_ID,) * (L - len(ids)) + tuple(ids))] += 1
+    assert Counter((r["Id"], tuple(r["input_ids"])) for r in got) == want

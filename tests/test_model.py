@@ -147,3 +147,16 @@ def test_many_label_path_matches_brute_force(spark, monkeypatch):
     model = m.fit_intent_model(tr, "label", "text")
     pred = {r["Id"]: r["predicted"] for r in m.score_intent_model(te, model, "Id", "text").collect()}
     assert pred == brute(train_rows, test_rows)
+
+
+def test_repeated_keys_are_scored_row_by_row(spark):
+    train = spark.createDataFrame(TRAIN, "Id long, text string, label string")
+    rows = [(1, "red red apple", "fruit"), (1, "fast blue", "car"), (1, "fast blue", "car"), (1, "fast blue", "fruit"),
+            (None, "apple", "fruit"), (2, None, "car"), (2, "", "car")]
+    test = spark.createDataFrame(rows, "Id long, text string, y string").repartition(3)
+    model = m.fit_intent_model(train, "label", "text")
+    scored = m.score_intent_model(test, model, "Id", "text", carry=["y"])
+    want = Counter((k, y, brute(TRAIN, [(0, t or "")])[0]) for k, t, y in rows)
+    assert Counter((r["Id"], r["y"], r["predicted"]) for r in scored.collect()) == want
+    confusion, _ = m.evaluate_scored(scored, "y")
+    assert sum(r["n"] for r in confusion.collect()) == len(rows)
