@@ -120,8 +120,8 @@ PANDAS_NA_STRINGS: tuple[str, ...] = (
     "nan", "null",
 )
 
-# Declared column types of the intents table.
-INTENTS_TABLE_DDL = "Id INT, Sentence VARCHAR(1024), Category VARCHAR(128)"
+# Column types of the intents table; types with limits are an option of the writers.
+INTENTS_TABLE_DDL = "Id BIGINT, Sentence STRING, Category STRING"
 
 # ---------------------------------------------------------------------------
 # Derived values

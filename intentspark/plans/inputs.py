@@ -3,7 +3,7 @@
 The provided tables are not intent data, so they are mapped:
 
 * user turns   - ``conversations`` rows with role ``user`` are sentences,
-                 ``Id = conv_id * 1000 + turn``;
+                 ``Id = conv_id * 2^32 + turn`` (no turn reaches 2^32);
 * generations  - every ``events`` row carries one of the 26 generation
                  fixture strings below (row ``event_id % 26``), standing in for
                  model output so that every resolver stage is reached;
@@ -52,7 +52,7 @@ GENERATION_FIXTURE: tuple[str, ...] = (
 N_FIXTURE = len(GENERATION_FIXTURE)
 
 # Turn ids are packed as conv_id * TURN_BASE + turn.
-TURN_BASE = 1000
+TURN_BASE = 1 << 32
 
 
 def fixture_pick(key: F.Column) -> F.Column:
@@ -71,7 +71,7 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(Id, conv_id, turn, Sentence)`` for every user turn."""
     conv = read_table(spark, sf_dir, "conversations")
     return (conv.filter(F.col("role") == "user")
-            .select((F.col("conv_id") * TURN_BASE + F.col("turn")).alias("Id"),
+            .select((F.col("conv_id").cast("long") * F.lit(TURN_BASE) + F.col("turn")).alias("Id"),
                     "conv_id", "turn", F.col("text").alias("Sentence")))
 
 

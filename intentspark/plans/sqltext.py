@@ -73,7 +73,7 @@ def api_case(lowered: str) -> str:
 
 GENS = f"(SELECT event_id, {fixture_pick('event_id')} AS generated FROM events)"
 
-USER_TURNS = (f"(SELECT conv_id * {TURN_BASE} + turn AS Id, conv_id, turn, text AS Sentence "
+USER_TURNS = (f"(SELECT CAST(conv_id AS BIGINT) * {TURN_BASE} + turn AS Id, conv_id, turn, text AS Sentence "
               f"FROM conversations WHERE role = 'user')")
 
 LABELLED_TURNS = (f"(SELECT *, list_extract({list_lit(domain.CATEGORIES)}, "

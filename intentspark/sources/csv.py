@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intentspark import domain
 from intentspark.operators.checks import ContractError, require_columns
@@ -26,14 +27,24 @@ WRITE_OPTIONS = dict(header=True, quote='"', escape='"', emptyValue="",
                      ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+SURPLUS = "__surplus_field"
+
+
 class InvalidUtf8Error(ContractError):
     """Strict reading found bytes that are not UTF-8."""
 
 
 def _load(spark: SparkSession, path: str, strict: bool, multi_line: bool = True) -> DataFrame:
     try:
-        return (spark.read.options(**READ_OPTIONS).option("multiLine", multi_line)
-                .option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path))
+        reader = (spark.read.options(**READ_OPTIONS).option("multiLine", multi_line)
+                  .option("mode", "FAILFAST" if strict else "PERMISSIVE"))
+        raw = reader.csv(path)
+        if strict:
+            return raw
+        # one more column than the header has takes a surplus field, which would else be dropped
+        wider = T.StructType([*raw.schema.fields, T.StructField(SURPLUS, T.StringType())])
+        fail = F.raise_error(F.lit(f"{path}: a row has more fields than the header")).cast("boolean")
+        return reader.schema(wider).csv(path).filter(F.when(F.col(SURPLUS).isNotNull(), fail).otherwise(True)).drop(SURPLUS)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"input not found: {path}") from e  # CHK-2
@@ -56,6 +67,8 @@ def read_sentences(spark: SparkSession, path: str, labelled: bool = True,
     """SRC-1/SRC-2 (lenient: bad bytes become U+FFFD) and SRC-3 (strict:
     invalid UTF-8 and malformed rows fail the read).
 
+    A row with fewer fields than the header has nulls for the rest; one with
+    more (but for a single empty one) fails the read.
     Returns ``Id LONG, Sentence STRING[, Category STRING]`` (or ``columns``).
     ``multi_line=False`` is for inputs known to hold no quoted newlines: the
     files are then split across tasks instead of parsed one task per file.

@@ -19,18 +19,19 @@ DEFAULT_QUERY = "SELECT Id, Sentence, Category FROM {table}"
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    return df.select(F.col("Id").cast("int").alias("Id"),
+    return df.select(F.col("Id").cast("long").alias("Id"),
                      F.col("Sentence").cast("string").alias("Sentence"),
                      F.col("Category").cast("string").alias("Category"))
 
 
-def replace_table(df: DataFrame, name: str, location: str) -> None:
-    """SRC-5 (catalog): drop, declare ``Id INT, Sentence VARCHAR(1024),
-    Category VARCHAR(128)`` and overwrite with ``df`` (no index column).
-    Values longer than the declared lengths fail the write."""
+def replace_table(df: DataFrame, name: str, location: str, ddl: str = domain.INTENTS_TABLE_DDL) -> None:
+    """SRC-5 (catalog): drop, declare the columns ``ddl`` and overwrite with
+    ``df`` (no index column). The default types hold any id and any text;
+    with narrower ones (``Id INT, Sentence VARCHAR(1024), ...``) a value that
+    does not fit fails the write."""
     spark = df.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({domain.INTENTS_TABLE_DDL}) USING parquet LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet LOCATION '{location}'")
     _typed(df).write.insertInto(name, overwrite=True)
 
 
@@ -40,13 +41,13 @@ def read_table_query(spark: SparkSession, name: str, query: str = DEFAULT_QUERY)
 
 
 def replace_intents_jdbc(df: DataFrame, url: str, table: str = "intents",
-                         options: dict | None = None) -> None:
-    """SRC-5 (JDBC): overwrite ``table`` keeping the declared column types."""
-    ddl = "Sentence VARCHAR(1024), Category VARCHAR(128)"
-    (_typed(df).write.mode("overwrite").format("jdbc")
-     .option("url", url).option("dbtable", table)
-     .option("createTableColumnTypes", ddl)
-     .options(**(options or {})).save())
+                         options: dict | None = None, ddl: str | None = None) -> None:
+    """SRC-5 (JDBC): overwrite ``table``; ``ddl`` (e.g. ``Sentence VARCHAR(1024)``)
+    declares column types other than the database's for long and string."""
+    w = _typed(df).write.mode("overwrite").format("jdbc").option("url", url).option("dbtable", table)
+    if ddl:
+        w = w.option("createTableColumnTypes", ddl)
+    w.options(**(options or {})).save()
 
 
 def read_intents_jdbc(spark: SparkSession, url: str, table: str = "intents",

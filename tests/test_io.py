@@ -97,9 +97,10 @@ def test_table_replace_keeps_declared_types(spark, tmp_dir):
     name = "intents_test"
     rows3 = [(1, "a", "PlayMusic"), (2, "b", "RateBook"), (3, "c", "GetWeather")]
     df3 = spark.createDataFrame(rows3, "Id long, Sentence string, Category string")
-    intents.replace_table(df3, name, f"{tmp_dir}/t")
+    ddl = "Id INT, Sentence VARCHAR(1024), Category VARCHAR(128)"
+    intents.replace_table(df3, name, f"{tmp_dir}/t", ddl)
     df2 = spark.createDataFrame(rows3[:2], "Id long, Sentence string, Category string")
-    intents.replace_table(df2, name, f"{tmp_dir}/t")
+    intents.replace_table(df2, name, f"{tmp_dir}/t", ddl)
     back = intents.read_table_query(spark, name)
     assert sorted(tuple(r) for r in back.collect()) == [(1, "a", "PlayMusic"), (2, "b", "RateBook")]
     types = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE {name}").collect()}
@@ -107,15 +108,33 @@ def test_table_replace_keeps_declared_types(spark, tmp_dir):
     assert spark.sql(f"SELECT Id FROM {name} WHERE Sentence = 'b'").first()[0] == 2
     too_long = spark.createDataFrame([(9, "x" * 1025, "A")], "Id long, Sentence string, Category string")
     with pytest.raises(Exception):
-        intents.replace_table(too_long, name, f"{tmp_dir}/t2")
+        intents.replace_table(too_long, name, f"{tmp_dir}/t2", ddl)
+
+
+def test_table_holds_any_id_and_text(spark, tmp_dir):
+    rows = [(3_000_000_000, "x" * 1500, "PlayMusic"), (1, None, None)]
+    intents.replace_table(spark.createDataFrame(rows, "Id long, Sentence string, Category string"),
+                          "intents_wide", f"{tmp_dir}/wide")
+    assert sorted(map(tuple, intents.read_table_query(spark, "intents_wide").collect())) == sorted(rows)
 
 
 def test_strict_rejects_malformed_rows(spark, tmp_dir):
     bad = _write(tmp_dir, b'Id,Sentence,Category\n1,"ok",PlayMusic\n2,"a","b",c,d\n', "bad.csv")
     with pytest.raises(Exception):
         csv_io.read_sentences(spark, bad, strict=True).collect()
-    # lenient reading keeps going
-    assert csv_io.read_sentences(spark, bad).count() == 2
+    # lenience is about bytes: a row with too many fields fails here too
+    with pytest.raises(Exception, match="more fields than the header"):
+        csv_io.read_sentences(spark, bad).collect()
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_surplus_fields_fail_and_short_rows_are_null(spark, tmp_dir, multi_line):
+    shifted = _write(tmp_dir, b"Id,Sentence,Category\n1,hello, world,RateBook\n", "shifted.csv")
+    with pytest.raises(Exception, match="more fields than the header"):
+        csv_io.read_sentences(spark, shifted, multi_line=multi_line).count()
+    short = _write(tmp_dir, b"Id,Sentence,Category\n1,hello\n2\n3,a,PlayMusic\n", "short.csv")
+    got = csv_io.read_sentences(spark, short, multi_line=multi_line).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == [(1, "hello", None), (2, None, None), (3, "a", "PlayMusic")]
 
 
 def test_single_line_mode_splits_large_files(spark, tmp_dir):
