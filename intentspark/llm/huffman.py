@@ -24,6 +24,7 @@ checkpoints are decoded side by side.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ END = 2
 MAX_BITS = 16
 BLOCK_IDS = 1 << 16
 EVERY = 64
+TOGETHER = 128  # pieces that go to the tokenizer in one text
 CACHED_WORDS = 1_000_000  # words whose ids a worker keeps
 
 
@@ -160,6 +162,10 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
         self.parts: dict[bytes, bytes] = {b"": b""}
+        # any special token will do, as pieces that hold "<|" are not put together
+        self.mark_id, self.mark = next(
+            (i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
+            if t.special and t.content.startswith("<|"))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16-bit numbers")
 
@@ -167,13 +173,24 @@ class Words:
         """Little-endian 16-bit ids of each text (null: none), without special tokens."""
         split = [b"" if t is None else t.encode().split() for t in texts]
         known, parts = self.ids, self.parts
-        new = {w: _halves(w) for ws in split for w in ws if w not in known}
-        miss = list({p for pair in new.values() for p in pair if p not in parts})
-        for at in range(0, len(miss), 4096):
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in miss[at:at + 4096]], add_special_tokens=False)
-            parts.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(miss[at:], got))
+        new = {w: _halves(w) for w in set(chain.from_iterable(filter(None, split))).difference(known)}
+        miss = set(chain.from_iterable(new.values())).difference(parts)
+        plain = [p for p in miss if b"<|" not in p]
+        # the mark between two pieces is a special token: it ends words and has an id of its own
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at:at + TOGETHER]
+            text = self.mark.join([p.decode() for p in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * np.flatnonzero(ids == self.mark_id)).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer's mark is not kept as a token of its own")
+            data = ids.tobytes()
+            parts.update((p, data[x:y]) for p, x, y in zip(some, [0, *[e + 2 for e in ends]], [*ends, len(data)]))
+        for p in miss.difference(plain):  # may hold a special token itself
+            got = self.tokenizer.encode_batch_fast([p.decode()], add_special_tokens=False)
+            parts[p] = np.array(got[0].ids, "<u2").tobytes()
         known.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
-        out = [b"".join([known[w] for w in ws]) for ws in split]
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
         if len(known) > CACHED_WORDS:
             known.clear()
             parts.clear()
