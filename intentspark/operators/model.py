@@ -10,14 +10,14 @@ vocabulary size, ``len(doc)`` all tokens of the document (unseen ones too).
 The predicted label is the arg-max (ties: smallest label).
 
 Fitting tokenizes the training text once into the count table; class
-totals, sizes and the vocabulary size are aggregates over it. Scoring
-hash-partitions the scored rows by key once; every later aggregate reuses
-that partitioning, and the token-count table is broadcast when its size
-(measured at fit time) fits the broadcast budget, else shuffle-joined on
-the token (AQE splits a hot token's partition). Per-token weights are taken
-relative to ln(alpha), so only matched (class, token) pairs need rows; the
-class table is folded into the expression, or, for very many labels, the
-arg-max is found from matched classes plus a per-length envelope.
+totals, sizes and the vocabulary size are aggregates over it. Scoring is one
+algorithm for any number of labels. Per-token weights are taken relative to
+ln(alpha), so only matched (label, token) pairs need rows: each text is
+exploded where it is read, joined with the weights and summed per row and
+label before anything is shuffled, so no text and no token crosses a shuffle
+when the weights fit a broadcast. Labels that a row doesn't match at all
+score by their line ln(docs_c) - len * ln(n_c + alpha * V), which depends on
+the length alone, so the best of these is found once per distinct length.
 """
 
 from __future__ import annotations
@@ -26,25 +26,15 @@ import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentspark.functions.text import tokenize
-from intentspark.operators.indexing import distinct_rows, repeated, with_row_index
+from intentspark.operators.indexing import repeated
 from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
 from intentspark.session import checkpoint_dir, local_table
 
-# Class tables up to this size are folded into the scoring expression.
-MAX_INLINE_CLASSES = 65_536
-# Up to this many classes the arg-max is written out per class (codegen);
-# beyond it a higher-order function over a literal array is used.
-CODEGEN_CLASSES = 256
-
-
-CLASS_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
-                             T.StructField("docs", T.LongType()),
-                             T.StructField("n_class", T.LongType())])
 META_SCHEMA = T.StructType([T.StructField("alpha", T.DoubleType()),
                             T.StructField("vocab_size", T.LongType()),
                             T.StructField("n_docs", T.LongType()),
@@ -66,6 +56,11 @@ class IntentModel:
         self.counts.unpersist()
 
 
+def _row_bytes(*cols: str) -> Column:
+    """Estimated bytes of a row of the count table in a hashed relation."""
+    return F.lit(ROW_OVERHEAD + 24) + sum((F.octet_length(c) for c in cols), F.lit(0))
+
+
 def fit_intent_model(train: DataFrame, label: str, text: str,
                      alpha: float = 1.0) -> IntentModel:
     """MOD-2: token counts per label, class totals and vocabulary size.
@@ -74,208 +69,123 @@ def fit_intent_model(train: DataFrame, label: str, text: str,
     from lineage if an executor is lost). Per-label token totals and the
     table's size come from one aggregate over it, the vocabulary size from a
     distinct count over it, and documents per label from a scan of the label
-    column alone. The class table (one row per label) is a local table when
-    it is small and a checkpointed distributed table otherwise."""
+    column alone. The class table (one row per label) is checkpointed, so
+    scoring does not recompute it. A training row without a label is an error."""
     spark = train.sparkSession
     counts = (train.select(F.col(label).alias("label"), F.explode(tokenize(text)).alias("token"))
               .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n_tok"))
               .persist(StorageLevel.MEMORY_AND_DISK))
     per_label = counts.groupBy("label").agg(
         F.sum("n_tok").alias("n_class"), F.count(F.lit(1)).alias("rows"),
-        F.sum(F.length("token") + F.length("label")).alias("chars"))
+        F.sum(_row_bytes("token", "label")).alias("bytes"))
     docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
-    doc_rows = docs.limit(MAX_INLINE_CLASSES + 1).collect()
-    unlabelled = sum(int(r["docs"]) for r in doc_rows if r["label"] is None)
-    if unlabelled:
+    checkpoint_dir(spark)
+    table = (docs.join(per_label, "label", "left")
+             .select("label", "docs", F.coalesce("n_class", F.lit(0)).cast("long").alias("n_class"), "rows", "bytes")
+             .checkpoint(eager=True))
+    sums = table.agg(F.sum("docs").alias("docs"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"),
+                     F.sum(F.when(F.col("label").isNull(), F.col("docs"))).alias("unlabelled")).first()
+    if sums["unlabelled"]:
         counts.unpersist()
-        raise ValueError(f"{unlabelled} training rows have no label")
-    if len(doc_rows) <= MAX_INLINE_CLASSES:
-        sums = {r["label"]: r for r in per_label.collect()}
-        classes = local_table(
-            spark, [(r["label"], int(r["docs"]), int(sums[r["label"]]["n_class"]) if r["label"] in sums else 0)
-                    for r in doc_rows], CLASS_SCHEMA)
-        n_counts = sum(int(r["rows"]) for r in sums.values())
-        chars = sum(int(r["chars"] or 0) for r in sums.values())
-        n_docs = sum(int(r["docs"]) for r in doc_rows)
-    else:
-        # many labels: the class table stays distributed, written to the
-        # shared checkpoint folder so scoring does not recompute it
-        checkpoint_dir(spark)
-        classes = (docs.join(per_label.select("label", "n_class"), "label", "left")
-                   .select("label", "docs", F.coalesce("n_class", F.lit(0)).cast("long").alias("n_class"))
-                   .checkpoint(eager=True))
-        t = per_label.agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars")).first()
-        n_counts, chars = int(t["rows"] or 0), int(t["chars"] or 0)
-        n_docs = int(docs.agg(F.sum("docs")).first()[0] or 0)
+        raise ValueError(f"{sums['unlabelled']} training rows have no label")
     vocab_size = counts.select("token").distinct().count()
-    counts_bytes = n_counts * (ROW_OVERHEAD + 24) + chars
-    meta = local_table(spark, [(float(alpha), int(vocab_size), int(n_docs), int(n_counts), counts_bytes)],
-                       META_SCHEMA)
-    return IntentModel(counts, classes, meta)
+    meta = local_table(spark, [(float(alpha), int(vocab_size), int(sums["docs"] or 0), int(sums["rows"] or 0),
+                                int(sums["bytes"] or 0))], META_SCHEMA)
+    return IntentModel(counts, table.select("label", "docs", "n_class"), meta)
+
+
+def _split_weights(weights: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(head, tail) of ``weights`` (token, label, _n, _w): the head holds the
+    most frequent tokens and is within ``budget`` bytes.
+
+    The cut is a power of two in the token's count over all labels, so the
+    driver sees one row for each of at most 64 sizes."""
+    size = F.floor(F.log2("_total")).cast("int")
+    totals = weights.groupBy("token").agg(F.sum("_n").alias("_total"), F.sum(_row_bytes("token", "label")).alias("_bytes"))
+    totals = totals.select("token", "_bytes", size.alias("_size"))
+    cut, held = 64, 0
+    for r in sorted(totals.groupBy("_size").agg(F.sum("_bytes").alias("b")).collect(), reverse=True):
+        held += int(r["b"])
+        if held > budget:
+            break
+        cut = r["_size"]
+    sized = weights.join(totals.select("token", "_size"), "token")
+    return (sized.filter(F.col("_size") >= cut).select("token", "label", "_w"),
+            sized.filter(F.col("_size") < cut).select("token", "label", "_w"))
+
+
+def _base_labels(df: DataFrame, text: str, lines: DataFrame) -> DataFrame:
+    """(_len, _base): the best label by its line alone for each length that
+    occurs. Every length meets every label, by an equi-join on a bucket of the
+    labels; of the pairs only the best a length leaves the task."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lengths = df.select(F.size(tokenize(F.coalesce(text, F.lit("")))).alias("_len")).distinct()
+    spread = lengths.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    bucketed = lines.withColumn("_b", F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int"))
+    if fits_broadcast(lines):
+        bucketed = F.broadcast(bucketed)
+    return spread.join(bucketed, "_b").groupBy("_len").agg(F.min(_candidate(F.lit(0.0))).alias("_base"))
+
+
+def _candidate(matched: Column) -> Column:
+    """Orders labels by descending score, then by name."""
+    score = F.col("_prior") + matched - F.col("_len") * F.col("_logden")
+    return F.struct((-score).alias("cost"), F.col("label").alias("label"))
 
 
 def score_intent_model(df: DataFrame, model: IntentModel, key: str, text: str,
                        out: str = "predicted", carry=()) -> DataFrame:
     """MOD-3: ``(key, *carry, predicted)``, one row for every row of ``df``
     (empty text included: its score is the class prior). The key need not be
-    unique; ``carry`` names further columns to keep, e.g. the true label."""
+    unique; ``carry`` names further columns to keep, e.g. the true label.
+
+    Rows are told apart by what they hold (key, carried columns and a hash of
+    the text). A token that no row holds marks each row: the number of marks
+    is the number of equal rows, by which their common sums are divided, and
+    rows without any matching token are kept by it."""
     meta = model.meta_row()
     alpha, vocab = meta["alpha"], meta["vocab_size"]
-    cls = model.classes.limit(MAX_INLINE_CLASSES + 1).collect()
-    many = len(cls) > MAX_INLINE_CLASSES
-    cls = sorted(cls, key=lambda r: r["label"])
-
-    # One shuffle: equal rows are combined and partitioned by what they hold;
-    # the per-token counts, the per-label sums and the per-row map all reuse
-    # that partitioning. Rows with no matching token (or no token) are kept by
-    # the outer explode and the left join, so every row gets a prediction.
-    # the raw text is shuffled (more compact than token arrays) and tokenized
-    # after the exchange, in parallel over the partitions
-    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     by = ["_key", *[f"_c{i}" for i in range(len(carry))]]
-    ids = [*by, "_h", "_times"]
-    result = [F.col("_key").alias(key), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]]
-    docs = (distinct_rows(df.select(F.col(key).alias("_key"), *kept, F.coalesce(text, F.lit("")).alias("_text")),
-                          by, "_text")
-            .select(*ids, tokenize("_text").alias("_toks"))
-            .select(*ids, F.size("_toks").alias("_len"), "_toks"))
-    tf = (docs.select(*ids, "_len", F.explode_outer("_toks").alias("token"))
-          .groupBy(*ids, "_len", "token").agg(F.count("token").alias("_f")))
-    # a token unseen in a class contributes ln(alpha) to that class; writing
-    # every weight relative to it leaves len * ln(alpha), the same for all
-    # classes, so only matched (class, token) pairs need a row
+    ids = [*by, "_h", "_len"]
+    rows = (df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
+                      F.coalesce(text, F.lit("")).alias("_text"))
+            .select(*by, F.md5("_text").alias("_h"), tokenize("_text").alias("_toks"))
+            .select(*by, "_h", F.size("_toks").alias("_len"), "_toks"))
+    # tokens hold no white space, so a blank is no token
+    exploded = rows.select(*ids, F.explode(F.concat(F.array(F.lit(" ")), "_toks")).alias("token"))
     weights = model.counts.select(
-        "token", "label", (F.log(F.col("n_tok") + F.lit(alpha)) - F.lit(math.log(alpha))).alias("_w"))
-    if meta["counts_bytes"] <= broadcast_budget(df):
-        matched = tf.join(F.broadcast(weights), "token", "left")
-    else:
-        matched = tf.join(weights, "token", "left").repartition(*by, "_h")
-    label_sums = (matched.groupBy(*ids, "_len", "label")
-                  .agg(F.sum(F.col("_f") * F.col("_w")).alias("_s")))
-    if many:
-        best = repeated(_best_many_labels(label_sums, ids, model.classes, alpha, vocab))
-        return best.select(*result, F.col("_best.label").alias(out))
-    scored = (label_sums
-              .groupBy(*ids, "_len")
-              .agg(F.map_from_entries(F.collect_list(
-                  F.when(F.col("label").isNotNull(), F.struct("label", "_s")))).alias("_m")))
-
-    def class_score(rank, label_name, prior, logden):
-        s = (F.lit(prior) + F.coalesce(F.try_element_at(F.col("_m"), F.lit(label_name)), F.lit(0.0))
-             - F.col("_len") * F.lit(logden))
-        return F.struct(s.alias("score"), F.lit(rank).alias("rank"), F.lit(label_name).alias("label"))
-
-    if len(cls) <= CODEGEN_CLASSES:
-        # explicit per-class expressions: compiled by whole-stage codegen
-        parts = [class_score(-i, r["label"], math.log(r["docs"]),
-                             math.log(r["n_class"] + alpha * vocab)) for i, r in enumerate(cls)]
-        best = F.greatest(*(parts * 2 if len(parts) == 1 else parts))
+        "token", "label", F.col("n_tok").alias("_n"),
+        (F.log(F.col("n_tok") + F.lit(alpha)) - F.lit(math.log(alpha))).alias("_w"))
+    is_mark = F.col("token") == F.lit(" ")
+    budget = broadcast_budget(df)
+    if meta["counts_bytes"] <= budget:
+        head, rest = weights.select("token", "label", "_w"), None
     else:
-        class_arr = F.array(*[
-            F.struct(F.lit(-i).alias("rank"), F.lit(r["label"]).alias("label"),
-                     F.lit(math.log(r["docs"])).alias("prior"),
-                     F.lit(math.log(r["n_class"] + alpha * vocab)).alias("logden"))
-            for i, r in enumerate(cls)])
-        best = F.array_max(F.transform(class_arr, lambda c: F.struct(
-            (c["prior"] + F.coalesce(F.try_element_at(F.col("_m"), c["label"]), F.lit(0.0))
-             - F.col("_len") * c["logden"]).alias("score"),
-            c["rank"].alias("rank"), c["label"].alias("label"))))
-    return repeated(scored.select(*ids, best["label"].alias("_best"))).select(*result, F.col("_best").alias(out))
-
-
-# Lines handled by one task when the class table is too large to inline.
-ENVELOPE_GROUP_LINES = 50_000
-# Distinct document lengths evaluated against the class lines (size check).
-MAX_DISTINCT_LENGTHS = 2_000_000
-
-
-def _envelope_best(lengths):
-    """applyInPandas body: for one group of class lines ``y = b - m * L``,
-    the best line (highest y, then highest rank) at every length in
-    ``lengths``, via the upper envelope (sort by slope, hull, binary
-    search; the neighbours of the found segment are checked so ties at a
-    breakpoint go to the better rank)."""
-    import numpy as np
-    import pandas as pd
-
-    xs = np.asarray(sorted(lengths), dtype=np.float64)
-
-    def fn(pdf):
-        k = -pdf["_m"].to_numpy(dtype=np.float64)
-        b = pdf["_b"].to_numpy(dtype=np.float64)
-        rank = pdf["_rank"].to_numpy(dtype=np.int64)
-        labels = pdf["label"].to_numpy()
-        # slope ascending; within one slope the best (b, rank) last
-        order = np.lexsort((rank, b, k))
-        keep = np.ones(len(order), dtype=bool)
-        keep[:-1] = k[order][:-1] != k[order][1:]
-        order = order[keep]
-        hull: list[int] = []
-        for i in order:
-            while len(hull) >= 2:
-                i1, i2 = hull[-2], hull[-1]
-                if (b[i] - b[i1]) * (k[i2] - k[i1]) > (b[i2] - b[i1]) * (k[i] - k[i1]):
-                    hull.pop()
-                else:
-                    break
-            hull.append(i)
-        h = np.asarray(hull)
-        cuts = (b[h[:-1]] - b[h[1:]]) / (k[h[1:]] - k[h[:-1]]) if len(h) > 1 else np.empty(0)
-        pos = np.searchsorted(cuts, xs, side="right")
-        best_y = np.full(len(xs), -np.inf)
-        best_i = np.zeros(len(xs), dtype=np.int64)
-        for d in (-1, 0, 1):
-            j = np.clip(pos + d, 0, len(h) - 1)
-            cand = h[j]
-            y = b[cand] + k[cand] * xs
-            better = (y > best_y) | ((y == best_y) & (rank[cand] > rank[best_i]))
-            best_y = np.where(better, y, best_y)
-            best_i = np.where(better, cand, best_i)
-        return pd.DataFrame({"_len": xs.astype(np.int64), "score": best_y,
-                             "rank": rank[best_i], "label": labels[best_i]})
-    return fn
-
-
-def _best_many_labels(label_sums: DataFrame, ids: list, classes: DataFrame, alpha: float,
-                      vocab: int) -> DataFrame:
-    """Arg-max over a class table too large to inline, exactly, without a
-    document-by-class product.
-
-    Matched sums are never negative, so a document's best class is either a
-    class it matched (score = line + sum) or the best class by its line
-    ``ln(docs) - len * ln(n_class + alpha * V)`` alone, which depends only
-    on the length. The latter is found per distinct length: class lines are
-    hash-split into groups of at most ``ENVELOPE_GROUP_LINES``, each group's
-    upper envelope is evaluated at the distinct lengths (applyInPandas), and
-    the groups' answers are reduced per length. Ties go to the smallest
-    label (rank from a distributed sort of the labels)."""
-    ranked = with_row_index(classes.select("label", "docs", "n_class"), [F.asc("label")], out="_idx")
-    lines = ranked.select("label", F.log("docs").alias("_b"),
-                          F.log(F.col("n_class") + F.lit(alpha * vocab)).alias("_m"),
-                          (-F.col("_idx")).alias("_rank"))
-    n_lines = lines.count()
-    lengths = [r[0] for r in label_sums.select("_len").distinct()
-               .limit(MAX_DISTINCT_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_DISTINCT_LENGTHS:
-        raise ValueError(f"more than {MAX_DISTINCT_LENGTHS} distinct document lengths")
-    groups = max(1, -(-n_lines // ENVELOPE_GROUP_LINES))
-    per_group = (lines.groupBy(F.pmod(F.xxhash64("label"), F.lit(groups)).alias("_g"))
-                 .applyInPandas(_envelope_best(lengths),
-                                "_len long, score double, rank long, label string"))
-    best_base = (per_group.groupBy("_len")
-                 .agg(F.max(F.struct("score", "rank", "label")).alias("_bb")))
-    if fits_broadcast(best_base):
-        best_base = F.broadcast(best_base)
-    line_side = lines.select("label", "_b", "_m", "_rank")
-    if fits_broadcast(line_side):
-        line_side = F.broadcast(line_side)
-    cand = (label_sums.join(line_side, "label", "left")
-            .select(*ids, "_len", F.when(F.col("label").isNotNull(), F.struct(
-                (F.col("_b") - F.col("_len") * F.col("_m") + F.col("_s")).alias("score"),
-                F.col("_rank").alias("rank"), F.col("label").alias("label"))).alias("_c")))
-    best_matched = cand.groupBy(*ids, "_len").agg(F.max("_c").alias("_bm"))
-    return (best_matched.join(best_base, "_len", "left")
-            .select(*ids, F.greatest("_bm", "_bb").alias("_best")))
+        head, rest = _split_weights(weights, budget)
+    # a broadcast side of at most ``budget`` bytes
+    met = exploded.join(F.broadcast(head) if budget > 0 else head, "token", "left") \
+        .filter(F.col("label").isNotNull() | is_mark).select(*ids, "label", "_w", is_mark.alias("_mark"))
+    if rest is not None:
+        # rare tokens: few labels each, so this join hands on few rows a token
+        met = met.unionByName(exploded.join(rest, "token").select(*ids, "label", "_w", F.lit(False).alias("_mark")))
+    sums = met.groupBy(*ids, "label").agg(F.sum("_w").alias("_s"), F.count_if("_mark").alias("_times"))
+    # at most one entry a label
+    grouped = sums.groupBy(*ids).agg(
+        F.max("_times").alias("_times"),
+        F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "_s"))).alias("_m"))
+
+    lines = model.classes.select("label", F.log("docs").alias("_prior"),
+                                 F.log(F.col("n_class") + F.lit(alpha * vocab)).alias("_logden"))
+    small = fits_broadcast(lines)
+    flat = grouped.select(*ids, "_times", F.explode_outer("_m").alias("_e")) \
+        .select(*ids, "_times", F.col("_e.label").alias("label"), (F.col("_e._s") / F.col("_times")).alias("_s"))
+    scored = flat.join(F.broadcast(lines) if small else lines, "label", "left")
+    best = scored.groupBy(*ids, "_times").agg(
+        F.min(F.when(F.col("label").isNotNull(), _candidate(F.col("_s")))).alias("_best"))
+    base = _base_labels(df, text, lines)
+    chosen = best.join(base, "_len").select(*by, "_times", F.least("_best", "_base")["label"].alias("_label"))
+    return repeated(chosen).select(F.col("_key").alias(key), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
+                                   F.col("_label").alias(out))
 
 
 def evaluate(pred: DataFrame, truth: DataFrame, key: str, label: str,

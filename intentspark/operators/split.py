@@ -1,18 +1,23 @@
 """Deterministic exact-size train/validation split (SPL-1, SPL-2).
 
-Rows are ordered by ``(md5("<seed>:<key>"), key)``; the first
+Rows are ordered by ``md5("<seed>:<key>")`` (null keys first); the first
 ``ceil(fraction * n)`` rows are the validation part. The cut is found with a
 distributed radix select on the hash: a histogram of hash prefixes (at most
 4,096 buckets, so the driver only ever sees bucket counts), a walk to the
 bucket holding the k-th row, and, if that bucket is still large, the same on
-the next prefix digits. Only the final small bucket is sorted. The split is
-then one comparison with two literals: no join, no shuffle, the same rows
-under any partitioning.
+the next prefix digits. The split is then one comparison with literals: no
+join, no shuffle, no sort, the same rows under any partitioning.
+
+A key that several rows share may straddle the cut. Only then its rows are
+ordered by a hash of the whole row, by the same select; and if wholly equal
+rows straddle it, which can't be told apart, the number of them that goes to
+either part is exact.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +25,20 @@ from pyspark.sql import functions as F
 from intentspark import domain
 
 PREFIX_STEP = 3          # hex digits per histogram round -> 4,096 buckets
-SMALL_BUCKET = 50_000    # sort the boundary bucket once it is this small
+HASH_DIGITS = 32
+SMALL_BUCKET = 4_096     # count by whole hash once the boundary bucket is this small
+NULL_HASH = "0" * HASH_DIGITS
+COPY_STEP = 1 << 16      # equal rows that a task writes out from one row
 
 
 def split_hash(key: str | Column, seed: int = domain.SPLIT_SEED) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string"))), F.lit(NULL_HASH))
+
+
+def row_hash(columns: Iterable[str]) -> Column:
+    """A hash of all that a row holds; nulls count."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}))
 
 
 def eval_size(n: int, fraction: float = domain.SPLIT_TEST_FRACTION) -> int:
@@ -33,59 +46,72 @@ def eval_size(n: int, fraction: float = domain.SPLIT_TEST_FRACTION) -> int:
     return int(math.ceil(fraction * n)) if n else 0
 
 
-def _histogram(cand: DataFrame, prefix: str, width: int) -> list[tuple[str, int]]:
-    part = cand if not prefix else cand.filter(F.col("_h").startswith(prefix))
+def _histogram(hashes: DataFrame, prefix: str, width: int) -> list[tuple[str, int]]:
+    part = hashes if not prefix else hashes.filter(F.col("_h").startswith(prefix))
     return sorted((r[0], r[1]) for r in
                   part.groupBy(F.substring("_h", 1, width).alias("_b")).count().collect())
 
 
-def _cut(cand: DataFrame, hist: list[tuple[str, int]], k: int):
-    """(hash, key) of the k-th smallest row (1-based), starting from the
-    first-round histogram."""
-    prefix, need = "", k
+def _cut(hashes: DataFrame, hist: list[tuple[str, int]], k: int) -> tuple[str, int, int]:
+    """(hash of the k-th smallest row, rows with that hash, how many of these
+    are among the first k), starting from the first round's histogram."""
+    need = k
     while True:
-        width = len(hist[0][0])
-        before = 0
         for bucket, cnt in hist:
-            if before + cnt >= need:
+            if cnt >= need:
                 break
-            before += cnt
-        need -= before
-        prefix = bucket
-        if cnt <= SMALL_BUCKET or (width >= 32 and cnt == 1):
-            last = (cand.filter(F.col("_h").startswith(prefix))
-                    .orderBy("_h", "_k").limit(need)
-                    .orderBy(F.desc("_h"), F.desc("_k")).limit(1).collect())[0]
-            return last["_h"], last["_k"]
-        if width >= 32:
-            # the full hash cannot separate these rows: one key repeated
-            # many times. Sorting them would gather them in one task.
-            raise ValueError(f"split key is not unique: {cnt} rows share one key hash")
-        hist = _histogram(cand, prefix, min(width + PREFIX_STEP, 32))
+            need -= cnt
+        if len(bucket) == HASH_DIGITS:
+            return bucket, cnt, need
+        width = HASH_DIGITS if cnt <= SMALL_BUCKET else min(len(bucket) + PREFIX_STEP, HASH_DIGITS)
+        hist = _histogram(hashes, bucket, width)
 
 
 def with_split(df: DataFrame, key: str, fraction: float = domain.SPLIT_TEST_FRACTION,
                seed: int = domain.SPLIT_SEED, out: str = "split") -> DataFrame:
     """SPL-1: add ``split`` = ``eval`` for the first ``ceil(fraction*n)`` rows
-    in hash order, else ``train``. ``key`` must be unique: rows sharing a
-    key fall on the same side (a few duplicates can push the held-out part
-    over its size; a key repeated more than ``SMALL_BUCKET`` times is an
-    error rather than a sort of all its rows in one task).
-
-    Jobs: one histogram (which also gives ``n``), then one small sort of the
-    boundary bucket (plus a further histogram per 4,096-fold refinement when
-    a bucket is still large)."""
-    cand = (df.select(split_hash(key, seed).alias("_h"), F.col(key).alias("_k"))
-            .filter(F.col("_k").isNotNull()))  # a null key is never held out
-    hist = _histogram(cand, "", PREFIX_STEP)
-    n = sum(c for _, c in hist)
-    k = eval_size(n, fraction)
+    in hash order, else ``train``. The size is exact for any keys: repeated
+    ones and null included (null keys come first).
+
+    Jobs: one histogram (which also gives ``n``) and one or a few on the
+    boundary bucket; as many again if the key at the cut has more rows than
+    are wanted of it."""
+    h = split_hash(key, seed)
+    hashes = df.select(h.alias("_h"))
+    hist = _histogram(hashes, "", PREFIX_STEP)
+    k = eval_size(sum(c for _, c in hist), fraction)
     if k == 0:
         return df.withColumn(out, F.lit("train"))
-    cut_h, cut_k = _cut(cand, hist, k)
-    h = split_hash(key, seed)
-    is_eval = (h < F.lit(cut_h)) | ((h == F.lit(cut_h)) & (F.col(key) <= F.lit(cut_k)))
-    return df.withColumn(out, F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
+
+    def side(is_eval: Column) -> Column:
+        return F.when(is_eval, F.lit("eval")).otherwise(F.lit("train"))
+
+    cut, cnt, need = _cut(hashes, hist, k)
+    if need == cnt:
+        return df.withColumn(out, side(h <= F.lit(cut)))
+    at_cut = h == F.lit(cut)
+    whole = row_hash(df.columns)
+    tied = df.filter(at_cut).select(whole.alias("_h"))
+    last, cnt, need = _cut(tied, _histogram(tied, "", PREFIX_STEP), need)
+    flagged = df.withColumn(out, side((h < F.lit(cut)) | (at_cut & (whole <= F.lit(last)))))
+    if need == cnt:
+        return flagged
+    equal = at_cut & (whole == F.lit(last))
+    return flagged.filter(~equal).unionByName(_copies(df.filter(equal).limit(1), need, cnt, out))
+
+
+def _copies(row: DataFrame, n_eval: int, n: int, out: str) -> DataFrame:
+    """The one row of ``row`` n times, ``n_eval`` of them held out; large
+    numbers are written out by several tasks."""
+    parts = -(-n // COPY_STEP)
+    at = F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("_row")
+    blocks = row.select(at, F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("long"))).alias("_block"))
+    if parts > 1:
+        blocks = blocks.repartition(parts, "_block")
+    first = F.col("_block") * COPY_STEP
+    copies = blocks.select("_row", F.explode(F.sequence(
+        first, F.least(first + COPY_STEP, F.lit(n)) - 1)).alias("_i"))
+    return copies.select("_row.*", F.when(F.col("_i") < n_eval, F.lit("eval")).otherwise(F.lit("train")).alias(out))
 
 
 def train_eval_split(df: DataFrame, key: str, fraction: float = domain.SPLIT_TEST_FRACTION,

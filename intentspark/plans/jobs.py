@@ -75,8 +75,8 @@ def fit_csv(spark: SparkSession, input_path: str, model_dir: str,
     m = model_op.fit_intent_model(train, label="Category", text="Sentence", alpha=alpha)
     model_op.save_model(m, model_dir)
     m = model_op.load_model(spark, model_dir)
-    pred = model_op.score_intent_model(held, m, key="Id", text="Sentence")
-    _, metrics = model_op.evaluate(pred, held, key="Id", label="Category")
+    pred = model_op.score_intent_model(held, m, key="Id", text="Sentence", carry=["Category"])
+    _, metrics = model_op.evaluate_scored(pred, "Category")
     return {
         "sizes": {r["split"]: r["n"] for r in split_op.split_sizes(flagged).collect()},
         "metrics": [r["line"] for r in model_op.format_metrics(metrics).orderBy("metric").collect()],

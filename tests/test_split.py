@@ -54,8 +54,43 @@ def test_string_keys_and_empty(spark):
     assert split_op.with_split(empty, "key").count() == 0
 
 
-def test_hot_duplicate_key_is_rejected_not_funnelled(spark, monkeypatch):
-    monkeypatch.setattr(split_op, "SMALL_BUCKET", 100)
-    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("Id"))
-    with pytest.raises(ValueError, match="not unique"):
-        split_op.with_split(df, "Id", fraction=0.5)
+def sizes(df, fraction, key="Id"):
+    flagged = split_op.with_split(df, key, fraction=fraction)
+    got = {r["split"]: r["n"] for r in split_op.split_sizes(flagged).collect()}
+    return flagged, got.get("eval", 0), got.get("train", 0)
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.5, 0.9])
+def test_hot_key_straddling_the_cut_splits_exactly(spark, fraction):
+    # a third of the rows share a key and differ otherwise
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("Id"),
+                                 F.col("id").alias("other"))
+    flagged, n_eval, n_train = sizes(df, fraction)
+    assert n_eval == math.ceil(fraction * 900) and n_eval + n_train == 900
+    again = split_op.with_split(df.repartition(5), "Id", fraction=fraction)
+    assert sorted(map(tuple, flagged.collect())) == sorted(map(tuple, again.collect()))
+
+
+@pytest.mark.parametrize("step", [7, 1 << 16])
+def test_wholly_equal_rows_are_counted_exactly(spark, monkeypatch, step):
+    monkeypatch.setattr(split_op, "COPY_STEP", step)
+    df = spark.range(100).select(F.lit(5).cast("long").alias("Id"), F.lit(None).cast("string").alias("text"))
+    flagged, n_eval, n_train = sizes(df, 0.1)
+    assert (n_eval, n_train) == (10, 90)
+    assert flagged.schema.simpleString() == "struct<Id:bigint,text:string,split:string>"
+    assert {(r["Id"], r["text"]) for r in flagged.collect()} == {(5, None)}
+
+
+def test_null_keys_come_first_and_count(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("Id"), F.col("id").alias("other"))
+    flagged, n_eval, n_train = sizes(df, 0.1)
+    assert (n_eval, n_train) == (10, 90)
+    assert all(r["Id"] is None for r in flagged.filter("split = 'eval'").collect())
+
+
+def test_repeated_keys_split_exactly(spark):
+    df = spark.range(140).select((F.col("id") % 20).alias("Id"), F.col("id").alias("other"))
+    _, n_eval, n_train = sizes(df, 0.1)
+    assert (n_eval, n_train) == (14, 126)
+    _, n_eval, n_train = sizes(df, 0.07)
+    assert (n_eval, n_train) == (10, 130)
