@@ -6,9 +6,10 @@ with a Jaccard similarity of 0.8 or more.
 1. One pass over the texts makes, for each document, the digest of its
    shingle set and its MinHash bands. Documents with the same set are copies
    and go on as one set with a weight.
-2. Sets that share a band are candidates. Within a band's bucket each set is
-   tied to the bucket's smallest one, so a bucket of n sets gives n - 1 ties;
-   the connected components of the ties hold every candidate pair.
+2. Sets that share a band are candidates. Within a band's bucket each set goes
+   with the bucket's smallest one, its hub. A set and its hubs (one a band at
+   most) are tied to the smallest of these hubs, so ties are few however large
+   a bucket is; the connected components of the ties hold every candidate pair.
 3. A component is cut into blocks of about ``BLOCK`` sets, and a task gets two
    blocks (or one with itself), however large the component is. For the pairs
    in it MinHash values are compared sixteen at a time, and a pair is dropped
@@ -254,8 +255,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     # ties of each band's bucket to its smallest set
     rows = sets.select("node", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = (rows.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-            .distinct())
+    # a set is tied to the smallest of its hubs, and so are its other hubs: what its bands connect stays
+    # connected, and the hubs of a large group, few as they are, give few distinct ties
+    tied = rows.join(hubs, "band").groupBy("node").agg(F.min("hub").alias("b"), F.collect_set("hub").alias("hubs"))
+    ties = (tied.select("b", F.explode(F.array_union(F.array("node"), "hubs")).alias("a"))
+            .filter("a <> b").select("a", "b").distinct())
     comps = components(ties, "near-ties")
     sizes = comps.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     chosen = (comps.join(sizes, "label").join(sets.select("node", "rep", "copies"), "node")
