@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import documents, prepare
+from intentspark.llm.common import MASK64, documents, prepare
 from intentspark.sources.tables import read_table
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -36,6 +36,7 @@ SAMPLE_CHARS = 100_000  # a longer text is not used for fitting (it is scored wh
 UPDATES = 1000  # batches that the fit takes, whatever the sample's size
 BATCH = 64
 RATE = 1.0
+START_BIAS = -3.0
 SEED = 20240917
 LEAST = 0.01  # smaller weights are left out
 THRESHOLD = 0.7
@@ -91,7 +92,7 @@ def train(texts: list[str], labels: list[int], updates: int = UPDATES, rate: flo
 
     bags = [placed(f, o) for f, o in bags]
     w, g2 = np.zeros(len(kept)), np.full(len(kept), 1e-3)
-    b, b2 = -3.0, 1.0
+    b, b2 = START_BIAS, 1.0
     rng = np.random.default_rng(seed)
     for _ in range(-(-updates * BATCH // max(len(bags), 1)) if len(kept) else 0):
         order = rng.permutation(len(bags))
@@ -154,10 +155,10 @@ class Scorer:
         return float(score), len(sums), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= threshold)]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limit: int = SAMPLE_DOCS,
-                    chars: int = SAMPLE_CHARS, seed: int = SEED, halves: bool = False) -> list:
-    """(text, label) of at most ``limit`` labelled documents, in a fixed order;
-    ``halves``: at most half of them with either label.
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, fold, limit: int = SAMPLE_DOCS,
+                chars: int = SAMPLE_CHARS, seed: int = SEED, halves: bool = False) -> DataFrame:
+    """(_h, doc_id, text, _y) of at most ``limit`` labelled documents, in the
+    order of (_h, doc_id); ``halves``: at most half of them with either label.
 
     The ids come first, from the labels alone, by a seeded hash; only the
     texts of that bounded set are then read. A doc_id labelled twice counts
@@ -171,9 +172,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limit:
                .unionAll(ids.filter("_y = 0").orderBy("_h", "doc_id").limit(limit - limit // 2)))
     else:
         ids = ids.orderBy("_h", "doc_id").limit(limit)
-    got = (docs.select("doc_id", "text").filter(F.length("text") <= chars)
-           .join(F.broadcast(ids), "doc_id")  # at most ``limit`` rows of three numbers
-           .dropDuplicates(["doc_id"]).orderBy("_h", "doc_id").limit(limit).select("text", "_y").toPandas())
+    return (docs.select("doc_id", "text").filter(F.length("text") <= chars)
+            .join(F.broadcast(ids), "doc_id")  # at most ``limit`` rows of three numbers
+            .dropDuplicates(["doc_id"]).orderBy("_h", "doc_id").limit(limit).select("_h", "doc_id", "text", "_y"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limit: int = SAMPLE_DOCS,
+                    chars: int = SAMPLE_CHARS) -> list:
+    """(text, label) of :func:`sample_rows`, in their order."""
+    got = sample_rows(docs, labels, label, fold, limit, chars).select("text", "_y").toPandas()
     return list(zip(got["text"], got["_y"].astype(int)))
 
 
@@ -214,10 +221,26 @@ def score_documents(docs: DataFrame, model: tuple, text: str = "text",
     return src.mapInArrow(run, schema)
 
 
+def _train_task(batches):
+    """The sample's rows to (feature, weight); the bias comes with a null feature."""
+    import pandas as pd
+    rows = sorted((r for pdf in batches for r in pdf.itertuples(index=False, name=None)), key=lambda r: r[:2])
+    weights, bias = train([r[2] for r in rows], [int(r[3]) for r in rows])
+    keys = np.array(list(weights), np.uint64).view(np.int64)
+    yield pd.DataFrame({"feature": pd.array([*keys.tolist(), None], "Int64"), "weight": [*weights.values(), bias]})
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold=None) -> tuple:
-    """A model from the documents' labels. Without a labelled document it scores all alike, near 0."""
-    rows = training_sample(docs, labels, "toxic", F.lit(True) if fold is None else fold, halves=True)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    """A model from the documents' labels. Without a labelled document it scores all alike, near 0.
+
+    The bounded sample is trained on in one task, so its texts never reach the
+    driver; a lost executor's task runs again and gives the same weights.
+    """
+    prepare(spark)
+    sample = sample_rows(docs, labels, "toxic", F.lit(True) if fold is None else fold, halves=True)
+    got = sample.mapInPandas(_train_task, "feature bigint, weight double").collect()  # bounded by the sample
+    bias = next((r["weight"] for r in got if r["feature"] is None), START_BIAS)
+    return {r["feature"] & MASK64: r["weight"] for r in got if r["feature"] is not None}, bias
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
