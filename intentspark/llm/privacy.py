@@ -1,17 +1,23 @@
 """Personal data, and terms that give it away; DataFrame functions only.
 
 Base kinds are found by pattern in every whole text. Then, for each found
-value (the protected entity c), the corpus tells how strongly the words t
-around it reveal it: with N documents, n(c) and n(t) of them holding c and t,
-and n(c, t) holding t near c,
+value (the protected entity c), the corpus tells how strongly the words t of
+its documents reveal it: with N documents, n(c), n(t) and n(c, t) of them
+holding c, t and both, and p(c) = n(c) / N,
 
-    disclosure(c, t) = PMI(c; t) / IC(c) = log(N n(c,t) / (n(c) n(t))) / log(N / n(c))
+    p(c|t) = (n(c,t) + PRIOR p(c)) / (n(t) + PRIOR)
+    disclosure(c, t) = PMI(c; t) / IC(c) = log(p(c|t) / p(c)) / log(1 / p(c))
 
-which is 1 when t occurs with c only and 0 when they are independent. Terms
-whose disclosure of an entity exceeds ``DISCLOSURE``, with a support of at
-least ``SUPPORT`` documents, are spans of kind ``term`` in the documents that
-hold the entity. ``sanitised`` generalises base values to their kind and
-removes terms.
+which nears 1 when t occurs with c only and is 0 when they are independent.
+The prior weighs as much as ``PRIOR`` documents, so a value or a word seen
+once counts, for less than one seen often. Terms whose disclosure of an entity
+exceeds ``DISCLOSURE`` are spans of kind ``term`` in the documents that hold
+the entity, wherever they stand. ``sanitised`` generalises base values to
+their kind and removes terms.
+
+Entities that occur in the same documents have the same terms, so pairs are
+counted for sets of documents (told apart by 128 bits of their rows' hashes),
+not for each of a document's values.
 
 Spans are (start, end) in code points. A pattern's places come from the
 lengths of its matches and of the text between them, both of which Spark's
@@ -26,9 +32,8 @@ from pyspark.sql import functions as F
 from intentspark.llm.common import documents, written
 
 DISCLOSURE = 0.9
-SUPPORT = 5
-CONTEXT_CHARS = 48  # on either side of a value
-TERM_LETTERS = 4  # shorter words are no terms
+PRIOR = 1.0  # documents that the independence of a term and an entity weighs
+TERM_CHARS = 2  # shorter words are no terms
 
 # Contract patterns, written so that no text makes them slow: a match can only
 # begin where a run of its characters does (or where the last match ended), and
@@ -114,46 +119,57 @@ def written_out(spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct lower-case words of letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda w: F.length(w) >= TERM_LETTERS))
+    """Distinct lower-case words of letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: F.length(w) >= TERM_CHARS))
+
+
+def _any_of(terms: Column) -> Column:
+    """A pattern for any of the terms as a word. Terms are letters and digits
+    only, so they stand as they are; those of one first character are tried
+    together, for fewer trials a word."""
+    firsts = F.array_distinct(F.transform(terms, lambda t: F.substring(t, 1, 1)))
+    groups = F.transform(firsts, lambda c: F.concat(c, F.lit("(?:"), F.array_join(F.transform(
+        F.filter(terms, lambda t: F.startswith(t, c)), lambda t: F.substring(t, F.lit(2), F.length(t))), "|"), F.lit(")")))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(groups, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+_SET = ("n_c", "set_a", "set_b")  # how many documents hold an entity, and which (hashed)
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Words around a span; those that the window's outer edges may cut are left out."""
-    left = F.substring(text, F.greatest(span["start"] - CONTEXT_CHARS + 1, F.lit(1)),
-                       F.least(span["start"], F.lit(CONTEXT_CHARS)))
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
-    left = F.when(span["start"] > CONTEXT_CHARS, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == CONTEXT_CHARS, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return _terms(F.concat_ws(" ", left, right))
+def _entity_sets(found: DataFrame) -> DataFrame:
+    """(rid, _SET): the sets of documents of the entities that a document holds."""
+    held = found.select("rid", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(
+        ":", x["no"].cast("string"), x["value"])))).alias("entity"))
+    sets = held.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_c"), F.bit_xor(F.xxhash64("rid")).alias("set_a"),
+        F.bit_xor(F.xxhash64(F.lit("b"), F.col("rid"))).alias("set_b"))
+    return held.join(sets, "entity").select("rid", *_SET).distinct()
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) above the threshold.
+def disclosing_terms(held: DataFrame, found: DataFrame, docs: DataFrame, threshold: float = DISCLOSURE,
+                     prior: float = PRIOR) -> DataFrame:
+    """(_SET, term, disclosure) above the threshold.
 
-    ``found``: (rid, text, spans); ``docs``: all documents, for N and n(t).
-    Counts are of documents.
+    ``held``: (rid, _SET); ``found``: (rid, text) of the same documents;
+    ``docs``: all documents, for N and n(t). Counts are of documents.
     """
-    mentions = (found.select("rid", "text", F.explode("spans").alias("span"))
-                .select("rid", F.concat_ws(":", F.col("span.no").cast("string"), "span.value").alias("entity"),
-                        _near(F.col("text"), F.col("span")).alias("terms")))
-    mentions = written(mentions, "pii-mentions")
-    by_entity = mentions.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = (mentions.select("rid", "entity", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support))
-    pairs = written(pairs.join(by_entity, "entity"), "pii-pairs")
+    sets = held.groupBy("rid").agg(F.collect_list(F.struct(*_SET)).alias("sets"))
+    pairs = (found.join(sets, "rid").select("sets", F.explode(_terms(F.col("text"))).alias("term"))
+             .select(F.explode("sets").alias("set"), "term").select("set.*", "term")
+             .groupBy(*_SET, "term").agg(F.count(F.lit(1)).alias("n_ct")))
+    pairs = written(pairs, "pii-pairs")
     # counted for all terms, combined in each task, before the terms that matter are picked
     n_t = (docs.select(F.explode(_terms(F.col("text"))).alias("term"))
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    scored = pairs.join(n_t, "term").withColumn("n_docs", F.lit(docs.count()))
-    pmi = F.log(F.col("n_docs") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    p_c = F.col("n_c") / F.lit(docs.count())
+    p_ct = (F.col("n_ct") + F.lit(prior) * p_c) / (F.col("n_t") + F.lit(prior))
     # an entity in every document is no secret
-    ic = F.log(F.col("n_docs") / F.col("n_c"))
-    return (scored.filter("n_docs > n_c").select("entity", "term", (pmi / ic).alias("disclosure"))
+    return (pairs.join(n_t, "term").filter(p_c < 1)
+            .select(*_SET, "term", (F.log(p_ct / p_c) / -F.log(p_c)).alias("disclosure"))
             .filter(F.col("disclosure") > threshold))
 
 
-def annotate(docs: DataFrame, whole_rows: bool = True, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def annotate(docs: DataFrame, whole_rows: bool = True, threshold: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """``docs`` (text, any more) with __base and __spans (arrays of spans).
 
     A null text counts as empty and has no spans. Repeated rows are annotated
@@ -166,16 +182,16 @@ def annotate(docs: DataFrame, whole_rows: bool = True, threshold: float = DISCLO
         found = found.withColumn("text", F.when(F.size("__base") > 0, F.col("text")))
     found = written(found.withColumn("__rid", F.monotonically_increasing_id()), "pii-found")
     some = found.filter(F.size("__base") > 0).select(F.col("__rid").alias("rid"), "text", F.col("__base").alias("spans"))
-    terms = disclosing_terms(some, docs.select("text"), threshold, support)
-    held = (some.select("rid", F.explode("spans").alias("span"))
-            .select("rid", F.concat_ws(":", F.col("span.no").cast("string"), "span.value").alias("entity")).distinct()
-            .join(terms.select("entity", "term"), "entity")
-            .groupBy("rid").agg(F.sort_array(F.collect_set("term")).alias("__terms")))
-    # terms are letters only, so they stand in a pattern as they are; longer ones first is not needed
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))
-    marked = (some.join(held, "rid").select(
+    held = written(_entity_sets(some), "pii-held")
+    terms = disclosing_terms(held, some.select("rid", "text"), docs.select("text"), threshold, prior)
+    told = (held.join(terms.groupBy(*_SET).agg(F.collect_list("term").alias("terms")), list(_SET))
+            .groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
+    # only the terms that the document has
+    marked = (some.join(told, "rid")
+              .withColumn("terms", F.sort_array(F.array_intersect(_terms(F.col("text")), F.col("terms"))))
+              .filter(F.size("terms") > 0).select(
         F.col("rid").alias("__rid"), F.filter(
-            places(F.col("text"), pattern, len(PATTERNS)),
+            places(F.col("text"), _any_of(F.col("terms")), len(PATTERNS)),
             lambda t: ~F.exists("spans", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))).alias("__more")))
     none = F.array().cast(_SPAN)
     return (found.join(marked, "__rid", "left")

@@ -195,6 +195,41 @@ def test_privacy_terms_follow_disclosure(spark):
     assert math.log(86 * 6 / (6 * 86)) / math.log(86 / 6) < privacy.DISCLOSURE
 
 
+def test_privacy_terms_of_rare_values(spark):
+    # each value in one or two documents; the names stand far from it, are short or hold digits
+    far = "plain words that all documents have " * 10
+    rows = [(0, f"Dear Li, {far}write to li@one.example K9x7 Quagga"), (1, f"an {far}call +1 212 555 1234 zebra Bo"),
+            (2, f"bo zebra {far}+1 212 555 1234 or ip 10.1.2.3")]
+    rows += [(10 + i, f"an or ip dear call write to {far}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    n, words = len(rows), {d: set(re.findall(r"[^\W_]{2,}", t.lower())) for d, t in rows}
+    held = {"li@one.example": {0}, "+1 212 555 1234": {1, 2}, "10.1.2.3": {2}}
+    want = {}
+    for docs in held.values():
+        for t in set.union(*(words[d] for d in docs)):
+            n_t, n_ct, p = sum(t in w for w in words.values()), sum(t in words[d] for d in docs), len(docs) / n
+            if math.log((n_ct + p) / (n_t + 1) / p) / -math.log(p) > privacy.DISCLOSURE:
+                for d in docs:
+                    want.setdefault(d, set()).add(t)
+    assert want[0] >= {"li", "k9x7", "quagga"} and want[1] >= {"bo", "zebra"} and "call" not in want[1]
+    got = by_id(privacy.annotate(df).select("doc_id", "text", "__base", "__spans"))
+    for d, text in rows[:3]:
+        base = [(s["start"], s["end"]) for s in got[d]["__base"]]
+        spans = {(m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", text) if m[0].lower() in want[d]
+                 and not any(m.start() < b and a < m.end() for a, b in base)}
+        assert {(s["start"], s["end"]) for s in got[d]["__spans"] if s["no"] == 4} == spans and spans
+    assert not any(got[d]["__spans"] for d, _ in rows[3:])
+
+
+def test_privacy_many_values_count_pairs_once(spark):
+    rows = [(0, " ".join(f"u{i}@a.example" for i in range(300)) + " " + " ".join(f"name{i}" for i in range(300)))]
+    df = spark.createDataFrame(rows + [(i, "other words") for i in range(1, 1200)], "doc_id int, text string")
+    out = by_id(privacy.annotate(df))
+    assert len([s for s in out[0]["__spans"] if s["no"] == 4]) == 300
+    some = df.select(F.col("doc_id").alias("rid"), privacy.base_spans(F.col("text")).alias("spans"))
+    assert privacy._entity_sets(some).count() == 1  # all 300 values are in one and the same document
+
+
 def test_privacy_odd_rows(odd, empty):
     out = privacy.sanitise(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
