@@ -1,16 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose statistic is above a cutoff. The cutoffs
-are learned per stratum from labelled good documents: for each rule the grid
-of cutoffs is walked from the most lenient to the strictest, and a cutoff is
-accepted as long as the exact binomial test rejects "the true rate of false
-rejections is above alpha" (P[Bin(n, alpha) <= k] <= delta / tests, which is
-the Clopper-Pearson upper bound being at most alpha). The walk stops at the
-first cutoff that fails (fixed-sequence testing), so only strata x rules
-tests share delta (Bonferroni), and alpha is shared by the rules of a
-stratum. With probability 1 - delta no stratum loses more than alpha of its
-good documents to the rules. A stratum without enough labelled documents gets
-no cutoffs and loses nothing.
+are learned per stratum from labelled good documents: a sequence of cutoffs is
+walked from the most lenient to the strictest, and a step is accepted as long
+as the exact binomial test rejects "the true rate of false rejections is above
+alpha" (P[Bin(n, alpha) <= k] <= delta, which is the Clopper-Pearson upper
+bound being at most alpha). The walk stops at the first step that fails
+(fixed-sequence testing), so a walk is one test. The strata share delta
+(Bonferroni). Within a stratum
+
+* with enough labelled documents for it (1,495 for four strata), each rule
+  walks its grid alone, at its share of alpha and delta;
+* otherwise the rules walk together along ``SEQUENCE``, whose steps move one
+  rule, in turn, to its next cutoff. What any rule rejects is tested at the
+  whole alpha and the stratum's delta, for which 217 documents suffice.
+
+The number of documents alone decides, not what the rules do to them. With
+probability 1 - delta no stratum loses more than alpha of its good documents to
+the rules. A stratum with fewer labelled documents gets no cutoffs and loses
+nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +49,8 @@ RULES = {
     "capital_ratio": [round(float(x), 4) for x in np.linspace(0.98, 0.05, 40)],
     "repeat_ratio": [round(float(x), 4) for x in np.linspace(0.2, 0.005, 40)],
 }
+#: (rule, cutoff) step by step; the grids are equally long.
+SEQUENCE = [step for level in zip(*RULES.values(), strict=True) for step in zip(RULES, level)]
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_capitals")
 
 
@@ -137,19 +147,33 @@ def learn_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -
     The counts behind the tests are one aggregation with a fixed number of
     columns; each stratum's row is tested by itself.
     """
-    strata = good.agg(F.count_distinct(F.struct("stratum"))).first()[0]
-    tests = max(1, strata * len(RULES))
-    per = good.groupBy("stratum").agg(
+    strata = max(1, good.agg(F.count_distinct(F.struct("stratum"))).first()[0])
+
+    def first_step(no: int, rule: str):
+        grid = F.array(*[F.lit(c) for c in RULES[rule]])
+        return F.when(F.col(rule) > F.lit(RULES[rule][-1]),
+                      F.size(F.filter(grid, lambda c: c >= F.col(rule))) * len(RULES) + no)
+
+    # the first step that rejects a document; all later ones do too
+    first = F.least(*[first_step(no, rule) for no, rule in enumerate(RULES)])
+    per = good.withColumn("first", first).groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"),
+        F.array(*[F.count_if(F.col("first") <= F.lit(i)) for i in range(len(SEQUENCE))]).alias("together"),
         *[F.array(*[F.count_if(F.col(rule) > F.lit(c)) for c in grid]).alias(rule) for rule, grid in RULES.items()])
 
+    def cutoffs(row) -> dict:
+        n, share, part = int(row["n"]), alpha / len(RULES), delta / strata / len(RULES)
+        if binomial_tail(0, n, share) <= part:
+            passed = {r: choose_cutoff(row[r], n, share, part) for r in RULES}
+            return {r: RULES[r][k - 1] for r, k in passed.items() if k}
+        # of a rule's steps the last holds
+        return dict(SEQUENCE[:choose_cutoff(row["together"], n, alpha, delta / strata)])
+
     def pick(pdfs):
         for pdf in pdfs:
-            out = {"stratum": pdf["stratum"]}
-            for rule, grid in RULES.items():
-                got = [choose_cutoff(ks, int(n), alpha / len(RULES), delta / tests) for ks, n in zip(pdf[rule], pdf["n"])]
-                out[rule] = pd.Series([grid[g - 1] if g else None for g in got], dtype="float64")
-            yield pd.DataFrame(out)
+            cuts = [cutoffs(row) for row in pdf.to_dict("records")]
+            yield pd.DataFrame({"stratum": pdf["stratum"]} | {
+                r: pd.Series([c.get(r) for c in cuts], dtype="float64") for r in RULES})
 
     return per.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
 

@@ -429,6 +429,40 @@ def test_rules_reject_junk_and_keep_strata_safe(spark):
     assert all(got[d]["kept"] for d, *_ in rare)  # no labels in that stratum, so no cutoff
 
 
+def test_rules_act_in_small_strata(spark):
+    # 240 labelled good documents in each of four strata are enough, 200 are too few
+    good = [(1000 * k + i, "a plain text of ten or more words that differ " + " ".join(f"w{i}x{j}" for j in range(20)), s)
+            for k, s in enumerate(("a", "b", "c", None)) for i in range(240)]
+    junk = [(9000 + k, " ".join(f"v{k}y{j}***" for j in range(20)), s) for k, s in enumerate(("a", "b", "c", None))]
+    docs = spark.createDataFrame(good + junk, "doc_id int, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, *_ in good], "doc_id int, quality int")
+    got = by_id(rules.judge(docs, labels))
+    assert [got[d]["kept"] for d, *_ in junk] == [False] * 4 and all(got[d]["kept"] for d, *_ in good)
+    few = rules.learn_cutoffs(spark.range(200).select(F.lit("z").alias("stratum"), *[F.lit(0.0).alias(r) for r in rules.RULES]),
+                              delta=0.05 / 4).collect()
+    assert all(few[0][r] is None for r in rules.RULES)
+
+
+def test_rules_are_tested_together(spark):
+    # 12 of 1,000 good documents are lost to each rule: one is below alpha, two together are not
+    names, rows = list(rules.RULES), []
+    for i in range(1000):
+        values = dict.fromkeys(names, 0.0)
+        if i < 24:
+            values[names[i // 12]] = 0.5
+        rows.append(("en", *values.values()))
+    good = spark.createDataFrame(rows, ["stratum", *names])
+    cut = rules.learn_cutoffs(good).first()
+    lost = sum(any(cut[r] is not None and x > cut[r] for r, x in zip(names, values)) for _, *values in rows)
+    steps, counts = {}, []
+    for rule, c in rules.SEQUENCE:
+        steps[rule] = c
+        counts.append(sum(any(x > steps.get(r, 9) for r, x in zip(names, values)) for _, *values in rows))
+    passed = rules.choose_cutoff(counts, 1000, rules.ALPHA, rules.DELTA)
+    assert {r: cut[r] for r in names if cut[r] is not None} == dict(rules.SEQUENCE[:passed])
+    assert lost == 12 and 0 < passed < len(rules.SEQUENCE)
+
+
 def test_rules_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(4, 1)], "doc_id int, quality int")
     assert rules.judge(odd, labels).count() == odd.count()
