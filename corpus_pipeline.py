@@ -40,12 +40,13 @@ def generalise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; with 0 copies it goes."""
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    copies = mixing.mix(sized).select("doc_id", "copies").dropDuplicates(["doc_id"])
-    # ids that the table repeats have one number of copies each
-    joined = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    repeated = joined.select("d.*", "copies").withColumn("_copy", F.explode(F.expr(
-        "case when copies > 0 then sequence(1, copies) else cast(array() as array<int>) end")))
+    # ids may be null or repeated, so a row is known by its id, source and text; only equal rows share that
+    key = F.md5(F.to_json(F.struct("doc_id", "source", F.md5("text").alias("text"))))
+    keyed = docs.withColumn("_key", key)
+    sized = keyed.select("_key", "source", mixing.word_count(F.col("text")).alias("size"))
+    copies = mixing.mix(sized, key="_key").select("_key", F.col("copies").alias("_copies")).dropDuplicates(["_key"])
+    repeated = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.expr(
+        "case when _copies > 0 then sequence(1, _copies) else cast(array() as array<int>) end")))
     return repeated.select(*docs.columns)
 
 

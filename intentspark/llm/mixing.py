@@ -146,18 +146,19 @@ def _crossing(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
                     (F.col("left") - (F.col("m.upto") - F.col("m.w"))).alias("left"), F.col("m.w").alias("w")))
 
 
-def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """``rows`` (doc_id, source, size, any more) with source_size, target,
+def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED,
+        key: str = "doc_id") -> DataFrame:
+    """``rows`` (``key``, source, size, any more) with source_size, target,
     rate and copies.
 
     A null source is a source of its own. A null or negative size counts as
     0; a document without words gets one copy, which takes nothing. Rows that
-    repeat a doc_id get the same hash and so the same number of copies when
-    their sizes agree. An empty table gives an empty result.
+    repeat a key get the same hash and so the same number of copies when
+    their sources and sizes agree. An empty table gives an empty result.
     """
     clash = ("source_size", "target", "rate", "copies")
     kept = [c for c in rows.columns if c.lower() not in clash]
-    base = rows.select(F.struct(*kept).alias("row"), F.col("source"), F.col("doc_id"),
+    base = rows.select(F.struct(*kept).alias("row"), F.col("source"), F.col(key).alias("key"),
                        F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     base = written(base, "mix-rows")
     cells = written(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "mix-cells")
@@ -167,7 +168,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     plan = targets.alias("t").join(lam.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source"))) \
         .select("t.*", "l.lam", "l.scale")
     # 48 bits of a seeded hash, uniform in [0, 1)
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))),
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("null")))),
                            1, 12), 16, 10).cast("double") / float(1 << 48)
     r = rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
     rated = (base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))

@@ -560,3 +560,24 @@ def test_pipeline(spark, sf):
     out = pipe.run(spark, sf)
     assert out.columns == [*docs.columns, "ids"] and out.count() > 0
     assert subwords.decode(out).filter("not (decoded <=> text)").count() == 0
+
+
+def test_pipeline_mixing_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as pipe
+    rows = []
+    for i in range(600):  # a third has no id, a third shares few ids, over sources and sizes
+        doc = None if i % 3 == 0 else i % 7 if i % 3 == 1 else 1000 + i
+        rows.append((doc, " ".join(f"t{i}w{j}" for j in range(1 + i % 40)), "en", ("a", "b", "c", None)[i % 4], 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = pipe.mix_sources(spark, docs, "").collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+    for s, t in brute_targets(sizes).items():
+        assert abs(taken[s] - t) <= 40  # within one document
+    copies = collections.Counter(tuple(r) for r in got)
+    assert set(copies) <= set(rows) and max(copies.values()) == 2
+    again = collections.Counter(tuple(r) for r in pipe.mix_sources(spark, docs.repartition(5), "").collect())
+    assert again == copies
