@@ -379,6 +379,15 @@ def test_words_are_the_tokenizers():
         assert np.frombuffer(words.encode([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_composed_before_they_are_lowered():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(huffman.default_tokenizer())
+    words = huffman.Words.load(huffman.default_tokenizer())
+    for pair in ["H\u0331", "T\u0308", "J\u030c", "W\u030a", "Y\u030a"]:  # only their small letters have a composed form
+        for t in (f"{pair}amza", f"a {pair}amza, B{pair}", f"{pair}."):
+            assert np.frombuffer(words.encode([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_huffman_odd_rows(odd, empty):
     got = huffman.read_ids(*huffman.encode_files(odd)).collect()
     assert len(got) == odd.count()
