@@ -3,18 +3,19 @@
 The model file gives the pieces and their scores; the merge agenda is run
 here. A candidate is a pair of neighbouring symbols whose joined text is a
 piece. The agenda takes the candidate of the highest score, leftmost first,
-and a candidate is skipped when a keyed hash of (seed, variant, text of the
-chunk, place in it, joined piece) falls below the dropout rate. The decision
-does not depend on when the candidate comes up, so a run is repeatable on any
-partitioning, and another seed gives another segmentation of the same text.
-A document's key picks one of ``variants`` hash keys, so that a word is cut
-in different ways in different documents.
+and a candidate is skipped when a keyed hash of (seed, document, text of the
+chunk, its place in the document, place in it, joined piece) falls below the
+dropout rate. The decision does not depend on when the candidate comes up, so
+a run is repeatable on any partitioning, and another seed gives another
+segmentation of the same text. Every occurrence of a word is decided by itself.
 
 No piece holds a space mark after another character, so merges never cross
 the start of a run of spaces; nor do they cross a character without a piece,
-which becomes byte pieces. Texts are cut there into chunks, equal chunks of a
-block are merged once, and all chunks of one length go through the agenda
-together as rows of a matrix. Longer chunks use a heap.
+which becomes byte pieces. Texts are cut there into chunks. The candidates a
+chunk can ever have are the pieces among its substrings, so equal chunks of a
+block that skip the same ones have the same outcome and are merged once. All
+chunks of one length go through the agenda together as rows of a matrix.
+Longer chunks use a heap, each occurrence by itself.
 
 The text is not normalised, and a literal space mark (U+2581) is written in
 byte pieces, so decoding gives back exactly the encoded text.
@@ -35,10 +36,10 @@ from intentspark.llm.common import MASK64, documents, mix64, prepare
 
 SEED = 20240917
 DROPOUT = 0.1
-VARIANTS = 8
 MARK = "▁"
 BLOCK_CHARS = 500_000  # texts are encoded in blocks of about so many characters
 MATRIX_LENGTH = 32  # longer chunks use the heap
+SKIP_ROWS = 1 << 14  # chunks whose candidates are hashed at a time
 _NONE = np.int64(1 << 40)
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -104,6 +105,17 @@ class Pieces:
         self.keys = np.array(sorted(pairs), np.int64)
         self.joined = np.array([pairs[k][0] for k in sorted(pairs)], np.int64)
         self.ranks = np.array([pairs[k][1] for k in sorted(pairs)], np.int64)
+        # hashes of the pieces that merges can make, as encode_block takes them of substrings
+        made = sorted(set(self.joined.tolist()))
+        texts = [names[i].replace(MARK, " ") for i in made]
+        size = np.array([len(t) for t in texts], np.int64)
+        run, inverse = _running(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+        hashes = _content(run, inverse, np.cumsum(size) - size, size)
+        order = np.argsort(hashes)
+        self.made_hash, self.made = hashes[order], np.array(made, np.int64)[order]
+        self.longest = int(size.max(initial=1))
+        self.maybe = np.zeros(1 << 20, bool)  # by a hash's last bits: most substrings are told to be none at once
+        self.maybe[hashes & np.uint64((1 << 20) - 1)] = True
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(joined piece or -1, rank) of neighbouring symbols; -1 marks an empty place."""
@@ -113,10 +125,18 @@ class Pieces:
         return np.where(hit, self.joined[at], -1), np.where(hit, self.ranks[at], _NONE)
 
 
+def _candidate(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return place.astype(np.uint64) * np.uint64(_A) + piece.astype(np.uint64) * np.uint64(_B)
+
+
+def _dropped(x: np.ndarray, limit: int) -> np.ndarray:
+    return (mix64(x) >> np.uint64(40)) < np.uint64(limit)
+
+
 def _skipped(key, place, piece, limit: int):
     with np.errstate(over="ignore"):
-        h = mix64(key + place.astype(np.uint64) * np.uint64(_A) + piece.astype(np.uint64) * np.uint64(_B))
-    return (h >> np.uint64(40)) < np.uint64(limit)
+        return _dropped(key + _candidate(place, piece), limit)
 
 
 def agenda_matrix(pieces: Pieces, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +222,80 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def encode_block(pieces: Pieces, texts: list[str], variants: np.ndarray, seed: int, dropout: float) -> tuple:
-    """(ids, ids by text) of texts that each start with the space put before a document."""
+def _running(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which :func:`_content` hashes any substring."""
+    power, inverse = _power_tables(len(points) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:len(points)])
+    return np.concatenate([[np.uint64(0)], sums]), inverse
+
+
+def _content(run: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64((run[start + length] - run[start]) * inverse[start] + length.astype(np.uint64))
+
+
+def _candidates(pieces: Pieces, run, inverse, start: np.ndarray, length: np.ndarray) -> tuple:
+    """(terms of the candidates' hashes, number by chunk), chunk after chunk:
+    every piece that merges may make in a chunk, wherever it stands."""
+    chunk, term = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for size in range(2, min(pieces.longest, int(length.max(initial=1))) + 1):
+        rows = np.flatnonzero(length >= size)
+        n = length[rows] - size + 1
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(rows, n)
+        h = _content(run, inverse, start[owner] + place, np.full(len(owner), size))
+        some = np.flatnonzero(pieces.maybe[h & np.uint64((1 << 20) - 1)])
+        owner, place, h = owner[some], place[some], h[some]
+        at = np.minimum(np.searchsorted(pieces.made_hash, h), len(pieces.made) - 1)
+        hit = pieces.made_hash[at] == h
+        chunk.append(owner[hit])
+        term.append(_candidate(place[hit], pieces.made[at[hit]]))
+    chunk, term = np.concatenate(chunk), np.concatenate(term)
+    return term[np.argsort(chunk, kind="stable")], np.bincount(chunk, minlength=len(start))
+
+
+def _alike(pieces: Pieces, points, run, inverse, start, length, content, keyed, limit: int) -> tuple:
+    """(pick, which): chunks that stand for all, and for each chunk the one that
+    has its text and skips the same candidates."""
+    _, word, of, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+    each = np.arange(len(start))
+    if not _same(points, start, length, word, of):  # two texts of one hash
+        return each, each
+    if not limit:
+        return word, of
+    short = (length[word] <= MATRIX_LENGTH) & (times > 1)  # the others stand for themselves
+    term, count = _candidates(pieces, run, inverse, start[word], np.where(short, length[word], 0))
+    first = np.cumsum(count) - count
+    n = count[of]
+    skipped, pattern = [], np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(start), SKIP_ROWS):
+            k, w = n[at:at + SKIP_ROWS], of[at:at + SKIP_ROWS]
+            ends = np.cumsum(k)
+            which = np.repeat(first[w] - (ends - k), k) + np.arange(int(ends[-1]))
+            skip = _dropped(np.repeat(keyed[at:at + SKIP_ROWS], k) + term[which], limit)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(np.where(skip, mix64(which.astype(np.uint64) + np.uint64(1)),
+                                                                      np.uint64(0)))])
+            pattern[at:at + SKIP_ROWS] = sums[ends] - sums[ends - k]
+            skipped.append(skip)
+        group = np.where(short[of], mix64(content + pattern * np.uint64(_C)), keyed)
+    _, pick, which = np.unique(group, return_index=True, return_inverse=True)
+    if not _same(points, start, length, pick, which):
+        return each, each
+    skip, begin = np.concatenate(skipped), np.cumsum(n) - n
+    for at in range(0, len(start), SKIP_ROWS):
+        k, b = n[at:at + SKIP_ROWS], begin[at:at + SKIP_ROWS]
+        here = np.arange(b[0], b[-1] + k[-1])
+        if (skip[here + np.repeat(begin[pick[which[at:at + SKIP_ROWS]]] - b, k)] != skip[here]).any():
+            return each, each
+    return pick, which
+
+
+def encode_block(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int, dropout: float,
+                 offsets: np.ndarray | None = None) -> tuple:
+    """(ids, ids by text) of texts that each start with the space put before a
+    document, or that begin ``offsets`` characters into one."""
     sizes = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     total = len(points)
@@ -218,16 +310,13 @@ def encode_block(pieces: Pieces, texts: list[str], variants: np.ndarray, seed: i
     start = np.flatnonzero(first)
     length = np.diff(np.append(start, total))
     owner = np.searchsorted(starts_of_texts, start, side="right") - 1  # of empty texts the last, so never one
-    power, inverse = _power_tables(total + 1)
+    run, inverse = _running(points)
+    content = _content(run, inverse, start, length)
+    place = start - starts_of_texts[owner] + (0 if offsets is None else offsets[owner])
     with np.errstate(over="ignore"):
-        run = np.concatenate([[np.uint64(0)], np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:total])])
-        content = mix64((run[start + length] - run[start]) * inverse[start] + length.astype(np.uint64))
-        keyed = mix64(content + variants[owner].astype(np.uint64) * np.uint64(_C)
-                      + np.uint64((seed * _A) & MASK64))
-    _, pick, which = np.unique(keyed, return_index=True, return_inverse=True)
-    # two chunks of one hash would be told apart here; the block is then done chunk by chunk
-    if not _same(points, start, length, pick, which):
-        pick = which = np.arange(len(start))
+        keyed = mix64(content + keys.astype(np.uint64)[owner] * np.uint64(_C) + np.uint64((seed * _A) & MASK64))
+        keyed = mix64(keyed + place.astype(np.uint64) * np.uint64(_B))
+    pick, which = _alike(pieces, points, run, inverse, start, length, content, keyed, limit)
     u_start, u_len, u_key = start[pick], length[pick], keyed[pick]
     counts = np.zeros(len(pick), np.int64)
     parts, part_rows = [], []
@@ -289,9 +378,15 @@ def segments(text: str, size: int = BLOCK_CHARS) -> list[str]:
     return out
 
 
-def encode_texts(pieces: Pieces, texts: list, variants: list, seed: int = SEED, dropout: float = DROPOUT) -> list:
-    """An id array for each text; None for None, no ids for an empty text."""
-    jobs = [(i, s) for i, t in enumerate(texts) if t for s in segments(" " + t)]
+def encode_texts(pieces: Pieces, texts: list, keys: list, seed: int = SEED, dropout: float = DROPOUT) -> list:
+    """An id array for each text; None for None, no ids for an empty text.
+    ``keys``: an integer for each text, which the hash takes for the document."""
+    jobs = []
+    for i, t in enumerate(texts):
+        at = 0
+        for part in segments(" " + t) if t else []:
+            jobs.append((i, part, at))
+            at += len(part)
     out: list = [None if t is None else [] for t in texts]
     at = 0
     while at < len(jobs):
@@ -300,8 +395,9 @@ def encode_texts(pieces: Pieces, texts: list, variants: list, seed: int = SEED,
             chars += len(jobs[end][1])
             end += 1
         part = jobs[at:end]
-        ids, n = encode_block(pieces, [s for _, s in part], np.array([variants[i] for i, _ in part]), seed, dropout)
-        for (i, _), got in zip(part, np.split(ids, np.cumsum(n)[:-1])):
+        ids, n = encode_block(pieces, [x[1] for x in part], np.array([keys[x[0]] for x in part], np.int64), seed, dropout,
+                              np.array([x[2] for x in part], np.int64))
+        for (i, *_), got in zip(part, np.split(ids, np.cumsum(n)[:-1])):
             out[i].append(got)
         at = end
     return [x if x is None else np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
@@ -324,12 +420,12 @@ def _in_blocks(batch: pa.RecordBatch, column: int, limit: int):
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", model: str | None = None,
-           seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+           seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """``df`` with the column ``out`` (array of piece ids).
 
-    A null text gets null, an empty text an empty array. ``key`` only picks
-    the variant (null: variant of the word "null"), so repeated rows are
-    encoded alike. An existing column called ``out`` is replaced; all others
+    A null text gets null, an empty text an empty array. ``key``
+    and the text only go into the hash, so rows that repeat both are encoded
+    alike, wherever they stand. An existing column called ``out`` is replaced; all others
     are kept. The work is row by row: no shuffle, and memory is bounded by the
     block size (a longer text is cut where no merge crosses).
     """
@@ -337,8 +433,9 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "i
     prepare(spark)
     path = model or default_model()
     rest = [c for c in df.columns if c.lower() != out.lower()]
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.lit(variants))
-    src = df.select(*[df[c] for c in rest], df[text].alias("__text"), variant.cast("int").alias("__variant"))
+    # the text too, as keys may be null or repeated
+    hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(text))
+    src = df.select(*[df[c] for c in rest], df[text].alias("__text"), hashed.alias("__key"))
 
     def run(batches):
         pieces = Pieces.load(path)

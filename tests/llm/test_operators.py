@@ -130,6 +130,26 @@ def test_subwords_heap_is_the_matrix(monkeypatch):
     assert [x.tolist() for x in a] == [x.tolist() for x in b]
 
 
+def test_subwords_vary_by_occurrence():
+    pieces = subwords.Pieces.load(subwords.default_model())
+    word = "internationalisation"
+    got = subwords.encode_texts(pieces, [word] * 400, list(range(400)))
+    assert len({tuple(x) for x in got}) > 8  # over documents
+    ids = subwords.encode_texts(pieces, [" ".join([word] * 400)], [0])[0].tolist()
+    cuts = subwords.decode_ids(pieces, ids), {tuple(ids[i:i + 3]) for i in range(len(ids)) if pieces.texts[ids[i]][:1] == b" "}
+    assert cuts[0] == " ".join([word] * 400) and len(cuts[1]) > 8  # and within one
+
+
+def test_subwords_merged_once_is_one_by_one(monkeypatch, texts):
+    pieces = subwords.Pieces.load(subwords.default_model())
+    some = [t for _, t in texts[:60]] + ["-" * 90 + " " + "-" * 90, "the the the  the"]
+    keys = [7 * i - 100 for i in range(len(some))]
+    a = subwords.encode_texts(pieces, some, keys, dropout=0.2)
+    monkeypatch.setattr(subwords, "_alike", lambda pieces, points, run, inverse, start, *_: (np.arange(len(start)),) * 2)
+    b = subwords.encode_texts(pieces, some, keys, dropout=0.2)
+    assert [x.tolist() for x in a] == [x.tolist() for x in b]
+
+
 def test_subwords_long_text_in_segments(monkeypatch):
     pieces = subwords.Pieces.load(subwords.default_model())
     text = "some words  here " * 50
