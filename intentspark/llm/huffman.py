@@ -203,16 +203,17 @@ _TAIL = b".,;:!?|&$*%#"
 
 def _halves(word: bytes) -> tuple[bytes, bytes]:
     """A word cut where the tokenizer cuts it anyway: before marks that end it
-    after an ASCII letter or digit. Capitals are lowered, as it does, where all
-    is ASCII: it composes characters first, and some small letters have a
+    after an ASCII letter or digit. ASCII capitals are lowered, as it
+    does, but not in a word with combining marks (U+0300 to U+037F begin with
+    these bytes): it composes characters first, and some small letters have a
     composed form that their capitals lack. A word that may hold a special
     token stays as it is."""
     stem = word.rstrip(_TAIL)
     if b"<|" in word:
         return word, b""
     if len(stem) == len(word) or not stem or not stem[-1:].isalnum():
-        return word.lower() if word.isascii() else word, b""
-    return stem.lower() if stem.isascii() else stem, word[len(stem):]
+        return (word if b"\xcc" in word or b"\xcd" in word else word.lower()), b""
+    return (stem if b"\xcc" in stem or b"\xcd" in stem else stem.lower()), word[len(stem):]
 
 
 def _tokens(docs: DataFrame, path: str) -> DataFrame:
