@@ -8,16 +8,15 @@ No join and no shuffle: resolution is a narrow, per-row map.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intentspark import domain
 from intentspark.functions.text import clean_generation, strip_ws
-from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
+from intentspark.operators.sizing import fits_broadcast
+from intentspark.session import checkpoint_dir
 
 STAGES = ("prefix", "contains", "keyword", "default")
-_N = 1024  # code = stage * _N + category ordinal (so at most 1,024 categories)
 
 
 def sql_string(s: str) -> str:
@@ -26,26 +25,26 @@ def sql_string(s: str) -> str:
 
 
 def _code_expr(lowered: str, categories, keywords: dict, default: str) -> Column:
-    """First hit of prefix, then containment, then keyword rules, else default.
+    """First hit of prefix, then containment, then keyword rules, else default,
+    as the stage's number times the number of categories plus the category's.
 
     Written as one SQL expression and parsed once in the JVM: the cascade has
     over a hundred predicates, and building it call by call from Python costs
     more than running it on a small table.
     """
-    if len(categories) > _N:
-        raise ValueError(f"at most {_N} categories")
+    n = len(categories)
     col = f"`{lowered}`"
     whens = []
     for i, c in enumerate(categories):
-        whens.append(f"WHEN startswith({col}, {sql_string(c.lower())}) THEN {0 * _N + i}")
+        whens.append(f"WHEN startswith({col}, {sql_string(c.lower())}) THEN {i}")
     for i, c in enumerate(categories):
-        whens.append(f"WHEN contains({col}, {sql_string(c.lower())}) THEN {1 * _N + i}")
+        whens.append(f"WHEN contains({col}, {sql_string(c.lower())}) THEN {n + i}")
     for i, cat in enumerate(categories):
         kws = keywords.get(cat, ())
         if kws:
             cond = " OR ".join(f"contains({col}, {sql_string(k)})" for k in kws)
-            whens.append(f"WHEN {cond} THEN {2 * _N + i}")
-    dflt = 3 * _N + list(categories).index(default)
+            whens.append(f"WHEN {cond} THEN {2 * n + i}")
+    dflt = 3 * n + list(categories).index(default)
     return F.expr("CASE " + " ".join(whens) + f" ELSE {dflt} END")
 
 
@@ -56,14 +55,15 @@ def resolve(df: DataFrame, generated: str = "generated", out: str = "Category",
 
     Null generated text behaves like empty text (cleans to '' -> default).
     """
+    n = len(categories)
     cats = F.array(*[F.lit(c) for c in categories])
     stages = F.array(*[F.lit(s) for s in STAGES])
     out_df = (df
               .withColumn("cleaned", clean_generation(F.coalesce(F.col(generated), F.lit(""))))
               .withColumn("_lowered", F.lower(F.col("cleaned")))
               .withColumn("_code", _code_expr("_lowered", categories, keywords, default))
-              .withColumn(out, F.element_at(cats, (F.col("_code") % _N + 1).cast("int")))
-              .withColumn("resolved_by", F.element_at(stages, (F.floor(F.col("_code") / _N) + 1).cast("int")))
+              .withColumn(out, F.element_at(cats, (F.col("_code") % n + 1).cast("int")))
+              .withColumn("resolved_by", F.element_at(stages, (F.floor(F.col("_code") / n) + 1).cast("int")))
               .drop("_lowered", "_code"))
     if not audit:
         out_df = out_df.drop("cleaned", "resolved_by")
@@ -83,91 +83,117 @@ def resolve_api(df: DataFrame, generated: str = "generated", out: str = "Categor
     return df2.withColumn(out, chain.otherwise(F.lit(fallback))).drop("_lowered")
 
 
-# Rule tables up to this many rows are inlined into the expression (the
-# equivalent of a broadcast, with no join and no shuffle); larger ones go
-# through the exact substring equi-join below.
-INLINE_RULE_LIMIT = 4096
+# -- keyword rules as a table (RES-4) ----------------------------------------
 
+GRAM = 4  # characters of an index entry
+CHUNK = 4096  # characters of a text cut into grams at once
 
-def resolve_with_rule_table(df: DataFrame, rules: DataFrame, key: str | None = None,
-                            generated: str = "generated", out: str = "Category",
-                            categories=domain.CATEGORIES,
-                            default: str = domain.DEFAULT_CATEGORY,
-                            inline_limit: int = INLINE_RULE_LIMIT) -> DataFrame:
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of ``text`` that include all of the given sizes (and
+    a few shorter ones from its end)."""
+    chars = F.split(text, "")
+
+    def at(size: int) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, size)]))
+
+    return F.array_distinct(F.concat(*[at(n) for n in sizes]))
+
+
+def _chunks(text: Column) -> Column:
+    """``text`` in pieces of ``CHUNK`` characters, each with the start of the
+    next, so that no gram is cut. Linear in the length of the text."""
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    lapped = F.transform(whole, lambda c, i: F.concat(c, F.coalesce(F.substring(F.get(whole, i + 1), 1, GRAM - 1), F.lit(""))))
+    return F.when(F.length(text) > CHUNK, lapped).otherwise(F.array(text))
+
+
+def rule_index(rules: DataFrame) -> tuple[DataFrame, list[int], tuple | None]:
+    """(index, sizes, empty) of a rule table ``(ord, category, keyword)``.
+
+    index: ``(gram, keyword, hit)``, one row a keyword: the gram of it that the
+    fewest keywords hold, and the rule ``(ord, category)`` that comes first
+    among those with this keyword. Grams have ``GRAM`` characters, or the whole
+    of a shorter keyword; ``sizes`` are those that occur. ``empty``: the first
+    rule with the empty keyword, which every text contains, if there is one.
+    Rules without a keyword are left out.
+
+    The index is checkpointed to the shared folder.
+    """
+    checkpoint_dir(rules.sparkSession)
+    first = (rules.filter(F.col("keyword").isNotNull()).groupBy("keyword")
+             .agg(F.min(F.struct(F.col("ord").cast("long").alias("ord"), "category")).alias("hit")))
+    chars = F.split("keyword", "")
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    grams = F.transform(F.sequence(F.lit(1), F.length("keyword") - size + 1),
+                        lambda i: F.array_join(F.slice(chars, i, size), ""))
+    # a keyword is met once a distinct gram; the count of a gram's keywords goes back to them by an equi-join
+    held = first.filter("keyword <> ''").select("keyword", "hit", F.explode(F.array_distinct(grams)).alias("gram"))
+    shared = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    index = (held.join(shared, "gram").groupBy("keyword")
+             .agg(F.min(F.struct("n", "gram")).alias("least"), F.first("hit").alias("hit"))
+             .select(F.col("least.gram").alias("gram"), "keyword", "hit").checkpoint(eager=True))
+    sizes = sorted(r[0] for r in index.select(F.length("gram")).distinct().collect())  # at most GRAM numbers
+    empty = first.filter("keyword = ''").select("hit.ord", "hit.category").first()
+    return index, sizes, None if empty is None else tuple(empty)
+
+
+def keyword_hits(texts: DataFrame, index: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(_tid, _hit)``: the first rule whose keyword a text contains, for the
+    texts ``(_tid, _lowered)`` that contain any.
+
+    Each text meets the index by its distinct grams; a keyword whose rarest
+    gram is in the text is a candidate, and candidates are verified by
+    ``contains``. Only a text's id crosses the index join, which broadcasts the
+    index when its measured size fits, else shuffles by gram.
+    """
+    pieces = texts.select("_tid", F.explode(_chunks(F.col("_lowered"))).alias("_piece"))
+    grams = pieces.select("_tid", F.explode(_grams(F.col("_piece"), sizes)).alias("gram"))
+    flat = index.select("gram", "keyword", F.col("hit.ord").alias("ord"), F.col("hit.category").alias("category"))
+    candidates = grams.join(F.broadcast(flat) if fits_broadcast(flat) else flat, "gram") \
+        .select("_tid", "keyword", "ord", "category").distinct()
+    return (candidates.join(texts, "_tid").filter(F.col("_lowered").contains(F.col("keyword")))
+            .groupBy("_tid").agg(F.min(F.struct("ord", "category")).alias("_hit")))
+
+
+def resolve_with_rule_table(df: DataFrame, rules: DataFrame, generated: str = "generated", out: str = "Category",
+                            categories=domain.CATEGORIES, default: str = domain.DEFAULT_CATEGORY) -> DataFrame:
     """RES-2..5 with the keyword stage driven by a rule table
     ``(ord, category, keyword)``: the lowest ``ord`` among rules whose keyword
-    is contained in the cleaned text wins.
-
-    The rule table's size is checked; a small one is folded into one CASE
-    expression (first ``ord`` group with a contained keyword), compiled by
-    whole-stage codegen like the fixed cascade: no join, no shuffle. A large
-    one is matched exactly, once per distinct cleaned text, by joining every
-    substring whose length equals some keyword length against the keywords,
-    then joined back to the rows on the text. ``key`` is accepted for
-    compatibility and not needed.
+    is contained in the cleaned text wins (the smallest category among rules of
+    one ``ord``).
+
+    One algorithm for any number of rules and categories: an inverted index of
+    each keyword's rarest gram (:func:`rule_index`), met once per distinct
+    cleaned text that the first two stages leave open (:func:`keyword_hits`; the
+    distinct is combined map-side, so a text repeated on a third of the rows is
+    matched once). The hits go back to the rows by the text's digest, broadcast
+    when measured small, else by a shuffle join that AQE splits at a hot text.
     """
+    n = len(categories)
     stages = F.array(*[F.lit(s) for s in STAGES])
     base = (df
             .withColumn("cleaned", clean_generation(F.coalesce(F.col(generated), F.lit(""))))
             .withColumn("_lowered", F.lower(F.col("cleaned")))
-            .withColumn("_code", _code_expr("_lowered", categories, {}, default)))
-    rows = rules.select("ord", "category", "keyword").limit(inline_limit + 1).collect()
-    if len(rows) <= inline_limit:
-        groups: dict[tuple, list[str]] = {}
-        for r in rows:
-            groups.setdefault((r["ord"], r["category"]), []).append(r["keyword"])
-        whens = []
-        for (o, cat), kws in sorted(groups.items()):
-            cond = " OR ".join(f"contains(`_lowered`, {sql_string(k)})" for k in kws)
-            whens.append(f"WHEN {cond} THEN named_struct('ord', {int(o)}, 'category', {sql_string(cat)})")
-        hit = (F.expr("CASE " + " ".join(whens) + " END") if whens
-               else F.lit(None).cast("struct<ord:int,category:string>"))
-        with_hit = base.withColumn("_hit", hit)
+            .withColumn("_code", _code_expr("_lowered", categories, {}, default))
+            .withColumn("_tid", F.md5("_lowered")))
+    index, sizes, empty = rule_index(rules)
+    if sizes:
+        texts = base.filter(F.col("_code") >= 3 * n).select("_tid", "_lowered").distinct()
+        hits = keyword_hits(texts, index, sizes).checkpoint(eager=True)  # sized, then joined
+        flat = hits.select("_tid", F.col("_hit.ord").alias("_ord"), F.col("_hit.category").alias("_category"))
+        joined = base.join(F.broadcast(flat) if fits_broadcast(flat) else flat, "_tid", "left")
+        hit = F.when(F.col("_ord").isNotNull(), F.struct(F.col("_ord").alias("ord"), F.col("_category").alias("category")))
     else:
-        # one pass over the rule table: keyword lengths, size, empty keyword
-        info = rules.agg(
-            F.collect_set(F.length("keyword")).alias("lens"),
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.length("keyword") + F.length("category")).alias("chars"),
-            F.min(F.when(F.col("keyword") == "", F.struct("ord", "category"))).alias("empty")).first()
-        lens = sorted(n for n in (info["lens"] or []) if n and n > 0)
-        rule_bytes = int(info["rows"]) * (ROW_OVERHEAD + 24) + int(info["chars"] or 0)
-        # keywords are matched once per distinct cleaned text (generations
-        # repeat; the distinct is combined map-side, so a text repeated on a
-        # third of the rows is matched once), by an equi-join of its
-        # substrings of every keyword length against the keywords
-        texts = base.filter(F.floor(F.col("_code") / _N) == 3).select("_lowered").distinct()
-        subs = (texts
-                .select("_lowered", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
-                .filter(F.length("_lowered") >= F.col("_len"))
-                .select("_lowered", "_len",
-                        F.explode(F.sequence(F.lit(1), F.length("_lowered") - F.col("_len") + 1)).alias("_pos"))
-                .select("_lowered", F.expr("substring(_lowered, _pos, _len)").alias("keyword")))
-        rule_side = rules.select("keyword", "ord", "category")
-        if rule_bytes <= broadcast_budget(rules):
-            rule_side = F.broadcast(rule_side)
-        hits = (subs.join(rule_side, "keyword")
-                .groupBy("_lowered").agg(F.min(F.struct("ord", "category")).alias("_hit"))
-                .persist(StorageLevel.MEMORY_AND_DISK))  # sized, then joined
-        # back to the rows on the text: broadcast when the hit table is
-        # small, else a shuffle join on the text (AQE splits a hot text)
-        if fits_broadcast(hits):
-            hits = F.broadcast(hits)
-        with_hit = base.join(hits, "_lowered", "left")
-        # an empty keyword is contained in every text
-        empty = info["empty"]
-        if empty is not None:
-            lit_e = F.struct(F.lit(empty["ord"]).alias("ord"), F.lit(empty["category"]).alias("category"))
-            with_hit = with_hit.withColumn(
-                "_hit", F.when(F.col("_hit").isNull() | (lit_e < F.col("_hit")), lit_e).otherwise(F.col("_hit")))
-    dflt = F.lit(default)
-    final = (with_hit
-             .withColumn("_code", F.when((F.floor(F.col("_code") / _N) == 3) & F.col("_hit").isNotNull(),
-                                         F.lit(2 * _N)).otherwise(F.col("_code")))
-             .withColumn(out, F.when(F.floor(F.col("_code") / _N) == 2, F.col("_hit.category"))
-                         .when(F.floor(F.col("_code") / _N) == 3, dflt)
-                         .otherwise(F.element_at(F.array(*[F.lit(c) for c in categories]),
-                                                 (F.col("_code") % _N + 1).cast("int"))))
-             .withColumn("resolved_by", F.element_at(stages, (F.floor(F.col("_code") / _N) + 1).cast("int")))
-             .drop("_lowered", "_code", "_hit"))
-    return final
+        joined, hit = base, F.lit(None).cast("struct<ord:bigint,category:string>")
+    if empty is not None:
+        always = F.struct(F.lit(empty[0]).cast("long").alias("ord"), F.lit(empty[1]).alias("category"))
+        hit = F.least(hit, always)  # least() passes over null
+    open_ = F.col("_code") >= 3 * n
+    found = open_ & F.col("_found").isNotNull()
+    return (joined.withColumn("_found", hit)
+            .withColumn(out, F.when(found, F.col("_found.category")).when(open_, F.lit(default))
+                        .otherwise(F.element_at(F.array(*[F.lit(c) for c in categories]), (F.col("_code") % n + 1).cast("int"))))
+            .withColumn("resolved_by", F.element_at(stages, F.when(found, F.lit(3)).otherwise(
+                (F.floor(F.col("_code") / n) + 1).cast("int"))))
+            .select(*df.columns, "cleaned", out, "resolved_by"))

@@ -54,18 +54,24 @@ def resolve_generations(spark, sf_dir):
 @register
 def resolve_rule_table(spark, sf_dir):
     """RES-4 variant: keyword stage driven by the rule table."""
-    out = res.resolve_with_rule_table(inputs.generations(spark, sf_dir),
-                                      domain.keyword_table(spark), key="event_id")
+    out = res.resolve_with_rule_table(inputs.generations(spark, sf_dir), domain.keyword_table(spark))
     return out.select("event_id", "Category", "resolved_by")
 
 
 @register
 def resolve_rule_table_join(spark, sf_dir):
-    """RES-4 variant through the exact substring equi-join (large-table path)."""
-    out = res.resolve_with_rule_table(inputs.generations(spark, sf_dir),
-                                      domain.keyword_table(spark), key="event_id",
-                                      inline_limit=0)
-    return out.select("event_id", "Category", "resolved_by")
+    """RES-4 variant over user turns: every text is its own sentence, met by the fixed keywords."""
+    turns = inputs.user_turns(spark, sf_dir).select("Id", F.col("Sentence").alias("generated"))
+    return res.resolve_with_rule_table(turns, domain.keyword_table(spark)).select("Id", "cleaned", "Category", "resolved_by")
+
+
+@register
+def resolve_rules_documents(spark, sf_dir):
+    """RES-2..5 over every document text, with thousands of rules: each longer
+    word of the user turns is a keyword."""
+    docs = inputs.documents(spark, sf_dir).select("doc_id", F.col("text").alias("generated"))
+    return res.resolve_with_rule_table(docs, inputs.word_rules(spark, sf_dir)).select(
+        "doc_id", "cleaned", "Category", "resolved_by")
 
 
 @register

@@ -83,6 +83,17 @@ def labelled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(cats, (F.pmod(F.col("conv_id"), F.lit(len(domain.CATEGORIES))) + 1).cast("int")))
 
 
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table ``(ord, category, keyword)`` that grows with the data: every
+    distinct word of four letters or more of the user turns, ``ord`` (and with
+    it the category) being its length modulo 7."""
+    words = F.regexp_extract_all(F.lower("Sentence"), F.lit("[a-zà-ÿ]{4,}"), F.lit(0))
+    ord_ = (F.length("keyword") % len(domain.CATEGORIES)).cast("int")
+    cats = F.array(*[F.lit(c) for c in domain.CATEGORIES])
+    return (user_turns(spark, sf_dir).select(F.explode(words).alias("keyword")).distinct()
+            .select(ord_.alias("ord"), F.element_at(cats, ord_ + 1).alias("category"), "keyword"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

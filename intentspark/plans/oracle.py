@@ -24,7 +24,20 @@ ORACLE["resolve_generations"] = (
 ORACLE["resolve_rule_table"] = (
     f"SELECT event_id, Category, resolved_by FROM ({S.resolved(S.GENS, 'event_id')})")
 
-ORACLE["resolve_rule_table_join"] = ORACLE["resolve_rule_table"]
+ORACLE["resolve_rule_table_join"] = S.resolved(
+    f"(SELECT Id, Sentence AS generated FROM {S.USER_TURNS})", "Id")
+
+_WORD_RULES = (
+    f"(SELECT keyword, length(keyword) % {len(domain.CATEGORIES)} AS ord FROM (SELECT DISTINCT "
+    f"unnest(regexp_extract_all(lower(Sentence), '[a-zà-ÿ]{{4,}}')) AS keyword FROM {S.USER_TURNS}))")
+_NO_RULES, _NO_STAGES = S.resolve_cases("lowered", keywords={})
+ORACLE["resolve_rules_documents"] = (
+    f"WITH t AS (SELECT doc_id, cleaned, lowered, {_NO_RULES} AS c, {_NO_STAGES} AS stage FROM (SELECT *, lower(cleaned) AS lowered FROM "
+    f"(SELECT doc_id, {S.clean('coalesce(text, ' + chr(39) * 2 + ')')} AS cleaned FROM documents))), "
+    f"hits AS (SELECT doc_id, min(ord) AS ord FROM t JOIN {_WORD_RULES} r ON contains(t.lowered, r.keyword) "
+    f"WHERE stage = 'default' GROUP BY doc_id) "
+    f"SELECT doc_id, cleaned, CASE WHEN ord IS NULL THEN c ELSE list_extract({S.list_lit(domain.CATEGORIES)}, ord + 1) END AS Category, "
+    f"CASE WHEN ord IS NULL THEN stage ELSE 'keyword' END AS resolved_by FROM t LEFT JOIN hits USING (doc_id)")
 
 ORACLE["resolve_api"] = (
     f"SELECT event_id, {S.api_case(S.strip('lower(coalesce(generated, ' + chr(39) * 2 + '))'))} AS Category "

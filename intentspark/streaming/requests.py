@@ -49,17 +49,11 @@ def read_response(df: DataFrame, value: str = "response", out: str = "category")
 def stream_predict(requests: DataFrame, factory, keep=(), value: str = "value") -> DataFrame:
     """MOD-6: request bodies -> validate -> prompt -> generate -> drop special
     tokens -> RES-6 -> response. Invalid bodies are dropped here (see
-    :func:`rejected` for the side output). ``keep`` columns ride along."""
+    :func:`rejected` for the side output) and a failing row stops the query;
+    :mod:`intentspark.streaming.serving` answers or rejects every request.
+    ``keep`` columns ride along."""
     ok = read_requests(requests, value).filter(F.col("valid"))
     prompted = ok.select(*keep, prompt_expr("sentence").alias("prompt"))
     gen = generate(prompted, factory).drop("prompt")
     gen = gen.withColumn("generated", strip_special("generated"))
     return to_response(resolve_api(gen)).select(*keep, "response")
-
-
-def stream_progress(query) -> dict:
-    """RPT-5 for a stream: micro-batches run and input rows processed so far
-    (from the query's recent progress reports)."""
-    reports = query.recentProgress or []
-    return {"batches": len(reports),
-            "rows": int(sum(p.get("numInputRows", 0) for p in reports))}

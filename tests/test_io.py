@@ -1,15 +1,19 @@
 """SRC-1..5, SNK-1..3, CHK-1..3."""
 
+import csv as text_csv
 import glob
 import io
 import os
+import random
 
 import pandas as pd
 import pytest
 
 from intentspark.operators.checks import ContractError, require_rows
 from intentspark.sources import csv as csv_io
+from intentspark.sources import csv_records
 from intentspark.sources import intents_table as intents
+from intentspark.sources.csv_records import survey
 
 FIXTURE = (b'Id,Sentence,Category\n'
            b'0,caf\xe9 bar,PlayMusic\n'
@@ -64,6 +68,87 @@ def test_header_variants(spark, tmp_dir):
         require_rows(csv_io.read_sentences(spark, header_only))
 
 
+@pytest.fixture()
+def tiny_splits(spark):
+    """Splits of some 100 bytes, so that records and even lines cross them."""
+    conf = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def as_csv(rows, header=("Id", "Sentence", "Category"), end="\n"):
+    out = io.StringIO()
+    w = text_csv.writer(out, lineterminator=end)
+    w.writerows([header, *rows])
+    return out.getvalue().encode()
+
+
+def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_dir, tiny_splits):
+    rng = random.Random(5)
+    bits = ["word", "\n", '"', ",", " ", "é", "x\ny", '""', "\n\n", "longer text without anything"]
+    rows = [(str(i), "v" + "".join(rng.choices(bits, k=rng.randint(0, 12))), f"c{i % 3}") for i in range(120)]
+    rows += [("900", "line\n" * 60 + "end", "c")]  # over many splits
+    path = _write(tmp_dir, as_csv(rows))
+    got = csv_io.read_sentences(spark, path)
+    want = {int(i): (s, c) for i, s, c in rows}
+    assert {r["Id"]: (r["Sentence"], r["Category"]) for r in got.collect()} == want
+    splits = survey(spark, path)
+    assert len(splits.inside) > 8 and splits.any_open
+    assert csv_records._lines(spark, path).rdd.getNumPartitions() > 30
+    one_task = spark.read.options(header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                  ignoreTrailingWhiteSpace=False).csv(path)
+    assert {int(r[0]): (r[1], r[2]) for r in one_task.collect()} == want
+
+
+@pytest.mark.parametrize("data, want", [
+    (b'Id,Sentence,Category\r\n1,"a\r\nb",x\r\n\r\n2,c,y\r\n', {1: ("a\r\nb", "x"), 2: ("c", "y")}),
+    (b'Id,Sentence,Category\n1,5" pipe,x\n2,a"b"c,y\n3,"q\nr",z', {1: ('5" pipe', "x"), 2: ('a"b"c', "y"), 3: ("q\nr", "z")}),
+    (b'\xef\xbb\xbfId,Sentence,Category\n1,"two\nlines",x\n', {1: ("two\nlines", "x")}),
+    (b'"Id","Sentence","Category"\n1,"","x"\n2,"a\n","y"\n', {1: (None, "x"), 2: ("a\n", "y")}),
+    (b'Id,"Foo\nBar",Sentence,Category\n1,z,hello,x\n', {1: ("hello", "x")}),
+])
+def test_quoted_corner_cases(spark, tmp_dir, data, want):
+    got = {r["Id"]: (r["Sentence"], r["Category"]) for r in csv_io.read_sentences(spark, _write(tmp_dir, data)).collect()}
+    assert got == want
+
+
+def test_files_with_their_own_headers(spark, tmp_dir, tiny_splits):
+    plain = os.path.join(tmp_dir, "plain")
+    quoted = os.path.join(tmp_dir, "quoted dir")
+    for folder, text in ((plain, "play it"), (quoted, "play\nit")):
+        os.makedirs(folder)
+        _write(folder, as_csv([("1", text, "PlayMusic"), ("2", "b", "RateBook")]), "a.csv")
+        _write(folder, as_csv([("3", "RateBook", "world"), ("4", "PlayMusic", text)], ("Id", "Category", "Sentence")), "b.csv")
+        _write(folder, as_csv([("z", "n", "5", "x")], ("Foo", "Sentence", "Id", "Category")), "c d%20.csv")
+        _write(folder, as_csv([]), "none.csv")
+        got = {r["Id"]: (r["Sentence"], r["Category"]) for r in csv_io.read_sentences(spark, folder).collect()}
+        assert got == {1: (text, "PlayMusic"), 2: ("b", "RateBook"), 3: ("world", "RateBook"), 4: (text, "PlayMusic"), 5: ("n", "x")}
+    single = csv_io.read_sentences(spark, plain, multi_line=False)
+    assert {r["Id"] for r in single.collect()} == {1, 2, 3, 4, 5}
+    _write(plain, as_csv([("9", "x")], ("Id", "Other")), "bad.csv")
+    with pytest.raises(ContractError):
+        csv_io.read_sentences(spark, plain)
+
+
+def test_surplus_fields_fail_either_way(spark, tmp_dir):
+    for i, data in enumerate((b"Id,Sentence,Category\n1,a,b,c\n", b'Id,Sentence,Category\n1,"a\nb",b,c\n')):
+        with pytest.raises(Exception, match="more fields"):
+            csv_io.read_sentences(spark, _write(tmp_dir, data, f"{i}.csv")).collect()
+    with pytest.raises(ContractError):
+        csv_io.read_sentences(spark, _write(tmp_dir, b"", "nothing.csv"))
+
+
+@pytest.mark.parametrize("line, inside, after", [
+    ("a,b", False, False), ('"a', False, True), ('a"', True, False), ('a,"b', True, False), ('"a""', False, True),
+    ('"a""b",c', False, False), ('x"y', False, False), ('"a"b,"c', False, True), ('', True, True), ('","', False, False),
+    ('","', True, True), ('""', False, False), ('""', True, True), ('a,', False, False), ('"', False, True), ('"', True, False)])
+def test_line_states(line, inside, after):
+    assert csv_records.ends_inside(line, inside) is after
+
+
 def test_missing_path(spark, tmp_dir):
     with pytest.raises(FileNotFoundError):
         csv_io.read_sentences(spark, os.path.join(tmp_dir, "nope.csv"))

@@ -1,5 +1,6 @@
 """RES-1..RES-7 against an independent Python statement and the fixture."""
 
+import random
 import re
 
 import pytest
@@ -112,12 +113,19 @@ def test_whitespace_and_null(spark):
     assert out[3] == ("RateBook", "RateBook")
 
 
-@pytest.mark.parametrize("inline_limit", [0, 10_000])
-def test_rule_table_matches_fixed_cascade(spark, inline_limit):
+@pytest.fixture(params=["broadcast", "shuffle"])
+def side(spark, request):
+    """The joins both ways: small tables broadcast, and all shuffled."""
+    if request.param == "shuffle":
+        spark.conf.set("spark.intentspark.broadcastBytes", "0")
+    yield request.param
+    spark.conf.unset("spark.intentspark.broadcastBytes")
+
+
+def test_rule_table_matches_fixed_cascade(spark, side):
     df = _fixture_df(spark).withColumnRenamed("i", "event_id")
     fixed = {r["event_id"]: (r["Category"], r["resolved_by"]) for r in res.resolve(df).collect()}
-    ruled = res.resolve_with_rule_table(df, domain.keyword_table(spark), key="event_id",
-                                        inline_limit=inline_limit).collect()
+    ruled = res.resolve_with_rule_table(df, domain.keyword_table(spark)).collect()
     assert {r["event_id"]: (r["Category"], r["resolved_by"]) for r in ruled} == fixed
 
 
@@ -130,14 +138,13 @@ def test_resolution_is_a_narrow_codegen_map(spark):
     assert len(re.findall(r"lower\(", plan)) <= 2
 
 
-@pytest.mark.parametrize("inline_limit", [0, 10_000])
-def test_rule_table_user_rules(spark, inline_limit):
-    rules = spark.createDataFrame([(0, "PlayMusic", "zz"), (3, "GetWeather", ""), (1, "RateBook", "qq")],
+def test_rule_table_user_rules(spark, side):
+    rules = spark.createDataFrame([(0, "PlayMusic", "zz"), (3, "GetWeather", ""), (1, "RateBook", "qq"), (2, "RateBook", None)],
                                   "ord int, category string, keyword string")
     df = spark.createDataFrame([(1, "a zz b"), (2, "qq"), (3, "nothing"), (4, "playmusic")],
                                "event_id long, generated string")
     out = {r["event_id"]: (r["Category"], r["resolved_by"])
-           for r in res.resolve_with_rule_table(df, rules, key="event_id", inline_limit=inline_limit).collect()}
+           for r in res.resolve_with_rule_table(df, rules).collect()}
     assert out == {1: ("PlayMusic", "keyword"), 2: ("RateBook", "keyword"),
                    3: ("GetWeather", "keyword"), 4: ("PlayMusic", "prefix")}
 
@@ -151,19 +158,55 @@ def test_many_categories(spark):
     assert out == {0: ("Cat1", "prefix"), 1: ("Cat9", "contains"), 2: ("Cat0", "default")}
 
 
-def test_rule_table_at_inline_limit_matches_join_path(spark):
-    n = res.INLINE_RULE_LIMIT
-    rules = spark.createDataFrame([(i % 7, domain.CATEGORIES[i % 7], f"kw{i:05d}x") for i in range(n)],
-                                  "ord int, category string, keyword string")
-    texts = [f"say kw{i:05d}x now" for i in range(0, n, 97)] + ["no rule here", "kw99999x"]
-    df = spark.createDataFrame(list(enumerate(texts)), "event_id long, generated string")
-    inline = {r["event_id"]: (r["Category"], r["resolved_by"])
-              for r in res.resolve_with_rule_table(df, rules, key="event_id").collect()}
-    joined = {r["event_id"]: (r["Category"], r["resolved_by"])
-              for r in res.resolve_with_rule_table(df, rules, key="event_id", inline_limit=0).collect()}
-    assert inline == joined
-    assert inline[0] == (domain.CATEGORIES[0], "keyword")
-    assert inline[len(texts) - 2] == (domain.DEFAULT_CATEGORY, "default")
+def brute_rules(text, rules, default=domain.DEFAULT_CATEGORY):
+    """(category, stage) with the keyword stage over all (ord, category, keyword)."""
+    _, category, stage = py_resolve(text)
+    lowered = py_resolve(text)[0].lower()
+    for i, c in enumerate(domain.CATEGORIES):
+        if lowered.startswith(c.lower()):
+            return c, "prefix"
+    for c in domain.CATEGORIES:
+        if c.lower() in lowered:
+            return c, "contains"
+    hits = [(o, c) for o, c, k in rules if k is not None and k in lowered]
+    return (min(hits)[1], "keyword") if hits else (default, "default")
+
+
+RULE_SCHEMA = "ord int, category string, keyword string"
+
+
+def test_rule_index_against_brute_force(spark, side):
+    rng = random.Random(11)
+    letters = "abcdé漢😀 '\\"
+    word = lambda a, b: "".join(rng.choices(letters, k=rng.randint(a, b)))
+    rules = [(rng.randint(0, 9), f"C{rng.randint(0, 3)}", word(1, 9)) for _ in range(400)]
+    rules += [(i % 7, "C9", f"kw{i:05d}x") for i in range(5000)]
+    texts = [word(0, 12) for _ in range(300)] + [f"say KW{i:05d}X now" for i in range(0, 5000, 611)]
+    texts += ["kw99999x", "PlayMusic", "", None, "z" * 9000 + "kw00007x", "y" * (res.CHUNK - 3) + "kw00011x" + "y" * 500,
+              "q" * 3 + "kw0000"] + ["hot text"] * 200
+    rules = [(o, c, k) for o, c, k in rules if len(k) > 2 or o > 6]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, generated string").repartition(3)
+    got = res.resolve_with_rule_table(df, spark.createDataFrame(rules, RULE_SCHEMA))
+    assert got.columns == ["i", "generated", "cleaned", "Category", "resolved_by"]
+    got = {r["i"]: (r["Category"], r["resolved_by"]) for r in got.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == brute_rules(t, rules), (i, t)
+
+
+def test_rule_table_without_rules(spark):
+    df = _fixture_df(spark)
+    none = spark.createDataFrame([], RULE_SCHEMA)
+    got = {r["i"]: (r["Category"], r["resolved_by"]) for r in res.resolve_with_rule_table(df, none).collect()}
+    assert got == {r["i"]: brute_rules(r["generated"], []) for r in df.collect()}
+
+
+def test_over_a_thousand_categories(spark):
+    cats = tuple(f"Label{i:04d}" for i in range(1500))
+    df = _fixture_df(spark, ["label1499 now", "xx label1030", "none"])
+    got = {r["i"]: (r["Category"], r["resolved_by"])
+           for r in res.resolve(df, categories=cats, keywords={}, default="Label0000").collect()}
+    assert got == {0: ("Label1499", "prefix"), 1: ("Label1030", "contains"), 2: ("Label0000", "default")}
 
 
 def test_prompt_from_label_table_equals_fixed_prompt(spark):
