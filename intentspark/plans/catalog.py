@@ -24,7 +24,7 @@ from intentspark.session import scratch_path
 from intentspark.sources import csv as csv_io
 from intentspark.sources import intents_table as intents
 from intentspark.sources.tables import read_table
-from intentspark.streaming import hygiene
+from intentspark.streaming import hygiene, serving
 from intentspark.streaming import requests as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +341,58 @@ def stream_predict(spark, sf_dir):
     return streams.read_response(spark.read.parquet(out)).select("Id", F.col("category").alias("Category"))
 
 
+def _serve(spark, sf_dir):
+    """Every conversation row as a request, answered or rejected by the stream
+    in micro-batches of two files; returns the sinks and the ledger's folder.
+
+    User turns are good bodies, assistant turns have a number for a sentence,
+    others are broken JSON; the generator fails where Id % 26 is 25."""
+    base = scratch_path(spark, "serve")
+    rows = _conversations(spark, sf_dir).select(
+        (F.col("conv_id").cast("long") * inputs.TURN_BASE + F.col("turn")).alias("Id"), "turn", "role", "text")
+    body = (F.when(F.col("role") == "user", F.to_json(F.struct("Id", F.col("text").alias("sentence"))))
+            .when(F.col("role") == "assistant", F.to_json(F.struct("Id", F.col("turn").alias("sentence"))))
+            .otherwise(F.concat(F.lit('{"Id":'), F.col("Id"))))
+    rows.select(body.alias("value")).repartition(5).write.text(f"{base}/requests")
+    ledger = serving.ProgressLedger(spark, f"{base}/ledger")
+    spark.streams.addListener(ledger)
+    try:
+        reqs = serving.request_files(spark, f"{base}/requests", max_files=2) \
+            .withColumn("Id", F.regexp_extract("value", r'"Id":(-?\d+)', 1).cast("long"))
+        q = serving.serve_requests(reqs, inputs.FixtureGeneratorFactory("Id", fail_on=inputs.N_FIXTURE - 1),
+                                   f"{base}/responses", f"{base}/rejects", f"{base}/checkpoint", keep=("Id",))
+        q.awaitTermination()
+        ledger.wait(q)
+    finally:
+        spark.streams.removeListener(ledger)
+    return f"{base}/responses", f"{base}/rejects", f"{base}/ledger"
+
+
+@register
+def stream_requests(spark, sf_dir):
+    """SRC-6 + MOD-6 + MOD-7 + SNK-4: a stream with bad bodies and failing rows;
+    each request is in exactly one of the two sinks."""
+    responses, rejects, _ = _serve(spark, sf_dir)
+    good = streams.read_response(spark.read.parquet(responses)).select(
+        "Id", F.lit(serving.ANSWERED).alias("status"), "category", F.lit(None).cast("string").alias("reason"))
+    bad = spark.read.parquet(rejects).select(
+        "Id", F.lit(serving.REJECTED).alias("status"), F.lit(None).cast("string").alias("category"), "reason")
+    return good.unionByName(bad)
+
+
+@register
+def stream_totals(spark, sf_dir):
+    """RPT-5 on a stream: rows by the ledger, answers and rejects by the sinks."""
+    responses, rejects, ledger = _serve(spark, sf_dir)
+    sinks = serving.request_totals(spark, responses, rejects).agg(
+        F.sum("answered").alias("answered"), F.sum("rejected").alias("rejected"))
+    counted = serving.stream_progress(spark, ledger).agg(F.sum("rows").alias("rows"))
+    # two rows of one line each, put side by side by a grouping
+    both = sinks.withColumn("rows", F.lit(None).cast("long")).unionByName(
+        counted.select(F.lit(None).cast("long").alias("answered"), F.lit(None).cast("long").alias("rejected"), "rows"))
+    return both.agg(*[F.max(c).alias(c) for c in ("rows", "answered", "rejected")])
+
+
 @register
 def request_validation(spark, sf_dir):
     """SRC-6: bodies with a string ``sentence`` pass; a number (assistant

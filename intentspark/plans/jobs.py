@@ -7,7 +7,9 @@ submission, preview and label counts never re-run the scoring.
 Command line::
 
     python -m intentspark.plans.jobs score --input test.csv --output out/ \
-        (--generator pkg.module:factory | --model model_dir/)
+        (--generator pkg.module:factory [--on-error null] [--dedupe] | --model model_dir/) [--strict] [--single-line]
+    python -m intentspark.plans.jobs serve --requests in/ --responses out/ --rejects bad/ --checkpoint ck/ \
+        --generator pkg.module:factory [--ledger log/] [--max-files 100] [--forever]
     python -m intentspark.plans.jobs fit --input train.csv --model model_dir/
     python -m intentspark.plans.jobs csv-to-table --input train.csv --table intents --location dir/
     python -m intentspark.plans.jobs table-to-csv --table intents --output out/
@@ -29,21 +31,25 @@ from intentspark.operators import split as split_op
 from intentspark.operators.checks import require_rows
 from intentspark.sources import csv as csv_io
 from intentspark.sources import intents_table
+from intentspark.streaming import serving
 
 
 def score_csv(spark: SparkSession, input_path: str, output_dir: str, factory=None,
-              model_dir: str | None = None, strict: bool = False, on_error: str = "raise") -> dict:
+              model_dir: str | None = None, strict: bool = False, on_error: str = "raise", dedupe: bool = False,
+              multi_line: bool = True) -> dict:
     """Batch scoring of an unlabelled CSV (``Id, Sentence``).
 
-    With ``factory``: prompt -> generator -> clean -> resolve (path A). With
+    With ``factory``: prompt -> generator -> clean -> resolve (path A);
+    ``on_error='null'`` keeps going over failing rows, ``dedupe`` generates each
+    distinct prompt once. With
     ``model_dir``: the saved count model predicts the label (MOD-3).
     Writes ``predictions`` (parquet, with the audit columns) and the sorted
     ``submission`` CSV; returns the 5-row preview and the label counts."""
     if (factory is None) == (model_dir is None):
         raise ValueError("give exactly one of factory or model_dir")
-    df = csv_io.read_sentences(spark, input_path, labelled=False, strict=strict)
+    df = csv_io.read_sentences(spark, input_path, labelled=False, strict=strict, multi_line=multi_line)
     if factory is not None:
-        pred = scoring.predict(df, factory, on_error=on_error)
+        pred = scoring.predict(df, factory, on_error=on_error, dedupe=dedupe)
     else:
         m = model_op.load_model(spark, model_dir)
         pred = model_op.score_intent_model(df, m, key="Id", text="Sentence", out="Category")
@@ -60,11 +66,11 @@ def score_csv(spark: SparkSession, input_path: str, output_dir: str, factory=Non
 
 def fit_csv(spark: SparkSession, input_path: str, model_dir: str,
             fraction: float = domain.SPLIT_TEST_FRACTION, seed: int = domain.SPLIT_SEED,
-            alpha: float = 1.0, strict: bool = False) -> dict:
+            alpha: float = 1.0, strict: bool = False, multi_line: bool = True) -> dict:
     """Fit on a labelled CSV (path B): contract check, exact split, count
     model on the train part, evaluation on the held-out part, saved model.
     Returns the split sizes and the metric lines."""
-    df = csv_io.read_sentences(spark, input_path, labelled=True, strict=strict)
+    df = csv_io.read_sentences(spark, input_path, labelled=True, strict=strict, multi_line=multi_line)
     require_rows(df, what=input_path)
     flagged = split_op.with_split(df, "Id", fraction, seed)
     flagged_path = f"{model_dir}/split"
@@ -83,9 +89,33 @@ def fit_csv(spark: SparkSession, input_path: str, model_dir: str,
     }
 
 
-def csv_to_table(spark: SparkSession, input_path: str, table: str, location: str) -> int:
+def serve(spark: SparkSession, requests: str, responses: str, rejects: str, checkpoint: str, factory,
+          ledger: str | None = None, max_files: int = serving.MAX_FILES, once: bool = True) -> dict:
+    """Answer the request files of a folder (one JSON body a line) as a stream;
+    run again on the same checkpoint to go on where it stopped. Returns the
+    totals of all runs so far: answers, rejects and, with a ``ledger``, rows."""
+    log = serving.ProgressLedger(spark, ledger) if ledger else None
+    if log:
+        spark.streams.addListener(log)
+    try:
+        q = serving.serve_requests(serving.request_files(spark, requests, max_files), factory, responses, rejects, checkpoint,
+                                   once=once)
+        q.awaitTermination()
+        if log:
+            log.wait(q)
+    finally:
+        if log:
+            spark.streams.removeListener(log)
+    totals = serving.request_totals(spark, responses, rejects).agg(F.sum("answered"), F.sum("rejected")).first()
+    out = {"answered": totals[0] or 0, "rejected": totals[1] or 0}
+    if log:
+        out["rows"] = serving.stream_progress(spark, ledger).agg(F.sum("rows")).first()[0]
+    return out
+
+
+def csv_to_table(spark: SparkSession, input_path: str, table: str, location: str, multi_line: bool = True) -> int:
     """CSV (strict UTF-8) -> intents table with the declared column types."""
-    df = csv_io.read_sentences(spark, input_path, labelled=True, strict=True)
+    df = csv_io.read_sentences(spark, input_path, labelled=True, strict=True, multi_line=multi_line)
     intents_table.replace_table(df, table, location)
     return spark.table(table).count()
 
@@ -111,14 +141,25 @@ def main(argv=None) -> None:
     g = s.add_mutually_exclusive_group(required=True)
     g.add_argument("--generator", help="module:callable returning a generator factory")
     g.add_argument("--model", help="folder of a saved count model")
-    s.add_argument("--strict", action="store_true")
+    s.add_argument("--on-error", choices=("raise", "null"), default="raise")
+    s.add_argument("--dedupe", action="store_true", help="generate each distinct prompt once")
     f = sub.add_parser("fit")
     f.add_argument("--input", required=True)
     f.add_argument("--model", required=True)
+    for p in (s, f):
+        p.add_argument("--strict", action="store_true")
+    v = sub.add_parser("serve")
+    for name in ("requests", "responses", "rejects", "checkpoint", "generator"):
+        v.add_argument(f"--{name}", required=True)
+    v.add_argument("--ledger")
+    v.add_argument("--max-files", type=int, default=serving.MAX_FILES)
+    v.add_argument("--forever", action="store_true", help="go on waiting for new files")
     c = sub.add_parser("csv-to-table")
     c.add_argument("--input", required=True)
     c.add_argument("--table", default="intents")
     c.add_argument("--location", required=True)
+    for p in (s, f, c):
+        p.add_argument("--single-line", action="store_true", help="no field holds a newline")
     t = sub.add_parser("table-to-csv")
     t.add_argument("--table", default="intents")
     t.add_argument("--output", required=True)
@@ -126,11 +167,15 @@ def main(argv=None) -> None:
     spark = build_session()
     if a.cmd == "score":
         factory = _load_factory(a.generator)() if a.generator else None
-        out = score_csv(spark, a.input, a.output, factory=factory, model_dir=a.model, strict=a.strict)
+        out = score_csv(spark, a.input, a.output, factory=factory, model_dir=a.model, strict=a.strict, on_error=a.on_error,
+                        dedupe=a.dedupe, multi_line=not a.single_line)
     elif a.cmd == "fit":
-        out = fit_csv(spark, a.input, a.model)
+        out = fit_csv(spark, a.input, a.model, strict=a.strict, multi_line=not a.single_line)
+    elif a.cmd == "serve":
+        out = serve(spark, a.requests, a.responses, a.rejects, a.checkpoint, _load_factory(a.generator)(), a.ledger,
+                    a.max_files, once=not a.forever)
     elif a.cmd == "csv-to-table":
-        out = {"rows": csv_to_table(spark, a.input, a.table, a.location)}
+        out = {"rows": csv_to_table(spark, a.input, a.table, a.location, not a.single_line)}
     else:
         table_to_csv(spark, a.table, a.output)
         out = {"written": a.output}

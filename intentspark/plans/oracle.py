@@ -151,6 +151,20 @@ ORACLE["request_validation"] = (
     "SELECT conv_id, turn, role = 'user' AS valid, CASE WHEN role = 'user' THEN text END AS sentence "
     "FROM conversations")
 
+_SERVED = (
+    f"(SELECT Id, role = 'user' AND Id % {N_FIXTURE} <> {N_FIXTURE - 1} AS good, CASE role WHEN 'user' THEN "
+    f"'generation failed: RuntimeError: generation failed' WHEN 'assistant' THEN 'no string field sentence' ELSE 'not JSON' END AS why, "
+    f"regexp_replace({S.fixture_pick('Id')}, {S.lit(SKIPPED_SPECIAL_PATTERN)}, '', 'g') AS generated "
+    f"FROM (SELECT CAST(conv_id AS BIGINT) * {S.TURN_BASE} + turn AS Id, role FROM conversations))")
+
+ORACLE["stream_requests"] = (
+    f"SELECT Id, CASE WHEN good THEN 'answered' ELSE 'rejected' END AS status, "
+    f"CASE WHEN good THEN {S.api_case(S.strip('lower(generated)'))} END AS category, CASE WHEN NOT good THEN why END AS reason "
+    f"FROM {_SERVED}")
+
+ORACLE["stream_totals"] = (
+    f"SELECT count(*) AS rows, count(*) FILTER (good) AS answered, count(*) FILTER (NOT good) AS rejected FROM {_SERVED}")
+
 ORACLE["json_round_trip"] = (
     f"SELECT event_id, '{{\"category\":\"' || Category || '\"}}' AS response, Category AS category FROM "
     f"(SELECT event_id, {S.api_case(S.strip('lower(coalesce(generated, ' + chr(39) * 2 + '))'))} AS Category FROM {S.GENS})")

@@ -13,6 +13,7 @@ each request in the sinks once. Batches are bounded by files or bytes.
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 from collections.abc import Callable
@@ -49,19 +50,41 @@ def answers(requests: DataFrame, factory, keep=(), value: str = "value", batch_s
     Works on batch and streaming DataFrames. Valid bodies are prompted,
     generated (row by row where a batch fails), resolved by the request path's
     rule and answered; all others are rejected with a reason."""
-    checked = read_requests(requests, value)
-    ok = checked.filter("valid").select(*keep, F.col(value).alias("value"), prompt_expr("sentence").alias("prompt"))
-    scored = generate(ok, factory, on_error="null", batch_size=batch_size)
+    # one pass over the requests: invalid ones ride along without a prompt
+    checked = read_requests(requests, value).select(
+        *keep, F.col(value).alias("value"), F.when(F.col("valid"), prompt_expr("sentence")).alias("prompt"))
+    scored = generate(checked, _Prompted(factory), on_error="null", batch_size=batch_size)
     resolved = to_response(resolve_api(scored.withColumn("generated", strip_special("generated"))))
-    failed = F.col("error").isNotNull()
-    done = resolved.select(
-        *keep, "value", F.when(failed, REJECTED).otherwise(ANSWERED).alias("status"),
-        F.when(~failed, F.col("response")).alias("response"),
-        F.when(failed, F.concat(F.lit(f"{FAILED}: "), F.col("error"))).alias("reason"))
-    bad = checked.filter("not valid").select(
-        *keep, F.col(value).alias("value"), F.lit(REJECTED).alias("status"), F.lit(None).cast("string").alias("response"),
-        F.when(F.try_parse_json(F.col(value)).isNull(), NOT_JSON).otherwise(NO_SENTENCE).alias("reason"))
-    return done.unionByName(bad)
+    reason = (F.when(F.col("prompt").isNull(), F.when(F.try_parse_json(F.col("value")).isNull(), NOT_JSON).otherwise(NO_SENTENCE))
+              .when(F.col("error").isNotNull(), F.concat(F.lit(f"{FAILED}: "), F.col("error"))))
+    return (resolved.withColumn("reason", reason)
+            .withColumn("status", F.when(F.col("reason").isNull(), ANSWERED).otherwise(REJECTED))
+            .withColumn("response", F.when(F.col("reason").isNull(), F.col("response")))
+            .select(*keep, "value", "status", "response", "reason"))
+
+
+class _Prompted:
+    """A factory whose generator hands on the rows that have a prompt."""
+
+    def __init__(self, factory):
+        self.factory = factory
+
+    def __call__(self):
+        model = self.factory()
+
+        def generator(batch, **limits):
+            asked = batch["prompt"].notna().to_numpy()
+            texts = list(model(batch[asked].reset_index(drop=True), **limits)) if asked.any() else []
+            if len(texts) != asked.sum():
+                raise ValueError(f"generator returned {len(texts)} texts for {asked.sum()} rows")
+            found = iter(texts)
+            return [next(found) if a else None for a in asked]
+
+        try:
+            generator.__signature__ = inspect.signature(model)
+        except (TypeError, ValueError):
+            pass
+        return generator
 
 
 def _batch_writer(factory, responses: str, rejects: str, keep, value: str, batch_size: int | None) -> Callable:

@@ -1,11 +1,12 @@
 """End-to-end jobs over CSV inputs."""
 
 import glob
+import json
 import os
 
 from intentspark import domain
 from intentspark.plans import jobs
-from intentspark.plans.inputs import FixtureGeneratorFactory
+from intentspark.plans.inputs import FixtureGeneratorFactory, PromptFixtureGeneratorFactory
 
 WORDS = {
     "PlayMusic": "play song album track music",
@@ -58,3 +59,34 @@ def test_csv_table_round_trip(spark, tmp_dir):
     back = sorted(tuple(r) for r in read_sentences(spark, f"{tmp_dir}/csv").collect())
     orig = sorted(tuple(r) for r in read_sentences(spark, train).collect())
     assert back == orig
+
+
+def make_factory():
+    return FixtureGeneratorFactory("Id", fail_on=5)
+
+
+def test_score_options_on_the_command_line(spark, tmp_dir, monkeypatch, capsys):
+    test = os.path.join(tmp_dir, "test.csv")
+    open(test, "w").write("Id,Sentence\n" + "".join(f"{i},s {i}\n" for i in range(52)))
+    monkeypatch.setattr("intentspark.session.build_session", lambda: spark)
+    args = ["score", "--input", test, "--output", f"{tmp_dir}/out", "--generator", "test_jobs:make_factory", "--single-line"]
+    jobs.main([*args, "--on-error", "null"])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == 52
+    assert spark.read.parquet(f"{tmp_dir}/out/predictions").filter("Category is null").count() == 2
+    monkeypatch.setattr("test_jobs.make_factory", PromptFixtureGeneratorFactory)
+    jobs.main([*args, "--dedupe"])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == 52
+
+
+def test_serve_on_the_command_line(spark, tmp_dir, monkeypatch, capsys):
+    monkeypatch.setattr("intentspark.session.build_session", lambda: spark)
+    monkeypatch.setattr("test_jobs.make_factory", PromptFixtureGeneratorFactory)
+    requests = f"{tmp_dir}/requests"
+    args = ["serve", *(x for n in ("requests", "responses", "rejects", "checkpoint", "ledger") for x in (f"--{n}", f"{tmp_dir}/{n}")),
+            "--generator", "test_jobs:make_factory", "--max-files", "1"]
+    for i, total in ((0, 3), (1, 6)):
+        spark.createDataFrame([(f'{{"sentence": "s{i}"}}',), ("{",), ('{"sentence": 1}',)], "value string") \
+            .coalesce(1).write.mode("append").text(requests)
+        jobs.main(args)
+        got = json.loads(capsys.readouterr().out.splitlines()[-1])
+        assert got == {"answered": i + 1, "rejected": 2 * i + 2, "rows": total}

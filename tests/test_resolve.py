@@ -185,6 +185,10 @@ def test_rule_index_against_brute_force(spark, side):
     texts += ["kw99999x", "PlayMusic", "", None, "z" * 9000 + "kw00007x", "y" * (res.CHUNK - 3) + "kw00011x" + "y" * 500,
               "q" * 3 + "kw0000"] + ["hot text"] * 200
     rules = [(o, c, k) for o, c, k in rules if len(k) > 2 or o > 6]
+    long = "".join(f"m{i}" for i in range(90))  # longer than the margin
+    rules += [(0, "LONG", long), (1, "EDGE", "edge" * 15)]
+    texts += ["p" * k + "edge" * 15 + "p" * 300 for k in (0, res.PART - 30, res.CHUNK - 61, res.CHUNK - 60, res.CHUNK - 1, res.CHUNK)]
+    texts += ["p" * (res.CHUNK - 40) + long, long, "edge" * 14, ("p" * 100 + "edge" * 14) * 50]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, generated string").repartition(3)
     got = res.resolve_with_rule_table(df, spark.createDataFrame(rules, RULE_SCHEMA))
     assert got.columns == ["i", "generated", "cleaned", "Category", "resolved_by"]
