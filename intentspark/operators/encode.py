@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from intentspark import domain
 from intentspark.functions.text import tokenize
 from intentspark.operators.indexing import distinct_rows, repeated, with_row_index
-from intentspark.operators.sizing import fits_broadcast
+from intentspark.operators.sizing import broadcast_budget, estimate_bytes, fits_broadcast
 from intentspark.session import local_table
 
 RESERVED_SCHEMA = T.StructType([T.StructField("token", T.StringType()), T.StructField("id", T.IntegerType())])
@@ -50,6 +50,26 @@ def _ids_text(c: Column) -> Column:
     return F.array_join(c.cast("array<string>"), " ")
 
 
+def _looked_up(exploded: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``exploded`` with ``_id`` of its ``token`` by the table ``(token, _id)``."""
+    budget = broadcast_budget(exploded)
+    rows, size = estimate_bytes(lookup)
+    if size <= budget:
+        return exploded.join(F.broadcast(lookup), "token", "left")
+    # ids follow the rank by frequency: as many of the first as fit by their average size
+    first = domain.FIRST_WORD_ID + rows * budget // (2 * size)
+    head = lookup.filter(F.col("_id") < first)
+    small = fits_broadcast(head)
+    known = exploded.join(F.broadcast(head) if small else head, "token", "left")
+    if not small:  # long words first: no head
+        return exploded.join(lookup, "token", "left")
+    # what the head knows meets nothing (no token holds a blank) and is dealt evenly by its row's hash
+    rest = lookup.filter(F.col("_id") >= first).select(F.col("token").alias("_token"), F.col("_id").alias("_late"))
+    asked = F.when(F.col("_id").isNull(), F.col("token")).otherwise(F.concat(F.lit(" "), F.col("_h")))
+    return (known.withColumn("_asked", asked).join(rest, F.col("_asked") == F.col("_token"), "left")
+            .withColumn("_id", F.coalesce("_id", "_late")).drop("_asked", "_token", "_late"))
+
+
 def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
               max_length: int = domain.MAX_LENGTH, out: str = "ids",
               carry: dict | None = None) -> DataFrame:
@@ -57,18 +77,20 @@ def token_ids(df: DataFrame, vocab: DataFrame, key: str, text: str,
     ids of the first ``max_length`` tokens (unknown tokens -> unk id). The
     key need not be unique. Rows are told apart by what they hold
     (:func:`distinct_rows`, the one shuffle when the vocabulary's measured
-    size fits the broadcast budget); a larger vocabulary is shuffle-joined on
-    the token. ``carry`` maps names to per-row expressions kept alongside."""
+    size fits the broadcast budget). Of a larger vocabulary the first words,
+    which are the most frequent, are broadcast, so that no hot token is shuffled;
+    the others are shuffle-joined. ``carry`` maps names to per-row expressions
+    kept alongside."""
     carry = carry or {}
     by = [key, *carry]
     cut = df.select(F.col(key), *[v.alias(k) for k, v in carry.items()],
                     F.array_join(F.slice(tokenize(text), 1, max_length), " ").alias("_t"))
     rows = distinct_rows(cut, by, "_t")  # tokens hold no white space
-    same = [*by, "_h", "_times"]
+    same = [*by, "_h", "_pid", "_times"]
     exploded = rows.select(*same, F.posexplode_outer(
         F.array_remove(F.split("_t", " "), F.lit(""))).alias("_pos", "token"))
     lookup = vocab.select("token", F.col("id").alias("_id"))
-    joined = exploded.join(F.broadcast(lookup) if fits_broadcast(lookup) else lookup, "token", "left")
+    joined = _looked_up(exploded, lookup)
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(domain.UNK_ID)).alias("_id")))
     ids = joined.groupBy(*same).agg(F.array_sort(F.collect_list(item)).getField("_id").alias(out))

@@ -37,19 +37,32 @@ def with_row_index(df: DataFrame, order, out: str = "index", start: int = 0) ->
 
 
 def distinct_rows(df: DataFrame, by: list, value: str) -> DataFrame:
-    """``(*by, _h, value, _times)``: rows that agree on ``by`` and on the string
-    ``value`` as one row with their number ``_times``.
-
-    For work that regroups exploded rows: ``(*by, _h)`` identifies a row by
-    what it holds (``_h`` is the hash of ``value``), so a repeated key merges
-    nothing and a retried task names its rows alike. Equal rows are combined
-    before the one shuffle, and later groupings that include ``(*by, _h)``
-    reuse its partitioning. :func:`repeated` gives the copies back.
+    """``(*by, _h, _pid, value, _times)``: rows that agree on ``by`` and on the
+    string ``value`` as one row a partition of ``df``, with their number ``_times``.
+
+    For work that regroups exploded rows: ``(*by, _h, _pid)`` identifies a row
+    by what it holds (``_h`` is the hash of ``value``), so a repeated key merges
+    nothing and a retried task names its rows alike. Equal rows of a partition
+    are combined before the one shuffle; those of different partitions go on
+    apart, so that no row's copies are all written by one task. Later groupings
+    that include these columns reuse the partitioning. :func:`repeated` gives
+    the copies back.
     """
-    return (df.withColumn("_h", F.md5(value)).groupBy(*by, "_h")
+    return (df.withColumn("_h", F.md5(value)).withColumn("_pid", F.spark_partition_id()).groupBy(*by, "_h", "_pid")
             .agg(F.max(value).alias(value), F.count(F.lit(1)).alias("_times")))
 
 
-def repeated(df: DataFrame) -> DataFrame:
-    """Each row ``_times`` times, without ``_times``."""
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_times", "_copy")
+COPY_STEP = 1 << 16  # copies of a row made at once
+
+
+def repeated(df: DataFrame, spread: list | None = None) -> DataFrame:
+    """Each row ``_times`` times, without ``_times``. Copies are made in blocks of
+    ``COPY_STEP``; with ``spread``, the blocks are dealt to tasks by these columns
+    and their number, so that a row of any number of copies is written by many."""
+    last = f"(_times - 1) div {COPY_STEP}"
+    blocks = df.withColumn("_block", F.explode(F.expr(f"sequence(0L, {last})")))
+    if spread:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(n, *spread, "_block")
+    copies = F.expr(f"sequence(1, int(least({COPY_STEP}, _times - _block * {COPY_STEP})))")
+    return blocks.withColumn("_copy", F.explode(copies)).drop("_times", "_block", "_copy")

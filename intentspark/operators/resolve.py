@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from intentspark import domain
 from intentspark.functions.text import clean_generation, strip_ws
 from intentspark.operators.sizing import ROW_OVERHEAD, broadcast_budget, fits_broadcast
-from intentspark.session import scratch_path
+from intentspark.session import stored
 
 STAGES = ("prefix", "contains", "keyword", "default")
 
@@ -134,13 +134,6 @@ class RuleIndex(NamedTuple):
     small: bool
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rule_index(rules: DataFrame) -> RuleIndex:
     """The index of a rule table ``(ord, category, keyword)``, stored in the
     shared folder. Rules without a keyword are left out."""
@@ -154,7 +147,7 @@ def rule_index(rules: DataFrame) -> RuleIndex:
     least = (held.join(shared, "gram").groupBy("keyword", "ord", "category")
              .agg(F.min(F.struct("_n", "gram", "off")).alias("_least"))
              .select("_least.gram", "_least.off", "keyword", "ord", "category"))
-    table = _stored(least, "rule-index")
+    table = stored(least, "rule-index")
     found = table.agg(F.collect_set(F.length("gram")).alias("sizes"), F.count(F.lit(1)).alias("rows"),
                       F.sum(F.octet_length("gram") + F.octet_length("keyword") + F.octet_length("category")).alias("bytes"),
                       F.min(F.when(F.col("keyword") == "", F.struct("ord", "category"))).alias("empty")).first()
@@ -209,7 +202,7 @@ def resolve_with_rule_table(df: DataFrame, rules: DataFrame, generated: str = "g
     index = rule_index(rules)
     if index.sizes:
         # no filter by the first two stages: it would be pushed below the cleaning and clean once for each of its predicates
-        hits = _stored(keyword_hits(base.select("_tid", "_lowered").distinct(), index), "rule-hits")
+        hits = stored(keyword_hits(base.select("_tid", "_lowered").distinct(), index), "rule-hits")
         flat = hits.select("_tid", F.col("_hit.ord").alias("_ord"), F.col("_hit.category").alias("_category"))
         joined = base.join(F.broadcast(flat) if fits_broadcast(flat) else flat, "_tid", "left")
         hit = F.when(F.col("_ord").isNotNull(), F.struct(F.col("_ord").alias("ord"), F.col("_category").alias("category")))

@@ -255,6 +255,14 @@ def intent_model_metrics(spark, sf_dir):
     return lines.select("metric", F.round("value", 6).alias("value"), "line")
 
 
+@register
+def intent_model_best(spark, sf_dir):
+    """MOD-4, keeping the best: smoothing chosen by the held-out part, and its confusion counts."""
+    flagged, m = _fitted(spark, sf_dir)
+    _, grid = model_op.best_smoothing(m, flagged.filter(F.col("split") == "eval"), "lang", "text")
+    return grid.filter("best").select("alpha", "truth", "predicted", "n")
+
+
 @register
 def model_save_load(spark, sf_dir):
     """SNK-3: the fitted tables written as parquet and read back."""

@@ -117,6 +117,18 @@ ORACLE["intent_model_metrics"] = (
     f"UNION ALL SELECT 'recall:' || truth, avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) FROM pairs GROUP BY truth) "
     f"SELECT metric, round(CAST(value AS DOUBLE), 6) AS value, printf('%s: %.4f', metric, CAST(value AS DOUBLE)) AS line FROM m")
 
+ORACLE["intent_model_best"] = (
+    f"{_NB}, g AS (SELECT unnest([0.01, 0.1, 0.3, 1.0, 3.0])::DOUBLE AS alpha), "
+    f"gs AS (SELECT alpha, doc_id, label, sum(f * (ln(n_tok + alpha) - ln(alpha))) AS s FROM tf JOIN counts USING (token), g "
+    f"GROUP BY alpha, doc_id, label), "
+    f"gp AS (SELECT alpha, ev.doc_id, ev.lang AS truth, cl.label AS predicted FROM ev, classes cl, v, g "
+    f"LEFT JOIN gs ON gs.alpha = g.alpha AND gs.doc_id = ev.doc_id AND gs.label = cl.label "
+    f"QUALIFY row_number() OVER (PARTITION BY g.alpha, ev.doc_id ORDER BY ln(cl.docs) + coalesce(gs.s, 0) "
+    f"- len(ev.toks) * ln(cl.n_class + g.alpha * v.vocab) DESC, cl.label) = 1), "
+    f"top AS (SELECT alpha FROM gp GROUP BY alpha ORDER BY count(*) FILTER (truth = predicted) DESC, alpha LIMIT 1) "
+    f"SELECT alpha, truth, predicted, count(*) AS n FROM gp JOIN top USING (alpha) GROUP BY ALL").replace(
+        "SELECT alpha, ev.doc_id", "SELECT g.alpha, ev.doc_id")
+
 ORACLE["vocab"] = f"SELECT token, id, n FROM ({S.vocab_sql(S.USER_TURNS, 'Sentence')}) WHERE n IS NOT NULL"
 
 _TEXTS = (f"(SELECT Id, {_PROMPT} || Category AS text, {_PROMPT} AS prompt FROM {S.LABELLED_TURNS})")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intentspark import domain
 from intentspark.functions.text import strip_special, tokenize
 from intentspark.operators import encode as enc
+from intentspark.operators import indexing
 from intentspark.operators.indexing import with_row_index
 
 L = domain.MAX_LENGTH
@@ -126,3 +127,38 @@ def test_repeated_keys_keep_their_rows(spark, budget):
         ids = [word[t] for t in (text or "").split()][:L]
         want[(key, (domain.PAD_ID,) * (L - len(ids)) + tuple(ids))] += 1
     assert Counter((r["Id"], tuple(r["input_ids"])) for r in got) == want
+
+
+def test_large_vocabulary_has_its_frequent_words_broadcast(spark):
+    rows = [(i, "the the of " + " ".join(f"w{(i * 7 + k) % 300}" for k in range(i % 9))) for i in range(200)] + [(None, None), (7, "the")]
+    df = spark.createDataFrame(rows, "Id long, text string").repartition(3)
+    v = enc.build_vocab(df, "text")
+    want = sorted(map(str, enc.token_ids(df, v, "Id", "text").collect()))
+    for budget in ("2000", "0"):
+        spark.conf.set("spark.intentspark.broadcastBytes", budget)
+        try:
+            got = enc.token_ids(df, v, "Id", "text")
+            assert ("_asked" in got._jdf.queryExecution().analyzed().toString()) == (budget != "0")
+            assert sorted(map(str, got.collect())) == want
+        finally:
+            spark.conf.unset("spark.intentspark.broadcastBytes")
+
+
+def test_copies_are_made_in_blocks_by_many_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("b", 1000), ("c", 7)], "k string, _times long")
+    monkeypatch.setattr(indexing, "COPY_STEP", 10)
+    for spread in (None, ["k"]):
+        out = indexing.repeated(df, spread).withColumn("p", F.spark_partition_id())
+        assert {r["k"]: r["count"] for r in out.groupBy("k").count().collect()} == {"a": 1, "b": 1000, "c": 7}
+    assert out.filter("k = 'b'").select("p").distinct().count() > 3
+    monkeypatch.undo()
+    many = indexing.repeated(spark.createDataFrame([("a", 3_000_000_000)], "k string, _times long"))
+    assert many.limit(5).count() == 5  # three billion are not made at once
+
+
+def test_equal_rows_are_encoded_where_they_are(spark):
+    df = spark.createDataFrame([(1, "a b")] * 400 + [(2, "b")], "Id long, text string").repartition(6)
+    merged = indexing.distinct_rows(df.withColumn("t", F.col("text")), ["Id"], "t")
+    assert merged.filter("Id = 1").count() == 6 and merged.agg(F.sum("_times")).first()[0] == 401
+    v = enc.build_vocab(df, "text")
+    assert enc.token_ids(df, v, "Id", "text").count() == 401

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from intentspark.operators import model as m
@@ -35,6 +36,13 @@ def brute(train, test, alpha=1.0):
     return out
 
 
+@pytest.fixture(params=["pivot", "by label"], autouse=True)
+def way(request, monkeypatch):
+    """Both ways of scoring, for few labels and for many."""
+    if request.param == "by label":
+        monkeypatch.setattr(m, "PIVOT_LABELS", 0)
+
+
 def test_fit_predict_matches_brute_force(spark):
     train = spark.createDataFrame(TRAIN, "Id long, text string, label string")
     test = spark.createDataFrame(TEST, "Id long, text string")
@@ -85,7 +93,7 @@ def test_scoring_shuffles_no_text(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = m.score_intent_model(test, model, "Id", "text")._jdf.queryExecution().executedPlan()
-        # what the scored rows' exchanges carry; the fit's own are under its cached table
+        # what the scored rows' exchanges carry (the weights' own holds tokens)
         carried = []
 
         def walk(node):
@@ -97,7 +105,7 @@ def test_scoring_shuffles_no_text(spark):
         walk(plan)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        model.release()
+    carried = [out for out in carried if "_key" in out]
     assert carried
     assert not any(name in out for out in carried for name in ("text", "_toks", "token"))
 
@@ -176,7 +184,7 @@ def test_frequent_tokens_broadcast_and_rare_ones_shuffled(spark):
     model = m.fit_intent_model(train, "label", "text")
     spark.conf.set("spark.intentspark.broadcastBytes", "3000")
     try:
-        weights = model.counts.select("token", "label", F.col("n_tok").alias("_n"), F.lit(1.0).alias("_w"))
+        weights = model.counts.select("token", "label", F.col("n_tok").alias("_n"), F.lit(1).alias("_w"))
         head, tail = m._split_weights(weights, 3000)
         assert head.count() and tail.count() and head.count() + tail.count() == model.counts.count()
         assert ("the",) in {tuple(r) for r in head.select("token").distinct().collect()}
@@ -186,6 +194,40 @@ def test_frequent_tokens_broadcast_and_rare_ones_shuffled(spark):
     assert pred == brute(rows, test_rows)
 
 
+def test_ties_do_not_depend_on_copies(spark):
+    train = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "d", "z")], "Id long, text string, label string")
+    model = m.fit_intent_model(train, "label", "text", alpha=0.3)
+    rows = [(n, "a b c a b a") for n in range(1, 8) for _ in range(n)]  # x and y tie exactly
+    got = m.score_intent_model(spark.createDataFrame(rows, "Id long, text string").repartition(3), model, "Id", "text")
+    assert Counter(map(tuple, got.collect())) == Counter((n, "x") for n, _ in rows)
+
+
+def test_best_smoothing_is_the_most_accurate(spark):
+    import random
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choices(words[(i % 3) * 8:(i % 3) * 8 + 20], k=rnd.randrange(0, 9))), f"L{i % 3}") for i in range(400)]
+    train, held = rows[:60], rows[60:] + rows[60:70]
+    df = lambda r: spark.createDataFrame(r, "Id long, text string, label string")
+    alphas = (0.001, 0.05, 1.0, 20.0)
+    model = m.fit_intent_model(df(train), "label", "text")
+    chosen, report = m.best_smoothing(model, df(held), "label", "text", alphas)
+    want, hits = Counter(), Counter()
+    for a in alphas:
+        pred = brute(train, [(i, t) for i, (_, t, _) in enumerate(held)], alpha=a)
+        for i, (_, _, y) in enumerate(held):
+            want[a, y, pred[i]] += 1
+            hits[a] += pred[i] == y
+    best = min(alphas, key=lambda a: (-hits[a], a))
+    got = report.collect()
+    assert {(r["alpha"], r["truth"], r["predicted"]): r["n"] for r in got} == dict(want)
+    assert {r["alpha"] for r in got if r["best"]} == {best} and chosen.meta_row()["alpha"] == best
+    pred = {r["Id"]: r["predicted"] for r in m.score_intent_model(df(held[:300]), chosen, "Id", "text").collect()}
+    assert pred == brute(train, [(k, t) for k, t, _ in held[:300]], alpha=best)
+    with pytest.raises(ValueError):
+        m.best_smoothing(model, df(held), "label", "text", (0.0,))
+
+
 def test_a_thousand_labels_take_seconds(spark):
     import time
     rows = [(i, f"w{i % 1000} v{i % 37} w{i % 90}", f"L{i % 1000:04d}") for i in range(3000)]
