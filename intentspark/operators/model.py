@@ -151,9 +151,9 @@ def _cost(matched: Column, prior, fall) -> Column:
     return -(prior + matched.cast("double") / SCALE - F.col("_len") * fall)
 
 
-def _by_pivot(exploded, model, meta, alphas, ids) -> DataFrame:
-    """(*ids, _times, _label0, ...) for few labels."""
-    labels = sorted(r["label"] for r in model.classes.select("label").collect())
+def _by_pivot(exploded, model, meta, alphas, ids, lines: dict) -> DataFrame:
+    """(*ids, _times, _label0, ...) for few labels, whose lines are at hand."""
+    labels = sorted(lines)
     names = [[f"_w{i}_{k}" for i in range(len(labels))] for k in range(len(alphas))]
     flat = [n for ns in names for n in ns]
     weights = model.counts.groupBy("token").agg(
@@ -164,8 +164,6 @@ def _by_pivot(exploded, model, meta, alphas, ids) -> DataFrame:
     size = meta["counts_bytes"] + meta["n_counts"] * 8 * len(flat)
     met = _matched(exploded, weights, size, ids, flat)
     sums = met.groupBy(*ids).agg(F.count_if("_mark").alias("_times"), *[F.sum(n).alias(n) for n in flat])
-    lines = {r["label"]: r for r in model.classes.select("label", *[c.alias(f"{x}{k}") for k, a in enumerate(alphas) for x, c in zip(
-        ("p", "f"), _line(a, meta["vocab_size"]))]).collect()}
     chosen = []
     for k in range(len(alphas)):
         entries = [F.struct(_cost(F.expr(f"coalesce({names[k][i]}, 0) div _times"), F.lit(lines[lab][f"p{k}"]),
@@ -219,8 +217,12 @@ def _predictions(df: DataFrame, model: IntentModel, key: str, text: str, carry,
             .select(*by, F.md5("_text").alias("_h"), tokenize("_text").alias("_toks"))
             .select(*by, "_h", F.size("_toks").alias("_len"), "_toks"))
     exploded = rows.select(*ids, F.explode(F.concat(F.array(F.lit(MARK)), "_toks")).alias("token"))
-    few = model.classes.limit(PIVOT_LABELS + 1).count() <= PIVOT_LABELS
-    found = (_by_pivot if few else _by_label)(exploded, model, meta, alphas, ids)
+    some = model.classes.select("label", *[c.alias(f"{x}{k}") for k, a in enumerate(alphas) for x, c in zip(
+        ("p", "f"), _line(a, meta["vocab_size"]))]).limit(PIVOT_LABELS + 1).collect()
+    if 0 < len(some) <= PIVOT_LABELS:
+        found = _by_pivot(exploded, model, meta, alphas, ids, {r["label"]: r for r in some})
+    else:
+        found = _by_label(exploded, model, meta, alphas, ids)
     return found.select(*ids, "_times", *[f"_label{k}" for k in range(len(alphas))])
 
 

@@ -18,6 +18,7 @@ from intentspark.functions import text as text_fn
 from intentspark.operators import prompts, report, resolve as res, scoring
 from intentspark.operators import encode as encode_op
 from intentspark.operators import model as model_op
+from intentspark.operators import softmax
 from intentspark.operators import split as split_op
 from intentspark.plans import inputs
 from intentspark.session import scratch_path
@@ -263,6 +264,16 @@ def intent_model_best(spark, sf_dir):
     return grid.filter("best").select("alpha", "truth", "predicted", "n")
 
 
+@register
+def intent_softmax(spark, sf_dir):
+    """MOD-2 + MOD-4 iteratively: softmax regression over ten epochs, the best by
+    the held-out part kept; its predictions there."""
+    flagged = _doc_split(spark, sf_dir)
+    held = flagged.filter(F.col("split") == "eval")
+    m = softmax.fit_softmax(flagged.filter(F.col("split") == "train"), held, "lang", "text")
+    return softmax.score_softmax(held, m, key="doc_id", text="text", carry=["lang"])
+
+
 @register
 def model_save_load(spark, sf_dir):
     """SNK-3: the fitted tables written as parquet and read back."""
