@@ -13,6 +13,7 @@ the batch holds the selected columns including ``prompt``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -24,7 +25,7 @@ from intentspark import domain
 from intentspark.functions.text import strip_special
 from intentspark.operators.prompts import prompt_expr
 from intentspark.operators.resolve import resolve, resolve_api
-from intentspark.session import ship_package
+from intentspark.session import ship_package, stored
 
 GeneratorFactory = Callable[[], Callable]
 
@@ -38,19 +39,22 @@ def _generator(fingerprint: str, factory: GeneratorFactory) -> Callable:
     return gen
 
 
+#: A batch input that Catalyst estimates below this many bytes a core is spread over all cores.
+SPREAD_BYTES = 32 << 20
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """Generation is the costly per-row step: a batch input with fewer
-    partitions than the cluster has cores is spread round-robin first (large
-    inputs already have enough partitions and pass through unchanged)."""
+    """Generation is the costly per-row step: a small batch input, which may have
+    fewer partitions than the cluster has cores, is spread round-robin first.
+    Catalyst's estimate decides; nothing is run for it."""
     if df.isStreaming:
         return df
     try:
         par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            return df.repartition(par)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM context (remote session): leave it
-        pass
-    return df
+        return df
+    return df.repartition(par) if size < par * SPREAD_BYTES else df
 
 
 def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
@@ -126,9 +130,60 @@ def generate(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
     return df.mapInPandas(run, schema)
 
 
+#: Parts in which new prompts are generated and stored, one after the other.
+STEPS = 8
+
+_STORE = "prompt_hash string, generated string"
+
+
+def generate_resumable(df: DataFrame, factory: GeneratorFactory, store: str, prompt: str = "prompt", out: str = "generated",
+                       on_error: str = "raise", batch_size: int | None = None, steps: int = STEPS) -> DataFrame:
+    """MOD-1 with a memory: ``df`` with ``out``, where only prompts that the table
+    in the folder ``store`` doesn't have are generated.
+
+    The table is (hash of the prompt, text); each call adds the texts of its new
+    distinct prompts in ``steps`` parts, each committed for itself, so that a
+    broken-off run goes on after its last finished part. A store belongs to one
+    generator, which must see nothing but the prompt. With ``on_error='null'`` a
+    failing prompt gets a null text and is not stored, so a later run tries it
+    again. Rows without a prompt get a null text.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(store)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+
+    def known() -> DataFrame:
+        # the finished parts only: an unfinished one has no mark
+        parts = [f"{store}/{s.getPath().getName()}" for s in fs.listStatus(folder)
+                 if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return spark.read.schema(_STORE).parquet(*parts) if parts else spark.createDataFrame([], _STORE)
+
+    digest = F.sha2(F.col(prompt), 256)
+    asked = df.filter(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt"), digest.alias("prompt_hash")).distinct()
+    fresh = stored(asked.join(known().select("prompt_hash"), "prompt_hash", "left_anti"), "new-prompts")
+    failed = None
+    for step in range(steps):
+        part = fresh.filter(F.pmod(F.crc32(F.col("prompt_hash").cast("binary")), F.lit(steps)) == step)
+        made = generate(part, factory, out="generated", on_error=on_error, batch_size=batch_size)
+        if on_error == "null":
+            made = stored(made, "generated")  # answers and errors of one call
+            errors = made.filter(F.col("error").isNotNull()).select("prompt_hash", "error")
+            failed = errors if failed is None else failed.unionByName(errors)
+            made = made.filter(F.col("error").isNull())
+        made.select("prompt_hash", "generated").write.parquet(f"{store}/part-{uuid.uuid4().hex[:12]}")
+    hashed = df.withColumn("_ph", digest)
+    texts = known().select(F.col("prompt_hash").alias("_ph"), F.col("generated").alias(out)).dropDuplicates(["_ph"])
+    found = hashed.join(texts, "_ph", "left")
+    if failed is not None:
+        found = found.join(failed.withColumnRenamed("prompt_hash", "_ph"), "_ph", "left")
+    return found.drop("_ph")
+
+
 def predict(df: DataFrame, factory: GeneratorFactory, key: str = "Id",
             sentence: str = "Sentence", on_error: str = "raise",
-            api: bool = False, dedupe: bool = False) -> DataFrame:
+            api: bool = False, dedupe: bool = False, store: str | None = None) -> DataFrame:
     """Batch path A: prompt -> generate -> drop special tokens -> clean ->
     resolve. Returns ``key, generated, [cleaned, resolved_by,] Category
     [, error]``; with ``on_error='null'`` a failed row has a null Category.
@@ -138,9 +193,13 @@ def predict(df: DataFrame, factory: GeneratorFactory, key: str = "Id",
     text back (valid because generation is deterministic and, in this mode,
     sees only the prompt). The distinct is combined map-side, so a sentence
     repeated on a large share of the rows costs one model call; the join
-    back is a shuffle join on the prompt whose hot partition AQE splits."""
+    back is a shuffle join on the prompt whose hot partition AQE splits.
+    ``store`` names a folder that keeps texts by prompt over runs
+    (:func:`generate_resumable`): only prompts it doesn't have are generated."""
     prompted = df.select(F.col(key), prompt_expr(sentence).alias("prompt"))
-    if dedupe:
+    if store:
+        gen = generate_resumable(prompted, factory, store, on_error=on_error).drop("prompt")
+    elif dedupe:
         distinct = prompted.select("prompt").distinct()
         texts = generate(distinct, factory, on_error=on_error)
         gen = prompted.join(texts, "prompt", "left").drop("prompt")

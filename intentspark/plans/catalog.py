@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from intentspark import domain
 from intentspark.functions import text as text_fn
-from intentspark.operators import prompts, report, resolve as res, scoring
+from intentspark.operators import batches, prompts, report, resolve as res, scoring
 from intentspark.operators import encode as encode_op
 from intentspark.operators import model as model_op
 from intentspark.operators import softmax
 from intentspark.operators import split as split_op
+from intentspark.operators.indexing import with_row_index
 from intentspark.plans import inputs
 from intentspark.session import scratch_path
 from intentspark.sources import csv as csv_io
@@ -108,6 +109,14 @@ def prompt_inference(spark, sf_dir):
     return prompts.with_prompt(inputs.user_turns(spark, sf_dir)).select("Id", "prompt")
 
 
+@register
+def prompt_label_table(spark, sf_dir):
+    """PRJ-4 + PRJ-5 with the category list joined from the label table."""
+    listed = prompts.categories_string(domain.label_table(spark)).first()[0]  # one row
+    turns = inputs.user_turns(spark, sf_dir)
+    return turns.select("Id", prompts.prompt_expr("Sentence", categories_string=listed).alias("prompt"))
+
+
 @register
 def prompt_training(spark, sf_dir):
     """PRJ-6: prompt + label, no end marker."""
@@ -181,6 +190,23 @@ def sentences_csv_round_trip(spark, sf_dir):
     return csv_io.read_sentences(spark, path, labelled=True)
 
 
+@register
+def unlabelled_csv(spark, sf_dir):
+    """SRC-2: sentences read without a label column, from files that order their
+    columns differently and hold quoted newlines."""
+    path = scratch_path(spark, "unlabelled")
+    rows = inputs.labelled_turns(spark, sf_dir)
+    csv_io.write_csv(rows.filter("turn < 3").select("Id", "Sentence"), path)
+    csv_io.write_csv(rows.filter("turn >= 3").select("Category", "Sentence", "Id"), path, mode="append")
+    return csv_io.read_sentences(spark, path, labelled=False)
+
+
+@register
+def submission_order(spark, sf_dir):
+    """RPT-2: the place of every row in the submission's order."""
+    return with_row_index(report.submission(_resolved_gens(spark, sf_dir)), ["Id"], out="place")
+
+
 # -- batch scoring (MOD-1, MOD-7, path A) -------------------------------------
 
 @register
@@ -199,6 +225,17 @@ def batch_predict_distinct(spark, sf_dir):
     return pred.select("Id", "generated", "Category", "resolved_by")
 
 
+@register
+def batch_predict_resumed(spark, sf_dir):
+    """MOD-1 with a store of texts by prompt: a first run fills it, the second
+    finds every prompt there and generates none."""
+    store = scratch_path(spark, "texts")
+    turns = inputs.user_turns(spark, sf_dir)
+    scoring.predict(turns, inputs.PromptFixtureGeneratorFactory(), store=store).select("Id").count()
+    pred = scoring.predict(turns, inputs.PromptFixtureGeneratorFactory(), store=store)
+    return pred.select("Id", "generated", "Category", "resolved_by")
+
+
 @register
 def batch_predict_errors(spark, sf_dir):
     """MOD-7: a generator failing on some rows gives null there, not a crash."""
@@ -299,15 +336,11 @@ def _training_texts(spark, sf_dir):
     return prompts.with_prompt(df)
 
 
-def _training_vocab(spark, sf_dir):
-    return encode_op.build_vocab(_training_texts(spark, sf_dir), "text")
-
-
 @register
 def encode_prompts(spark, sf_dir):
     """ENC-7 (= ENC-2 + ENC-3 on the inference prompt)."""
     texts = _training_texts(spark, sf_dir)
-    enc = encode_op.encode(texts, _training_vocab(spark, sf_dir), key="Id", text="prompt")
+    enc = encode_op.encode(texts, encode_op.build_vocab(texts, "text"), key="Id", text="prompt")
     return encode_op.ids_as_text(enc, ["input_ids", "attention_mask"])
 
 
@@ -315,7 +348,7 @@ def encode_prompts(spark, sf_dir):
 def encode_training(spark, sf_dir):
     """ENC-2..5: prompt + label ids, mask, and the intended loss labels."""
     texts = _training_texts(spark, sf_dir)
-    enc = encode_op.encode_training(texts, _training_vocab(spark, sf_dir), key="Id",
+    enc = encode_op.encode_training(texts, encode_op.build_vocab(texts, "text"), key="Id",
                                     text="text", prompt="prompt")
     return encode_op.ids_as_text(enc, ["input_ids", "attention_mask", "labels"])
 
@@ -324,11 +357,29 @@ def encode_training(spark, sf_dir):
 def collate_causal(spark, sf_dir):
     """ENC-6: labels the collator rebuilds from ids (pad id -> -100)."""
     texts = _training_texts(spark, sf_dir)
-    enc = encode_op.encode(texts, _training_vocab(spark, sf_dir), key="Id", text="text")
+    enc = encode_op.encode(texts, encode_op.build_vocab(texts, "text"), key="Id", text="text")
     out = encode_op.collate_causal(enc)
     return encode_op.ids_as_text(out.select("Id", "labels"), ["labels"])
 
 
+def _batches(spark, sf_dir):
+    texts = _training_texts(spark, sf_dir)
+    ids = encode_op.token_ids(texts, encode_op.build_vocab(texts, "text"), "Id", "text")
+    return batches.epoch_batches(ids, "Id", epoch=1)
+
+
+@register
+def epoch_batches(spark, sf_dir):
+    """ENC-6: an epoch's batches by length, each padded to its longest row."""
+    return encode_op.ids_as_text(_batches(spark, sf_dir), ["input_ids", "attention_mask"])
+
+
+@register
+def batch_padding(spark, sf_dir):
+    """ENC-6: how much of an epoch's batches is padding, and would be at a fixed length."""
+    return batches.padding_report(_batches(spark, sf_dir))
+
+
 @register
 def truncation_report(spark, sf_dir):
     """ENC-8: documents longer than 256 tokens, per language."""
@@ -456,6 +507,22 @@ def until_exit(spark, sf_dir):
     return hygiene.clean_requests(kept).select("Id", "request")
 
 
+@register
+def until_exit_stream(spark, sf_dir):
+    """HYG-2 then HYG-1 on a stream with state: early turns arrive first, later
+    turns after a restart from the checkpoint."""
+    base = scratch_path(spark, "sessions")
+    turns = _hygiene_input(spark, sf_dir)
+    schema = turns.schema
+    for wave in (F.col("turn") < 3, F.col("turn") >= 3):
+        turns.filter(wave).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+        kept = hygiene.clean_requests(hygiene.until_exit_stream(arriving, session="conv_id", order="turn"))
+        kept.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint") \
+            .trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("Id", "request")
+
+
 # -- intents table (SRC-4, SRC-5) ---------------------------------------------
 
 @register

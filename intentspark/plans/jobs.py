@@ -7,7 +7,7 @@ submission, preview and label counts never re-run the scoring.
 Command line::
 
     python -m intentspark.plans.jobs score --input test.csv --output out/ \
-        (--generator pkg.module:factory [--on-error null] [--dedupe] | --model model_dir/) [--strict] [--single-line]
+        (--generator pkg.module:factory [--on-error null] [--dedupe] [--store texts/] | --model model_dir/) [--strict] [--single-line]
     python -m intentspark.plans.jobs serve --requests in/ --responses out/ --rejects bad/ --checkpoint ck/ \
         --generator pkg.module:factory [--ledger log/] [--max-files 100] [--forever]
     python -m intentspark.plans.jobs fit --input train.csv --model model_dir/
@@ -36,12 +36,12 @@ from intentspark.streaming import serving
 
 def score_csv(spark: SparkSession, input_path: str, output_dir: str, factory=None,
               model_dir: str | None = None, strict: bool = False, on_error: str = "raise", dedupe: bool = False,
-              multi_line: bool = True) -> dict:
+              multi_line: bool = True, store: str | None = None) -> dict:
     """Batch scoring of an unlabelled CSV (``Id, Sentence``).
 
     With ``factory``: prompt -> generator -> clean -> resolve (path A);
     ``on_error='null'`` keeps going over failing rows, ``dedupe`` generates each
-    distinct prompt once. With
+    distinct prompt once, ``store`` only those that earlier runs did not. With
     ``model_dir``: the saved count model predicts the label (MOD-3).
     Writes ``predictions`` (parquet, with the audit columns) and the sorted
     ``submission`` CSV; returns the 5-row preview and the label counts."""
@@ -49,7 +49,7 @@ def score_csv(spark: SparkSession, input_path: str, output_dir: str, factory=Non
         raise ValueError("give exactly one of factory or model_dir")
     df = csv_io.read_sentences(spark, input_path, labelled=False, strict=strict, multi_line=multi_line)
     if factory is not None:
-        pred = scoring.predict(df, factory, on_error=on_error, dedupe=dedupe)
+        pred = scoring.predict(df, factory, on_error=on_error, dedupe=dedupe, store=store)
     else:
         m = model_op.load_model(spark, model_dir)
         pred = model_op.score_intent_model(df, m, key="Id", text="Sentence", out="Category")
@@ -146,6 +146,7 @@ def main(argv=None) -> None:
     f = sub.add_parser("fit")
     f.add_argument("--input", required=True)
     f.add_argument("--model", required=True)
+    s.add_argument("--store", help="folder that keeps generated texts over runs")
     for p in (s, f):
         p.add_argument("--strict", action="store_true")
     v = sub.add_parser("serve")
@@ -168,7 +169,7 @@ def main(argv=None) -> None:
     if a.cmd == "score":
         factory = _load_factory(a.generator)() if a.generator else None
         out = score_csv(spark, a.input, a.output, factory=factory, model_dir=a.model, strict=a.strict, on_error=a.on_error,
-                        dedupe=a.dedupe, multi_line=not a.single_line)
+                        dedupe=a.dedupe, multi_line=not a.single_line, store=a.store)
     elif a.cmd == "fit":
         out = fit_csv(spark, a.input, a.model, strict=a.strict, multi_line=not a.single_line)
     elif a.cmd == "serve":

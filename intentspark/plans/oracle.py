@@ -202,3 +202,27 @@ _PROMPT_GENS = (f"(SELECT Id, regexp_replace(list_extract({S.list_lit(GENERATION
 ORACLE["batch_predict_distinct"] = (
     f"SELECT r.Id, g.generated, r.Category, r.resolved_by "
     f"FROM ({S.resolved(_PROMPT_GENS, 'Id')}) r JOIN {_PROMPT_GENS} g USING (Id)")
+
+ORACLE["batch_predict_resumed"] = ORACLE["batch_predict_distinct"]
+ORACLE["until_exit_stream"] = ORACLE["until_exit"]
+ORACLE["prompt_label_table"] = ORACLE["prompt_inference"]
+ORACLE["unlabelled_csv"] = f"SELECT Id, Sentence FROM {S.LABELLED_TURNS}"
+ORACLE["submission_order"] = (
+    f"SELECT CAST(Id AS BIGINT) AS Id, Category, row_number() OVER (ORDER BY Id) - 1 AS place FROM {_RESOLVED_GENS}")
+
+_BATCHES = (
+    f"WITH e AS (SELECT Id, ids, len(ids) AS n_tokens, len(ids) // 16 AS b, "
+    f"md5('42:1:' || Id || ':' || md5({S.ids_text('ids')})) AS h FROM ({_TIDS})), "
+    f"p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h, Id) - 1 AS i FROM e), "
+    f"g AS (SELECT b, i // 16 AS no, max(n_tokens) AS longest FROM p GROUP BY b, i // 16), "
+    f"o AS (SELECT *, row_number() OVER (ORDER BY md5('42:1:' || b || ':' || no), b, no) - 1 AS batch FROM g), "
+    f"r AS (SELECT p.*, o.longest, o.batch FROM p JOIN o ON o.b = p.b AND o.no = p.i // 16) ")
+ORACLE["epoch_batches"] = _BATCHES + (
+    f"SELECT Id, batch, CAST(i % 16 AS INTEGER) AS place, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(longest AS INTEGER) AS longest, "
+    f"{S.ids_text(f'list_concat(list_transform(range(longest - n_tokens), lambda x: {domain.PAD_ID}), ids)')} AS input_ids, "
+    f"{S.ids_text('list_concat(list_transform(range(longest - n_tokens), lambda x: 0), list_transform(range(n_tokens), lambda x: 1))')} AS attention_mask FROM r")
+ORACLE["batch_padding"] = _BATCHES + (
+    f"SELECT rows, batches, tokens, padding, round(padding / (tokens + padding), 6) AS share, "
+    f"round((rows * {domain.MAX_LENGTH} - tokens) / (rows * {domain.MAX_LENGTH}), 6) AS fixed_share FROM ("
+    f"SELECT count(*) AS rows, count(*) FILTER (i % 16 = 0) AS batches, CAST(sum(n_tokens) AS BIGINT) AS tokens, "
+    f"CAST(sum(longest - n_tokens) AS BIGINT) AS padding FROM r)")

@@ -9,6 +9,8 @@ are applied in both, so a later ``=`` filter on the text columns works.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,37 @@ def _typed(df: DataFrame) -> DataFrame:
                      F.col("Category").cast("string").alias("Category"))
 
 
+def _columns(spark: SparkSession, name: str) -> list[tuple]:
+    rows = spark.sql(f"DESCRIBE TABLE {name}").collect()
+    return [(r["col_name"], r["data_type"]) for r in rows]
+
+
 def replace_table(df: DataFrame, name: str, location: str, ddl: str = domain.INTENTS_TABLE_DDL) -> None:
-    """SRC-5 (catalog): drop, declare the columns ``ddl`` and overwrite with
-    ``df`` (no index column). The default types hold any id and any text;
-    with narrower ones (``Id INT, Sentence VARCHAR(1024), ...``) a value that
-    does not fit fails the write."""
+    """SRC-5 (catalog): the table ``name`` with the columns ``ddl`` holds the rows
+    of ``df`` (no index column) afterwards. The default types hold any id and any
+    text; with narrower ones (``Id INT, Sentence VARCHAR(1024), ...``) a value
+    that does not fit fails the write.
+
+    The rows are written to a new folder under ``location`` through a table of
+    their own, and only then does ``name`` point to them: a write that fails
+    leaves the old table as it was, and ``df`` may read the old table. With the
+    same columns the change is one step in the catalog, else the old table is
+    dropped and declared anew there. Folders of earlier contents stay for those
+    who still read them."""
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet LOCATION '{location}'")
-    _typed(df).write.insertInto(name, overwrite=True)
+    version = uuid.uuid4().hex[:12]
+    folder, staged = f"{location.rstrip('/')}/version-{version}", f"{name}_{version}"
+    spark.sql(f"CREATE TABLE {staged} ({ddl}) USING parquet LOCATION '{folder}'")
+    try:
+        _typed(df).write.insertInto(staged, overwrite=True)
+        if spark.catalog.tableExists(name) and _columns(spark, name) == _columns(spark, staged):
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet LOCATION '{folder}'")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")  # its folder stays
+    spark.catalog.refreshTable(name)
 
 
 def read_table_query(spark: SparkSession, name: str, query: str = DEFAULT_QUERY) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intentspark import domain
 from intentspark.functions.text import strip_special, tokenize
+from intentspark.operators import batches as bt
 from intentspark.operators import encode as enc
 from intentspark.operators import indexing
 from intentspark.operators.indexing import with_row_index
@@ -162,3 +163,30 @@ def test_equal_rows_are_encoded_where_they_are(spark):
     assert merged.filter("Id = 1").count() == 6 and merged.agg(F.sum("_times")).first()[0] == 401
     v = enc.build_vocab(df, "text")
     assert enc.token_ids(df, v, "Id", "text").count() == 401
+
+
+def test_epoch_batches(spark):
+    rows = [(i if i % 5 else None, list(range(100, 100 + (i * 7) % 60))) for i in range(230)] + [(1, [9, 9])] * 40
+    df = spark.createDataFrame(rows, "Id long, ids array<int>")
+    seen = {}
+    for epoch in (0, 1):
+        out = [bt.epoch_batches(df.repartition(n), "Id", batch_size=8, epoch=epoch).collect() for n in (1, 5)]
+        assert Counter(map(str, out[0])) == Counter(map(str, out[1]))  # any partitioning
+        by = {}
+        for r in out[0]:
+            by.setdefault(r["batch"], []).append(r)
+            pad = r["longest"] - r["n_tokens"]
+            assert r["input_ids"][:pad] == [domain.PAD_ID] * pad and len(r["input_ids"]) == r["longest"] == len(r["attention_mask"])
+            assert sum(r["attention_mask"]) == r["n_tokens"]
+        assert sorted(by) == list(range(len(by)))
+        for batch in by.values():
+            assert sorted(r["place"] for r in batch) == list(range(len(batch))) and len(batch) <= 8
+            assert max(r["n_tokens"] for r in batch) == batch[0]["longest"]
+            assert len({r["n_tokens"] // bt.WIDTH for r in batch}) == 1
+        back = Counter((r["Id"], tuple(r["input_ids"][r["longest"] - r["n_tokens"]:])) for r in out[0])
+        assert back == Counter((i, tuple(x)) for i, x in rows)  # every row once
+        seen[epoch] = [sorted(map(str, ((r["Id"], r["n_tokens"]) for r in by[b]))) for b in sorted(by)]
+    assert seen[0] != seen[1]
+    report = bt.padding_report(bt.epoch_batches(df, "Id", batch_size=8)).first()
+    assert report["rows"] == 270 and 0 < report["share"] < report["fixed_share"] < 1
+    assert bt.epoch_batches(df.limit(0), "Id").count() == 0

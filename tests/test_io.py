@@ -232,3 +232,20 @@ def test_single_line_mode_splits_large_files(spark, tmp_dir):
         assert df.count() == 20000 and df.filter("Id = 19999").first()["Sentence"] == "sentence number 19999"
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_dir):
+    name, ddl = "intents_atomic", "Id INT, Sentence VARCHAR(8), Category VARCHAR(8)"
+    df = lambda rows: spark.createDataFrame(rows, "Id long, Sentence string, Category string")
+    intents.replace_table(df([(1, "a", "x")]), name, f"{tmp_dir}/t", ddl)
+    many = df([(i, "a" if i < 900 else "far too long", "x") for i in range(1000)]).repartition(20)  # fails half-way
+    with pytest.raises(Exception):
+        intents.replace_table(many, name, f"{tmp_dir}/t", ddl)
+    read = lambda: sorted(map(tuple, intents.read_table_query(spark, name).collect()))
+    assert read() == [(1, "a", "x")]
+    intents.replace_table(intents.read_table_query(spark, name).selectExpr("Id + 1 AS Id", "Sentence", "Category"),
+                          name, f"{tmp_dir}/t", ddl)  # from itself
+    assert read() == [(2, "a", "x")]
+    intents.replace_table(df([(3, "longer than before", "x")]), name, f"{tmp_dir}/t")  # other columns
+    assert read() == [(3, "longer than before", "x")]
+    assert [r[1] for r in spark.sql("SHOW TABLES LIKE 'intents_atomic*'").collect()] == [name]

@@ -1,6 +1,10 @@
 """MOD-1, MOD-7 and RPT-1..5."""
 
+import hashlib
+import zlib
+
 import pytest
+import os
 from pyspark.sql import functions as F
 
 from intentspark.operators import report, scoring
@@ -98,3 +102,44 @@ def test_wrong_output_length_is_a_batch_failure(spark):
         scoring.generate(df, Short()).collect()
     out = scoring.generate(df, Short(), on_error="null").collect()
     assert [r["generated"] for r in out] == ["x"] * 5   # retried row by row
+
+
+def counting(log, fail=None):
+    """A factory that gives the prompt's length and notes every prompt in a file; may fail on one."""
+    def factory():
+        def generator(batch):
+            if fail in set(batch["prompt"]):
+                raise RuntimeError("no")
+            with open(log, "a") as f:
+                f.writelines(p + "\n" for p in batch["prompt"])
+            return [f"{len(p)}" for p in batch["prompt"]]
+        return generator
+    return factory
+
+
+def test_only_new_prompts_are_generated(spark, tmp_dir):
+    log, store = os.path.join(tmp_dir, "log"), os.path.join(tmp_dir, "store")
+    df = lambda ps: spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "Id long, prompt string").repartition(3)
+
+    def run(prompts, **options):
+        open(log, "w").close()
+        out = scoring.generate_resumable(df(prompts), counting(log, options.pop("fail", None)), store, steps=4, **options).collect()
+        assert len(out) == len(prompts)
+        return {r["prompt"]: r["generated"] for r in out}, sorted(open(log).read().split())
+
+    got, asked = run(["a", "bb", "bb", None, "ccc"])
+    assert got == {"a": "1", "bb": "2", "ccc": "3", None: None} and asked == ["a", "bb", "ccc"]
+    got, asked = run(["a", "bb", "dddd"])
+    assert got == {"a": "1", "bb": "2", "dddd": "4"} and asked == ["dddd"]
+    assert run(["a", "bb"])[1] == []
+    # a failing prompt stops a run; what other parts had finished stays
+    with pytest.raises(Exception):
+        run([*(f"p{i:02d}" for i in range(40)), "bad"], fail="bad")
+    part = lambda p: zlib.crc32(hashlib.sha256(p.encode()).hexdigest().encode()) % 4
+    got, asked = run([f"p{i:02d}" for i in range(40)])
+    assert set(got.values()) == {"3"}
+    assert asked == [p for p in sorted(got) if part(p) >= part("bad")]
+    # or it is left out, and tried again later
+    got, asked = run(["bad", "new"], fail="bad", on_error="null")
+    assert got == {"bad": None, "new": "3"}
+    assert run(["bad", "new"])[1] == ["bad"]

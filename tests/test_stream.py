@@ -202,3 +202,45 @@ def test_restart_from_checkpoint_processes_only_new_files(spark, tmp_dir):
     assert run() == 15          # only the new file
     ids = [r["Id"] for r in spark.read.parquet(out).collect()]
     assert sorted(ids) == list(range(55))   # exactly once
+
+
+def test_sessions_end_over_micro_batches_and_restarts(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+    rows = [(s, t, " Exit " if t == s and s < 6 else f"m{t}") for s in range(9) for t in range(8)] + [(0, 3, "EXIT"), (8, 9, "exits")]
+    df = spark.createDataFrame(rows, "s long, turn long, text string")
+    for wave in range(4):  # two turns arrive at a time, each time to a new run
+        df.filter(f"turn div 2 = {wave} or turn = 9 and {wave} = 3").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        hygiene.until_exit_stream(stream, "s", "turn").writeStream.format("parquet").option("checkpointLocation", ck) \
+            .trigger(availableNow=True).start(out).awaitTermination()
+    want = sorted(map(tuple, hygiene.until_exit(df, "s", "turn").collect()))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want
+
+
+def test_an_idle_session_is_forgotten(spark, tmp_dir):
+    import time
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+    schema = "s long, turn long, text string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def wait_for(n):
+        end = time.monotonic() + 60
+        while time.monotonic() < end:
+            if os.path.exists(f"{out}/_spark_metadata") and spark.read.schema(schema).parquet(out).count() >= n:
+                return
+            time.sleep(0.5)
+        raise TimeoutError
+
+    arrive([(1, 0, "a"), (1, 1, "exit")])
+    stream = hygiene.until_exit_stream(spark.readStream.schema(schema).parquet(src), "s", "turn", idle="2 seconds")
+    q = stream.writeStream.format("parquet").option("checkpointLocation", ck).trigger(processingTime="1 second").start(out)
+    try:
+        wait_for(1)
+        time.sleep(6)
+        arrive([(1, 5, "b")])  # a new session of the same name
+        wait_for(2)
+    finally:
+        q.stop()
+    assert sorted(r["turn"] for r in spark.read.parquet(out).collect()) == [0, 5]
