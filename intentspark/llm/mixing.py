@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import WORD, documents, with_index, written
+from intentspark.llm.common import WORD, documents, shuffle_partitions, with_index, written
 
 SEED = 20240917
 WEIGHTS = (3, 1, 2)
@@ -33,6 +33,7 @@ CAP = 2
 NEWTON_STEPS = 40
 TOLERANCE = 1e-6
 BINS = 4096
+NUMBERED = 1 << 16  # equal rows numbered at once
 _D = "decimal(38,12)"
 
 
@@ -146,21 +147,39 @@ def _crossing(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
                     (F.col("left") - (F.col("m.upto") - F.col("m.w"))).alias("left"), F.col("m.w").alias("w")))
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """``base`` (row, source, key, size) with ``nth``, a text that tells rows of one
+    key apart: a digest of the row's content, and a number among equal ones.
+
+    Equal rows are counted (combined before the shuffle), and numbered again in
+    blocks that are dealt over tasks, so that no task makes all copies of one."""
+    n = shuffle_partitions(base.sparkSession)
+    same = base.withColumn("_h", F.md5(F.to_json(F.struct("row")))).groupBy("key", "source", "size", "_h").agg(
+        F.first("row").alias("row"), F.count(F.lit(1)).alias("_n"))
+    blocks = same.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {NUMBERED})"))).repartition(n, "_h", "_block")
+    first = F.col("_block") * NUMBERED
+    return blocks.withColumn("_i", F.explode(F.sequence(first, F.least(first + NUMBERED, F.col("_n")) - 1))).select(
+        "row", "source", "key", "size", F.concat(F.lit(":"), "_h", F.lit(":"), F.col("_i").cast("string")).alias("nth"))
+
+
 def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED,
-        key: str = "doc_id") -> DataFrame:
+        key: str = "doc_id", apart: bool = False) -> DataFrame:
     """``rows`` (``key``, source, size, any more) with source_size, target,
     rate and copies.
 
     A null source is a source of its own. A null or negative size counts as
     0; a document without words gets one copy, which takes nothing. Rows that
     repeat a key get the same hash and so the same number of copies when
-    their sources and sizes agree. An empty table gives an empty result.
+    their sources and sizes agree, unless ``apart``: then rows that are equal in
+    all columns are numbered, and each draws for itself (which of them takes
+    which number is left open), so null and repeated keys meet their target too.
+    An empty table gives an empty result.
     """
     clash = ("source_size", "target", "rate", "copies")
     kept = [c for c in rows.columns if c.lower() not in clash]
     base = rows.select(F.struct(*kept).alias("row"), F.col("source"), F.col(key).alias("key"),
                        F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
-    base = written(base, "mix-rows")
+    base = written(_numbered(base) if apart else base.withColumn("nth", F.lit("")), "mix-rows")
     cells = written(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "mix-cells")
     targets = written(source_targets(cells.select("source", (F.col("size") * F.col("docs")).alias("size")),
                                      weights, share, cap), "mix-targets")
@@ -168,8 +187,8 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     plan = targets.alias("t").join(lam.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source"))) \
         .select("t.*", "l.lam", "l.scale")
     # 48 bits of a seeded hash, uniform in [0, 1)
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("null")))),
-                           1, 12), 16, 10).cast("double") / float(1 << 48)
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("null")), "nth")
+    u = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") / float(1 << 48)
     r = rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
     rated = (base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
              .select("b.row", "b.source", "b.size", "p.source_size", "p.target", r.alias("rate"), u.alias("u"))
@@ -206,6 +225,6 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the words each document gives to the mix."""
     docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    out = mix(docs)
+    out = mix(docs, apart=True)
     return out.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target",
                       (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "rate", "copies")

@@ -333,6 +333,15 @@ def test_toxicity_query_folds(spark, sf, texts):
         assert 0 <= row["score"] <= 1 and row["predicted"] == int(row["score"] >= 0.7)
 
 
+def test_many_clean_sentences_stay_clean():
+    scorer = toxicity.Scorer({toxicity.features("awful")[0]: 14.0}, -9.8)
+    clean = "A plain sentence here. " * 1_000_000
+    assert scorer.score(clean, 0.5) == (0.0, 1_000_000, [])
+    score, n, found = scorer.score(clean[:230] + "This is awful. " + clean[:230], 0.5)
+    assert score > 0.9 and n == 21 and len(found) == 1
+    assert scorer.score("awful", 0.5)[0] == pytest.approx(1 / (1 + math.exp(-4.2)))
+
+
 def test_quality_learns_subwords():
     rng = np.random.default_rng(4)
 
@@ -541,6 +550,24 @@ def test_mixing_odd_rows(odd, empty):
     assert mixing.mix(empty.withColumn("size", F.lit(1))).count() == 0
 
 
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBERED", 64)
+    rows = [(None, "abc"[i % 3], 10) for i in range(1200)] + [(7, "abc"[i % 3], 10 + i % 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint").repartition(4)
+    out = mixing.mix(df, apart=True).collect()
+    assert collections.Counter((r["doc_id"], r["source"], r["size"]) for r in out) == collections.Counter(rows)
+    taken, target = collections.Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        assert r["copies"] <= 2
+    assert all(abs(taken[s] - t) <= 13 for s, t in target.items())
+    again = mixing.mix(df.repartition(7), apart=True).collect()
+    key = lambda r: (r["doc_id"], r["source"], r["size"], r["copies"])
+    assert collections.Counter(map(key, out)) == collections.Counter(map(key, again))
+    assert mixing.mix(df.limit(0), apart=True).count() == 0
+
+
 # 10 --- shards
 
 def test_shards_against_brute_force(spark, sf, texts):
