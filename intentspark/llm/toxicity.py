@@ -134,6 +134,8 @@ class Scorer:
         """(noisy-or, sentences, [(start, end, p)] of sentences at or above the threshold).
 
         A text without a word (null and empty too) has no sentence and scores 0.
+        A sentence without a weighted word has p = 0, not the bias alone, so that
+        no number of them adds up to a toxic text.
         """
         if not text:
             return 0.0, 0, []
@@ -150,7 +152,8 @@ class Scorer:
                 spans.append((a, b))
         if not sums:
             return 0.0, 0, []
-        p = _sigmoid(self.bias + np.array(sums))
+        sums = np.array(sums)
+        p = np.where(sums > 0, _sigmoid(self.bias + sums), 0.0)
         score = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
         return float(score), len(sums), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= threshold)]
 
