@@ -37,7 +37,8 @@ END = 2
 MAX_BITS = 16
 BLOCK_IDS = 1 << 16
 EVERY = 64
-TOGETHER = 128  # pieces that go to the tokenizer in one text
+TOGETHER = 128  # words that go to the tokenizer in one text, between marks
+LETTERS_TOGETHER = 1024  # the same for words of letters only, between spaces
 CACHED_WORDS = 1_000_000  # words whose ids a worker keeps
 
 
@@ -160,60 +161,78 @@ class Words:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.tokenizer, self.ids = Tokenizer.from_file(path), {b"": b""}
         # any special token will do, as pieces that hold "<|" are not put together
         self.mark_id, self.mark = next(
             (i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
             if t.special and t.content.startswith("<|"))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16-bit numbers")
+        self.ends = np.zeros(1 << 16, bool)  # ids that end a run of letters
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Word i has the ids up to ``ends[i]``; ``gap`` ids stand between two words."""
+        data, stop = ids.tobytes(), (2 * ends).tolist()
+        start = [0, *(2 * (ends[:-1] + gap)).tolist()]
+        self.ids.update(zip(words, map(data.__getitem__, map(slice, start, stop))))
+
+    def _learn(self, words: set) -> None:
+        """The ids of new words, many at a call."""
+        letters, mixed, alone = [], [], []
+        for w in words:
+            (letters if w.decode().isalpha() else alone if b"<|" in w else mixed).append(w)
+        for at in range(0, len(letters), LETTERS_TOGETHER):
+            some = letters[at:at + LETTERS_TOGETHER]
+            ids = self._ids(b" ".join(some).decode())
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            # a word has one run of letters at least, so equal numbers mean one each
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._keep(some, ids, ends, 0)
+            else:
+                mixed += some
+        # the mark between two words is a special token: it ends words and has an id of its own
+        for at in range(0, len(mixed), TOGETHER):
+            some = mixed[at:at + TOGETHER]
+            ids = self._ids(self.mark.join([w.decode() for w in some]))
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer's mark is not kept as a token of its own")
+            self._keep(some, ids, np.append(ends, len(ids)), 1)
+        for w in alone:  # may hold a special token itself
+            self.ids[w] = self._ids(w.decode()).tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian 16-bit ids of each text (null: none), without special tokens."""
-        split = [b"" if t is None else t.encode().split() for t in texts]
-        known, parts = self.ids, self.parts
-        new = {w: _halves(w) for w in set(chain.from_iterable(filter(None, split))).difference(known)}
-        miss = set(chain.from_iterable(new.values())).difference(parts)
-        plain = [p for p in miss if b"<|" not in p]
-        # the mark between two pieces is a special token: it ends words and has an id of its own
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at:at + TOGETHER]
-            text = self.mark.join([p.decode() for p in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-            ends = (2 * np.flatnonzero(ids == self.mark_id)).tolist()
-            if len(ends) != len(some) - 1:
-                raise ValueError("the tokenizer's mark is not kept as a token of its own")
-            data = ids.tobytes()
-            parts.update((p, data[x:y]) for p, x, y in zip(some, [0, *[e + 2 for e in ends]], [*ends, len(data)]))
-        for p in miss.difference(plain):  # may hold a special token itself
-            got = self.tokenizer.encode_batch_fast([p.decode()], add_special_tokens=False)
-            parts[p] = np.array(got[0].ids, "<u2").tobytes()
-        known.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
+        split = [_lowered((t or "").encode()).split() for t in texts]
+        known = self.ids
+        new = set().union(*split).difference(known)
+        tailed = {w: w.rstrip(_TAIL) for w in new if w[-1] in _TAIL}
+        tailed = {w: stem for w, stem in tailed.items() if stem and b"<|" not in w and stem[-1:].isalnum()}
+        parts = new.difference(tailed).union(tailed.values(), (w[len(stem):] for w, stem in tailed.items()))
+        self._learn(parts.difference(known))
+        known.update((w, known[stem] + known[w[len(stem):]]) for w, stem in tailed.items())
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
         if len(known) > CACHED_WORDS:
             known.clear()
-            parts.clear()
-            parts[b""] = b""
+            known[b""] = b""
         return out
 
 
+#: Marks cut off the end of a word after an ASCII letter or digit, where the tokenizer cuts it anyway.
 _TAIL = b".,;:!?|&$*%#"
 
 
-def _halves(word: bytes) -> tuple[bytes, bytes]:
-    """A word cut where the tokenizer cuts it anyway: before marks that end it
-    after an ASCII letter or digit. ASCII capitals are lowered, as it
-    does, but not in a word with combining marks (U+0300 to U+037F begin with
+def _lowered(text: bytes) -> bytes:
+    """ASCII capitals lowered, as the tokenizer does, so that it meets fewer
+    words. Not in a text with combining marks (U+0300 to U+037F begin with
     these bytes): it composes characters first, and some small letters have a
-    composed form that their capitals lack. A word that may hold a special
-    token stays as it is."""
-    stem = word.rstrip(_TAIL)
-    if b"<|" in word:
-        return word, b""
-    if len(stem) == len(word) or not stem or not stem[-1:].isalnum():
-        return (word if b"\xcc" in word or b"\xcd" in word else word.lower()), b""
-    return (stem if b"\xcc" in stem or b"\xcd" in stem else stem.lower()), word[len(stem):]
+    composed form that their capitals lack. Nor in one that may hold a special
+    token, which is found by its case."""
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
 
 
 def _tokens(docs: DataFrame, path: str) -> DataFrame:

@@ -408,6 +408,15 @@ def test_words_are_the_tokenizers():
         assert np.frombuffer(words.encode([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_letters_share_a_call():
+    """Letters that the tokenizer takes apart, among words that go to it together."""
+    words = huffman.Words.load(huffman.default_tokenizer())
+    texts = ["İstanbul ΣΑΣ étÉ Å don't DON'T's x's", "a<|ENDOFTEXT|>b <|endoftext|> <|startoftext|>x", "K Å ﬁ ǅ 漢字 ½ Ⅷ a1b2",
+             "... !!! a.. é!! É%% ẞ e\x85f\x1cg", None, ""]
+    plain = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)] == plain
+
+
 def test_words_are_composed_before_they_are_lowered():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(huffman.default_tokenizer())
