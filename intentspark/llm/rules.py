@@ -7,18 +7,14 @@ as the exact binomial test rejects "the true rate of false rejections is above
 alpha" (P[Bin(n, alpha) <= k] <= delta, which is the Clopper-Pearson upper
 bound being at most alpha). The walk stops at the first step that fails
 (fixed-sequence testing), so a walk is one test. The strata share delta
-(Bonferroni). Within a stratum
-
-* with enough labelled documents for it (1,495 for four strata), each rule
-  walks its grid alone, at its share of alpha and delta;
-* otherwise the rules walk together along ``SEQUENCE``, whose steps move one
-  rule, in turn, to its next cutoff. What any rule rejects is tested at the
-  whole alpha and the stratum's delta, for which 217 documents suffice.
-
-The number of documents alone decides, not what the rules do to them. With
-probability 1 - delta no stratum loses more than alpha of its good documents to
-the rules. A stratum with fewer labelled documents gets no cutoffs and loses
-nothing.
+(Bonferroni). Within a stratum, of any size, the rules walk together along
+``SEQUENCE``, whose steps move one rule, in turn, to its next cutoff. What any
+rule rejects is tested at the whole alpha and the stratum's delta.
+
+With probability 1 - delta no stratum loses more than alpha of its good
+documents to the rules. Where even no false rejection would not do (below 217
+labelled good documents for four strata) the first step fails, so a stratum
+gets no cutoffs and loses nothing.
 """
 
 from __future__ import annotations
@@ -158,16 +154,11 @@ def learn_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -
     first = F.least(*[first_step(no, rule) for no, rule in enumerate(RULES)])
     per = good.withColumn("first", first).groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.count_if(F.col("first") <= F.lit(i)) for i in range(len(SEQUENCE))]).alias("together"),
-        *[F.array(*[F.count_if(F.col(rule) > F.lit(c)) for c in grid]).alias(rule) for rule, grid in RULES.items()])
+        F.array(*[F.count_if(F.col("first") <= F.lit(i)) for i in range(len(SEQUENCE))]).alias("together"))
 
     def cutoffs(row) -> dict:
-        n, share, part = int(row["n"]), alpha / len(RULES), delta / strata / len(RULES)
-        if binomial_tail(0, n, share) <= part:
-            passed = {r: choose_cutoff(row[r], n, share, part) for r in RULES}
-            return {r: RULES[r][k - 1] for r, k in passed.items() if k}
         # of a rule's steps the last holds
-        return dict(SEQUENCE[:choose_cutoff(row["together"], n, alpha, delta / strata)])
+        return dict(SEQUENCE[:choose_cutoff(row["together"], int(row["n"]), alpha, delta / strata)])
 
     def pick(pdfs):
         for pdf in pdfs:
