@@ -315,8 +315,9 @@ def write_ids(tokens: DataFrame, name: str = "huffman") -> tuple[DataFrame, Data
     """(blocks, code) written to the shared folder and read back. ``tokens``: doc_id, ids (16-bit, as bytes).
 
     Documents are in ascending doc_id order (null first): dealt into ranges
-    of doc_id, a range a bucket, and sorted in it. Rows that repeat a doc_id
-    stay together, in the order of their ids.
+    of (doc_id, a hash of the ids), a range a bucket, and sorted in it. Rows
+    that repeat a doc_id are neighbours in the order of that hash, so a hot
+    doc_id spreads over buckets; equal rows are dealt over them by their place.
     """
     import pandas as pd
     spark = tokens.sparkSession
@@ -325,8 +326,9 @@ def write_ids(tokens: DataFrame, name: str = "huffman") -> tuple[DataFrame, Data
     code = written(spark.createDataFrame(pd.DataFrame({"token": used.astype(np.int32),
                                                        "bits": lengths[used].astype(np.int32)}),
                                          "token int, bits int"), f"{name}-code")
-    order = [F.col("doc_id").asc_nulls_first()]
-    dealt = (tokens.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("at")]
+    dealt = (tokens.withColumns({"hash": F.xxhash64("ids"), "at": F.monotonically_increasing_id()})
+             .repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
              .select(F.spark_partition_id().alias("bucket"), "doc_id", "ids"))
     blocks = written(dealt.mapInArrow(_block_writer(canonical_codes(lengths), lengths), _BLOCKS_DDL), f"{name}-blocks")
     return blocks, code
