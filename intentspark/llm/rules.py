@@ -26,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from intentspark.llm.common import SPACES, documents, name_free, prepare, window_hashes, word_hashes, written
+from intentspark.llm.common import SPACES, documents, prepare, window_hashes, word_hashes, written
 from intentspark.sources.tables import read_table
 
 ALPHA = 0.02
@@ -98,8 +99,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     src = docs.select(*rest, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields),
-                        *(f"`_{c}` bigint" for c in _COUNTS)])
+    schema = T.StructType([*docs.select(*rest).schema.fields, *(T.StructField(f"_{c}", T.LongType()) for c in _COUNTS)])
     return src.mapInArrow(_measured, schema)
 
 
@@ -178,23 +178,29 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     and a doc_id labelled both ways is not used as good. The holdout is the
     good documents that pass the base rules. A null text counts as empty (it
     fails the base), a null stratum is a stratum of its own, repeated rows
-    are judged alike, an empty table gives an empty result.
+    are judged alike, an empty table gives an empty result. A column of a
+    result's name (``_n_words`` ..., ``base_failed``, ``rejected_by``,
+    ``kept``) is replaced; any other name is the caller's.
     """
-    m = written(measured(docs.withColumn(name_free(docs, "stratum"), F.col(stratum).cast("string"))
-                         if "stratum" not in docs.columns else docs), "rules-measured")
+    result = (*(f"_{c}" for c in _COUNTS), "base_failed", "rejected_by", "kept")
+    kept = [c for c in docs.columns if c != "text" and c.lower() not in result]
+    packed = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("id"),
+                         F.col(stratum).cast("string").alias("stratum"), "text")
+    m = written(measured(packed), "rules-measured")
     m = m.withColumn("base_failed", (F.col("_n_words") < MIN_WORDS)
                      | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words")))
     m = m.withColumns(statistics())
     good = (labels.filter("doc_id is not null and quality is not null").groupBy("doc_id")
-            .agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id"))
-    held = m.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+            .agg(F.min("quality").alias("q")).filter("q = 1").select(F.col("doc_id").alias("id")))
+    held = m.filter(~F.col("base_failed")).join(good, "id", "left_semi")
     cuts = written(learn_cutoffs(held.select("stratum", *RULES), alpha, delta), "rules-cutoffs")
     cut = F.col("c.cut")
     j = m.alias("m").join(cuts.select("stratum", F.struct(*RULES).alias("cut")).alias("c"),
                           F.col("m.stratum").eqNullSafe(F.col("c.stratum")), "left")
     broken = F.array_compact(F.array(*[F.when(F.col(f"m.{r}") > cut[r], F.lit(r)) for r in RULES]))
     j = j.select("m.*", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(broken).alias("rejected_by"))
-    return j.withColumn("kept", F.size("rejected_by") == 0).drop(*RULES)
+    return j.select(*[F.col("row")[c].alias(c) for c in kept], *result[:-2], "rejected_by",
+                    (F.size("rejected_by") == 0).alias("kept"))
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
