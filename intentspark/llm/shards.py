@@ -28,17 +28,19 @@ def interleave(rows: DataFrame, source: str, key: str, shards: int = SHARDS, see
     ``source`` names the stratum, ``key`` the column whose seeded hash
     shuffles a stratum. A null source is a stratum of its own; null keys are
     shuffled together as one value. Rows that repeat a key are adjacent in
-    the shuffle and are interchangeable if they are equal; each gets a place
-    of its own. An empty table gives an empty result; other columns are
+    the shuffle, in the order of a digest of the row, so only wholly equal rows
+    are interchangeable; each gets a place of its own, and neither a hot key
+    nor a hot row is one task's. An empty table gives an empty result; other columns are
     carried along, also ones of the names used here inside.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     packed = rows.select(
         F.struct("*").alias("row"), F.col(source).alias("stratum"), F.col(key).cast("string").alias("k"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("h"))
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("h"),
+        F.md5(F.to_json(F.struct(F.struct("*").alias("row")))).alias("content"), F.monotonically_increasing_id().alias("at"))
     packed = written(packed, "shard-rows")
-    ranked = with_index(packed, ["stratum", "h", "k"], "g")
+    ranked = with_index(packed, ["stratum", "h", "k", "content", "at"], "g")
     strata = ranked.groupBy("stratum").agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("n"))
     on = F.col("r.stratum").eqNullSafe(F.col("s.stratum"))
     placed = (ranked.alias("r").join(strata.alias("s"), on)
