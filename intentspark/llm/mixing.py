@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentspark.llm.common import WORD, documents, shuffle_partitions, with_index, written
+from intentspark.operators.sizing import fits_broadcast
 
 SEED = 20240917
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-NEWTON_STEPS = 40
+NEWTON_STEPS = 200  # a bracket is halved at least, so far fewer do
 TOLERANCE = 1e-6
 BINS = 4096
 NUMBERED = 1 << 16  # equal rows numbered at once
@@ -94,9 +95,11 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = N
              .withColumn("done", F.col("full") | (F.col("words") == 0)))
     state = state.withColumn("lam", F.when(F.col("words") == 0, F.lit(0.0)).otherwise(F.col("lam")))
     state = written(state, "mix-state")
-    for _ in range(steps):
+    for taken in range(steps + 1):
         if not state.filter("not done").head(1):
             break
+        if taken == steps:
+            raise ValueError(f"a source is not at its target after {steps} steps")
         r = rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
         step = (cells.alias("c").join(state.filter("not done").alias("s"),
                                       F.col("c.source").eqNullSafe(F.col("s.source")))
@@ -147,6 +150,12 @@ def _crossing(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
                     (F.col("left") - (F.col("m.upto") - F.col("m.w"))).alias("left"), F.col("m.w").alias("w")))
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """A table of one row a source, broadcast if it measures small: then a hot
+    source is not one task's. Else the join shuffles and AQE splits it."""
+    return F.broadcast(per_source) if fits_broadcast(per_source) else per_source
+
+
 def _numbered(base: DataFrame) -> DataFrame:
     """``base`` (row, source, key, size) with ``nth``, a text that tells rows of one
     key apart: a digest of the row's content, and a number among equal ones.
@@ -184,13 +193,13 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     targets = written(source_targets(cells.select("source", (F.col("size") * F.col("docs")).alias("size")),
                                      weights, share, cap), "mix-targets")
     lam = solve(cells, targets, cap)
-    plan = targets.alias("t").join(lam.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source"))) \
-        .select("t.*", "l.lam", "l.scale")
+    plan = written(targets.alias("t").join(lam.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")))
+                   .select("t.*", "l.lam", "l.scale"), "mix-plan")
     # 48 bits of a seeded hash, uniform in [0, 1)
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("null")), "nth")
     u = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") / float(1 << 48)
     r = rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
-    rated = (base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
+    rated = (base.alias("b").join(_small(plan).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
              .select("b.row", "b.source", "b.size", "p.source_size", "p.target", r.alias("rate"), u.alias("u"))
              .withColumn("whole", F.floor("rate").cast("int"))
              # 0 is taken first, 1 last
@@ -215,13 +224,30 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     taken_too = F.coalesce(
         (F.col("whole") < cap) & ((F.col("bin1") < F.col("c1")) | ((F.col("bin1") == F.col("c1")) & (
             (F.col("bin2") < F.col("c2")) | ((F.col("bin2") == F.col("c2")) & F.col("last"))))), F.lit(False))
-    out = (rated.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
+    out = (rated.alias("r").join(_small(written(cut, "mix-cut")).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
            .select("r.row", "r.size", "r.source_size", "r.target", "r.rate", "whole", taken_too.alias("more")))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + F.col("more").cast("int"))
     return out.select(*[F.col("row")[c].alias(c) for c in kept], "source_size", "target", "rate",
                       copies.cast("int").alias("copies"))
 
 
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, source, text, any more, of any names), each as often as
+    the mix takes it; with 0 copies it goes.
+
+    Ids may be null or repeated, so a row is known by its id, source and text;
+    rows equal in all three share a number of copies. An empty table gives an
+    empty result.
+    """
+    key = F.md5(F.to_json(F.struct("doc_id", "source", F.md5("text").alias("text"))))
+    sized = docs.select(key.alias("key"), "source", word_count(F.col("text")).alias("size"))
+    copies = mix(sized, key="key").select("key", "copies").dropDuplicates(["key"])
+    times = F.expr("case when copies > 0 then sequence(1, copies) else cast(array() as array<int>) end")
+    repeated = (docs.select(F.struct("*").alias("row"), key.alias("key")).join(copies, "key")
+                .withColumn("copy", F.explode(times)))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the words each document gives to the mix."""
     docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
