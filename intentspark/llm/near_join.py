@@ -231,7 +231,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, class_id, copy_of, n_copies, n_links, stays) for each row of ``docs`` (doc_id, text).
 
-    ``class_id``: the smallest doc_id of the documents connected by links or
+    ``doc_id``: any integer type, a long in the result. ``class_id``: the smallest doc_id of the documents connected by links or
     copies. ``copy_of``: the smallest doc_id with the same shingle set.
     ``n_links``: other documents linked with this one, copies included.
     ``stays``: whether the row is the one its class keeps (the smallest
@@ -245,7 +245,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select("doc_id", key.alias("text_key"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
     sketch = written(texts.mapInArrow(_sketches, "doc_id bigint, text_key bigint, set_id string, bands array<bigint>"),
                      "near-sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
@@ -292,14 +292,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, any more) with one document of each class."""
-    names = docs.columns
-    heads = (near_classes(docs).filter("stays")
-             .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__kid"),
-                     F.col("text_key").alias("__key")).distinct())
-    keyed = (docs.withColumn("__kid", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-             .withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return keyed.join(heads, ["__kid", "__key"], "left_semi").dropDuplicates(["__kid", "__key"]).select(*names)
+    """``docs`` (doc_id, text, any more, of any names) with one document of each
+    class. Rows that agree in doc_id and text are one document. An empty table
+    gives an empty result."""
+    kid = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    heads = near_classes(docs).filter("stays").select(kid.alias("kid"), F.col("text_key").alias("key")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), kid.alias("kid"),
+                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    one = keyed.join(heads, ["kid", "key"], "left_semi").dropDuplicates(["kid", "key"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
