@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import documents, written
+from intentspark.llm.common import documents, name_free, written
 
 DISCLOSURE = 0.9
 PRIOR = 1.0  # documents that the independence of a term and an entity weighs
@@ -175,13 +175,16 @@ def annotate(docs: DataFrame, whole_rows: bool = True, threshold: float = DISCLO
     A null text counts as empty and has no spans. Repeated rows are annotated
     alike (each counts as a document). Without ``whole_rows`` the text is
     kept where there are spans only. An empty table gives an empty result.
+    Columns __base and __spans of ``docs`` are replaced; any other name is the
+    caller's.
     """
+    rid, more = name_free(docs, "__rid"), name_free(docs, "__more")
     spans = base_spans(F.col("text"))
     found = docs.withColumn("__base", spans)
     if not whole_rows:
         found = found.withColumn("text", F.when(F.size("__base") > 0, F.col("text")))
-    found = written(found.withColumn("__rid", F.monotonically_increasing_id()), "pii-found")
-    some = found.filter(F.size("__base") > 0).select(F.col("__rid").alias("rid"), "text", F.col("__base").alias("spans"))
+    found = written(found.withColumn(rid, F.monotonically_increasing_id()), "pii-found")
+    some = found.filter(F.size("__base") > 0).select(F.col(rid).alias("rid"), "text", F.col("__base").alias("spans"))
     held = written(_entity_sets(some), "pii-held")
     terms = disclosing_terms(held, some.select("rid", "text"), docs.select("text"), threshold, prior)
     told = (held.join(terms.groupBy(*_SET).agg(F.collect_list("term").alias("terms")), list(_SET))
@@ -190,13 +193,13 @@ def annotate(docs: DataFrame, whole_rows: bool = True, threshold: float = DISCLO
     marked = (some.join(told, "rid")
               .withColumn("terms", F.sort_array(F.array_intersect(_terms(F.col("text")), F.col("terms"))))
               .filter(F.size("terms") > 0).select(
-        F.col("rid").alias("__rid"), F.filter(
+        F.col("rid").alias(rid), F.filter(
             places(F.col("text"), _any_of(F.col("terms")), len(PATTERNS)),
-            lambda t: ~F.exists("spans", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))).alias("__more")))
+            lambda t: ~F.exists("spans", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))).alias(more)))
     none = F.array().cast(_SPAN)
-    return (found.join(marked, "__rid", "left")
-            .withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__more", none))))
-            .drop("__rid", "__more"))
+    return (found.join(marked, rid, "left")
+            .withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce(more, none))))
+            .drop(rid, more))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -221,10 +224,13 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text of every document sanitised; all rows and columns stay."""
-    out = annotate(docs)
-    return out.select(*[sanitised(F.col("text"), F.col("__spans")).alias("text") if c == "text" else F.col(c)
-                        for c in docs.columns])
+    """``docs`` with the text of every document sanitised; all rows and columns
+    stay, whatever their names. A null text stays null; an empty table gives an
+    empty result."""
+    held = {c: name_free(docs, f"__{i}") for i, c in enumerate(docs.columns) if c.lower() in ("__base", "__spans")}
+    out = annotate(docs.withColumnsRenamed(held))
+    return out.select(*[sanitised(F.col("text"), F.col("__spans")).alias("text") if c == "text"
+                        else F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:

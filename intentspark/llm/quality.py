@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import documents, prepare
+from intentspark.llm.common import documents, name_free, prepare
 from intentspark.llm.toxicity import fold_of, training_sample
 from intentspark.sources.tables import read_table
 
@@ -137,7 +137,7 @@ def score_documents(docs: DataFrame, model: tuple, text: str = "text", out: str
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # half a megabyte, whatever the input
     rest = [c for c in docs.columns if c.lower() != out.lower()]
-    src = docs.select(*rest, docs[text].alias("__text"))
+    src = docs.select(*rest, docs[text].alias(name_free(docs, "__text")))
 
     def run(batches):
         scorer = Scorer(*shared.value)

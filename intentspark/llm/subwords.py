@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intentspark.llm.common import MASK64, documents, mix64, prepare
+from intentspark.llm.common import MASK64, documents, mix64, name_free, prepare
 
 SEED = 20240917
 DROPOUT = 0.1
@@ -435,7 +435,8 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "i
     rest = [c for c in df.columns if c.lower() != out.lower()]
     # the text too, as keys may be null or repeated
     hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(text))
-    src = df.select(*[df[c] for c in rest], df[text].alias("__text"), hashed.alias("__key"))
+    src = df.select(*[df[c] for c in rest], df[text].alias(name_free(df, "__text")),
+                    hashed.alias(name_free(df, "__key")))
 
     def run(batches):
         pieces = Pieces.load(path)
@@ -460,7 +461,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str | N
     prepare(spark)
     path = model or default_model()
     rest = [c for c in df.columns if c.lower() != out.lower()]
-    src = df.select(*[df[c] for c in rest], df[ids].alias("__ids"))
+    src = df.select(*[df[c] for c in rest], df[ids].alias(name_free(df, "__ids")))
 
     def run(batches):
         pieces = Pieces.load(path)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import MASK64, documents, prepare
+from intentspark.llm.common import MASK64, documents, name_free, prepare
 from intentspark.sources.tables import read_table
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -205,7 +205,7 @@ def score_documents(docs: DataFrame, model: tuple, text: str = "text",
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     new = ("tox_score", "tox_sentences", "tox_spans")
     rest = [c for c in docs.columns if c.lower() not in new]
-    src = docs.select(*rest, docs[text].alias("__text"))
+    src = docs.select(*rest, docs[text].alias(name_free(docs, "__text")))
 
     def run(batches):
         scorer = Scorer(*shared.value)

@@ -84,6 +84,13 @@ def test_near_join_odd_rows(odd, empty):
     assert kept.filter("doc_id = 4").count() == 1
 
 
+def test_near_join_any_integer_id(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, text), (2, text), (3, "else")], "doc_id int, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_join.near_classes(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_posterior_prunes_by_bayes():
     grid = np.linspace(0, 1, 20001)
     for m, n in ((3, 16), (12, 16), (30, 48)):
@@ -426,6 +433,16 @@ def test_words_are_composed_before_they_are_lowered():
             assert np.frombuffer(words.encode([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_huffman_spreads_a_hot_id(spark):
+    rows = [(None, f"null {i}") for i in range(200)] + [(None, "same")] * 200 + [(i, f"text {i}") for i in range(200)]
+    blocks, code = huffman.encode_files(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    most = max(len(r["doc_ids"]) for r in blocks.select("doc_ids").collect())
+    assert most <= 200 and blocks.select("bucket").distinct().count() >= 6
+    got = sorted(map(tuple, huffman.read_ids(blocks, code).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [r[0] for r in rows]  # nulls first, then by id
+    assert [r[1] for r in got] == list(itertools.accumulate([0, *[r[2] for r in got][:-1]]))
+
+
 def test_huffman_odd_rows(odd, empty):
     got = huffman.read_ids(*huffman.encode_files(odd)).collect()
     assert len(got) == odd.count()
@@ -510,9 +527,22 @@ def test_rules_are_tested_together(spark):
     assert lost == 12 and 0 < passed < len(rules.SEQUENCE)
 
 
+def test_rules_one_procedure_at_any_size(spark):
+    """Twice the documents with twice the false rejections walk at least as far."""
+    names, far = list(rules.RULES), []
+    for n in (700, 1400, 1500, 2800):
+        rows = [("en", *[0.5 if i % 100 == 0 and r == names[0] else 0.0 for r in names]) for i in range(n)]
+        cut = rules.learn_cutoffs(spark.createDataFrame(rows, ["stratum", *names])).first()
+        far.append([rules.SEQUENCE.index((r, cut[r])) if cut[r] is not None else -1 for r in names])
+    assert all(a <= b for one, two in zip(far, far[1:]) for a, b in zip(one, two))
+
+
 def test_rules_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(4, 1)], "doc_id int, quality int")
     assert rules.judge(odd, labels).count() == odd.count()
+    got = rules.judge(odd.withColumn("_n_words", F.lit("mine")), labels)
+    own_columns_stay(got.withColumn("_text", F.lit("own _text")))
+    assert got.filter("_n_words = 2000").count() == 1 and got.schema["_n_words"].dataType.typeName() == "long"
     assert rules.judge(empty, labels).count() == 0
 
 
@@ -610,8 +640,60 @@ def test_shards_match_the_mixture_and_odd_rows(odd, empty, spark):
     assert shards.interleave(empty, "source", "doc_id").count() == 0
 
 
+def test_mixing_gives_up_aloud(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", i % 9 + 1) for i in range(60)],
+                                 "doc_id int, source string, size int")
+    sizes = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs"))
+    targets = mixing.source_targets(docs.select("source", "size"))
+    with pytest.raises(ValueError, match="after 1 steps"):
+        mixing.solve(sizes, targets, steps=1)
+
+
+def test_shards_keep_places_of_null_ids(spark):
+    rows = [(None if i % 2 else i % 5, f"t{i}", "a" if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, text string, source string")
+    got = [sorted(map(tuple, shards.interleave(df.repartition(n), "source", "id", 4).collect()), key=repr)
+           for n in (1, 5)]
+    assert got[0] == got[1]
+
+
 # pipeline
 
+OWN = ("stratum", "key", "_key", "_copies", "__kid", "__key", "__rid", "__base", "__SPANS", "_text")
+
+
+def own_columns_stay(df):
+    assert {r[0] for c in OWN for r in df.select(F.col(c) == f"own {c}").collect()} <= {True}
+
+
+def test_stages_keep_columns_of_any_name(spark, odd, empty, tmp_path):
+    import corpus_pipeline as pipe
+    spark.createDataFrame([(5, 0, 1), (7, 1, 0)], "doc_id bigint, toxic int, quality int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    for stage in (pipe.drop_near_copies, pipe.generalise_personal_data, pipe.mix_sources, pipe.drop_toxic):
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns
+        own_columns_stay(out)
+        none = stage(spark, empty, str(tmp_path))
+        assert none.columns == odd.columns and none.count() == 0
+    # one row each of the rows repeated wholly, and of the texts without words
+    kept = [r["doc_id"] for r in pipe.drop_near_copies(spark, odd, "").select("doc_id").collect()]
+    assert kept.count(4) == 1 and kept.count(0) == 1 and not {1, 2, 3} & set(kept)
+
+
+def test_run_on_odd_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline as pipe
+    for name, docs in (("odd", odd), ("empty", empty)):
+        at = tmp_path / name
+        docs.write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(5, 0, 1), (7, 1, 0)], "doc_id bigint, toxic int, quality int").write.parquet(
+            str(at / "labels.parquet"))
+        out = pipe.run(spark, str(at))
+        assert out.columns == [*odd.columns, "ids"]
+        assert subwords.decode(out).filter("not (decoded <=> text)").count() == 0
+        assert (out.count() == 0) == (name == "empty")
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipe
     docs = spark.read.parquet(f"{sf}/documents.parquet")
