@@ -20,7 +20,8 @@ from intentspark.sources.tables import read_table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold. The model is fitted on
-    the labelled ones among ``docs``."""
+    the labelled ones among ``docs``. A null or empty text has no offending
+    sentence and stays; repeated rows are judged alike."""
     model = toxicity.fit(spark, docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model)
     return scored.filter(F.col("tox_score") < toxicity.THRESHOLD).select(*docs.columns)
@@ -40,14 +41,7 @@ def generalise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; with 0 copies it goes."""
-    # ids may be null or repeated, so a row is known by its id, source and text; only equal rows share that
-    key = F.md5(F.to_json(F.struct("doc_id", "source", F.md5("text").alias("text"))))
-    keyed = docs.withColumn("_key", key)
-    sized = keyed.select("_key", "source", mixing.word_count(F.col("text")).alias("size"))
-    copies = mixing.mix(sized, key="_key").select("_key", F.col("copies").alias("_copies")).dropDuplicates(["_key"])
-    repeated = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.expr(
-        "case when _copies > 0 then sequence(1, _copies) else cast(array() as array<int>) end")))
-    return repeated.select(*docs.columns)
+    return mixing.repeat_documents(docs)
 
 
 def encode_subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
