@@ -9,7 +9,8 @@ epoch, from which a broken-off fit goes on.
 
 Tokens are hashed into ``buckets``; a row has the same value in each bucket that
 its tokens fall into, of Euclidean length 1 in all, and a last bucket is 1 (the
-bias).
+bias). So the feature table holds the buckets alone. Tasks take many rows at a
+time, label by label, in parts of a bounded number of buckets.
 The first weights are those of a count model over the buckets (one more pass),
 so epochs improve on naive Bayes; steps are Adagrad's, with a rate that rises
 over the first ``warmup`` epochs.
@@ -21,7 +22,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,9 @@ BLOCK = 1 << 12  # buckets of a gradient that travel together
 #: Labels times buckets, at most: 32 MB of weights.
 MAX_WEIGHTS = 1 << 22
 
-_FEATURES = pa.schema([("label", pa.int32()), ("held", pa.bool_()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+PART = 1 << 18  # buckets of rows that a task takes together, if they are not of one row
+
+_FEATURES = pa.schema([("label", pa.int32()), ("held", pa.bool_()), ("at", pa.list_(pa.int32()))])
 _STATE = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("w", T.BinaryType()),
                        T.StructField("g2", T.BinaryType())])
 _HISTORY = T.StructType([T.StructField("epoch", T.IntegerType())] + [
@@ -54,36 +56,58 @@ def _hashed(text: str, buckets: int):
     return F.transform(tokenize(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
 
 
-def values(hashed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of one row's hashed tokens, the bias last."""
-    at = np.unique(hashed)
-    return np.append(at, buckets).astype(np.int32), np.append(np.full(len(at), 1 / np.sqrt(max(len(at), 1))), 1.0)
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, where each list starts and the last one ends)."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _distinct(flat: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of hashed tokens, as by :func:`_lists`, with each bucket once."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    both = np.unique(row * buckets + flat)
+    return (both % buckets).astype(np.int32), np.searchsorted(both, np.arange(len(ends)) * buckets)
+
+
+def _parts(ends: np.ndarray):
+    """(first row, row after the last) of stretches of rows of up to PART values, or of one row."""
+    at = 0
+    while at < len(ends) - 1:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + PART, side="right")) - 1)
+        yield at, end
+        at = end
+
 
+def _scale(ends: np.ndarray) -> np.ndarray:
+    """The value that each row has in its buckets."""
+    return 1 / np.sqrt(np.maximum(np.diff(ends), 1))
 
-def _probabilities(weights: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
-    z = weights[:, at] @ value
-    e = np.exp(z - z.max())
-    return e / e.sum()
+
+def _scores(weights: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rows x labels: the products of the weights and rows with the buckets ``at``."""
+    some = np.flatnonzero(np.diff(ends))  # rows that have tokens: the others get the bias alone
+    scale = _scale(ends)[some]
+    out = np.repeat(weights[:, -1][None, :], len(ends) - 1, axis=0)
+    if len(some):
+        for label, w in enumerate(weights):
+            out[some, label] += np.add.reduceat(w[at], ends[some]) * scale
+    return out
 
 
 def _feature_table(rows: DataFrame, labels: list, buckets: int) -> DataFrame:
-    """(label, held, at, value) of rows (label, held, hashed): a label's number, -1 for one that was not in training."""
+    """(label, held, at) of rows (label, held, hashed): a label's number, -1 for one that was not in training."""
     numbers = {lab: i for i, lab in enumerate(labels)}
 
     def task(batches):
         for b in batches:
-            found = [values(np.array(h, np.int64), buckets) for h in b.column("hashed").to_pylist()]
-            number = [numbers.get(lab, -1) for lab in b.column("label").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number, pa.int32()), b.column("held"), pa.array([a for a, _ in found], _FEATURES.field("at").type),
-                 pa.array([v for _, v in found], _FEATURES.field("value").type)], schema=_FEATURES)
-
-    return stored(rows.mapInArrow(task, "label int, held boolean, at array<int>, value array<double>"), "softmax-features")
-
+            number = pa.array([numbers.get(lab, -1) for lab in b.column("label").to_pylist()], pa.int32())
+            flat, ends = _lists(b.column("hashed"))
+            for i, j in _parts(ends):
+                at, some = _distinct(flat[ends[i]:ends[j]], ends[i:j + 1] - ends[i], buckets)
+                yield pa.RecordBatch.from_arrays([number[i:j], b.column("held")[i:j], pa.ListArray.from_arrays(
+                    pa.array(some, pa.int32()), pa.array(at))], schema=_FEATURES)
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
-    return np.split(flat, ends[:-1]) if len(ends) else []
+    return stored(rows.mapInArrow(task, "label int, held boolean, at array<int>"), "softmax-features")
 
 
 _BLOCKS = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
@@ -127,6 +151,33 @@ def _first_weights(features: DataFrame, n_labels: int, width: int) -> np.ndarray
     return w - w.mean(axis=0)
 
 
+def _count(counts: np.ndarray, at: np.ndarray, ends: np.ndarray, labels: np.ndarray, sides: np.ndarray) -> None:
+    """Add the training rows to their label's buckets and bias."""
+    each = np.repeat(np.where(sides == 0, labels, -1), np.diff(ends))
+    for label, row in enumerate(counts):
+        row[:-1] += np.bincount(at[each == label], minlength=len(row) - 1)
+        row[-1] += np.count_nonzero((sides == 0) & (labels == label))
+
+
+def _add(gradient: np.ndarray, sums: np.ndarray, weights: np.ndarray, at: np.ndarray, ends: np.ndarray,
+         labels: np.ndarray, sides: np.ndarray) -> None:
+    """Add the training rows' gradients, and the loss, hits and number of rows of either side."""
+    p = _scores(weights, at, ends)
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    rows, known = np.arange(len(labels)), labels >= 0
+    loss = np.where(known, -np.log(np.maximum(p[rows, labels], 1e-300)), 0.0)
+    hit = known & (p.argmax(axis=1) == labels)
+    for k, x in enumerate((loss, hit, np.ones(len(rows)))):
+        sums[:, k] += np.bincount(sides, weights=x, minlength=2)
+    p[rows[known], labels[known]] -= 1.0
+    p[sides == 1] = 0.0
+    n, scale = np.diff(ends), _scale(ends)
+    for label, row in enumerate(gradient):
+        row[:-1] += np.bincount(at, weights=np.repeat(p[:, label] * scale, n), minlength=len(row) - 1)
+        row[-1] += p[:, label].sum()
+
+
 def _epoch(features: DataFrame, weights: np.ndarray, counting: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the training rows' gradients, sums of loss, hits and rows of both
     parts). ``counting``: the rows in each label and bucket instead of gradients."""
@@ -137,18 +188,14 @@ def _epoch(features: DataFrame, weights: np.ndarray, counting: bool = False) ->
     def task(batches):
         w, gradient, sums = shared.value, np.zeros((n_labels, width)), np.zeros((2, 3))
         for b in batches:
-            rows = zip(b.column("label").to_pylist(), b.column("held").to_pylist(), _lists(b.column("at")), _lists(b.column("value")))
-            for label, held, at, value in rows:
+            labels, sides = b.column("label").to_numpy(), b.column("held").to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = _lists(b.column("at"))
+            for i, j in _parts(ends):
+                part = flat[ends[i]:ends[j]], ends[i:j + 1] - ends[i], labels[i:j], sides[i:j]
                 if counting:
-                    if not held:
-                        gradient[label, at] += 1.0
-                    continue
-                p = _probabilities(w, at, value)
-                known = 0 <= label
-                sums[int(held)] += (-np.log(max(p[label], 1e-300)) if known else 0.0, float(known and p.argmax() == label), 1.0)
-                if not held:
-                    p[label] -= 1.0
-                    gradient[:, at] += p[:, None] * value
+                    _count(gradient, *part)
+                else:
+                    _add(gradient, sums, w, *part)
         out = [(-1, sums.tobytes()), *_blocks(gradient)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _BLOCKS)], schema=_BLOCKS)
 
@@ -236,10 +283,14 @@ def score_softmax(df: DataFrame, model: SoftmaxModel, key: str, text: str, out:
 
     def task(batches):
         labels, w = shared.value
+        labels = pa.array(labels)
         for b in batches:
-            best = [labels[int((w[:, at] @ value).argmax())] for at, value in (
-                values(np.array(h, np.int64), buckets) for h in b.column(b.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best)], names=[*b.schema.names[:-1], out])
+            flat, ends = _lists(b.column(b.num_columns - 1))
+            for i, j in _parts(ends):
+                at, some = _distinct(flat[ends[i]:ends[j]], ends[i:j + 1] - ends[i], buckets)
+                best = pa.array(_scores(w, at, some).argmax(axis=1))
+                yield pa.RecordBatch.from_arrays([*[c[i:j] for c in b.columns[:-1]], labels.take(best)],
+                                                 names=[*b.schema.names[:-1], out])
 
     schema = T.StructType([*[kind[c] for c in kept.columns], T.StructField(out, label_type)])
     return df.select(key, *carry, _hashed(text, buckets).alias("_hashed")).mapInArrow(task, schema)

@@ -121,3 +121,24 @@ def test_bounds_and_odd_tables(spark):
         sm.fit_softmax(train, train, "label", "text", buckets=sm.MAX_WEIGHTS)
     m = sm.fit_softmax(train, train.limit(0), "label", "text", epochs=1, buckets=32)
     assert sm.score_softmax(train.limit(0), m, "Id", "text").count() == 0
+
+
+def test_rows_are_taken_in_bounded_parts(spark, parts, monkeypatch):
+    train, held, hashes = parts
+    every, history = brute(train, held, hashes, 32, 2, 2, 0.7)
+    monkeypatch.setattr(sm, "PART", 5)  # fewer than some rows have
+    m = sm.fit_softmax(spark.createDataFrame(train, SCHEMA).repartition(2), spark.createDataFrame(held, SCHEMA), "label", "text",
+                       epochs=2, warmup=2, rate=0.7, buckets=32)
+    assert np.allclose([h[1:] for h in m.history], history, atol=1e-9) and np.abs(m.weights - every[m.epoch]).max() < 1e-9
+    w = m.weights
+    best = {i: m.labels[int((w[:, sorted({hashes[x] for x in (t or "").split()})].sum(axis=1)
+                             / max(len({hashes[x] for x in (t or "").split()}), 1) ** 0.5 + w[:, -1]).argmax())] for i, t, _ in held}
+    got = sm.score_softmax(spark.createDataFrame(held, SCHEMA), m, "Id", "text").collect()
+    assert len(got) == len(held) and all(best[r["Id"]] == r["predicted"] for r in got)
+
+
+def test_the_feature_table_holds_each_bucket_once(spark):
+    df = spark.createDataFrame([("b", True, [3, 1, 3]), ("a", False, []), ("?", True, [0])], "label string, held boolean, hashed array<int>")
+    got = sm._feature_table(df.coalesce(1), ["a", "b"], 8)
+    assert got.columns == ["label", "held", "at"]
+    assert sorted(map(tuple, got.collect())) == [(-1, True, [0]), (0, False, []), (1, True, [1, 3])]
