@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,17 @@ def with_index(df: DataFrame, order: list, out: str = "index") -> DataFrame:
             .drop("_pid", "_pos", "_mono", "_off"))
 
 
+def in_blocks(batch: pa.RecordBatch, column: int, limit: int):
+    """Slices of a batch whose ``column`` holds about ``limit`` bytes."""
+    sizes = np.cumsum(np.array(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hashes of the words of UTF-8 ``data``; bytes.split() cuts at the
     six ASCII white-space characters only."""

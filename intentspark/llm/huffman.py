@@ -23,15 +23,18 @@ checkpoints are decoded side by side.
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentspark.llm.common import documents, prepare, running_offsets, shuffle_partitions, written
+from intentspark.llm.common import documents, in_blocks, prepare, running_offsets, shuffle_partitions, written
 
 END = 2
 MAX_BITS = 16
@@ -40,6 +43,7 @@ EVERY = 64
 TOGETHER = 128  # words that go to the tokenizer in one text, between marks
 LETTERS_TOGETHER = 1024  # the same for words of letters only, between spaces
 CACHED_WORDS = 1_000_000  # words whose ids a worker keeps
+BLOCK_BYTES = 4_000_000  # texts are encoded in blocks of about so many bytes
 
 
 def default_tokenizer() -> str:
@@ -168,11 +172,28 @@ class Words:
             if t.special and t.content.startswith("<|"))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16-bit numbers")
+        self.plain = self._plain()
         self.ends = np.zeros(1 << 16, bool)  # ids that end a run of letters
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+    def _plain(self):
+        """A tokenizer of the same model that only cuts at spaces: for words of
+        small ASCII letters, if the normaliser and splitter leave these as they
+        are and no added token is made of them. Else None."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        probe = "".join(a + b for a in string.ascii_lowercase for b in string.ascii_lowercase)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if (normal is not None and normal.normalize_str(probe) != probe or split is None
+                or [x for x, _ in split.pre_tokenize_str(probe)] != [probe] or any(map(_SMALL.fullmatch, added))):
+            return None
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return plain
+
+    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
+        tokenizer = self.plain if plain else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
         """Word i has the ids up to ``ends[i]``; ``gap`` ids stand between two words."""
@@ -182,12 +203,13 @@ class Words:
 
     def _learn(self, words: set) -> None:
         """The ids of new words, many at a call."""
-        letters, mixed, alone = [], [], []
+        small, letters, mixed, alone = [], [], [], []
         for w in words:
-            (letters if w.decode().isalpha() else alone if b"<|" in w else mixed).append(w)
-        for at in range(0, len(letters), LETTERS_TOGETHER):
-            some = letters[at:at + LETTERS_TOGETHER]
-            ids = self._ids(b" ".join(some).decode())
+            (small if self.plain and w.isalpha() and w.islower() else letters if w.decode().isalpha()
+             else alone if b"<|" in w else mixed).append(w)
+        for some, plain in ((kind[at:at + LETTERS_TOGETHER], kind is small) for kind in (small, letters)
+                                for at in range(0, len(kind), LETTERS_TOGETHER)):
+            ids = self._ids(b" ".join(some).decode(), plain)
             ends = np.flatnonzero(self.ends[ids]) + 1
             # a word has one run of letters at least, so equal numbers mean one each
             if len(ends) == len(some) and ends[-1] == len(ids):
@@ -205,23 +227,41 @@ class Words:
         for w in alone:  # may hold a special token itself
             self.ids[w] = self._ids(w.decode()).tobytes()
 
-    def encode(self, texts: list) -> list[bytes]:
-        """Little-endian 16-bit ids of each text (null: none), without special tokens."""
-        split = [_lowered((t or "").encode()).split() for t in texts]
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; new ones are kept."""
         known = self.ids
-        new = set().union(*split).difference(known)
+        new = set(words).difference(known)
         tailed = {w: w.rstrip(_TAIL) for w in new if w[-1] in _TAIL}
         tailed = {w: stem for w, stem in tailed.items() if stem and b"<|" not in w and stem[-1:].isalnum()}
         parts = new.difference(tailed).union(tailed.values(), (w[len(stem):] for w, stem in tailed.items()))
         self._learn(parts.difference(known))
         known.update((w, known[stem] + known[w[len(stem):]]) for w, stem in tailed.items())
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            known[b""] = b""
+        out = list(map(known.__getitem__, words))
+        if len(known) > CACHED_WORDS:  # those learned first are the most frequent, as a rule
+            self.ids = dict(islice(known.items(), max(1, CACHED_WORDS // 2)))
         return out
 
-
+    def encode(self, texts: list) -> list[bytes]:
+        """Little-endian 16-bit ids of each text (null: none), without special tokens.
+
+        The words are numbered by Arrow, so that each different one of
+        ``texts`` is looked up once; the numbers then pick the ids."""
+        lowered = pa.array([_lowered((t or "").encode()) for t in texts], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(lowered)  # an empty word before and after outer spaces: it has no ids
+        numbered = split.values.dictionary_encode()
+        found = self._of(numbered.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(found), "<u2")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        first = np.cumsum(sizes) - sizes
+        word = numbered.indices.to_numpy()
+        n = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (2 * ends[split.offsets.to_numpy()]).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+_SMALL = re.compile(r"[a-z]+")
 #: Marks cut off the end of a word after an ASCII letter or digit, where the tokenizer cuts it anyway.
 _TAIL = b".,;:!?|&$*%#"
 
@@ -242,8 +282,7 @@ def _tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         words = Words.load(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in in_blocks(whole, 1, BLOCK_BYTES):
                 ids = [x + end for x in words.encode(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

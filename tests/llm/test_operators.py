@@ -424,6 +424,37 @@ def test_words_of_letters_share_a_call():
     assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)] == plain
 
 
+def test_words_are_looked_up_once_a_block(monkeypatch):
+    words, asked = huffman.Words(huffman.default_tokenizer()), []
+    monkeypatch.setattr(words, "_of", lambda ws, f=words._of: asked.append(list(ws)) or f(ws))
+    some = ["the cat\x1c, THE\x0bhat.\r", None, " ", "the  hat. \u3000the\x85x"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in words.encode(some)]
+    assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+
+
+def test_frequent_words_are_kept_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(huffman, "CACHED_WORDS", 40)
+    words = huffman.Words(huffman.default_tokenizer())
+    for i in range(20):
+        text = "the of and " + " ".join(f"word{chr(97 + i)}{chr(97 + k)}" for k in range(10))
+        assert np.frombuffer(words.encode([text])[0], "<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words.ids) <= 40 and (i == 0 or {b"the", b"of", b"and"} <= words.ids.keys())
+
+
+def test_small_letters_skip_only_what_leaves_them_alone(monkeypatch):
+    from tokenizers import normalizers
+    words = huffman.Words(huffman.default_tokenizer())
+    some = ["".join(x) for x in itertools.product("aehnst", repeat=5)]
+    assert words.plain is not None and words._ids(" ".join(some), True).tolist() == words._ids(" ".join(some)).tolist()
+    words.tokenizer.normalizer = normalizers.Replace("th", "d")
+    assert words._plain() is None
+    words.tokenizer.normalizer = normalizers.Lowercase()
+    assert words._plain() is not None
+    words.tokenizer.add_tokens(["the"])
+    assert words._plain() is None
+
+
 def test_words_are_composed_before_they_are_lowered():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(huffman.default_tokenizer())
