@@ -27,20 +27,21 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intentspark.llm.common import MASK64, documents, mix64, name_free, prepare
+from intentspark.llm.common import MASK64, documents, in_blocks, mix64, name_free, prepare
 
 SEED = 20240917
 DROPOUT = 0.1
 MARK = "▁"
 BLOCK_CHARS = 500_000  # texts are encoded in blocks of about so many characters
 MATRIX_LENGTH = 32  # longer chunks use the heap
+DECODED_IDS = 1 << 18  # ids of a text that are decoded at a time
 SKIP_ROWS = 1 << 14  # chunks whose candidates are hashed at a time
-_NONE = np.int64(1 << 40)
+_NONE = np.int32(1 << 30)
+_FREE = np.int64(-1 << 62)  # no pair's key
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _A, _B, _C = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
@@ -88,6 +89,9 @@ class Pieces:
                 self.bytes_id[value], self.texts[i], n_bytes = i, bytes([value]), n_bytes + 1
         if n_bytes != 256:
             raise ValueError("the model has no byte pieces")
+        self.text_bytes = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.text_size = np.array([len(t) for t in self.texts], np.int64)
+        self.text_start = np.cumsum(self.text_size) - self.text_size
         self.symbol = np.full(0x110000, -1, np.int32)  # piece of a character
         for p, i in by_name.items():
             if len(p) == 1 and p != MARK:
@@ -103,8 +107,9 @@ class Pieces:
                 if left is not None and right is not None:
                     pairs[(left << 32) | right] = (i, rank[sp.get_score(i)])
         self.keys = np.array(sorted(pairs), np.int64)
-        self.joined = np.array([pairs[k][0] for k in sorted(pairs)], np.int64)
-        self.ranks = np.array([pairs[k][1] for k in sorted(pairs)], np.int64)
+        self.joined = np.array([pairs[k][0] for k in sorted(pairs)], np.int32)
+        self.ranks = np.array([pairs[k][1] for k in sorted(pairs)], np.int32)
+        self._fill()
         # hashes of the pieces that merges can make, as encode_block takes them of substrings
         made = sorted(set(self.joined.tolist()))
         texts = [names[i].replace(MARK, " ") for i in made]
@@ -117,12 +122,44 @@ class Pieces:
         self.maybe = np.zeros(1 << 20, bool)  # by a hash's last bits: most substrings are told to be none at once
         self.maybe[hashes & np.uint64((1 << 20) - 1)] = True
 
+    def _fill(self) -> None:
+        """The pairs as a hash table with at least three places free of four; a
+        taken place sends a pair on to the next one."""
+        bits = max(4 * len(self.keys), 1 << 10).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key = np.full(1 << bits, _FREE)
+        self.slot_joined, self.slot_rank = np.full(1 << bits, -1, np.int32), np.full(1 << bits, _NONE)
+        left = np.arange(len(self.keys))
+        at = self._slots(self.keys)
+        while len(left):
+            free = self.slot_key[at] == _FREE
+            self.slot_key[at[free]] = self.keys[left[free]]  # one of those that want a place gets it
+            got = self.slot_key[at] == self.keys[left]
+            self.slot_joined[at[got]], self.slot_rank[at[got]] = self.joined[left[got]], self.ranks[left[got]]
+            left, at = left[~got], (at[~got] + 1) & self.last
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.view(np.uint64) * _P) >> self.shift).view(np.int64)
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(joined piece or -1, rank) of neighbouring symbols; -1 marks an empty place."""
-        key = (left.astype(np.int64) << 32) | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.joined[at], -1), np.where(hit, self.ranks[at], _NONE)
+        """(joined piece or -1, rank) of neighbouring symbols."""
+        key = (left.astype(np.int64) << 32) | right
+        at = self._slots(key)
+        found = self.slot_key[at]
+        hit = found == key
+        joined, rank = np.where(hit, self.slot_joined[at], np.int32(-1)), np.where(hit, self.slot_rank[at], _NONE)
+        more = np.nonzero(~hit & (found != _FREE))
+        at, key = at[more], key[more]
+        while len(at):
+            at = (at + 1) & self.last
+            found = self.slot_key[at]
+            hit = found == key
+            here = tuple(x[hit] for x in more)
+            joined[here], rank[here] = self.slot_joined[at[hit]], self.slot_rank[at[hit]]
+            go = ~hit & (found != _FREE)
+            more, at, key = tuple(x[go] for x in more), at[go], key[go]
+        return joined, rank
 
 
 def _candidate(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -144,36 +181,36 @@ def agenda_matrix(pieces: Pieces, symbols: np.ndarray, keys: np.ndarray, limit:
 
     Returns the remaining symbols, row after row, and their number by row."""
     n, width = symbols.shape
-    done = np.full((n, width), -1, np.int64)
-    rows, s = np.arange(n), symbols.astype(np.int64)
-    place = np.broadcast_to(np.arange(width), (n, width)).copy()
-    keys = keys[:, None]
+    done = np.full((n, width), -1, np.int32)
+    rows, s = np.arange(n), symbols.astype(np.int32)
+    place = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
     joined, rank = pieces.pairs(s[:, :-1], s[:, 1:])
-    rank[(joined >= 0) & _skipped(keys, place[:, :-1], joined, limit)] = _NONE
-    column = np.arange(width)
-    while len(rows):
+    x, y = np.nonzero(joined >= 0)
+    skip = _skipped(keys[x], place[x, y], joined[x, y], limit)
+    rank[x[skip], y[skip]] = _NONE
+    while len(rows) and s.shape[1] > 1:
         at = rank.argmin(axis=1)
-        r = np.arange(len(rows))
-        go = rank[r, at] < _NONE
+        go = rank[np.arange(len(rows)), at] < _NONE
         if not go.all():
-            done[rows[~go]] = s[~go]
+            done[rows[~go], :s.shape[1]] = s[~go]
             rows, s, place, keys, joined, rank, at = (x[go] for x in (rows, s, place, keys, joined, rank, at))
             if not len(rows):
                 break
-            r = np.arange(len(rows))
+        r = np.arange(len(rows))
         s[r, at] = joined[r, at]
-        move = np.minimum(column + (column > at[:, None]), width - 1)
-        s, place = np.take_along_axis(s, move, 1), np.take_along_axis(place, move, 1)
-        s[:, -1] = -1  # a row loses a place with every merge
-        move = np.minimum(column[:-1] + (column[:-1] > at[:, None]), width - 2)
-        joined, rank = np.take_along_axis(joined, move, 1), np.take_along_axis(rank, move, 1)
-        rank[:, -1] = np.where(at == width - 2, rank[:, -1], _NONE)
-        for here in (at - 1, at):
-            ok = (here >= 0) & (here < width - 1)
-            x, y = r[ok], here[ok]
-            new, order = pieces.pairs(s[x, y], s[x, y + 1])
-            order[(new >= 0) & _skipped(keys[x, 0], place[x, y], new, limit)] = _NONE
-            joined[x, y], rank[x, y] = new, order
+        # every row loses a place with every merge, so all have the same number left
+        stay = np.arange(s.shape[1] - 1) <= at[:, None]
+        s, place = np.where(stay, s[:, :-1], s[:, 1:]), np.where(stay, place[:, :-1], place[:, 1:])
+        stay = stay[:, :-1]
+        joined, rank = np.where(stay, joined[:, :-1], joined[:, 1:]), np.where(stay, rank[:, :-1], rank[:, 1:])
+        x, y = np.concatenate([r, r]), np.concatenate([at - 1, at])
+        ok = np.flatnonzero((y >= 0) & (y < s.shape[1] - 1))
+        x, y = x[ok], y[ok]
+        new, order = pieces.pairs(s[x, y], s[x, y + 1])
+        hit = np.flatnonzero(new >= 0)
+        order[hit[_skipped(keys[x[hit]], place[x[hit], y[hit]], new[hit], limit)]] = _NONE
+        joined[x, y], rank[x, y] = new, order
+    done[rows, :s.shape[1]] = s
     return done[done >= 0], (done >= 0).sum(axis=1)
 
 
@@ -405,18 +442,13 @@ def encode_texts(pieces: Pieces, texts: list, keys: list, seed: int = SEED, drop
 
 def decode_ids(pieces: Pieces, ids) -> str:
     """The text of the ids; the space put before a document is taken off again."""
-    return b"".join(map(pieces.texts.__getitem__, ids)).decode("utf-8")[1:]
-
-
-def _in_blocks(batch: pa.RecordBatch, column: int, limit: int):
-    """Slices of a batch whose ``column`` holds about ``limit`` bytes."""
-    sizes = np.cumsum(np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
+    ids, out = np.asarray(ids, np.int64), []
+    for at in range(0, len(ids), DECODED_IDS):
+        some = ids[at:at + DECODED_IDS]
+        n = pieces.text_size[some]
+        ends = np.cumsum(n)
+        out.append(pieces.text_bytes[np.repeat(pieces.text_start[some] - (ends - n), n) + np.arange(int(ends[-1]))].tobytes())
+    return b"".join(out).decode("utf-8")[1:]
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", model: str | None = None,
@@ -441,7 +473,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "i
     def run(batches):
         pieces = Pieces.load(path)
         for whole in batches:
-            for batch in _in_blocks(whole, whole.num_columns - 2, 4 * BLOCK_CHARS):
+            for batch in in_blocks(whole, whole.num_columns - 2, 4 * BLOCK_CHARS):
                 got = encode_texts(pieces, batch.column(batch.num_columns - 2).to_pylist(),
                                    batch.column(batch.num_columns - 1).to_pylist(), seed, dropout)
                 sizes = np.cumsum([0, *(0 if x is None else len(x) for x in got)])
@@ -470,7 +502,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str | N
                 batch = whole.slice(at, 512)
                 column = batch.column(batch.num_columns - 1)
                 texts = [None if x is None else decode_ids(pieces, x) for x in
-                         (v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else None for v in column)]
+                         (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in column)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*rest, out])
 
     schema = T.StructType([*df.select(*[df[c] for c in rest]).schema.fields, T.StructField(out, T.StringType())])

@@ -157,6 +157,39 @@ def test_subwords_merged_once_is_one_by_one(monkeypatch, texts):
     assert [x.tolist() for x in a] == [x.tolist() for x in b]
 
 
+def test_subwords_pairs_are_the_models():
+    pieces = subwords.Pieces.load(subwords.default_model())
+    assert len(pieces.slot_key) >= 4 * len(pieces.keys)
+    left, right = pieces.keys >> 32, pieces.keys & 0xFFFFFFFF
+    joined, rank = pieces.pairs(left, right)
+    assert (joined == pieces.joined).all() and (rank == pieces.ranks).all()
+    some = np.random.default_rng(3).integers(0, 32000, (2, 200, 100))
+    joined, rank = pieces.pairs(*some)
+    known = dict(zip(pieces.keys.tolist(), zip(pieces.joined.tolist(), pieces.ranks.tolist())))
+    want = [known.get(k, (-1, int(subwords._NONE))) for k in ((some[0] << 32) | some[1]).reshape(-1).tolist()]
+    assert list(zip(joined.reshape(-1).tolist(), rank.reshape(-1).tolist())) == want
+
+
+def test_subwords_matrix_is_the_heap():
+    pieces = subwords.Pieces.load(subwords.default_model())
+    rng = np.random.default_rng(7)
+    for width in (2, 3, 9, 20):
+        rows = pieces.symbol[rng.choice([ord(c) for c in " theraninos"], (300, width))]
+        keys = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        for limit in (0, 1 << 21, 1 << 23):
+            flat, n = subwords.agenda_matrix(pieces, rows, keys, limit)
+            want = [subwords.agenda_heap(pieces, r.tolist(), int(k), limit) for r, k in zip(rows, keys)]
+            assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_subwords_decode_in_stretches(monkeypatch):
+    pieces = subwords.Pieces.load(subwords.default_model())
+    some = ["", "one", "ü ▁ é漢字 😀\x00", "word " * 50]
+    ids = subwords.encode_texts(pieces, some, [0] * len(some))
+    monkeypatch.setattr(subwords, "DECODED_IDS", 3)  # cuts characters in byte pieces too
+    assert [subwords.decode_ids(pieces, x) for x in ids] == some
+
+
 def test_subwords_long_text_in_segments(monkeypatch):
     pieces = subwords.Pieces.load(subwords.default_model())
     text = "some words  here " * 50
