@@ -40,8 +40,9 @@ def replace_table(df: DataFrame, name: str, location: str, ddl: str = domain.INT
     The rows are written to a new folder under ``location`` through a table of
     their own, and only then does ``name`` point to them: a write that fails
     leaves the old table as it was, and ``df`` may read the old table. With the
-    same columns the change is one step in the catalog, else the old table is
-    dropped and declared anew there. Folders of earlier contents stay for those
+    same columns the change is one step in the catalog, else, and where there
+    are CHAR or VARCHAR columns, which a new location would turn into plain
+    strings in the catalog, the old table is dropped and declared anew there. Folders of earlier contents stay for those
     who still read them."""
     spark = df.sparkSession
     version = uuid.uuid4().hex[:12]
@@ -49,7 +50,9 @@ def replace_table(df: DataFrame, name: str, location: str, ddl: str = domain.INT
     spark.sql(f"CREATE TABLE {staged} ({ddl}) USING parquet LOCATION '{folder}'")
     try:
         _typed(df).write.insertInto(staged, overwrite=True)
-        if spark.catalog.tableExists(name) and _columns(spark, name) == _columns(spark, staged):
+        columns = _columns(spark, staged)
+        sized = any(kind.startswith(("char", "varchar")) for _, kind in columns)
+        if not sized and spark.catalog.tableExists(name) and _columns(spark, name) == columns:
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
         else:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
